@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .common import documents
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
+from .secret_scan import scan_secrets
 from .shard_tree import shard_documents
 from .source_mix import mix_sources
+from .telephony import read_audio, store_audio
+
+
+def vocabulary() -> str:
+    """The public byte-level BPE vocabulary, from where the box keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +33,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.join(goals, taken["source"].eqNullSafe(goals["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_audio(store_audio(documents(spark, sf_dir)))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), vocabulary())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -37,7 +64,11 @@ WINDOW g AS (PARTITION BY content)
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op4_source_mix": op4_source_mix,
+        "op5_telephony": op5_telephony,
+        "op7_secret_scan": op7_secret_scan,
+        "op9_bpe": op9_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_shard_tree": op10_shard_tree,
     }
