@@ -9,9 +9,11 @@ from .bpe import encode_decode
 from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import identify_languages
+from .ngram_join import jaccard_components
 from .secret_scan import scan_secrets
 from .shard_tree import shard_documents
 from .source_mix import mix_sources
+from .substring_dedup import substring_dedup
 from .telephony import read_audio, store_audio
 
 
@@ -33,6 +35,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.join(goals, taken["source"].eqNullSafe(goals["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_audio(store_audio(documents(spark, sf_dir)))
 
@@ -65,8 +75,10 @@ WINDOW g AS (PARTITION BY content)
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_source_mix": op4_source_mix,
         "op5_telephony": op5_telephony,
+        "op6_ngram_join": op6_ngram_join,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
         "op8_exact_dedup": op8_exact_dedup,
