@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import identify_languages
+from .lattice_lm import score_documents
 from .ngram_join import jaccard_components
 from .secret_scan import scan_secrets
 from .shard_tree import shard_documents
@@ -39,6 +40,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return score_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -63,6 +70,12 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(content) AS text_sha256
@@ -76,6 +89,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_lattice_lm": op3_lattice_lm,
         "op4_source_mix": op4_source_mix,
         "op5_telephony": op5_telephony,
         "op6_ngram_join": op6_ngram_join,
@@ -83,6 +97,7 @@ def queries() -> dict:
         "op9_bpe": op9_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_shard_tree": op10_shard_tree,
+        "pipeline": pipeline,
     }
 
 
