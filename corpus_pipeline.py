@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm.bpe import encode_decode
 from lexiforge.llm.common import documents, written
 from lexiforge.llm.exact_dedup import exact_dedup
-from lexiforge.llm.language_id import UNKNOWN, identify_languages
+from lexiforge.llm.language_id import keep_languages
 from lexiforge.llm.ngram_join import jaccard_components
 from lexiforge.llm.queries import vocabulary
 from lexiforge.llm.source_mix import mix_sources
@@ -33,7 +33,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (no letters, null text) go; the rest stay as they are."""
-    return _only(docs, identify_languages(docs).where(F.col("lang_pred") != UNKNOWN))
+    return keep_languages(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import id_crc
 from .words import slices, text_buffers
@@ -156,6 +157,21 @@ def labelled_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, max_c
     return {lang: b"\n".join(texts) for lang, texts in out.items()}
 
 
+def judge(model: CrossParser, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each row (text in lower case, lettered)."""
+    names = np.array([*model.languages, UNKNOWN], dtype=object)
+    lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+    if not model.languages:
+        best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+    else:
+        bits = model.phrases(*text_buffers(batch.column("text"))) * model.cost
+        best = np.argmin(bits, 1)
+        gap = bits - bits[np.arange(len(best)), best][:, None]
+        score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
+    best = np.where(lettered & (len(model.languages) > 0), best, len(names) - 1)
+    return names[best], np.where(lettered, score, 0.0)
+
+
 def predict(docs: DataFrame, parser: CrossParser) -> DataFrame:
     """doc_id, lang_pred, score of rows (doc_id, text)."""
     spark = docs.sparkSession
@@ -164,25 +180,35 @@ def predict(docs: DataFrame, parser: CrossParser) -> DataFrame:
     low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept.value
-        names = np.array([*model.languages, UNKNOWN], dtype=object)
         for whole in batches:
             for batch in slices(whole, limit=8 << 20):
-                lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
-                if not model.languages:
-                    best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-                else:
-                    bits = model.phrases(*text_buffers(batch.column("text"))) * model.cost
-                    best = np.argmin(bits, 1)
-                    gap = bits - bits[np.arange(len(best)), best][:, None]
-                    score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
-                best = np.where(lettered & (len(model.languages) > 0), best, len(names) - 1)
-                score = np.where(lettered, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                names, score = judge(kept.value, batch)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return low.mapInArrow(parse, f"doc_id {id_type.simpleString()}, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, wanted=None, folds: int = 5, held_fold: int = 0) -> DataFrame:
+    """The rows of documents whose predicted language is wanted (None: any but `und`), all columns as they are.
+
+    Predicts like identify_languages(), whose cases hold here too; nothing is
+    shuffled. docs needs doc_id, text and lang.
+    """
+    held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == held_fold, F.lit(True))
+    parser = CrossParser(labelled_sample(docs.where(~held).select("doc_id", "text", "lang")))
+    kept = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by ALL_SYMBOLS
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, limit=8 << 20):
+                names, _ = judge(kept.value, batch)
+                good = [n != UNKNOWN if wanted is None else n in wanted for n in names]
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(good, pa.bool_()))], names=["row"])
+
+    return whole.mapInArrow(choose, StructType([StructField("row", whole.schema["row"].dataType)])).select("row.*")
+
+
 def identify_languages(docs: DataFrame, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row per row of docs.
 

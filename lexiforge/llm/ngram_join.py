@@ -28,6 +28,10 @@ U = np.uint64
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
 #: N-gram columns multiplied at once.
 BLOCK_COLUMNS = 4096
+#: Documents of a block where counts are compared, and rows of a pack of small groups.
+SKETCH_DOCS, SKETCH_ROWS = 512, 30_000
+#: Pairs compared at once.
+PAIRS = 100_000
 
 
 class SizeClasses:
@@ -45,7 +49,12 @@ class SizeClasses:
         self.bound = np.array(bound, np.int64)
         largest = self.bound[1:] - 1
         differ = (100 - percent) * 2 * largest // (100 + percent)
-        self.spare = 1 + differ // 24  # empty buckets that a document may leave out
+        # Empty buckets that a document may leave out: as many as its least size makes likely.
+        spare, least = np.ones(len(differ)), np.maximum(1, self.bound[:-1] * percent / 100)
+        for _ in range(30):
+            empty = (differ + 1 + spare) * np.exp(-least / (differ + 1 + spare))
+            spare = np.minimum(np.ceil(empty + 3 * np.sqrt(empty)) + 1, differ + 5)
+        self.spare = spare.astype(np.int64)
         self.buckets = differ + 1 + self.spare
         #: Smaller sets link with equal sets only.
         self.least = percent // (100 - percent) if percent < 100 else 1 << 60
@@ -96,6 +105,27 @@ def _signed(ids: np.ndarray) -> pa.Array:
     return pa.array(ids.view(np.int64))
 
 
+def sketch_width(size: np.ndarray) -> np.ndarray:
+    """Hash ranges that a set of this size is counted by; 0 for the empty set."""
+    return np.where(size < 1, 0, np.where(size < 400, 64, np.where(size < 3000, 256, 1024)))
+
+
+def sketches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Counts by the topmost bits of mixed hashes, one byte each, at most 255."""
+    size = np.diff(bounds)
+    width = sketch_width(size)
+    begin = np.cumsum(width) - width
+    doc_of = np.repeat(np.arange(len(size)), size)
+    shift = (64 - np.log2(np.maximum(width, 2)).astype(np.int64)).astype(U)
+    at = begin[doc_of] + (_mix(values ^ U(0xD6E8FEB86659FD93)) >> shift[doc_of]).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(width.sum())), 255).astype(np.uint8)
+    offsets = np.append(begin, width.sum()).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(counts.tobytes())])
+
+
+SIGNED = "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"
+
+
 def _signatures(size: int, percent: int):
     classes = SizeClasses(percent)
 
@@ -111,13 +141,117 @@ def _signatures(size: int, percent: int):
                 sigs, owner = bucket_signatures(values, bounds, classes)
                 offsets = pa.array(np.searchsorted(owner, np.arange(len(count) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(count), _signed(one), _signed(two), pa.ListArray.from_arrays(offsets, _signed(sigs))],
-                    names=["doc_id", "n", "h1", "h2", "sigs"],
+                    [batch.column("doc_id"), pa.array(count), _signed(one), _signed(two), sketches(values, bounds), pa.ListArray.from_arrays(offsets, _signed(sigs))],
+                    names=["doc_id", "n", "h1", "h2", "sketch", "sigs"],
                 )
 
     return sign
 
 
+def _near_counts(size: np.ndarray, counts: dict, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can link, by their sizes and by how far their counts differ at least."""
+    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    keep = np.flatnonzero(100 * low >= percent * high)
+    a, b = a[keep], b[keep]
+    most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
+    width = np.minimum(sketch_width(size[a]), sketch_width(size[b]))
+    near = np.zeros(len(keep), bool)
+    for w, rows in counts.items():
+        these = np.flatnonzero(width == w)
+        if len(these):
+            x, y = rows[a[these]], rows[b[these]]
+            near[these] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= most[these]
+    return keep[near]
+
+
+def _pairs(groups: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs within each group (sorted): left with right, or all where sides are 2."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    many = np.diff(np.append(starts, len(groups)))
+    if (side == 2).all():
+        for g in np.unique(many[many > 1]):
+            i, j = np.triu_indices(g, 1)
+            base = starts[many == g]
+            per = max(1, PAIRS // len(i))
+            for c in range(0, len(base), per):
+                part = base[c : c + per, None]
+                yield from _cut((part + i).ravel(), (part + j).ravel())
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for c in range(0, len(left), max(1, PAIRS // max(1, len(right)))):
+            part = left[c : c + max(1, PAIRS // max(1, len(right)))]
+            yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+
+def _cut(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for c in range(0, len(a), PAIRS):
+        yield a[c : c + PAIRS], b[c : c + PAIRS]
+
+
+def reach(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Label per place: the smallest place reached over links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            break
+    return label
+
+
+def _compare(percent: int):
+    def compare(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("group").to_numpy(), kind="stable")
+        names, side = group.column("group").to_numpy()[order], group.column("side").to_numpy()[order]
+        ids, node = np.unique(group.column("node").to_numpy()[order], return_inverse=True)
+        first = order[np.unique(node, return_index=True)[1]]
+        size = group.column("n").to_numpy()[first]
+        data, offsets = text_buffers(group.column("sketch"))
+        width, counts = sketch_width(size), {}
+        for w in (64, 256, 1024):
+            rows = np.zeros((len(ids), w), np.uint8)
+            for have in (w, 4 * w, 16 * w):
+                these = np.flatnonzero(width == have)
+                if len(these):
+                    own = data[offsets[first[these]][:, None] + np.arange(have)]
+                    rows[these] = np.minimum(own.reshape(len(these), w, -1).sum(2), 255)
+            counts[w] = rows
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in _pairs(names, side):
+            i, j = node[i], node[j]
+            near = _near_counts(size, counts, i, j, percent)
+            a.append(i[near])
+            b.append(j[near])
+        label = reach(len(ids), np.concatenate(a), np.concatenate(b))
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+    return compare
+
+
+def dealt(members: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
+    """Rows (group, node, weight) dealt to tasks: pack, i, j, side beside group and node.
+
+    A group within the limits goes whole to one of the packs (side 2). A larger
+    one is split into blocks by hash; each pair of its blocks is a task, with
+    the first block on side 0 and the second on side 1 (2 where they are one).
+    """
+    weight = most_weight or 1 << 60
+    groups = members.groupBy("group").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("docs"))
+    blocks = F.ceil(F.greatest(F.col("weight") / weight, F.col("docs") / most_docs))
+    total = groups.agg(F.sum("weight"), F.sum("docs")).first()
+    packs = int(max((total[0] or 0) // weight, (total[1] or 0) // pack_docs)) + 1
+    placed = members.select("group", "node").join(groups.select("group", blocks.alias("blocks")), "group").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    packed = placed.where("blocks = 1").select("group", "node", F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(2).alias("side"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    split = placed.where("blocks > 1").withColumn("other", other)
+    split = split.select("group", "node", F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return packed.unionAll(split)
+
+
 def overlap_product(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Shared shingles of each left with each right document, a block of columns at a time."""
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -142,16 +276,7 @@ def block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right:
     overlap = overlap_product(values, bounds, left, right)
     union = size[left][:, None] + size[right][None, :] - overlap
     a, b = np.nonzero((100 * overlap >= percent * union) & (left[:, None] != right[None, :]))
-    a, b = left[a], right[b]
-    label = np.arange(len(size))
-    while len(a):
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            break
-    return label
+    return reach(len(size), left[a], right[b])
 
 
 def _multiply(size: int, percent: int):
@@ -181,34 +306,24 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     * an empty table gives an empty result; further columns of docs are ignored
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signatures(size, percent), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "jaccard-signatures")
+    signed = written(rows.mapInArrow(_signatures(size, percent), SIGNED), "jaccard-signatures")
     classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     found = written(signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-classes")
 
     reps = found.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
-    buckets = written(signed.where(F.size("sigs") > 0).select("doc_id", "sigs").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig")), "jaccard-buckets")
-    drop_written(signed)
-    shared = written(buckets.groupBy("sig").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "lead"), "jaccard-shared")
-    meets = buckets.join(shared, "sig").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = written(components(meets).withColumnRenamed("component", "cluster"), "jaccard-clusters")
+    signed_reps = signed.where(F.size("sigs") > 0).join(reps, "doc_id", "left_semi")
+    buckets = written(signed_reps.select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig")), "jaccard-buckets")
+    shared = written(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "jaccard-shared")
+    meets = written(buckets.join(shared, "sig").select(F.col("sig").alias("group"), "node", F.lit(1).alias("weight")), "jaccard-meets")
     drop_written(buckets)
+    counts = signed.select(F.col("doc_id").alias("node"), "n", "sketch").join(meets.select("node").distinct(), "node").dropDuplicates(["node"])
+    near = dealt(meets, SKETCH_DOCS, SKETCH_ROWS).join(counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    clusters = written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
+    drop_written(signed)
 
-    sizes = found.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("node"), "n").distinct()
-    members = clusters.join(sizes, "node")
-    blocks = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs"))
-    many = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS))
-    total = blocks.agg(F.sum("shingles"), F.sum("docs")).first()
-    packs = int(max((total[0] or 0) // BLOCK_SHINGLES, (total[1] or 0) // BLOCK_DOCS)) + 1
-    placed = members.join(blocks.select("cluster", many.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    # Small clusters are packed together; in a large one every pair of blocks is a group.
-    packed = placed.where("blocks = 1").select("node", F.lit(-1).cast("long").alias("cluster"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(2).alias("side"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = placed.where("blocks > 1").withColumn("other", other).select(
-        "node", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    sizes = found.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("node"), F.col("n").alias("weight")).distinct()
     texts = rows.join(clusters.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    groups = packed.unionAll(paired).join(texts, "node")
-    links = written(groups.groupBy("cluster", "i", "j").applyInArrow(_multiply(size, percent), "a long, b long"), "jaccard-links")
+    groups = dealt(clusters.join(sizes, "node"), BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES).join(texts, "node")
+    links = written(groups.groupBy("pack", "i", "j").applyInArrow(_multiply(size, percent), "a long, b long"), "jaccard-links")
     reached = components(links).withColumnRenamed("node", "rep")
     return found.join(reached, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
