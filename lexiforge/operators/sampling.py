@@ -79,3 +79,27 @@ def series_pick(df: DataFrame, series: Column, order: Sequence, stratum: str, qu
     """One row of each series, then the first quota of each stratum; quotas nest."""
     single = top_k(df.withColumn("series", series), ["series"], order, 1, "_one").drop("_one")
     return top_k(single, [stratum], order, quota, "place")
+
+
+def coupled_quota(df: DataFrame, id_col: str, stratum: str, quotas: dict, target: str, cap: int, order: Sequence) -> DataFrame:
+    """Quotas per stratum and a cap per target over all strata, filled in order of the strata.
+
+    The greedy choice needs few rows: at most cap of a target in a stratum, and
+    of those as many as all quotas could block. Only these (quota + cap * total
+    per stratum, a bound by parameters) are decided on the driver.
+    """
+    total = sum(quotas.values())
+    some = top_k(df.where(F.col(stratum).isin(*quotas)), [stratum, target], order, cap, "_c").drop("_c")
+    most = max(quotas.values(), default=0) + cap * total
+    rows = top_k(some, [stratum], order, most, "_place").select(id_col, stratum, target, "_place").collect()
+    used: dict = {}
+    chosen = []
+    for name, quota in quotas.items():
+        left = quota
+        for r in sorted((r for r in rows if r[stratum] == name), key=lambda r: r["_place"]):
+            if left and used.get(r[target], 0) < cap:
+                used[r[target]] = used.get(r[target], 0) + 1
+                chosen.append((r[id_col],))
+                left -= 1
+    ids = df.sparkSession.createDataFrame(chosen, df.select(id_col).schema)
+    return df.join(F.broadcast(ids), id_col, "left_semi")  # at most the sum of the quotas
