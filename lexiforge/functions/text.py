@@ -12,8 +12,8 @@ LETTERS = r"\p{L}+"
 
 def normal(text: Column) -> Column:
     """Lower case, long s and ligatures resolved, letters only, single blanks."""
-    out = F.replace(F.replace(F.replace(text, F.lit("ſ"), F.lit("s")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    return F.lower(F.trim(F.regexp_replace(out, r"[^\p{L}]+", " ")))
+    out = F.replace(F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    return F.trim(F.regexp_replace(out, r"[^\p{L}]+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -47,7 +47,7 @@ def blank_to_null(text: Column) -> Column:
 def tag_set(text: Column, separator: str = "|") -> Column:
     """Sorted distinct lower-cased members of a delimited list; empty for null."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "\\" + separator)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def parse_list(text: Column) -> Column:

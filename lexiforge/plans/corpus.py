@@ -233,7 +233,7 @@ def names_over_time(t):
     return counted.groupBy("source", F.col("x.word").alias("word")).agg(F.sum("x.hits").cast("long").alias("hits"), F.sum((F.col("x.hits") > 0).cast("int")).alias("docs"))
 
 
-@BOOK.query("normalised_text", r"SELECT doc_id, lower(trim(regexp_replace(replace(replace(replace(text, 'ſ', 's'), 'æ', 'ae'), 'œ', 'oe'), '[^\p{L}]+', ' ', 'g'))) AS norm FROM documents")
+@BOOK.query("normalised_text", r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(lower(text), 'ſ', 's'), 'æ', 'ae'), 'œ', 'oe'), '[^\p{L}]+', ' ', 'g')) AS norm FROM documents")
 def normalised_text(t):
     return t.documents.select("doc_id", T.normal(F.col("text")).alias("norm"))
 

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     """Files of events as a stream, in the batch table's schema; `ts` as an instant (UTC sessions)."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():  # a stream reads folders
+        stream = reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    else:
+        stream = reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
