@@ -10,6 +10,7 @@ tokens of them once more; those are chosen in the order of a seeded hash.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Mapping, Sequence
 
@@ -27,8 +28,9 @@ REPEAT_COSTS = (0, 1, 3)
 MAX_PATTERNS = 20_000
 #: Hash buckets a pattern's documents are summed by.
 BUCKET_BITS = 12
-#: Documents that may fill what is left of a quota after the hash order, one at a time.
-FILLS = 3
+#: Times the hash order is gone through for what is left of the quotas, and then
+#: single documents that may fill the rest.
+PASSES, FILLS = 3, 2
 
 
 def targets(sizes: Mapping, order: Sequence, weights: Sequence[float] = WEIGHTS, most: float = 3.0) -> dict:
@@ -98,6 +100,32 @@ def route(capacity: Mapping[str, int], members: Mapping[str, Sequence], quota: M
     return {p: sum(arcs[e ^ 1][1] for e in es) for p, es in uses.items()}
 
 
+def _left(chosen: DataFrame) -> DataFrame:
+    """Tokens still wanted per pattern (one row each)."""
+    return chosen.groupBy("pattern", "quota").agg(F.sum(F.col("extra") * F.col("usable")).alias("got")).select("pattern", (F.col("quota") - F.col("got")).alias("left"))
+
+
+def _next_pass(chosen: DataFrame) -> DataFrame:
+    """Takes documents that fit what is left, in hash order, until the next one doesn't.
+
+    Buckets of the hash order are summed first; only the bucket in which a
+    pattern's quota ends is gone through document by document.
+    """
+    bucket = F.shiftrightunsigned(F.col("draw"), 64 - BUCKET_BITS)
+    rows = chosen.join(F.broadcast(_left(chosen)), "pattern").withColumn("bucket", bucket)
+    fits = F.when((F.col("extra") == 0) & (F.col("usable") <= F.col("left")), F.col("usable")).otherwise(0)
+    rows = rows.withColumn("fits", fits)
+    sums = rows.groupBy("pattern", "left", "bucket").agg(F.sum("fits").alias("tokens"))
+    upto = F.sum("tokens").over(W.partitionBy("pattern").orderBy("bucket"))
+    ends = sums.withColumn("upto", upto).where("tokens > 0 and upto > left and upto - tokens <= left").select("pattern", F.col("bucket").alias("last"), (F.col("left") - F.col("upto") + F.col("tokens")).alias("room"))
+    rows = rows.join(F.broadcast(ends), "pattern", "left")
+    running = F.sum("fits").over(W.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    at_end = rows.where("bucket = last").withColumn("take", (F.col("fits") > 0) & (running <= F.col("room")))
+    others = rows.where("last is null or bucket <> last").withColumn("take", (F.col("fits") > 0) & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))))
+    both = at_end.unionByName(others)
+    return both.select("pattern", "doc_id", "size", "draw", "usable", "base", "quota", F.when(F.col("take"), 1).otherwise(F.col("extra")).alias("extra"))
+
+
 def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, costs: Sequence[int] = REPEAT_COSTS, seed: int = 17, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sources, size, copies, taken) per row of docs, and (source, source_size, target).
 
@@ -106,6 +134,7 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
     len(costs) times. A source's tokens are those of all its documents.
 
     * null and empty texts have size 0, are never chosen and take nothing
+    * a document larger than the target of every source it is in takes nothing
     * a null or empty array of sources belongs to no quota: nothing is taken
     * equal hashes fall back on the id; rows that repeat an id are chosen together in order
     * an empty table gives empty results; further columns of docs are ignored
@@ -120,36 +149,28 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
     patterns = sized.groupBy("pattern").agg(F.sum("size").alias("tokens")).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
         raise ValueError(f"over {max_patterns} membership patterns")
-    import json
-
     members = {r["pattern"]: json.loads(r["pattern"]) for r in patterns}
     capacity = {r["pattern"]: int(r["tokens"] or 0) for r in patterns}
     order = sorted({s for m in members.values() for s in m})
     total = {s: sum(n for p, n in capacity.items() if s in members[p]) for s in order}
     target = targets(total, order, weights, float(len(costs)))
+    # A document larger than every quota it could fill takes no part.
+    fit = spark.createDataFrame([(p, int(max((target[s] for s in m), default=0))) for p, m in members.items()], "pattern string, most long")
+    sized = sized.join(F.broadcast(fit), "pattern").withColumn("usable", F.when(F.col("size") <= F.col("most"), F.col("size")).otherwise(0)).drop("most")  # at most max_patterns rows
+    capacity |= {r["pattern"]: int(r["tokens"]) for r in sized.groupBy("pattern").agg(F.sum("usable").alias("tokens")).collect()}
     flow = route(capacity, members, {s: round(t) for s, t in target.items()}, costs)
     plan_rows = [(p, min(len(costs), flow.get(p, 0) // n) if n else 0, flow.get(p, 0) % n if n and flow.get(p, 0) < len(costs) * n else 0) for p, n in capacity.items()]
     plan = F.broadcast(spark.createDataFrame(plan_rows, "pattern string, base int, quota long"))  # at most max_patterns rows
 
-    # The bucket of the hash order in which each pattern's quota ends.
-    bucket = F.shiftrightunsigned(F.col("draw"), 64 - BUCKET_BITS)
-    sums = sized.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("tokens"))
-    upto = F.sum("tokens").over(W.partitionBy("pattern").orderBy("bucket"))
-    ends = sums.withColumn("upto", upto).join(plan, "pattern").where("quota > 0 and upto > quota and upto - tokens <= quota").select("pattern", F.col("bucket").alias("last"), (F.col("quota") - F.col("upto") + F.col("tokens")).alias("room"))
-    marked = sized.join(plan, "pattern").join(F.broadcast(ends), "pattern", "left").withColumn("bucket", bucket)
-    running = F.sum("size").over(W.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    at_end = marked.where("bucket = last").withColumn("extra", (running <= F.col("room")).cast("int"))
-    others = marked.where("last is null or bucket <> last").withColumn("extra", F.when(F.col("quota") > 0, (F.col("bucket") < F.col("last")).cast("int")).otherwise(0))
-    chosen = written(at_end.unionByName(others).select("doc_id", "pattern", "size", "draw", "base", "quota", F.coalesce("extra", F.lit(0)).alias("extra")), "mix-chosen")
-
-    # What is left of a quota goes to the largest document that fits, a few times.
+    chosen = written(sized.join(plan, "pattern").withColumn("extra", F.lit(0)), "mix-chosen")
+    for _ in range(PASSES):
+        chosen = written(_next_pass(chosen), "mix-chosen")
     for _ in range(FILLS):
-        left = chosen.groupBy("pattern", "quota").agg(F.sum(F.col("extra") * F.col("size")).alias("got")).select("pattern", (F.col("quota") - F.col("got")).alias("left"))
-        fits = chosen.join(F.broadcast(left), "pattern").where("extra = 0 and size > 0 and size <= left")
-        fill = fits.groupBy("pattern").agg(F.max(F.struct("size", "draw", "doc_id")).alias("best")).select("pattern", F.col("best.draw").alias("fill_draw"), F.col("best.doc_id").alias("fill_id"))
-        chosen = chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when((F.col("draw") == F.col("fill_draw")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), 1).otherwise(F.col("extra"))).drop("fill_draw", "fill_id")
-        chosen = written(chosen, "mix-filled")
-    copies = F.when(F.col("size") > 0, F.col("base") + F.col("extra")).otherwise(0)
+        fits = chosen.join(F.broadcast(_left(chosen)), "pattern").where("extra = 0 and usable > 0 and usable <= left")
+        fill = fits.groupBy("pattern").agg(F.max(F.struct("usable", "draw", "doc_id")).alias("best")).select("pattern", F.col("best.draw").alias("fill_draw"), F.col("best.doc_id").alias("fill_id"))
+        hit = (F.col("draw") == F.col("fill_draw")) & F.col("doc_id").eqNullSafe(F.col("fill_id"))
+        chosen = written(chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when(hit, 1).otherwise(F.col("extra"))).drop("fill_draw", "fill_id"), "mix-chosen")
+    copies = F.when(F.col("usable") > 0, F.col("base") + F.col("extra")).otherwise(0)
     names = F.transform(F.from_json("pattern", "array<string>"), lambda s: F.when(s != "1", F.substring(s, 2, 1 << 30)))
     taken = chosen.select("doc_id", names.alias("sources"), "size", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
     goals = spark.createDataFrame([(None if s == "1" else s[1:], total[s], float(target[s])) for s in order], "source string, source_size long, target double")

@@ -1,0 +1,308 @@
+"""Operators 1, 4, 5, 7, 8, 9 and 10 against brute force on the awkward table."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from messy import empty, fold, frame, rows, texts, words
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lexiforge.llm import bpe, exact_dedup, language_id, secret_scan, shard_tree, source_mix, telephony
+from lexiforge.llm.words import text_buffers
+
+ROWS = rows()
+TEXTS = {r[0]: r[1] or "" for r in ROWS}
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+sha = lambda b: hashlib.sha256(b).hexdigest()
+
+
+def by_id(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], r)
+    assert df.count() == len(ROWS)
+    return out
+
+
+# -- 1: languages
+
+
+def test_language_on_held_out(spark):
+    got = by_id(language_id.identify_languages(frame(spark)))
+    truth = {r[0]: r[2] for r in ROWS if r[0] < 60}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all(got[i]["held_out"] for i in held)
+    long_enough = [i for i in held if len(TEXTS[i]) > 60]
+    assert np.mean([got[i]["lang_pred"] == truth[i] for i in long_enough]) >= 0.9
+    for i in (100, 101, 102, 103):
+        assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in got.values()} <= {"en", "de", "fr", "und"}
+
+
+def test_language_without_labels(spark):
+    df = frame(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.identify_languages(df).collect()} == {"und"}
+    assert language_id.identify_languages(empty(spark)).count() == 0
+
+
+def test_keep_languages_keeps_columns(spark):
+    df = frame(spark)
+    kept = language_id.keep_languages(df)
+    assert kept.schema == df.schema
+    lettered = [r for r in ROWS if re.search(r"[^\W\d_]", r[1] or "")]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in lettered)
+
+
+def test_phrases_are_longest_matches():
+    parser = language_id.CrossParser({"a": b"abcabcabd", "b": b"xyz"})
+    text = b"abcabdxyz"
+    count = 0
+    at = 0
+    while at < len(text):  # greedy: the longest prefix that the training text holds
+        size = max((k for k in range(1, len(text) - at + 1) if text[at : at + k] in b"abcabcabd"), default=1)
+        count, at = count + 1, at + size
+    data = np.frombuffer(text, np.uint8)
+    got = parser.phrases(data, np.array([0, len(text)]))
+    assert got[0][0] == pytest.approx(count, abs=1)
+
+
+def test_automaton_holds_all_substrings():
+    r = random.Random(1)
+    data = [r.randrange(3) for _ in range(60)]
+    table = language_id.suffix_automaton(data, 3)
+
+    def holds(part):
+        s = 0
+        for c in part:
+            s = table[s, c]
+            if s < 0:
+                return False
+        return True
+
+    subs = {tuple(data[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 7) + 1)}
+    assert all(map(holds, subs))
+    assert all(holds(p) == (p in subs) for p in (tuple(r.randrange(3) for _ in range(6)) for _ in range(300)))
+
+
+# -- 4: mixing
+
+
+def test_mix_reaches_targets(spark):
+    taken, goals = source_mix.mix_sources(frame(spark), F.array("source"))
+    got, goal = taken.collect(), {r["source"]: r for r in goals.collect()}
+    assert len(got) == len(ROWS)
+    assert all(r["size"] == len(words(TEXTS[r["doc_id"]])) for r in got)
+    assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in got)
+    total = sum(r["size"] for r in got)
+    assert sum(g["target"] for g in goal.values()) == pytest.approx(total)
+    for name, g in goal.items():
+        have = sum(r["taken"] for r in got if r["sources"][0] == name)
+        assert abs(have - g["target"]) <= max(10, 0.02 * g["target"])
+    again, _ = source_mix.mix_sources(frame(spark), F.array("source"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
+def test_mix_empty_and_refusal(spark):
+    taken, goals = source_mix.mix_sources(empty(spark), F.array("source"))
+    assert taken.count() == goals.count() == 0
+    with pytest.raises(ValueError):
+        source_mix.mix_sources(frame(spark), F.array("source"), max_patterns=2)
+
+
+def test_targets_reshare():
+    assert source_mix.targets({"a": 10, "b": 100, "c": 100}, ["a", "b", "c"]) == pytest.approx({"a": 30, "b": 120, "c": 60})
+    assert source_mix.targets({"a": 0, "b": 7}, ["a", "b"]) == pytest.approx({"a": 0, "b": 7})
+
+
+def test_flow_prefers_fresh_text_and_shares_overlaps():
+    flow = source_mix.route({"ab": 10, "a": 10, "b": 0}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 10, "b": 10})
+    assert flow["a"] == 10 and flow["ab"] == 10  # all first uses
+    assert source_mix.route({"a": 10}, {"a": ["a"]}, {"a": 100}) == {"a": 30}
+
+
+# -- 5: audio
+
+
+def test_audio_round_trip(spark):
+    stored = telephony.store_audio(frame(spark))
+    files = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    got = by_id(telephony.read_audio(stored))
+    for i, r in got.items():
+        raw = TEXTS[i].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert telephony.read_wav(files[i])[2] == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(files[i]), sha(files[i]))
+    assert len({got[i]["feature"] for i in got if TEXTS[i] == ""}) == 1
+    assert telephony.read_audio(telephony.store_audio(empty(spark))).count() == 0
+
+
+def slow_ima(block):
+    value, index = struct.unpack("<hB", block[:3])
+    index, out = min(index, 88), [value]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = int(telephony.IMA_STEP[index])
+            change = step >> 3
+            change += step * (nibble >> 2 & 1) + (step >> 1) * (nibble >> 1 & 1) + (step >> 2) * (nibble & 1)
+            value = max(-32768, min(32767, value + (-change if nibble & 8 else change)))
+            index = max(0, min(88, index + (-1 if nibble & 7 < 4 else ((nibble & 7) - 3) * 2)))
+            out.append(value)
+    return out
+
+
+def test_decoders():
+    r = np.random.default_rng(3)
+    blocks = r.integers(0, 256, (5, 576)).astype(np.uint8)
+    assert [slow_ima(b.tobytes()) for b in blocks] == telephony.decode_ima(blocks).tolist()
+    assert telephony.MULAW[0xFF] == 0 and telephony.MULAW[0x00] == -32124 and telephony.MULAW[0x80] == 32124
+    assert telephony.ALAW[0xD5] == 8 and telephony.ALAW[0x2A] == -32256 and telephony.ALAW[0xAA] == 32256
+    assert telephony.resample(np.array([0, 10, 20], np.int16), 2, 1).tolist() == [0, 5, 10, 15, 20, 20]
+    with pytest.raises(ValueError):
+        telephony.read_wav(b"nothing")
+
+
+# -- 7: secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+KINDS = (("assign", ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16))
+
+
+def base_spans(text):
+    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, rx, good) in enumerate(KINDS) for m in rx.finditer(text) if good(m)]
+    return [x[2] for x in sorted(found)]
+
+
+def test_secrets_in_table(spark):
+    got = by_id(secret_scan.scan_secrets(frame(spark)))
+    for i, r in got.items():
+        want = base_spans(TEXTS[i])
+        assert r["base_sha256"] == sha(",".join(want).encode())
+        assert r["n_assign"] + r["n_access"] + r["n_hex"] == len(want)
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want
+    assert got[112]["n_assign"] == got[112]["n_access"] == got[112]["n_hex"] == 1
+    assert secret_scan.scan_secrets(empty(spark)).count() == 0
+
+
+def test_secrets_on_random_text():
+    r = random.Random(11)
+    parts = ["password", "Token", "secret", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abc", "AKIA", "AKIA0AKIA", "0123456789abcdef", "DEADBEEF", "==", "é", "\n", ",", "zz" * 7, "x" * 12, "ghp_" + "a1" * 12, "-----BEGIN RSA PRIVATE KEY-----"]
+    docs = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    scanner = secret_scan.Scanner(secret_scan.BASE_RULES + secret_scan.ADDED_RULES)
+    data, offsets = text_buffers(pa.array(docs))
+    spans = scanner.spans(data, offsets)
+    for d, text in enumerate(docs):
+        at = lambda b: len(text.encode()[: b - offsets[d]].decode())  # noqa: B023, E731
+        got = [f"{KINDS[k][0]}:{at(s)}:{at(e)}" for s, k, e in sorted(spans.get(d, [])) if k < 3]
+        assert got == base_spans(text), text
+    kinds = {k for found in spans.values() for _, k, _ in found}
+    assert {3, 4} <= kinds
+
+
+@pytest.mark.parametrize("pattern", ["a(b|c)*d", "[a-c]{2,4}x?", "(?i:ab)+c", "a{3}|b+", r"\x61\.b"])
+def test_automaton_equals_re(pattern):
+    own = secret_scan.Automaton([pattern], search=False)
+    own._rows()
+    rx, r = re.compile(pattern.encode()), random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("abcdABCx.") for _ in range(8)).encode()
+        ends = [e for e in range(len(text) + 1) if rx.fullmatch(text, 0, e) and e]
+        assert own.longest(text, 0, len(text)) == max(ends, default=-1)
+
+
+# -- 8: exact copies
+
+
+def want_copies():
+    groups = {}
+    for r in ROWS:
+        groups.setdefault(fold(r[1] or ""), []).append(r[0])
+    return sorted((i, max(g), len(g), i == max(g), sha(t.encode())) for t, g in groups.items() for i in g)
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)], ids=["sha256", "colliding"])
+def test_exact_copies(spark, digest):
+    got = exact_dedup.exact_dedup(frame(spark), digest=digest)
+    assert sorted(map(tuple, got.distinct().collect())) == sorted(set(want_copies()))
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+
+
+def test_exact_copies_per_row_and_null_ids(spark):
+    assert sorted(map(tuple, exact_dedup.exact_dedup(frame(spark)).collect())) == want_copies()
+    df = spark.createDataFrame([(None, "a"), (1, "A"), (None, "b")], "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.exact_dedup(df).select("keep_id", "group_size", "kept").collect()), key=str)
+    assert got == [(1, 2, False), (1, 2, True), (None, 1, True)]
+
+
+# -- 9: BPE
+
+
+def test_bpe_equals_the_library(spark):
+    library = Tokenizer.from_file(VOCABULARY)
+    got = by_id(bpe.encode_decode(frame(spark), VOCABULARY, keep=True))
+    for i, r in got.items():
+        ids = library.encode(TEXTS[i], add_special_tokens=False).ids
+        assert list(r["ids"]) == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == sha(np.array(ids, "<u4").tobytes())
+        assert r["decoded"] == TEXTS[i] == library.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_decode(empty(spark), VOCABULARY).count() == 0
+
+
+def test_merges_equal_a_plain_loop():
+    coder, r = bpe.ByteBpe(VOCABULARY), random.Random(4)
+    for _ in range(200):
+        symbols = [coder.byte_ids[r.choice(b"aehtions ")] for _ in range(r.randint(0, 40))]
+        want = list(symbols)
+        while True:
+            ranked = [(coder.pairs[a << 20 | b], i) for i, (a, b) in enumerate(zip(want, want[1:])) if a << 20 | b in coder.pairs]
+            if not ranked:
+                break
+            (_, merged), i = min(ranked)
+            want[i : i + 2] = [merged]
+        assert coder.merge(list(symbols)) == want
+
+
+# -- 10: shards
+
+
+def test_shards(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("tä"), F.col("id")).alias("text"), F.lit(1).alias("shard"), F.lit(2).alias("slot"))
+    got = shard_tree.shard_documents(df).collect()
+    assert {r["shard"] for r in got} == set(range(24))
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in got) and any(r["grown_shard"] == 24 for r in got)
+    assert all(r["size"] == len(f"tä{r['doc_id']}".encode()) + 8 and r["text_crc32"] == zlib.crc32(f"tä{r['doc_id']}".encode()) for r in got)
+    sizes = [sum(r["shard"] == s for r in got) for s in range(24)]
+    assert 0.6 * 125 < min(sizes) and max(sizes) < 1.5 * 125
+
+
+def test_shard_weights_move_only_their_subtree(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"))
+    key = F.col("doc_id")
+    before = shard_tree.shard_tree(24)
+    after = shard_tree.shard_tree(24, {9: 3.0})
+    moved = df.select(shard_tree.shard_of(key, before).alias("a"), shard_tree.shard_of(key, after).alias("b")).where("a <> b").collect()
+    assert moved and all(8 <= r["b"] < 16 for r in moved)  # into the region of shard 9 only
+    gone = df.select(shard_tree.shard_of(key, shard_tree.shard_tree(24, {3: 0.0})).alias("s")).where("s = 3")
+    assert gone.count() == 0
+
+
+def test_shards_awkward(spark):
+    got = shard_tree.shard_documents(frame(spark)).collect()
+    assert len(got) == len(ROWS) and len({(r["shard"], r["slot"]) for r in got}) == len(ROWS)
+    null = next(r for r in got if r["doc_id"] == 100)
+    assert (null["size"], null["text_crc32"]) == (8, 0)
+    assert shard_tree.shard_documents(empty(spark)).count() == 0
+
+
+def test_texts_fixture_is_fixed():
+    assert texts() == texts()
