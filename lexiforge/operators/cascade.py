@@ -72,9 +72,9 @@ def pending(inputs: DataFrame, done: DataFrame, key: str, retry_errors: bool = T
     return inputs.join(finished.select(key), key, "left_anti")
 
 
-def broken_at(results: DataFrame, order: Sequence[str], limit: int = 10) -> DataFrame:
-    """Where runs of `limit` failures or more begin: first, last, length."""
-    return runs_of(results.withColumn("_all", F.lit(1)), ["_all"], order, F.col("error").isNotNull()).where(F.col("length") >= limit).drop("_all")
+def broken_at(results: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = 10) -> DataFrame:
+    """Where runs of `limit` failures or more begin within keys (a worker, a batch): first, last, length."""
+    return runs_of(results, keys, order, F.col("error").isNotNull()).where(F.col("length") >= limit)
 
 
 def run_batches(inputs: Iterator[DataFrame], work: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], limit: int = 10) -> int:

@@ -60,10 +60,9 @@ def oversample(df: DataFrame, rare: Column, factor: int) -> DataFrame:
 def balanced_negatives(df: DataFrame, positive: Column, cap_keys: Sequence[str], order: Sequence, cap: int) -> DataFrame:
     """All positives, and at most as many negatives, capped per key."""
     marked = df.withColumn("_positive", positive)
-    negatives = top_k(marked.where(~F.col("_positive")), cap_keys, order, cap, "_cap")
-    count = marked.agg(F.sum(F.col("_positive").cast("int")).alias("_n"))
-    wanted = ranked(negatives.withColumn("_one", F.lit(1)), ["_one"], order, "_rank").join(F.broadcast(count)).where("_rank <= _n")  # one row
-    return marked.where("_positive").drop("_positive").unionByName(wanted.select(*df.columns))
+    positives = marked.where("_positive").drop("_positive")
+    negatives = top_k(marked.where(~F.col("_positive")), cap_keys, order, cap, "_cap").select(*df.columns)
+    return positives.unionByName(negatives.orderBy(*order).limit(positives.count()))
 
 
 def mode_union(df: DataFrame, modes: Sequence[tuple[str, Sequence]], n: int) -> DataFrame:

@@ -75,3 +75,15 @@ def nearest_exemplar(df: DataFrame, id_col: str, vector: str, exemplars: DataFra
     scored = similarities(df, id_col, vector, collected(exemplars, id_col, vector), "exemplar")
     rounded = scored.where(F.col(id_col) != F.col("exemplar")).withColumn("score", F.round("score", 6))
     return first_of(rounded, [id_col], [F.desc("score"), F.asc("exemplar")])
+
+
+def hybrid(scored: DataFrame, id_col: str, anchored: DataFrame, margin: float, quota: int) -> DataFrame:
+    """Per label up to quota rows: anchored ones that pass the margin, then others that pass, then the deferred rest.
+
+    scored has id, label, gap; each row stands for its best label only. anchored
+    has the ids with a literal hit.
+    """
+    best = first_of(scored, [id_col], [F.desc("gap"), F.asc("label")])
+    known = best.join(anchored.select(id_col, F.lit(True).alias("anchored")).distinct(), id_col, "left")
+    tier = F.when((F.col("gap") >= margin) & F.col("anchored"), 0).when(F.col("gap") >= margin, 1).otherwise(2)
+    return top_k(known.withColumn("tier", tier), ["label"], [F.asc("tier"), F.desc("gap"), F.asc(id_col)], quota)

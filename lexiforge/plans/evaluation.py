@@ -371,6 +371,16 @@ def retrieve_margin(t):
     return V.retrieve(scored, "vec_id", 0, 0.2, 8).select(F.col("label").cast("int").alias("label"), "vec_id")
 
 
+@BOOK.query("hybrid_candidates", f"""WITH {_VEC}, q AS (SELECT vec_id AS label, v FROM u WHERE vec_id IN (0, 100, 200, 300)), s AS (SELECT u.vec_id, q.label, round(list_dot_product(u.v, q.v), 5) AS gap FROM u, q),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, label) AS r FROM s) WHERE r = 1), t AS (SELECT vec_id, label, CASE WHEN gap >= 0.1 AND vec_id % 3 = 0 THEN 0 WHEN gap >= 0.1 THEN 1 ELSE 2 END AS tier, gap FROM b)
+SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15""")
+def hybrid_candidates(t):
+    """Anchored rows first, then semantic ones, then those deferred by the margin."""
+    queries = V.collected(t.embeddings.where("vec_id in (0, 100, 200, 300)"), "vec_id", "embedding")
+    scored = V.similarities(t.embeddings, "vec_id", "embedding", queries).withColumn("gap", F.round("score", 5))
+    return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
+
+
 @BOOK.query("mean_pool", "SELECT label, count(*) AS n, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) WHERE i % 2 = 0 GROUP BY 1")
 def mean_pool(t):
     flat = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).where("i % 2 = 0")

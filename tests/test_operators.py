@@ -141,8 +141,8 @@ def test_cascade_and_breaker(spark):
     out = C.cascade(rows, "text", F.length("text") > 5, C.stub(["NONE", "xa"]), lambda df, name: df.cache())
     counts = {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()}
     assert sum(counts.values()) == 39 and counts["sieved"] == 5 and counts["metaphor"] > 0
-    results = spark.createDataFrame([(i, "e" if 3 <= i < 13 or i in (20, 21) else None) for i in range(30)], "i int, error string")
-    assert [(r["first"], r["length"]) for r in C.broken_at(results, ["i"]).collect()] == [(4, 10)]
+    results = spark.createDataFrame([(i, "e" if 3 <= i < 13 or i in (20, 21) else None) for i in range(30)], "i int, error string").withColumn("worker", F.lit(1))
+    assert [(r["first"], r["length"]) for r in C.broken_at(results, ["worker"], ["i"]).collect()] == [(4, 10)]
 
 
 def test_batches_held_and_flushed(spark):
