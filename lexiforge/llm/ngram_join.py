@@ -29,7 +29,9 @@ BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
 #: N-gram columns multiplied at once.
 BLOCK_COLUMNS = 4096
 #: Documents of a block where counts are compared, and rows of a pack of small groups.
-SKETCH_DOCS, SKETCH_ROWS = 512, 30_000
+SKETCH_DOCS, SKETCH_ROWS = 512, 6_000
+#: Ids of documents with an equal set before them that are broadcast at most.
+MOST_IDS = 500_000
 #: Pairs compared at once.
 PAIRS = 100_000
 
@@ -292,6 +294,19 @@ def _multiply(size: int, percent: int):
     return multiply
 
 
+def _first_of_classes(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with signatures of the documents that stand for their class.
+
+    Few others are left out by a broadcast of their ids, once counted; beyond
+    MOST_IDS the rows are joined with the ids that stay.
+    """
+    rows = signed.where(F.size("sigs") > 0)
+    others = found.where((F.col("doc_id") != F.col("rep")) & (F.col("n") > 0)).select("doc_id").distinct()
+    if others.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        return rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(others), "doc_id", "left_anti")
+    return rows.join(found.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs.
 
@@ -310,16 +325,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     found = written(signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-classes")
 
-    reps = found.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
-    signed_reps = signed.where(F.size("sigs") > 0).join(reps, "doc_id", "left_semi")
-    buckets = written(signed_reps.select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig")), "jaccard-buckets")
+    counts = written(_first_of_classes(signed, found).select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node"]), "jaccard-counts")
+    buckets = written(_first_of_classes(signed, found).select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig")), "jaccard-buckets")
+    drop_written(signed)
     shared = written(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "jaccard-shared")
     meets = written(buckets.join(shared, "sig").select(F.col("sig").alias("group"), "node", F.lit(1).alias("weight")), "jaccard-meets")
     drop_written(buckets)
-    counts = signed.select(F.col("doc_id").alias("node"), "n", "sketch").join(meets.select("node").distinct(), "node").dropDuplicates(["node"])
     near = dealt(meets, SKETCH_DOCS, SKETCH_ROWS).join(counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(percent), "a long, b long")
     clusters = written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
-    drop_written(signed)
 
     sizes = found.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("node"), F.col("n").alias("weight")).distinct()
     texts = rows.join(clusters.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
