@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-#: Pieces whose ids a Python worker remembers.
-CACHE_PIECES = 600_000
+#: Pieces whose ids a Python worker remembers, for one vocabulary at a time.
+CACHE_PIECES = 300_000
 #: Fixed value: the pattern that parts text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = 1 << 62
@@ -37,18 +37,29 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Ids of pieces, computed on first use; forgotten when there are too many."""
+    """Ids of pieces, computed on first use; forgotten when there are too many.
 
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
+    A worker has one: coders of the same vocabulary share it, another
+    vocabulary's coder empties it.
+    """
+
+    encode, owner = None, None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= CACHE_PIECES:
             self.clear()
         self[piece] = out = self.encode(piece)
         return out
 
+    def lent_to(self, coder: ByteBpe) -> _Remembered:
+        if self.owner != coder.vocabulary:
+            self.clear()
+            self.encode, self.owner = coder._piece, coder.vocabulary
+        return self
+
+
+_remembered = _Remembered()
+
 
 class ByteBpe:
     """Encoder and decoder of one vocabulary file (tokenizers' JSON format)."""
@@ -58,6 +69,7 @@ class ByteBpe:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.vocabulary = hashlib.sha256(json.dumps(spec["model"]).encode()).hexdigest()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letter = byte_letters()
         byte_of = {c: b for b, c in letter.items()}
@@ -78,10 +90,13 @@ class ByteBpe:
     def _prepare(self) -> None:
         self.pattern = regex.compile(PIECES)
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.ids = _Remembered(self._piece, CACHE_PIECES)
+
+    @property
+    def ids(self) -> _Remembered:
+        return _remembered.lent_to(self)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "split", "ids")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "split")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -136,14 +151,15 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit numbers."""
+        ids = self.ids
         if self.split is None or not any(t in text for t in self.special):
-            return b"".join(map(self.ids.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(ids.__getitem__, self.pattern.findall(text)))
         parts = []
         for part in self.split.split(text):
             if part in self.special:
                 parts.append(self.special[part].to_bytes(4, "little"))
             else:
-                parts.extend(map(self.ids.__getitem__, self.pattern.findall(part)))
+                parts.extend(map(ids.__getitem__, self.pattern.findall(part)))
         return b"".join(parts)
 
     def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:

@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -192,19 +193,22 @@ def keep_languages(docs: DataFrame, wanted=None, folds: int = 5, held_fold: int
     """The rows of documents whose predicted language is wanted (None: any but `und`), all columns as they are.
 
     Predicts like identify_languages(), whose cases hold here too; nothing is
-    shuffled. docs needs doc_id, text and lang.
+    shuffled. Where nothing is labelled, every text with a letter stays. docs
+    needs doc_id, text and lang.
     """
     held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == held_fold, F.lit(True))
     parser = CrossParser(labelled_sample(docs.where(~held).select("doc_id", "text", "lang")))
     kept = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by ALL_SYMBOLS
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    place = docs.columns.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, limit=8 << 20):
+            texts = pc.utf8_lower(pc.struct_field(whole.column("row"), [place])).fill_null("")
+            for batch in slices(pa.RecordBatch.from_arrays([whole.column("row"), whole.column("lettered"), texts], names=["row", "lettered", "text"]), limit=4 << 20):
                 names, _ = judge(kept.value, batch)
-                good = [n != UNKNOWN if wanted is None else n in wanted for n in names]
-                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(good, pa.bool_()))], names=["row"])
+                good = batch.column("lettered") if not kept.value.languages else pa.array([n != UNKNOWN if wanted is None else n in wanted for n in names], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(good)], names=["row"])
 
     return whole.mapInArrow(choose, StructType([StructField("row", whole.schema["row"].dataType)])).select("row.*")
 

@@ -151,7 +151,7 @@ def score_documents(docs: DataFrame, model_path: str, folds: int = 7, held_fold:
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(count > 0), pa.array(np.log10(count + 1.0) - below), score], names=["word", "known", "base", "score"])
 
     weighed = written(vocabulary.mapInArrow(weigh, "word string, known boolean, base double, score double"), "weighed")
-    back = own.select("slice", "word", "local").join(weighed, "word").select(F.col("slice").alias("part"), "local", "known", "base", "score")
+    back = written(own.select("slice", "word", "local").join(weighed, "word").select(F.col("slice").alias("part"), "local", "known", "base", "score"), "back")
     end_base = math.log10(ends + 1) - below
 
     def gather(texts: pa.Table, words: pa.Table) -> pa.Table:
