@@ -22,6 +22,8 @@ from .words import slices
 
 #: Pieces whose ids a Python worker remembers, for one vocabulary at a time.
 CACHE_PIECES = 300_000
+#: Bytes of text coded at once.
+SLICE = 512 << 10
 #: Fixed value: the pattern that parts text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = 1 << 62
@@ -191,7 +193,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 coded = [bpe.encode(t) for t in batch.column("text").to_pylist()]
                 counts = np.array([len(c) // 4 for c in coded], np.int64)
                 ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)

@@ -33,6 +33,8 @@ MAX_LANGUAGES = 100
 UNKNOWN = "und"
 #: A text is parsed in pieces of this many bytes, side by side.
 PIECE = 1024
+#: Bytes of text parsed at once.
+SLICE = 1 << 20
 
 
 def suffix_automaton(symbols: Sequence[int], n_symbols: int) -> np.ndarray:
@@ -182,7 +184,7 @@ def predict(docs: DataFrame, parser: CrossParser) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, limit=8 << 20):
+            for batch in slices(whole, limit=SLICE):
                 names, score = judge(kept.value, batch)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -204,9 +206,10 @@ def keep_languages(docs: DataFrame, wanted=None, folds: int = 5, held_fold: int
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            texts = pc.utf8_lower(pc.struct_field(whole.column("row"), [place])).fill_null("")
-            for batch in slices(pa.RecordBatch.from_arrays([whole.column("row"), whole.column("lettered"), texts], names=["row", "lettered", "text"]), limit=4 << 20):
-                names, _ = judge(kept.value, batch)
+            named = pa.RecordBatch.from_arrays([*whole.columns, pc.struct_field(whole.column("row"), [place])], names=["row", "lettered", "text"])
+            for batch in slices(named, limit=SLICE):
+                low = pc.utf8_lower(batch.column("text")).fill_null("")
+                names, _ = judge(kept.value, batch.set_column(2, "text", low))
                 good = batch.column("lettered") if not kept.value.languages else pa.array([n != UNKNOWN if wanted is None else n in wanted for n in names], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(good)], names=["row"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 from .graph import components
-from .words import Words, _mix, shingle_sets, slices, text_buffers
+from .words import Words, _mix, shingle_sets, sliced_shingle_sets, slices, text_buffers
 
 U = np.uint64
 #: Shingles and documents of a block: what one side of a product holds.
@@ -32,8 +32,10 @@ BLOCK_COLUMNS = 4096
 SKETCH_DOCS, SKETCH_ROWS = 512, 6_000
 #: Ids of documents with an equal set before them that are broadcast at most.
 MOST_IDS = 500_000
-#: Pairs compared at once.
-PAIRS = 100_000
+#: Pairs listed at once, and bytes of counts compared at once.
+PAIRS, COUNT_BYTES = 100_000, 2 << 20
+#: Bytes of text hashed at once.
+HASH_BYTES = 512 << 10
 
 
 class SizeClasses:
@@ -133,7 +135,7 @@ def _signatures(size: int, percent: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=HASH_BYTES):
                 values, bounds = shingle_sets(Words(*text_buffers(batch.column("text")), fold=True), size)
                 count = np.diff(bounds)
                 doc_of = np.repeat(np.arange(len(count)), count)
@@ -160,9 +162,11 @@ def _near_counts(size: np.ndarray, counts: dict, a: np.ndarray, b: np.ndarray, p
     near = np.zeros(len(keep), bool)
     for w, rows in counts.items():
         these = np.flatnonzero(width == w)
-        if len(these):
-            x, y = rows[a[these]], rows[b[these]]
-            near[these] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= most[these]
+        step = COUNT_BYTES // w
+        for at in range(0, len(these), step):
+            part = these[at : at + step]
+            x, y = rows[a[part]], rows[b[part]]
+            near[part] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= most[part]
     return keep[near]
 
 
@@ -283,7 +287,7 @@ def block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right:
 
 def _multiply(size: int, percent: int):
     def multiply(group: pa.Table) -> pa.Table:
-        values, bounds = shingle_sets(Words(*text_buffers(group.column("text")), fold=True), size)
+        values, bounds = sliced_shingle_sets(group.column("text"), size, HASH_BYTES)
         side = group.column("side").to_numpy()
         ids = group.column("node").to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)

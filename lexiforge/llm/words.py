@@ -133,6 +133,14 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(doc, np.arange(len(many) + 1))
 
 
+def sliced_shingle_sets(texts: pa.ChunkedArray, size: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of a column, with limit bytes of text hashed at once; A-Z lower-cased."""
+    batch = pa.RecordBatch.from_arrays([texts.combine_chunks()], names=["text"])
+    parts = [shingle_sets(Words(*text_buffers(part.column("text")), fold=True), size) for part in slices(batch, limit=limit)]
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, bounds in parts)])
+    return np.concatenate([np.zeros(0, U), *(values for values, _ in parts)]), np.concatenate([[0], np.cumsum(counts)])
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column without copying; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -155,3 +163,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
