@@ -76,6 +76,62 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP2_SQL = r"""
+WITH listed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM listed
+), windows AS (
+  SELECT doc_id, pos, word,
+         string_agg(word, ' ') OVER next20 AS run, count(*) OVER next20 AS n
+  FROM placed
+  WINDOW next20 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT doc_id, pos, word,
+         n = 20 AND row_number() OVER (PARTITION BY run, n ORDER BY doc_id, pos) > 1 AS later
+  FROM windows
+), covered AS (
+  SELECT doc_id, pos, word,
+         bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n FROM listed
+), runs AS (
+  SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS shingle FROM placed
+), members AS (
+  SELECT DISTINCT doc_id, shingle FROM runs WHERE pos = 1 OR pos <= n - 2
+), sizes AS (
+  SELECT doc_id, count(*) AS n_shingles FROM members GROUP BY doc_id
+), sized AS (
+  SELECT doc_id, shingle, n_shingles FROM members JOIN sizes USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM sized a JOIN sized b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+   AND 100 * a.n_shingles >= 90 * b.n_shingles AND 100 * b.n_shingles >= 90 * a.n_shingles
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 90 * (any_value(a.n_shingles) + any_value(b.n_shingles) - count(*))
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x
+)
+SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON d.doc_id = c.doc_id
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(content) AS text_sha256
@@ -102,4 +158,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op8_exact_dedup": OP8_SQL}
