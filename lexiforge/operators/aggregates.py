@@ -24,6 +24,24 @@ def cooccurrence(docs: DataFrame, doc: str, words: str, targets: Sequence[str],
     return hits.select(doc, "target", F.explode(F.array_distinct(F.filter(near, lambda w: w != F.col("target")))).alias("collocate"))
 
 
+def cooccurrence_all(docs: DataFrame, doc: str, words: str, targets: Sequence[str], radius: int, piece: int = 1000) -> DataFrame:
+    """(target, collocate, doc) once each: words within radius of any use of a target in a document.
+
+    Words are taken in pieces that overlap by the radius, so no row holds more
+    than one piece of a long document.
+    """
+    start = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), F.lit(piece))
+    cut = lambda s: F.struct(s.alias("at"), F.slice(words, F.greatest(F.lit(1), s - radius), F.lit(piece + radius) + F.least(s - 1, F.lit(radius))).alias("w"))
+    pieces = docs.where(F.size(words) > 0).select(doc, F.explode(F.transform(start, cut)).alias("p"))
+    first = F.least(F.col("p.at") - 1, F.lit(radius))  # words of the piece before
+    own = F.slice("p.w", (first + 1).cast("int"), F.lit(piece))
+    hits = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("target"), (first + i).alias("i"))), lambda h: h["target"].isin(*targets))
+    steps = F.array(*(F.lit(o) for o in range(-radius, radius + 1) if o))
+    beside = lambda h: F.transform(steps, lambda o: F.struct(h["target"].alias("target"), F.when(h["i"] + o >= 0, F.get(F.col("p.w"), h["i"] + o)).alias("collocate")))
+    found = pieces.select(doc, F.explode(F.flatten(F.transform(hits, beside))).alias("x")).select(doc, "x.target", "x.collocate")
+    return found.where(F.col("collocate") != F.col("target")).distinct()
+
+
 def pmi(pairs: DataFrame, rows: DataFrame, doc: str, smoothing: float = 0.5, least: int = 2) -> DataFrame:
     """Smoothed log2 association of pairs (target, collocate), counted over rows (doc, target)."""
     joint = pairs.groupBy("target", "collocate").agg(F.count(F.lit(1)).alias("n_pair"))

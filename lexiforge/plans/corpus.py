@@ -48,46 +48,65 @@ scored AS (SELECT target, collocate, n_pair, n_target, n_collocate, n_rows,
   JOIN (SELECT collocate, count(*) AS n_collocate FROM pairs GROUP BY 1) USING (collocate), (SELECT count(*) AS n_rows FROM hit))
 """
 
+#: The same over every use of a target.
+_PAIRS_ALL = f"""
+tok AS ({_TOKENS}),
+hit AS (SELECT doc_id, w, target FROM (SELECT doc_id, w, unnest([{_LIST}]) AS target FROM tok) WHERE list_contains(w, target)),
+use AS (SELECT doc_id, w, target, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = target)) AS p FROM hit),
+pairs AS (SELECT DISTINCT doc_id, target, collocate FROM (
+  SELECT doc_id, target, unnest(list_concat(w[greatest(1, p - {RADIUS}):p - 1], w[p + 1:p + {RADIUS}])) AS collocate FROM use) WHERE collocate <> target),
+""" + _PAIRS[_PAIRS.index("joint AS"):]
 
-def _pmi(t):
+
+def _pmi(t, cooccurrence=A.cooccurrence):
     words = _words(t)
-    pairs = A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS)
+    pairs = cooccurrence(words, "doc_id", "w", TARGETS, RADIUS)
     rows = words.select("doc_id", F.explode(F.array_intersect(F.array(*map(F.lit, TARGETS)), "w")).alias("target"))
     return A.pmi(pairs, rows, "doc_id").select("target", "collocate", "n_pair", "n_target", "n_collocate", "n_rows", "pmi")
 
 
 @BOOK.query("cooc_pmi", f"WITH {_PAIRS} SELECT * FROM scored")
-def cooc_pmi(t):
-    return _pmi(t)
+def cooc_pmi(t, cooccurrence=A.cooccurrence):
+    return _pmi(t, cooccurrence)
 
 
 @BOOK.query("cooc_topk", f"WITH {_PAIRS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY pmi DESC, n_pair DESC, collocate) AS INTEGER) AS rank FROM scored) WHERE rank <= 20")
-def cooc_topk(t):
-    return A.top_collocates(_pmi(t), 20)
+def cooc_topk(t, cooccurrence=A.cooccurrence):
+    return A.top_collocates(_pmi(t, cooccurrence), 20)
 
 
 @BOOK.query("log_dice", f"WITH {_PAIRS} SELECT target, collocate, n_pair, round(14 + log2(2.0::DOUBLE * n_pair / (n_target + n_collocate)), 6) AS log_dice FROM scored")
-def log_dice(t):
-    return _pmi(t).select("target", "collocate", "n_pair", A.log_dice(F.col("n_pair"), F.col("n_target"), F.col("n_collocate")).alias("log_dice"))
+def log_dice(t, cooccurrence=A.cooccurrence):
+    return _pmi(t, cooccurrence).select("target", "collocate", "n_pair", A.log_dice(F.col("n_pair"), F.col("n_target"), F.col("n_collocate")).alias("log_dice"))
 
 
 @BOOK.query("collocates_by_class", f"WITH {_PAIRS} SELECT target, collocate, lang, count(*) AS n FROM pairs JOIN documents USING (doc_id) GROUP BY ALL HAVING count(*) >= 3")
-def collocates_by_class(t):
+def collocates_by_class(t, cooccurrence=A.cooccurrence):
     words = _words(t)
-    pairs = A.cooccurrence(words.select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
+    pairs = cooccurrence(words.select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
     return pairs.groupBy("target", "collocate", "lang").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @BOOK.query("collocates_compare", f"""WITH {_PAIRS}, side AS (SELECT target, collocate, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang <> 'en') AS b FROM pairs JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT target, collocate, a AS n_left, b AS n_right, a - b AS diff FROM side WHERE a + b >= 3""")
-def collocates_compare(t):
+def collocates_compare(t, cooccurrence=A.cooccurrence):
     """Two score vectors aligned by key, missing ones as 0, and their difference."""
-    pairs = A.cooccurrence(_words(t).select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
+    pairs = cooccurrence(_words(t).select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
     count = lambda df, name: df.groupBy("target", "collocate").agg(F.count(F.lit(1)).alias(name))
     both = count(pairs.where("lang = 'en'"), "n_left").join(count(pairs.where("lang <> 'en'"), "n_right"), ["target", "collocate"], "full_outer").fillna(0, ["n_left", "n_right"])
     return both.where("n_left + n_right >= 3").withColumn("diff", F.col("n_left") - F.col("n_right"))
 
 
+def _over_all_uses(build):
+    """The query over every use of a target, as <name>_all; the SQL of <name> itself fixes the first use."""
+    name = build.__name__
+    BOOK.query(f"{name}_all", ORACLES[name].replace(_PAIRS, _PAIRS_ALL))(lambda t: build(t, A.cooccurrence_all))
+
+
+for _build in (cooc_pmi, cooc_topk, log_dice, collocates_by_class, collocates_compare):
+    _over_all_uses(_build)
+
+
 @BOOK.query("sentence_tokens", f"SELECT DISTINCT list_aggregate(w, 'string_agg', ' ') AS tokens, len(w) AS n FROM ({_TOKENS}) WHERE len(w) > 0")
 def sentence_tokens(t):
     return _words(t).where(F.size("w") > 0).select(F.array_join("w", " ").alias("tokens"), F.size("w").cast("long").alias("n")).distinct()

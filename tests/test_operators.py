@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexiforge.functions import forms, text as T
-from lexiforge.operators import cascade as C, joins as J, merge as M, metrics as E, sampling as S, segmentation as G, vectors as V, windows as X
+from lexiforge.operators import aggregates as A, cascade as C, joins as J, merge as M, metrics as E, sampling as S, segmentation as G, vectors as V, windows as X
 
 
 def column(df, name):
@@ -171,3 +171,12 @@ def test_vectors(spark):
 def test_paradigm(spark):
     df = spark.createDataFrame([("koken",)], "w string")
     assert df.select(forms.paradigm(F.col("w")).alias("m")).first()["m"] == {"koken": "infinitive", "kokt": "present", "kokte": "past", "gekokt": "participle"}
+
+
+def test_cooccurrence_of_later_uses(spark):
+    text = "the a x x x x x x x x x x x b the c".split()
+    long = ["x"] * 998 + ["y", "the", "z", "the"]
+    docs = spark.createDataFrame([(1, text), (2, []), (3, long)], "doc_id long, w array<string>")
+    for piece in (3, 1000):
+        got = {tuple(r) for r in A.cooccurrence_all(docs, "doc_id", "w", ["the"], 2, piece).select("doc_id", "target", "collocate").collect()}
+        assert got == {(1, "the", c) for c in "axbc"} | {(3, "the", c) for c in "xyz"}
