@@ -144,16 +144,21 @@ def labelled_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, max_c
 
     Each language's rows fall into docs_per_language hash buckets, and each
     bucket gives the row of its smallest hash: at most docs_per_language texts
-    of max_chars characters per language reach the driver.
+    of max_chars characters per language reach the driver. Of a longer text
+    that is a piece at a hashed place, or from its first letter on where that
+    piece has none.
     """
     draw = F.xxhash64("doc_id", F.lit("language sample"))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).where(F.char_length("text") <= max_chars)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", "doc_id", draw.alias("draw"), F.pmod(draw, F.lit(docs_per_language)).alias("bucket"))
     first = rows.groupBy("lang", "bucket").agg(F.min("draw").alias("draw"))
     languages = first.groupBy("lang").count().limit(MAX_LANGUAGES + 1).count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    found = rows.join(F.broadcast(first), ["lang", "bucket", "draw"]).select("lang", "draw", "doc_id", "text")  # at most MAX_LANGUAGES * docs_per_language rows
+    place = F.pmod(F.xxhash64("draw", F.lit("place")), F.greatest(F.lit(1), F.char_length("text") - max_chars + 1)) + 1
+    piece = lambda at: F.substring("text", at.cast("int"), F.lit(max_chars))
+    text = F.when(F.char_length("text") <= max_chars, F.col("text")).when(piece(place).rlike(r"\p{L}"), piece(place)).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, max_chars))
+    found = rows.join(F.broadcast(first), ["lang", "bucket", "draw"]).select("lang", "draw", "doc_id", text.alias("text"))  # at most MAX_LANGUAGES * docs_per_language rows
     out: dict[str, list] = {}
     for r in sorted(found.collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"].lower().encode())

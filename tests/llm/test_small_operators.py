@@ -61,6 +61,18 @@ def test_keep_languages_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in lettered)
 
 
+def test_language_of_long_texts_is_learned(spark):
+    words = {"en": "the of and thing house with that", "de": "der und ein schaft haus mit dass"}
+    long = [(2 * i + k, " ".join(words[lang].split()[(i + j) % 7] for j in range(1500)), lang) for i in range(15) for k, lang in enumerate(words)]
+    sparse = [(100 + i, "1" * 20_000 + "été" + "2" * 20_000, "fr") for i in range(10)]
+    df = spark.createDataFrame(long + sparse, "doc_id long, text string, lang string")
+    sample = language_id.labelled_sample(df)
+    assert set(sample) == {"en", "de", "fr"} and "été".encode() in sample["fr"]
+    assert all(len(t.decode()) <= language_id.SAMPLE_DOCS * (language_id.SAMPLE_CHARS + 1) for t in sample.values())
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(df).collect()}
+    assert all(got[i] == lang for i, _, lang in long)
+
+
 def test_phrases_are_longest_matches():
     parser = language_id.CrossParser({"a": b"abcabcabd", "b": b"xyz"})
     text = b"abcabdxyz"
