@@ -70,11 +70,47 @@ def collected(df: DataFrame, id_col: str, vector: str, most: int = 10_000) -> di
     return {r[0]: list(r[1]) for r in sorted(rows, key=lambda r: r[0])}
 
 
-def nearest_exemplar(df: DataFrame, id_col: str, vector: str, exemplars: DataFrame) -> DataFrame:
-    """For every row its most similar exemplar other than itself."""
-    scored = similarities(df, id_col, vector, collected(exemplars, id_col, vector), "exemplar")
-    rounded = scored.where(F.col(id_col) != F.col("exemplar")).withColumn("score", F.round("score", 6))
-    return first_of(rounded, [id_col], [F.desc("score"), F.asc("exemplar")])
+def most_similar(queries: DataFrame, others: DataFrame, id_col: str, vector: str, k: int, digits: int, field: str | None = None, block: int = 1024) -> DataFrame:
+    """query, id_col, score, rank: for every query its k most similar others with another id (and the same field).
+
+    Both sides are dealt to blocks by a hash of the id, every two blocks of a
+    field are one task with one matrix product, and their best are merged; no
+    set of vectors comes to the driver. Equal rounded scores go by id.
+    """
+    kind = others.schema[id_col].dataType.simpleString()
+    side = lambda df: df.select((F.col(field) if field else F.lit(0)).alias("_field"), F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    blocks = lambda df, name: df.groupBy("_field").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    left, right = side(queries), side(others)
+    sizes = blocks(left, "_left").join(blocks(right, "_right"), "_field")
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = left.join(sizes, "_field").select("_field", own("_left").alias("_i"), every("_right").alias("_j"), F.lit(True).alias("_asks"), "_id", "_v")
+    given = right.join(sizes, "_field").select("_field", every("_left").alias("_i"), own("_right").alias("_j"), F.lit(False).alias("_asks"), "_id", "_v")
+
+    def best(pair: pa.Table) -> pa.Table:
+        asks, ids = pair.column("_asks").to_numpy(), pair.column("_id").to_numpy()
+        flat = pair.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        flat = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), EPS)
+        q, o = np.flatnonzero(asks), np.flatnonzero(~asks)
+        o = o[np.argsort(ids[o], kind="stable")]  # the first of equal scores has the smallest id
+        scores = np.round(flat[q] @ flat[o].T, digits)
+        scores[ids[q][:, None] == ids[o][None, :]] = -np.inf
+        if k == 1 and len(o):
+            top = scores.argmax(1)[:, None]
+        else:
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows, value = np.repeat(q, top.shape[1]), np.take_along_axis(scores, top, 1).ravel()
+        good = np.isfinite(value)
+        return pa.table({"query": ids[rows[good]], id_col: ids[o[top.ravel()[good]]], "score": value[good]})
+
+    found = asked.unionAll(given).groupBy("_field", "_i", "_j").applyInArrow(best, f"query {kind}, {id_col} {kind}, score double")
+    return top_k(found, ["query"], [F.desc("score"), F.asc(id_col)], k)
+
+
+def nearest_exemplar(df: DataFrame, id_col: str, vector: str, exemplars: DataFrame, field: str | None = None) -> DataFrame:
+    """For every row its most similar exemplar other than itself (and of its field)."""
+    found = most_similar(df, exemplars, id_col, vector, 1, 6, field)
+    return found.select(F.col("query").alias("_row"), F.col(id_col).alias("exemplar"), "score").withColumnRenamed("_row", id_col)
 
 
 def hybrid(scored: DataFrame, id_col: str, anchored: DataFrame, margin: float, quota: int) -> DataFrame:

@@ -352,9 +352,7 @@ _VEC = "u AS (SELECT vec_id, label, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y A
 @BOOK.query("cosine_topk", f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS query, round(list_dot_product(a.v, b.v), 5) AS score FROM u a, (SELECT * FROM u WHERE vec_id % 100 = 0) b WHERE a.vec_id <> b.vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10")
 def cosine_topk(t):
     """Every vector whose id is divisible by 100 against all vectors."""
-    queries = V.collected(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", queries, "query").where("vec_id <> query").withColumn("score", F.round("score", 5))
-    return X.top_k(scored, ["query"], [F.desc("score"), "vec_id"], 10).drop("rank")
+    return V.most_similar(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 10, 5).select("query", "vec_id", "score")
 
 
 @BOOK.query("loo_nearest", f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS exemplar, round(list_dot_product(a.v, b.v), 6) AS score FROM u a, (SELECT * FROM u WHERE vec_id % 20 = 0) b WHERE a.vec_id <> b.vec_id) SELECT vec_id, exemplar, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, exemplar) AS r FROM s) WHERE r = 1")
@@ -362,6 +360,12 @@ def loo_nearest(t):
     return V.nearest_exemplar(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 20 = 0"))
 
 
+@BOOK.query("loo_nearest_all", f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS exemplar, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, exemplar, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, exemplar) AS r FROM s) WHERE r = 1")
+def loo_nearest_all(t):
+    """Every vector against all others of its label."""
+    return V.nearest_exemplar(t.embeddings, "vec_id", "embedding", t.embeddings, "label")
+
+
 @BOOK.query("retrieve_margin", f"""WITH {_VEC}, c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
 s AS (SELECT vec_id, c.label, round(list_dot_product(u.v, c.v) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM u, c), g AS (SELECT a.vec_id, a.label, a.score - n.score AS gap FROM s a JOIN s n ON a.vec_id = n.vec_id AND n.label = 0 WHERE a.label <> 0),
 m AS (SELECT *, gap >= 0.2 AS passed, count(*) FILTER (WHERE gap >= 0.2) OVER (PARTITION BY label) AS k FROM g) SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY passed DESC, round(gap, 6) DESC, vec_id) AS r FROM m WHERE passed OR k < 2.0) WHERE r <= 8""")
@@ -374,13 +378,24 @@ def retrieve_margin(t):
 @BOOK.query("hybrid_candidates", f"""WITH {_VEC}, q AS (SELECT vec_id AS label, v FROM u WHERE vec_id IN (0, 100, 200, 300)), s AS (SELECT u.vec_id, q.label, round(list_dot_product(u.v, q.v), 5) AS gap FROM u, q),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, label) AS r FROM s) WHERE r = 1), t AS (SELECT vec_id, label, CASE WHEN gap >= 0.1 AND vec_id % 3 = 0 THEN 0 WHEN gap >= 0.1 THEN 1 ELSE 2 END AS tier, gap FROM b)
 SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15""")
-def hybrid_candidates(t):
+def hybrid_candidates(t, queries=None):
     """Anchored rows first, then semantic ones, then those deferred by the margin."""
-    queries = V.collected(t.embeddings.where("vec_id in (0, 100, 200, 300)"), "vec_id", "embedding")
+    queries = queries or V.collected(t.embeddings.where("vec_id in (0, 100, 200, 300)"), "vec_id", "embedding")
     scored = V.similarities(t.embeddings, "vec_id", "embedding", queries).withColumn("gap", F.round("score", 5))
     return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
 
 
+_CENTRES = "c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1)"
+
+
+@BOOK.query("hybrid_candidates_all", f"""WITH {_VEC}, {_CENTRES}, s AS (SELECT u.vec_id, c.label, round(list_dot_product(u.v, c.v) / sqrt(list_dot_product(c.v, c.v)), 5) AS gap FROM u, c),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, label) AS r FROM s) WHERE r = 1), t AS (SELECT vec_id, label, CASE WHEN gap >= 0.1 AND vec_id % 3 = 0 THEN 0 WHEN gap >= 0.1 THEN 1 ELSE 2 END AS tier, gap FROM b)
+SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15""")
+def hybrid_candidates_all(t):
+    """The same with the class centroids as labels."""
+    return hybrid_candidates(t, V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid"))
+
+
 @BOOK.query("mean_pool", "SELECT label, count(*) AS n, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) WHERE i % 2 = 0 GROUP BY 1")
 def mean_pool(t):
     flat = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).where("i % 2 = 0")

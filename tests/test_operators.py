@@ -180,3 +180,22 @@ def test_cooccurrence_of_later_uses(spark):
     for piece in (3, 1000):
         got = {tuple(r) for r in A.cooccurrence_all(docs, "doc_id", "w", ["the"], 2, piece).select("doc_id", "target", "collocate").collect()}
         assert got == {(1, "the", c) for c in "axbc"} | {(3, "the", c) for c in "xyz"}
+
+
+def test_most_similar_over_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(99, 7, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, field int, v array<float>")
+    unit = {i: np.float32(v) / np.linalg.norm(np.float32(v)) for i, _, v in rows}
+    got = {(x["id"], x["exemplar"]) for x in V.nearest_exemplar(df, "id", "v", df, "field").collect()}
+    assert got == {(i, max((j for j, g, _ in rows if g == f and j != i), key=lambda j: unit[i] @ unit[j])) for i, f, _ in rows[:-1]}
+    many = V.most_similar(df, df, "id", "v", 3, 5, None, 7).groupBy("query").agg(F.collect_list("id").alias("ids")).collect()
+    assert {x["query"]: set(x["ids"]) for x in many} == {i: set(sorted((j for j in unit if j != i), key=lambda j: -unit[i] @ unit[j])[:3]) for i in unit}
+
+
+def test_nearest_exemplar_of_many(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0])], "id long, v array<float>")
+    many = spark.range(1, 10_002).select("id", F.array((F.col("id") / 10_001).cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    assert V.nearest_exemplar(few, "id", "v", many).first()["exemplar"] == 10_001
