@@ -54,6 +54,26 @@ def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str,
     return runs.join(keyed, "_gram").where(F.col(text).contains(F.col(needle))).drop("_gram")
 
 
+def found_values(texts: DataFrame, values: DataFrame, key: str, text: str, value: str) -> DataFrame:
+    """Rows of texts (key, text) with the values they hold anywhere, whatever the case; blank values are in none.
+
+    A value of five words or more is looked up by its second to fourth, which
+    stand whole in any text that holds it; texts join again only with what
+    was found. Shorter values are tried on every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    gram = lambda w, i: F.xxhash64(F.slice(w, i, 3))
+    low = texts.select(F.col(key), F.lower(text).alias("_text"))
+    needles = values.withColumn("_value", F.lower(F.trim(value))).where("_value <> ''").withColumn("_w", words(F.col("_value")))
+    long = needles.where(F.size("_w") >= 5).withColumn("_gram", gram(F.col("_w"), 2)).drop("_w")
+    split = low.select(F.col(key).alias("_key"), words(F.col("_text")).alias("_w")).where(F.size("_w") >= 3)
+    runs = split.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i))).alias("_gram"))
+    near = runs.join(long, "_gram").drop("_gram").distinct()
+    held = F.col("_text").contains(F.col("_value"))
+    by_run = low.join(near, low[key].eqNullSafe(near["_key"])).where(held).drop("_key")
+    return by_run.unionByName(low.join(needles.where(F.size("_w") < 5).drop("_w"), held)).drop("_text", "_value")
+
+
 def tiered_join(left: DataFrame, tiers: Sequence[tuple[DataFrame, Sequence[str], str]], key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Matches by the first tier that has one: (right, columns to join on, name) in order of priority."""
     out = None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates as A
+from ..operators import joins as J
 from ..operators import metrics as E
 from ..operators import vectors as V
 from ..operators import windows as X
@@ -314,6 +315,13 @@ def grounding(t):
     return rows.where(F.lower("text").contains(F.lower(F.substring("item", 1, 5)))).select("doc_id", "item_id")
 
 
+@BOOK.query("grounding_all", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE trim(b.text) <> ''")
+def grounding_all(t):
+    """Every document with each whole item that it holds."""
+    items = t.benchmark.select("item_id", F.col("text").alias("item"))
+    return J.found_values(t.documents.select("doc_id", "text"), items, "doc_id", "text", "item").select("doc_id", "item_id")
+
+
 @BOOK.query("strip_tags", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body FROM pages""")
 def strip_tags(t):
     return t.pages.select("page_id", T.strip_tags(F.col("html")).alias("body"))

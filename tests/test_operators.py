@@ -199,3 +199,10 @@ def test_nearest_exemplar_of_many(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0])], "id long, v array<float>")
     many = spark.range(1, 10_002).select("id", F.array((F.col("id") / 10_001).cast("float"), F.lit(1.0).cast("float")).alias("v"))
     assert V.nearest_exemplar(few, "id", "v", many).first()["exemplar"] == 10_001
+
+
+def test_found_values_are_whole(spark):
+    docs = spark.createDataFrame([(1, "x ONE two three four fivesix end"), (2, "one two other"), (3, "a bc"), (None, "one two three four five"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(41, " e two Three four Five "), (42, "one two three four nine"), (43, "B"), (44, " ")], "item_id int, item string")
+    got = {tuple(r) for r in J.found_values(docs, items, "doc_id", "text", "item").select("doc_id", "item_id").collect()}
+    assert got == {(1, 41), (None, 41), (3, 43)}
