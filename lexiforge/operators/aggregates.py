@@ -142,3 +142,12 @@ def stratum_estimate(population: DataFrame, sample: DataFrame, stratum: str, val
 
 def top_collocates(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["target"], [F.desc("pmi"), F.desc("n_pair"), F.asc("collocate")], k)
+
+
+def compounds(vocabulary: DataFrame, form: str) -> DataFrame:
+    """form, head, modifier of distinct forms that end in another after a known stem: the longest such head."""
+    size = F.length(form)
+    cut = vocabulary.where(size >= 5).select(form, F.explode(F.sequence(F.lit(3), size - 2)).alias("n"))
+    split = cut.select(form, "n", F.expr(f"right({form}, n)").alias("head"), F.expr(f"left({form}, length({form}) - n)").alias("modifier"))
+    known = split.join(vocabulary.select(F.col(form).alias("head")), "head", "left_semi").join(vocabulary.select(F.col(form).alias("modifier")), "modifier", "left_semi")
+    return known.groupBy(form).agg(F.max_by(F.struct("head", "modifier"), "n").alias("x")).select(form, "x.head", "x.modifier")

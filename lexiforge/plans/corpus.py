@@ -287,3 +287,10 @@ def compound_parts(t):
     pairs = form.join(heads, "tail").where(F.expr("endswith(form, head) and length(form) >= length(head) + 4"))
     best = X.first_of(pairs.withColumn("n", F.length("head")), ["form"], [F.desc("n")])
     return best.select("form", "head", F.expr("left(form, length(form) - n)").alias("modifier"))
+
+
+@BOOK.query("compound_parts_all", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT form, unnest(range(2, length(form) - 2)) AS stem FROM v WHERE length(form) >= 5),
+d AS (SELECT form, max(length(form) - stem) AS n FROM c WHERE right(form, length(form) - stem) IN (SELECT form FROM v) AND left(form, stem) IN (SELECT form FROM v) GROUP BY 1) SELECT form, right(form, n) AS head, left(form, length(form) - n) AS modifier FROM d""")
+def compound_parts_all(t):
+    """The longest head of three letters or more after a known stem of two or more."""
+    return A.compounds(_words(t).select(F.explode("w").alias("form")).distinct(), "form")

@@ -206,3 +206,9 @@ def test_found_values_are_whole(spark):
     items = spark.createDataFrame([(41, " e two Three four Five "), (42, "one two three four nine"), (43, "B"), (44, " ")], "item_id int, item string")
     got = {tuple(r) for r in J.found_values(docs, items, "doc_id", "text", "item").select("doc_id", "item_id").collect()}
     assert got == {(1, 41), (None, 41), (3, 43)}
+
+
+def test_compounds_of_any_length(spark):
+    known = "ei brot suppe rundfunkanstalt haupt tee er eisuppe hauptrundfunkanstalt brottee xybrot eier".split()
+    got = {tuple(r) for r in A.compounds(spark.createDataFrame([(w,) for w in known], "form string"), "form").select("form", "head", "modifier").collect()}
+    assert got == {("eisuppe", "suppe", "ei"), ("hauptrundfunkanstalt", "rundfunkanstalt", "haupt"), ("brottee", "tee", "brot")}
