@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     taken, _ = mix_sources(docs, F.array("source"))
     copies = taken.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).withColumnRenamed("doc_id", "mix_id")
-    joined = docs.join(copies, docs["doc_id"] == copies["mix_id"])
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*(docs[c] for c in docs.columns))
 
 

@@ -11,9 +11,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from messy import empty, fold, frame, rows, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiforge.llm import lattice_lm, ngram_join, substring_dedup
+from lexiforge.llm import lattice_lm, ngram_join, source_mix, substring_dedup
 from lexiforge.llm.graph import components
 from lexiforge.llm.words import Words, shingle_sets, text_buffers
 
@@ -257,3 +258,9 @@ def test_pipeline_on_empty(spark):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "mix", "tokens"]
+
+
+def test_mix_keeps_null_ids(spark):
+    docs = spark.createDataFrame([(None, "some text here", "en", "src0", 14)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken, _ = source_mix.mix_sources(docs, F.array("source"))
+    assert corpus_pipeline.mix(spark, docs, "").count() == sum(r["copies"] for r in taken.collect()) > 0
