@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A key that holds more than one of so many rows is broadcast in joined_by_weight(): fewer keys than this can.
+HEAVY = 1000
+#: What the open scopes have written, innermost last: functions that remove it.
+_scopes: list[list] = [[]]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
@@ -23,13 +29,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is made.
+    Where that is unset, a local session (as in tests) makes a temporary folder
+    and a cluster uses the warehouse.
     """
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiforge-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not context.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiforge-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -47,7 +57,32 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def scope():
+    """Tables written inside go at the end, but for those written with keep=True."""
+    made: list = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes[:] = [m for m in _scopes if m is not made]
+        for remove in made:
+            remove()
+
+
+def release() -> None:
+    """Removes all tables that operators have written so far: for use once their results are stored."""
+    for made in _scopes:
+        while made:
+            made.pop()()
+
+
+def on_release(remove) -> None:
+    """Calls remove when the innermost open scope ends, or at release()."""
+    _scopes[-1].append(remove)
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
@@ -59,14 +94,41 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     schema = df.schema
     out = spark.read.schema(schema).parquet(path)
     out._lexiforge_path = path
+    _scopes[-2 if keep and len(_scopes) > 1 else -1].append(lambda: drop_path(spark, path))
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._lexiforge_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._lexiforge_path)
+
+
+def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weight: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """Rows with the row of found (one per key) that their key names; found's other columns follow.
+
+    Rows whose key found lacks go, or with how="left" stay with nulls.
+
+    weight is the number of rows of a key and total that of all. Keys that hold
+    over a thousandth of the rows are broadcast: by that measure they are fewer
+    than a thousand. So no other key brings more than a thousandth to one task;
+    the heavy keys' rows pass the join under keys that match nothing, dealt by
+    `spread` (a column of rows).
+    """
+    others = [c for c in found.columns if c not in key]
+    packed = F.struct(*others)
+    heavy = found.where(F.col(weight) * HEAVY > F.lit(total)).select(*key, packed.alias("_heavy"))
+    light = found.where(F.col(weight) * HEAVY <= F.lit(total)).select(*key, packed.alias("_light"), F.lit(0).cast("long").alias("_away"))
+    marked = rows.join(F.broadcast(heavy), list(key), "left")
+    marked = marked.withColumn("_away", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
+    both = marked.join(light, [*key, "_away"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    if how == "inner":
+        both = both.where("_found is not null")
+    return both.select(*rows.columns, *(F.col("_found")[c].alias(c) for c in others))
 
 
 def text_of(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, joined_by_weight, written
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -18,8 +18,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hangs every neighbour above a node on the node's smallest
     neighbour, then every neighbour below likewise, and writes the edges anew;
-    it ends when a round changes nothing. Nodes without an edge to another node
-    don't appear.
+    it ends when a round changes nothing. A node with more than a thousandth of
+    all edges meets them by a broadcast. Nodes without an edge to another node
+    don't appear; they may be of any type with an order.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(pairs, "edges")
@@ -28,10 +29,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not stamp[0]:
             break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "m").alias("m"), "many")
+        large = joined_by_weight(both, least, ["u"], "many", 2 * stamp[0], F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
+        small = joined_by_weight(large, below, ["u"], "many", stamp[0], F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "edges")
         new_stamp = _stamp(after)
         drop_written(now)

@@ -75,7 +75,7 @@ def _slice_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, limit=SLICE):
             words = Words(*text_buffers(batch.column("text")), fold=True)
-            _, first, local = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            first, local = words.distinct()
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             train = np.bincount(local[~held[words.docs()]], minlength=len(first)).astype(np.int64)
             raw = words.data.tobytes()
@@ -132,9 +132,12 @@ def score_documents(docs: DataFrame, model_path: str, folds: int = 7, held_fold:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     cut = written(rows.mapInArrow(_slice_words, "slice long, word string, local int, train long, doc_id long, held_out boolean, locals array<int>"), "slices")
     own = cut.where("word is not null").select("slice", "word", "local", "train")
+    # Few large slices would fall unevenly on the usual number of partitions.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cut.select("slice").distinct().count())
     texts = cut.where("word is null").select("slice", "doc_id", "held_out", "locals")
 
     vocabulary = written(own.groupBy("word").agg(F.sum("train").alias("count")), "vocabulary")
+    spread = vocabulary.repartition(parts)  # the files are few, the lattices are what takes time
     sums = vocabulary.agg(F.sum("count"), F.sum((F.col("count") > 0).cast("long"))).first()
     ends = texts.where("not held_out").count()
     tokens, kinds = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
@@ -150,7 +153,7 @@ def score_documents(docs: DataFrame, model_path: str, folds: int = 7, held_fold:
             score = pa.array([model.log10(w) for w in batch.column("word").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(count > 0), pa.array(np.log10(count + 1.0) - below), score], names=["word", "known", "base", "score"])
 
-    weighed = written(vocabulary.mapInArrow(weigh, "word string, known boolean, base double, score double"), "weighed")
+    weighed = written(spread.mapInArrow(weigh, "word string, known boolean, base double, score double"), "weighed")
     back = written(own.select("slice", "word", "local").join(weighed, "word").select(F.col("slice").alias("part"), "local", "known", "base", "score"), "back")
     end_base = math.log10(ends + 1) - below
 
@@ -174,4 +177,4 @@ def score_documents(docs: DataFrame, model_path: str, folds: int = 7, held_fold:
 
     lattice_end = lattice.end
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("slice").cogroup(back.groupBy("part")).applyInArrow(gather, out)
+    return texts.repartition(parts, "slice").groupBy("slice").cogroup(back.repartition(parts, "part").groupBy("part")).applyInArrow(gather, out)

@@ -1,17 +1,24 @@
 """N-gram Jaccard join by blocked sparse products of document by n-gram incidence.
 
-Documents with the same shingle set are one class from the start. Which classes
-can meet at all follows from set sizes: sets that link differ in at most
+Documents with the same sequence of words are one class from the start. Which
+classes can meet at all follows from set sizes: sets that link differ in at most
 D = (1 - t) / (1 + t) * (sum of sizes) shingles, so when the shingles are dealt
 over more than D hash buckets, at least one bucket is equal. Classes that share
-a bucket form candidate clusters. Within a cluster the incidence matrix is
+a bucket are a group.
+
+The members of a large group are first compared with one of them, the pivot:
+what links with it is one component from then on, and pairs within a component
+are never looked at again. The pairs that are left are thinned by counts per
+hash range and form clusters. Within a cluster the incidence matrix is
 multiplied by its transpose, a block of documents against a block of documents
-and a block of n-gram columns at a time, and pairs whose overlap stays below
-the bound that their sizes give are discarded.
+and of n-gram columns at a time: rare columns add their postings' pairs to the
+overlaps, columns that fill a block are multiplied whole. Pairs whose overlap
+stays below the bound that their sizes give are discarded.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, joined_by_weight, written
 from .graph import components
-from .words import Words, _mix, shingle_sets, sliced_shingle_sets, slices, text_buffers
+from .words import Words, _mix, exact_shingle_sets, shingle_sets, slices, text_buffers
 
 U = np.uint64
 #: Shingles and documents of a block: what one side of a product holds.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
-#: N-gram columns multiplied at once.
-BLOCK_COLUMNS = 4096
+#: N-gram columns multiplied at once; columns that fill more than one of so many cells are multiplied whole.
+BLOCK_COLUMNS, DENSE = 4096, 32
 #: Documents of a block where counts are compared, and rows of a pack of small groups.
 SKETCH_DOCS, SKETCH_ROWS = 512, 6_000
-#: Ids of documents with an equal set before them that are broadcast at most.
-MOST_IDS = 500_000
+#: Rounds in which the members of a large group are compared with a pivot.
+PIVOTS = 4
 #: Pairs listed at once, and bytes of counts compared at once.
 PAIRS, COUNT_BYTES = 100_000, 2 << 20
 #: Bytes of text hashed at once.
 HASH_BYTES = 512 << 10
+LINKS = "a long, b long"
 
 
 class SizeClasses:
@@ -68,7 +76,10 @@ class SizeClasses:
 
 
 def bucket_signatures(values: np.ndarray, bounds: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all documents' buckets, and the document of each."""
+    """Signatures of all documents' buckets, and the document of each.
+
+    Sets too small to link with any but their equal have one of the whole set.
+    """
     size = np.diff(bounds)
     doc_of = np.repeat(np.arange(len(size)), size)
     own = classes.of(np.maximum(size, 1))
@@ -98,6 +109,13 @@ def bucket_signatures(values: np.ndarray, bounds: np.ndarray, classes: SizeClass
         sums += (k[owner_of] * (1 << 20) + index).astype(U) * U(0xE7037ED1A0B428DB)
         out.append(_mix(sums)[keep])
         owner.append(owner_of[keep])
+    small = np.flatnonzero((size > 0) & (size < classes.least))
+    if len(small):
+        whole = np.zeros(len(size), U)
+        of_small = (size < classes.least)[doc_of]
+        np.add.at(whole, doc_of[of_small], _mix(values[of_small] ^ U(0x8EBC6AF09C88C6E3)))
+        out.append(_mix(whole[small] + size[small].astype(U)))
+        owner.append(small)
     if not out:
         return np.zeros(0, U), np.zeros(0, np.int64)
     sigs, owner = np.concatenate(out), np.concatenate(owner)
@@ -127,7 +145,12 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(counts.tobytes())])
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"
+SIGNED = "doc_id long, text_key long, n long, seq binary, sketch binary, sigs array<long>"
+
+
+def _digests(words: Words) -> list[bytes]:
+    """What tells sequences of words apart."""
+    return [hashlib.blake2b(t, digest_size=16).digest() for t in words.sequences()]
 
 
 def _signatures(size: int, percent: int):
@@ -136,17 +159,13 @@ def _signatures(size: int, percent: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, limit=HASH_BYTES):
-                values, bounds = shingle_sets(Words(*text_buffers(batch.column("text")), fold=True), size)
-                count = np.diff(bounds)
-                doc_of = np.repeat(np.arange(len(count)), count)
-                one, two = np.zeros(len(count), U), np.zeros(len(count), U)
-                np.add.at(one, doc_of, _mix(values ^ U(0x8EBC6AF09C88C6E3)))
-                np.add.at(two, doc_of, _mix(values ^ U(0x589965CC75374CC3)))
+                words = Words(*text_buffers(batch.column("text")), fold=True)
+                values, bounds = shingle_sets(words, size)
                 sigs, owner = bucket_signatures(values, bounds, classes)
-                offsets = pa.array(np.searchsorted(owner, np.arange(len(count) + 1)).astype(np.int32))
+                offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(count), _signed(one), _signed(two), sketches(values, bounds), pa.ListArray.from_arrays(offsets, _signed(sigs))],
-                    names=["doc_id", "n", "h1", "h2", "sketch", "sigs"],
+                    [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(bounds)), pa.array(_digests(words), pa.binary()), sketches(values, bounds), pa.ListArray.from_arrays(offsets, _signed(sigs))],
+                    names=["doc_id", "text_key", "n", "seq", "sketch", "sigs"],
                 )
 
     return sign
@@ -207,26 +226,35 @@ def reach(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _count_rows(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes of a task: their ids, each row's node, sizes, labels and counts by width."""
+    ids, first, node = np.unique(group.column("node").to_numpy(), return_index=True, return_inverse=True)
+    size, label = group.column("n").to_numpy()[first], group.column("label").to_numpy()[first]
+    data, offsets = text_buffers(group.column("sketch"))
+    width, counts = sketch_width(size), {}
+    for w in (64, 256, 1024):
+        rows = np.zeros((len(ids), w), np.uint8)
+        for have in (w, 4 * w, 16 * w):
+            these = np.flatnonzero(width == have)
+            if len(these):
+                own = data[offsets[first[these]][:, None] + np.arange(have)]
+                rows[these] = np.minimum(own.reshape(len(these), w, -1).sum(2), 255)
+        counts[w] = rows
+    return ids, node, size, label, counts
+
+
 def _compare(percent: int):
     def compare(group: pa.Table) -> pa.Table:
+        """Which nodes the pairs that can link reach, but for pairs of one label."""
         order = np.argsort(group.column("group").to_numpy(), kind="stable")
         names, side = group.column("group").to_numpy()[order], group.column("side").to_numpy()[order]
-        ids, node = np.unique(group.column("node").to_numpy()[order], return_inverse=True)
-        first = order[np.unique(node, return_index=True)[1]]
-        size = group.column("n").to_numpy()[first]
-        data, offsets = text_buffers(group.column("sketch"))
-        width, counts = sketch_width(size), {}
-        for w in (64, 256, 1024):
-            rows = np.zeros((len(ids), w), np.uint8)
-            for have in (w, 4 * w, 16 * w):
-                these = np.flatnonzero(width == have)
-                if len(these):
-                    own = data[offsets[first[these]][:, None] + np.arange(have)]
-                    rows[these] = np.minimum(own.reshape(len(these), w, -1).sum(2), 255)
-            counts[w] = rows
+        ids, node, size, known, counts = _count_rows(group)
+        node = node[order]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in _pairs(names, side):
             i, j = node[i], node[j]
+            apart = known[i] != known[j]
+            i, j = i[apart], j[apart]
             near = _near_counts(size, counts, i, j, percent)
             a.append(i[near])
             b.append(j[near])
@@ -237,78 +265,241 @@ def _compare(percent: int):
     return compare
 
 
-def dealt(members: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
-    """Rows (group, node, weight) dealt to tasks: pack, i, j, side beside group and node.
+def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pivots (side 0) and of their partners in a task of stars."""
+    names, side = group.column("group").to_numpy(), group.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left = left[np.argsort(names[left], kind="stable")]
+    at = np.searchsorted(names[left], names[right])
+    found = at < len(left)
+    found[found] = names[left[at[found]]] == names[right[found]]
+    return left[at[found]], right[found]
+
 
-    A group within the limits goes whole to one of the packs (side 2). A larger
-    one is split into blocks by hash; each pair of its blocks is a task, with
-    the first block on side 0 and the second on side 1 (2 where they are one).
+def _compare_stars(percent: int):
+    def compare(group: pa.Table) -> pa.Table:
+        """The pairs of a pivot and a partner that can link, and the pivot's size."""
+        ids, node, size, _, counts = _count_rows(group)
+        a, b = (node[x] for x in _partners(group))
+        near = [at + _near_counts(size, counts, a[at : at + PAIRS], b[at : at + PAIRS], percent) for at in range(0, len(a), PAIRS)]
+        near = np.concatenate([np.zeros(0, np.int64), *near])
+        return pa.table({"a": ids[a[near]], "b": ids[b[near]], "n": size[a[near]]})
+
+    return compare
+
+
+def dealt(members: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
+    """Rows (group, node, label, weight) dealt to tasks: pack, i, j, side beside group, node and label.
+
+    A group within the limits goes whole to one of the packs (side 2). Of a
+    larger one, the members with its main label (that of its smallest node) are
+    split into blocks by hash, and the others into blocks of their own. Each
+    pair of blocks is a task unless both are of the main label, with the first
+    block on side 0 and the second on side 1 (2 where they are one). Groups of
+    one label have nothing left to compare.
     """
-    weight = most_weight or 1 << 60
-    groups = members.groupBy("group").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("docs"))
-    blocks = F.ceil(F.greatest(F.col("weight") / weight, F.col("docs") / most_docs))
+    limit = most_weight or 1 << 60
+    groups = members.groupBy("group").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("main")).where("low <> high")
     total = groups.agg(F.sum("weight"), F.sum("docs")).first()
-    packs = int(max((total[0] or 0) // weight, (total[1] or 0) // pack_docs)) + 1
-    placed = members.select("group", "node").join(groups.select("group", blocks.alias("blocks")), "group").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    packed = placed.where("blocks = 1").select("group", "node", F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(2).alias("side"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    packs = int(max((total[0] or 0) // limit, (total[1] or 0) // pack_docs)) + 1
+    blocks = lambda weight, docs: F.greatest(F.lit(1), F.ceil(F.greatest(weight / limit, docs / most_docs)))
+    known = groups.select("group", (blocks(F.col("weight"), F.col("docs")) == 1).alias("small"), "main", "docs")
+    placed = joined_by_weight(members, known, ["group"], "docs", total[1] or 0, F.col("node"))
+    none = F.lit(-1).cast("long")
+    packed = placed.where("small").select("group", "node", "label", F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), none.alias("i"), none.alias("j"), F.lit(2).alias("side"))
+    large = placed.where("not small").withColumn("of_main", F.col("label") == F.col("main"))
+    count = lambda c: blocks(F.sum(F.when(c, F.col("weight")).otherwise(0)), F.sum(c.cast("int")))
+    split = large.groupBy("group").agg(count(F.col("of_main")).alias("first"), count(~F.col("of_main")).alias("second"), F.count(F.lit(1)).alias("docs"))
+    large = joined_by_weight(large.drop("docs"), split, ["group"], "docs", total[1] or 0, F.col("node"))
+    hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    own = F.when(F.col("of_main"), hashed("first")).otherwise(F.col("first") + hashed("second"))
+    other = F.explode(F.sequence(F.when(F.col("of_main"), F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("second") - 1))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    split = placed.where("blocks > 1").withColumn("other", other)
-    split = split.select("group", "node", F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    return packed.unionAll(split)
+    large = large.withColumn("own", own).withColumn("other", other)
+    return packed.unionAll(large.select("group", "node", "label", F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")))
+
+
+def starred(pairs: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
+    """Pairs (a, b, n) of a pivot and a partner dealt to tasks: pack, i, j, side, group, node, label.
+
+    Few partners go with their pivot (side 0) to a pack; many are split into
+    blocks by hash, each with the pivot.
+    """
+    limit = most_weight or 1 << 60
+    pivots = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
+    total = pivots.agg(F.sum("weight"), F.sum("docs")).first()
+    packs = int(max((total[0] or 0) // limit, (total[1] or 0) // pack_docs)) + 1
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("weight") / limit, F.col("docs") / most_docs)))
+    pivots = pivots.select("a", blocks.alias("blocks"), "docs")
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("a"), F.lit(packs))).otherwise(F.col("a")).alias("pack")
+    i = lambda c: F.when(F.col("blocks") == 1, F.lit(-1).cast("long")).otherwise(c).alias("i")
+    rest = lambda node, side: [F.lit(0).cast("long").alias("j"), F.lit(side).alias("side"), F.col("a").alias("group"), F.col(node).alias("node"), F.col(node).alias("label")]
+    right = joined_by_weight(pairs.select("a", "b"), pivots, ["a"], "docs", total[1] or 0, F.col("b")).select(pack, i(F.pmod(F.xxhash64("b"), F.col("blocks"))), *rest("b", 1))
+    left = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(pack, i(F.col("block")), *rest("a", 0))
+    return right.unionAll(left)
 
 
 def overlap_product(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shared shingles of each left with each right document, a block of columns at a time."""
+    """Shared shingles of each left with each right document."""
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    rows, (_, column) = rows[shared], np.unique(column[shared], return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    total = int(column[-1]) + 1 if len(column) else 0
-    out = np.zeros((len(left), len(right)), np.int64)
-    cuts = np.searchsorted(column, np.arange(0, total + BLOCK_COLUMNS, BLOCK_COLUMNS))
-    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-        block = np.zeros((len(bounds) - 1, min(BLOCK_COLUMNS, total - b * BLOCK_COLUMNS)), np.float32)
-        block[rows[i:j], column[i:j] - b * BLOCK_COLUMNS] = 1
-        out += (block[left] @ block[right].T).astype(np.int64)
+    _, column = np.unique(values, return_inverse=True)
+    out = np.zeros(len(left) * len(right), np.int64)
+    sides, many = [], []
+    total = int(column.max()) + 1 if len(column) else 0
+    for docs in (left, right):
+        place = np.full(len(bounds) - 1, -1)
+        place[docs] = np.arange(len(docs))
+        use = place[rows] >= 0
+        c, r = column[use], place[rows[use]]
+        order = np.argsort(c, kind="stable")
+        sides.append((c[order], r[order]))
+        many.append(np.bincount(c, minlength=total))
+    work = many[0] * many[1]
+    full = work * DENSE > len(out)
+    (lc, lr), (rc, rr) = sides
+    begin = np.cumsum(many[1]) - many[1]
+    # Rare columns: every posting of the left with the postings of its column on the right.
+    use = np.flatnonzero(~full[lc] & (many[1][lc] > 0))
+    upto = np.cumsum(many[1][lc[use]])
+    for part in np.split(use, np.searchsorted(upto, np.arange(10 * PAIRS, upto[-1] if len(upto) else 0, 10 * PAIRS))):
+        n = many[1][lc[part]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(lr[part], n) * len(right) + rr[np.repeat(begin[lc[part]], n) + within], minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    # Full columns: a block of them at a time.
+    chosen = np.flatnonzero(full)
+    number = np.full(total, -1)
+    number[chosen] = np.arange(len(chosen))
+    for at in range(0, len(chosen), BLOCK_COLUMNS):
+        blocks = []
+        for (c, r), docs in zip(sides, (left, right)):
+            own = number[c] - at
+            use = (own >= 0) & (own < BLOCK_COLUMNS) & (number[c] >= 0)
+            block = np.zeros((len(docs), min(BLOCK_COLUMNS, len(chosen) - at)), np.float32)
+            block[r[use], own[use]] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype(np.int64)
     return out
 
 
-def block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Label per document: the smallest place that its links in this block reach."""
+def block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Label per document: the smallest place that its links in this block reach; pairs known to be linked are left out."""
     size = np.diff(bounds)
+    known = np.arange(len(size)) if known is None else known
+    fits = lambda a, b: 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+    can = fits(left[:, None], right[None, :]) & (known[left][:, None] != known[right][None, :])
+    left, right = left[can.any(1)], right[can.any(0)]
     overlap = overlap_product(values, bounds, left, right)
     union = size[left][:, None] + size[right][None, :] - overlap
     a, b = np.nonzero((100 * overlap >= percent * union) & (left[:, None] != right[None, :]))
     return reach(len(size), left[a], right[b])
 
 
+def star_links(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (pivot a, partner b) link."""
+    size = np.diff(bounds)
+    width = int(values.max()) + 1 if len(values) else 1
+    pivots, nth = np.unique(a, return_inverse=True)
+    spread = lambda docs: np.repeat(bounds[docs], size[docs]) + np.arange(size[docs].sum()) - np.repeat(np.cumsum(size[docs]) - size[docs], size[docs])
+    have = np.repeat(np.arange(len(pivots)), size[pivots]) * width + values[spread(pivots)]
+    pair = np.repeat(np.arange(len(b)), size[b])
+    want = nth[pair] * width + values[spread(b)]
+    at = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
+    shared = np.bincount(pair, have[at] == want if len(have) else None, len(b)).astype(np.int64)
+    return 100 * shared >= percent * (size[a] + size[b] - shared)
+
+
+def _texts_of(group: pa.Table) -> pa.Table:
+    """One row per node and side, with the text of its class (a repeated id may bring others)."""
+    words = Words(*text_buffers(group.column("text")), fold=True)
+    good = np.array([d == s for d, s in zip(_digests(words), group.column("seq").to_pylist())], bool)
+    rows = np.flatnonzero(good)
+    key = group.column("node").to_numpy()[rows], group.column("side").to_numpy()[rows], group.column("group").to_numpy()[rows]
+    order = np.lexsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in key])
+    return group.take(rows[order[new]])
+
+
 def _multiply(size: int, percent: int):
     def multiply(group: pa.Table) -> pa.Table:
-        values, bounds = sliced_shingle_sets(group.column("text"), size, HASH_BYTES)
-        side = group.column("side").to_numpy()
-        ids = group.column("node").to_numpy()
+        group = _texts_of(group)
+        values, bounds = exact_shingle_sets(Words(*text_buffers(group.column("text")), fold=True), size)
+        side, ids = group.column("side").to_numpy(), group.column("node").to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        label = block_links(values, bounds, left, right, percent)
+        label = block_links(values, bounds, left, right, percent, group.column("label").to_numpy())
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": ids[moved], "b": ids[label[moved]]})
 
     return multiply
 
 
-def _first_of_classes(signed: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows with signatures of the documents that stand for their class.
+def _multiply_stars(size: int, percent: int):
+    def multiply(group: pa.Table) -> pa.Table:
+        group = _texts_of(group)
+        values, bounds = exact_shingle_sets(Words(*text_buffers(group.column("text")), fold=True), size)
+        ids = group.column("node").to_numpy()
+        a, b = _partners(group)
+        good = star_links(values, bounds, a, b, percent)
+        return pa.table({"a": ids[a[good]], "b": ids[b[good]]})
+
+    return multiply
 
-    Few others are left out by a broadcast of their ids, once counted; beyond
-    MOST_IDS the rows are joined with the ids that stay.
-    """
-    rows = signed.where(F.size("sigs") > 0)
-    others = found.where((F.col("doc_id") != F.col("rep")) & (F.col("n") > 0)).select("doc_id").distinct()
-    if others.limit(MOST_IDS + 1).count() <= MOST_IDS:
-        return rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(others), "doc_id", "left_anti")
-    return rows.join(found.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct(), "doc_id", "left_semi")
+
+class _Join:
+    """The tables that the steps of one join share: texts, and class nodes with sketches."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, size: int, percent: int):
+        self.rows, self.nodes, self.size, self.percent = rows, nodes, size, percent
+        self.counts = nodes.select("node", "n", "sketch")
+        self.links, self.labels = None, None
+
+    def add(self, links: DataFrame) -> None:
+        """Takes links over, and labels every node by what all links so far reach."""
+        self.links = links if self.links is None else self.links.unionAll(links)
+        self.labels = written(components(self.links), "jaccard-labels")
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    def with_texts(self, tasks: DataFrame) -> DataFrame:
+        """Rows of tasks with the texts of their nodes."""
+        need = written(tasks, "jaccard-tasks")
+        keys = written(need.select("node").distinct().join(self.nodes.select("node", "doc_id", "text_key", "seq"), "node"), "jaccard-keys")
+        same = self.rows["doc_id"].eqNullSafe(keys["doc_id"]) & (self.rows["text_key"] == keys["text_key"])
+        texts = self.rows.join(keys, same).select("node", "seq", "text")
+        return need.join(texts, "node")
+
+    def pivot(self, members: DataFrame, most_docs: int, turn: int) -> bool:
+        """Compares the members of groups over most_docs and of several labels with one of them; False where there are none.
+
+        The pivot is the node of the smallest hash in this turn: groups that
+        share most of their members mostly share it, too.
+        """
+        drawn = F.min_by(F.struct("label", "node"), F.xxhash64("node", F.lit(turn))).alias("pivot")
+        groups = self.labelled(members).groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high"), drawn)
+        groups = written(groups.where(F.col("docs") > most_docs).where("low <> high").select("group", F.col("pivot.node").alias("a"), F.col("pivot.label").alias("own"), "docs"), "jaccard-pivots")
+        total = groups.agg(F.sum("docs")).first()[0]
+        if not total:
+            return False
+        pairs = joined_by_weight(self.labelled(members), groups, ["group"], "docs", total, F.col("node")).where("label <> own")
+        pairs = written(pairs.select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n")).distinct(), "jaccard-pairs")
+        near = written(starred(pairs, SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node").groupBy("pack", "i").applyInArrow(_compare_stars(self.percent), LINKS + ", n long"), "jaccard-near-pairs")
+        tasks = self.with_texts(starred(near, BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
+        self.add(written(tasks.groupBy("pack", "i").applyInArrow(_multiply_stars(self.size, self.percent), LINKS), "jaccard-links"))
+        return True
+
+    def compare(self, members: DataFrame) -> DataFrame:
+        """Clusters (node, group) of what can link by counts."""
+        near = dealt(self.labelled(members), SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node")
+        return written(components(near.groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)).withColumnRenamed("component", "group"), "jaccard-clusters")
+
+    def multiply(self, members: DataFrame) -> None:
+        """Links within clusters, by products of blocks."""
+        tasks = self.with_texts(dealt(self.labelled(members), BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
+        self.add(written(tasks.groupBy("pack", "i", "j").applyInArrow(_multiply(self.size, self.percent), LINKS), "jaccard-links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,27 +511,44 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
 
     * null and empty texts, and texts without words, have an empty set and link with nothing
     * fewer words than `size`: the whole sequence is the one shingle
-    * rows with equal sets link whatever their number; rows that repeat an id share its component
-    * a null id is carried through without a component unless an equal set has an id
+    * rows with equal words link whatever their number; rows that repeat an id are one document: they share a component
+    * a null id is carried through without a component unless links reach an id; null ids are documents of their own
     * an empty table gives an empty result; further columns of docs are ignored
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signatures(size, percent), SIGNED), "jaccard-signatures")
-    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    found = written(signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-classes")
-
-    counts = written(_first_of_classes(signed, found).select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node"]), "jaccard-counts")
-    buckets = written(_first_of_classes(signed, found).select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig")), "jaccard-buckets")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    signed = written(rows.mapInArrow(_signatures(size, percent), SIGNED).withColumn("row", F.monotonically_increasing_id()), "jaccard-signatures")
+    filled = signed.where("n > 0")
+    classes = written(filled.groupBy("seq").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many")), "jaccard-classes")
+    total = classes.agg(F.sum("many")).first()[0] or 0
+    own = joined_by_weight(filled.select("doc_id", "n", "row", "seq"), classes, ["seq"], "many", total, F.col("row")).select("doc_id", "n", "node", "rep")
+    found = written(own.unionAll(signed.where("n = 0").select("doc_id", "n", F.col("row").alias("node"), F.col("doc_id").alias("rep"))), "jaccard-found")
+    nodes = written(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
     drop_written(signed)
-    shared = written(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "jaccard-shared")
-    meets = written(buckets.join(shared, "sig").select(F.col("sig").alias("group"), "node", F.lit(1).alias("weight")), "jaccard-meets")
-    drop_written(buckets)
-    near = dealt(meets, SKETCH_DOCS, SKETCH_ROWS).join(counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    clusters = written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
-
-    sizes = found.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("node"), F.col("n").alias("weight")).distinct()
-    texts = rows.join(clusters.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    groups = dealt(clusters.join(sizes, "node"), BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES).join(texts, "node")
-    links = written(groups.groupBy("pack", "i", "j").applyInArrow(_multiply(size, percent), "a long, b long"), "jaccard-links")
-    reached = components(links).withColumnRenamed("node", "rep")
-    return found.join(reached, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+    buckets = nodes.select("node", F.explode("sigs").alias("group"))
+    shared = written(buckets.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "jaccard-shared")
+    total = shared.agg(F.sum("many")).first()[0] or 0
+    meets = written(joined_by_weight(buckets, shared, ["group"], "many", total, F.col("node")).select("group", "node", F.lit(1).cast("long").alias("weight"), "many"), "jaccard-meets")
+
+    join = _Join(rows, nodes, size, percent)
+    large = meets.where(F.col("many") > SKETCH_DOCS).drop("many")
+    for turn in range(PIVOTS):
+        if not join.pivot(large, SKETCH_DOCS, turn):
+            break
+    clusters = join.compare(meets.drop("many")).join(nodes.select("node", F.col("n").alias("weight")), "node")
+    for turn in range(PIVOTS):
+        if not join.pivot(clusters, BLOCK_DOCS, turn):
+            break
+    join.multiply(clusters)
+
+    # Rows that repeat an id tie their classes together.
+    known = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count(F.lit(1)).alias("times")).where("a <> last")
+    ties = known.select("a", "doc_id").join(found.select("doc_id", F.col("node").alias("b")), "doc_id").where("a <> b").select("a", "b").distinct()
+    reached = written(components(join.links.unionAll(ties)), "jaccard-components")
+    one = F.lit(1).cast("long").alias("many")
+    reps = reached.join(classes.select("node", "rep", "many").unionAll(found.where("n = 0").select("node", "rep", one)), "node")
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = reps.join(least, "component").select("node", "component_id", "many")
+    out = joined_by_weight(found, of_node, ["node"], "many", found.count(), F.col("doc_id"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))

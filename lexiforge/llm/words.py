@@ -1,8 +1,10 @@
-"""Words of Arrow text columns as numpy arrays: bounds, hashes and hashes of word sequences.
+"""Words of Arrow text columns as numpy arrays: bounds, hashes, exact numbers and hashes of word sequences.
 
 Words are runs of bytes other than ASCII white space; UTF-8 keeps those bytes
-for themselves. Hashes are polynomials modulo 2**64 over per-byte random
-values, taken from prefix sums, and then mixed.
+for themselves. A word is read as chunks of eight bytes, each mixed with its
+place before they are summed; runs of words are hashed by a tree of mixes. So
+no step is linear in what it hashes. Hashes look things up; where equality
+decides, words are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 U = np.uint64
-_tables: dict = {}
+#: The bytes of a chunk that belong to a word of which so many are left.
+CHUNK_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,24 +38,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    if ("bytes", seed) not in _tables:
-        _tables["bytes", seed] = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0x632BE59BD9B4E019 % (1 << 64)))
-    return _tables["bytes", seed]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse's powers modulo 2**64, for i below n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        room = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(room, U(b))
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U))
-        _tables[base] = have = tuple(out)
-    return have[0][:n], have[1][:n]
+def _seed(n: int) -> np.uint64:
+    return _mix(np.array([n * GOLDEN % (1 << 64)], U))[0]
 
 
 class Words:
@@ -73,72 +61,139 @@ class Words:
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.n = len(self.starts)
+        self._chunked = None
 
     def text(self, d: int) -> np.ndarray:
         return self.data[self.offsets[d] : self.offsets[d + 1]]
 
+    def _chunks(self) -> tuple[np.ndarray, ...]:
+        """Eight bytes each: value, word, place in the word; and each word's first chunk."""
+        if self._chunked is None:
+            many = (self.ends - self.starts + 7) >> 3
+            first = np.cumsum(many) - many
+            word = np.repeat(np.arange(self.n), many)
+            place = np.arange(len(word)) - first[word]
+            at = self.starts[word] + 8 * place
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            values = np.lib.stride_tricks.as_strided(padded, (len(self.data) + 1, 8), (1, 1))[at].view(U).ravel()
+            values &= CHUNK_MASK[np.minimum(self.ends[word] - at, 8)]
+            self._chunked = values, word, place, first
+        return self._chunked
+
     def hashes(self, seed: int = 1) -> np.ndarray:
         """One hash per word."""
-        power, inverse = _powers(0x9E3779B97F4A7C55 + 2 * seed, len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, U)
-        sums[0] = 0
-        values = _byte_values(seed)[self.data]
-        values *= power[:-1]
-        np.cumsum(values, out=sums[1:])
-        out = sums[self.ends]
-        out -= sums[self.starts]
-        out *= inverse[self.starts]
-        out += (self.ends - self.starts).astype(U)
+        values, word, place, first = self._chunks()
+        if not len(values):
+            return np.zeros(0, U)
+        out = _mix(values ^ _seed(seed))
+        if len(values) > self.n:
+            later = np.flatnonzero(place)
+            out[later] = _mix(out[later] + place[later].astype(U) * U(GOLDEN))
+            out = np.add.reduceat(out, first)
+        out += (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93)
         return _mix(out)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind, and the kind of every word; words are of a kind when their bytes are equal."""
+        _, first, kind = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        model, size = first[kind], self.ends - self.starts
+        values, word, place, begin = self._chunks()
+        other = size != size[model]
+        if len(values):
+            same = values == values[np.minimum(begin[model][word] + place, len(values) - 1)]
+            other |= ~np.logical_and.reduceat(same, begin)
+        if other.any():  # a hash that stands for different words
+            found: dict = {}
+            raw = self.data.tobytes()
+            for w in np.flatnonzero(other).tolist():
+                kind[w] = found.setdefault(raw[self.starts[w] : self.ends[w]], (len(first) + len(found), w))[0]
+            first = np.append(first, [w for _, w in found.values()])
+        return first, kind
+
     def docs(self) -> np.ndarray:
         """The text each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def sequences(self) -> list[bytes]:
+        """Each text's words joined by one blank."""
+        word = IS_WORD[self.data]
+        keep = word.copy()
+        keep[1:] |= word[:-1]  # the first byte after a word
+        at = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[self.offsets].tolist()
+        raw = np.where(word, self.data, np.uint8(32))[keep].tobytes()
+        return [raw[a:b].strip(b" ") for a, b in zip(at[:-1], at[1:])]
+
 
 class Runs:
-    """Hashes of runs of consecutive words."""
+    """Hashes of runs of consecutive words, from hashes of 1, 2, 4, ... words."""
 
     def __init__(self, hashes: np.ndarray, seed: int = 1):
-        n = len(hashes)
-        power, self.inverse = _powers(0xC2B2AE3D27D4EB4F + 4 * seed, n + 1)
-        self.sums = np.empty(n + 1, U)
-        self.sums[0] = 0
-        np.cumsum(hashes * power[:n], out=self.sums[1:])
+        self.levels, self.key = [hashes], _seed(seed + 1000)
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            low, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            out = low[:-half] * U(0xA0761D6478BD642F)
+            out += low[half:]
+            out ^= self.key
+            self.levels.append(_mix(out))
+        return self.levels[k]
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = self.sums[ends] - self.sums[starts]
-        out *= self.inverse[starts]
-        out += (ends - starts).astype(U) * U(0x2545F4914F6CDD1D)
+        """The hash of each run, from the two runs of a power of two that cover it."""
+        size = ends - starts
+        out = np.zeros(len(size), U)
+        power = np.frexp(np.maximum(size, 1))[1] - 1
+        for k in np.unique(power).tolist():
+            these = slice(None) if (power == k).all() else np.flatnonzero(power == k)
+            level = self._level(k)
+            part = level[starts[these]] * U(0xE7037ED1A0B428DB)
+            part += level[ends[these] - (1 << k)]
+            out[these] = part
+        out += size.astype(U) * U(0x2545F4914F6CDD1D)
         return _mix(out)
 
 
-def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles, and where each text's begin.
-
-    A text of fewer words has its whole sequence as one; one without words has none.
-    """
-    hashes, counts = words.hashes(), np.diff(words.first)
-    runs = Runs(hashes)
+def _shingle_places(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the first word of every shingle; a text of fewer words is one shingle, one without words none."""
+    counts = np.diff(words.first)
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(many)), many)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    starts = words.first[:-1][doc] + within
-    values = runs.of(starts, np.minimum(starts + size, words.first[1:][doc]))
+    return doc, words.first[:-1][doc] + within
+
+
+def _sets(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each text, and where each text's begin."""
     order = np.lexsort((values, doc))
     values, doc = values[order], doc[order]
     keep = np.ones(len(doc), bool)
     keep[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
     values, doc = values[keep], doc[keep]
-    return values, np.searchsorted(doc, np.arange(len(many) + 1))
+    return values, np.searchsorted(doc, np.arange(docs + 1))
 
 
-def sliced_shingle_sets(texts: pa.ChunkedArray, size: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingle_sets() of a column, with limit bytes of text hashed at once; A-Z lower-cased."""
-    batch = pa.RecordBatch.from_arrays([texts.combine_chunks()], names=["text"])
-    parts = [shingle_sets(Words(*text_buffers(part.column("text")), fold=True), size) for part in slices(batch, limit=limit)]
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, bounds in parts)])
-    return np.concatenate([np.zeros(0, U), *(values for values, _ in parts)]), np.concatenate([[0], np.cumsum(counts)])
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles, and where each text's begin.
+
+    A text of fewer words has its whole sequence as one; one without words has none.
+    """
+    doc, starts = _shingle_places(words, size)
+    values = Runs(words.hashes()).of(starts, np.minimum(starts + size, words.first[1:][doc]))
+    return _sets(values, doc, len(words.first) - 1)
+
+
+def exact_shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets(), with numbers that are equal only where all words are."""
+    doc, starts = _shingle_places(words, size)
+    _, kind = words.distinct()
+    kind = np.append(kind + 1, 0)  # 0: no word
+    kinds, last = int(kind.max()) + 1, words.first[1:][doc]
+    values = np.zeros(len(doc), np.int64)
+    for i in range(size):
+        at = np.where(starts + i < last, starts + i, words.n)
+        values = np.unique(values * kinds + kind[at], return_inverse=True)[1]
+    return _sets(values, doc, len(words.first) - 1)
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -48,3 +48,9 @@ def fold(text):
 
 def words(text):
     return [w.decode() for w in (text or "").encode().split()]
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word of n letters and its complement: polynomials modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)

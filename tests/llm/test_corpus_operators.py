@@ -10,13 +10,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from messy import empty, fold, frame, rows, words
+from messy import empty, fold, frame, rows, thue_morse, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiforge.llm import lattice_lm, ngram_join, source_mix, substring_dedup
 from lexiforge.llm.graph import components
-from lexiforge.llm.words import Words, shingle_sets, text_buffers
+from lexiforge.llm.words import Words, exact_shingle_sets, shingle_sets, text_buffers
 
 ROWS = rows()
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,7 +80,7 @@ def test_substrings_awkward(spark):
 
 
 def test_index_compacts(spark):
-    docs = spark.createDataFrame(corpus(4, 40), "doc_id long, text string")
+    docs = spark.createDataFrame(corpus(4, 40), "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
     index = substring_dedup.FingerprintIndex(spark, 20, buckets=3, max_runs=2)
     for low in range(0, 40, 10):
         index.ingest(docs.where(f"doc_id >= {low} and doc_id < {low + 10}"), docs.where(f"doc_id < {low + 10}"))
@@ -178,6 +178,102 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want_components(docs, 3, 90)
 
 
+def test_large_groups_meet_pivots(spark, monkeypatch):
+    """Copies of one text beyond all limits, with some that no pivot reaches: equal to brute force, in linear work."""
+    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("BLOCK_SHINGLES", 1500)):
+        monkeypatch.setattr(ngram_join, name, n)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(i % 3):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        docs.append((i, " ".join(w)))
+    for k in range(6):  # share a third of it
+        docs.append((500 + k, " ".join(base[:50] + [f"y{k}.{j}" for j in range(100)])))
+    work = []
+    plain = ngram_join.dealt
+    monkeypatch.setattr(ngram_join, "dealt", lambda members, *a: work.append((members.count(), plain(members, *a).count())) or plain(members, *a))
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want_components(docs, 3, 90)
+    assert work and all(dealt <= 3 * members for members, dealt in work)
+
+
+def component_of_rows(docs, size=3, percent=90):
+    """(id, set size, component) per row: rows with one id are one document."""
+    near = want_components([((i, t), t) for i, t in docs], size, percent)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for (i, t), (_, (j, u)) in near.items():
+        parent[find(("row", i, t))] = find(("row", j, u))
+    for i, t in docs:
+        parent[find(("row", i, t))] = find(("id", i))
+    least = {}
+    for i, t in docs:
+        root = find(("row", i, t))
+        least[root] = min(i, least.get(root, i))
+    return sorted((i, near[i, t][0], least[find(("row", i, t))]) for i, t in docs)
+
+
+def test_repeated_ids_tie_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(3, a), (5, a), (5, b), (7, b + " more"), (9, ""), (9, "lone words here"), (9, "")]
+    r = random.Random(12)
+    for seed in (1, 2):
+        docs += [(100 * seed + (r.randrange(20) if r.random() < 0.3 else i), t) for i, t in corpus(seed, 60)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == component_of_rows(docs)
+    assert {x["component_id"] for x in got if x["doc_id"] in (3, 5, 7)} == {3}
+
+
+def test_different_texts_of_equal_polynomials(spark):
+    one, two = thue_morse(2048)
+    docs = [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, " ".join(one)), (4, " ".join(two))]
+    docs += [(i + 10, " ".join([w, *(f"c{j}" for j in range(25))])) for i, w in enumerate((one, two))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == want_components(docs, 3, 90)
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert removed == want_removed(docs, 20)
+    known = {r["doc_id"]: r["n_known"] for r in lattice_lm.score_documents(spark.createDataFrame([(7, one), (1, two)], "doc_id long, text string"), PIECES).collect()}
+    folds = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in (1, 7)}
+    assert folds == {1: True, 7: False} and known == {1: 1, 7: 2}
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    texts = ["one two three two", "three ONE", "", "a-word-of-many-bytes a-word-of-many-bytez two"]
+    monkeypatch.setattr(Words, "hashes", lambda self, seed=1: np.zeros(self.n, np.uint64))
+    found = Words(*text_buffers(pa.array(texts)), fold=True)
+    first, kind = found.distinct()
+    names = [w for t in texts for w in fold(t).split()]
+    assert len(first) == len(set(names)) and [names[first[k]] for k in kind] == names
+    values, bounds = exact_shingle_sets(found, 2)
+    assert np.diff(bounds).tolist() == [3, 1, 0, 2]
+    assert found.sequences() == [fold(t).encode() for t in texts]
+
+
+def test_products_count_shared_shingles(monkeypatch):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(ngram_join, "BLOCK_COLUMNS", 3)
+    sets = [set(r.integers(0, 60, r.integers(0, 40)).tolist()) | ({1, 2, 3, 4, 5} if i % 2 else set()) for i in range(30)]
+    values = np.concatenate([np.array(sorted(s), np.int64) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    left, right = np.arange(0, 20), np.arange(10, 30)
+    for dense in (1, 4, 10**6):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        got = ngram_join.overlap_product(values, bounds, left, right)
+        assert got.tolist() == [[len(sets[a] & sets[b]) for b in right] for a in left]
+    a, b = np.repeat([0, 1, 3], 29), np.concatenate([np.delete(np.arange(30), x) for x in (0, 1, 3)])
+    want = [2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y]) for x, y in zip(a, b)]
+    assert ngram_join.star_links(values, bounds, a, b, 50).tolist() == want
+
+
 def test_similar_sets_awkward(spark):
     got = ngram_join.jaccard_components(frame(spark)).collect()
     assert len(got) == len(ROWS)
