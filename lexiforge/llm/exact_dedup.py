@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, written
+from .common import fold_ascii, joined_by_weight, written
 
 #: Salts a digest group is split by in the second combine.
 SALTS = 8
@@ -42,15 +42,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     combined = salted.groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     key = ["digest", "second", "length"]
     second, length = F.xxhash64("content").alias("second"), F.octet_length("content").alias("length")
-    winners = written(combined.select("digest", second, length, "keep_id", "group_size"), "exact-winners")
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("content"))
+    winners = written(combined.select("digest", second, length, "keep_id", "group_size", *([] if digest is sha256 else [sha.alias("text_sha256")])), "exact-winners")
+    if digest is sha256:
+        winners = winners.withColumn("text_sha256", F.col("digest"))
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
     shared = winners.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     if shared.isEmpty():
-        found = rows.select("doc_id", "digest", second, length).join(winners, key)
-        sha = F.col("digest") if digest is sha256 else None
+        found = joined_by_weight(rows.select("doc_id", "digest", second, length), winners, key, "group_size", total, F.col("doc_id"))
     else:
-        found = rows.join(combined, ["digest", "content"])
-        sha = None
-    if sha is None:
-        found = found if "content" in found.columns else found.join(rows.select("doc_id", "content"), "doc_id")
-        sha = sha256(F.col("content"))
-    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), sha.alias("text_sha256"))
+        found = rows.join(combined.withColumn("text_sha256", sha), ["digest", "content"])
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")

@@ -15,7 +15,7 @@ from .secret_scan import scan_secrets
 from .shard_tree import shard_documents
 from .source_mix import mix_sources
 from .substring_dedup import substring_dedup
-from .telephony import read_audio, store_audio
+from .telephony import read_pcm, store_audio, store_pcm
 
 
 def vocabulary() -> str:
@@ -51,7 +51,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_audio(store_audio(documents(spark, sf_dir)))
+    return read_pcm(store_pcm(store_audio(documents(spark, sf_dir))))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 The rules' regular expressions are compiled together: Thompson's construction,
 subset construction over classes of bytes, and minimisation, into one array of
-transitions. A byte after which every state is the start state cuts a text into
-stretches that no match crosses; numpy runs the automaton over thousands of
-stretches at once, one table lookup per byte for all rules. Stretches where a
-rule accepts are then read by that rule's own automaton, which gives leftmost
-longest spans.
+transitions. Texts are cut into stretches, and numpy runs the automaton over
+thousands of them at once, one table lookup per byte for all rules. A byte after
+which every state is the start state gives a cut that no match crosses. Where no
+such byte comes, a stretch is cut anywhere and begun in the start state on
+trial; then the state that really leads into it is followed until both agree,
+mostly a few bytes. Stretches that a match may cross are put together again, and
+those where a rule accepts are read by that rule's own automaton, which gives
+leftmost longest spans.
 """
 
 from __future__ import annotations
@@ -260,8 +263,8 @@ class Automaton:
 
     def longest(self, data: bytes, at: int, end: int) -> int:
         """The end of the longest match that begins at `at`, or -1 (for an anchored automaton)."""
-        rows, state, found = self._rows(), 0, -1
-        accepts, dead = self._accepts, self._dead
+        rows, accepts = self.rows()
+        state, found, dead = 0, -1, self._dead
         while at < end:
             state = rows[state][data[at]]
             if state == dead:
@@ -271,13 +274,13 @@ class Automaton:
                 found = at
         return found
 
-    def _rows(self) -> list:
+    def rows(self) -> tuple[list, list]:
+        """The next state per state and byte, and what each state accepts, as lists."""
         if not hasattr(self, "_cached"):
-            self._cached = self.table[:, self.byte_class].tolist()
-            self._accepts = self.accepts.tolist()
+            self._cached = self.table[:, self.byte_class].tolist(), self.accepts.tolist()
             stuck = [s for s in range(len(self.table)) if (self.table[s] == s).all() and not self.accepts[s]]
             self._dead = stuck[0] if stuck else -1
-            self.begins = np.array([t != self._dead for t in self._cached[0]])
+            self.begins = np.array([t != self._dead for t in self._cached[0][0]])
         return self._cached
 
 
@@ -290,40 +293,59 @@ class Scanner:
         self.own = [Automaton([r.pattern], search=False) for r in rules]
         self.keeps = [r.keep and re.compile(r.keep.encode()) for r in rules]
 
-    def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of stretches that no match crosses; texts begin stretches."""
+    def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of stretches, and which begin at a cut that a match may cross; texts begin stretches."""
         cuts = np.flatnonzero(self.search.resets[data]) + 1
         want = np.arange(STRETCH, len(data), STRETCH)
         near = np.searchsorted(cuts, want)
         inner = cuts[near[near < len(cuts)]]
         bounds = np.unique(np.concatenate([offsets, inner]))
-        return bounds[:-1], bounds[1:]
-
-    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each stretch the bits of the rules that accept somewhere in it."""
+        size = np.diff(bounds)
+        many = np.where(size > 2 * STRETCH, -(-size // STRETCH), 1)
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(bounds[:-1], many) + within * STRETCH
+        return starts, np.append(starts[1:], bounds[-1:]), within > 0
+
+    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, trial: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch the bits of the rules that accept in it (or on trial), and the state it begins in."""
         order = np.argsort(starts - ends, kind="stable")
-        starts, length = starts[order], (ends - starts)[order]
+        first, length = starts[order], (ends - starts)[order]
         symbol, step = self.search.byte_class[data], self.search.step
-        bits = np.repeat(self.search.accepts, self.search.classes)[:: self.search.classes]
         state = np.zeros(len(starts), np.int32)
         seen = np.zeros(len(starts), np.int64)
         per_state = np.zeros(len(step), np.int64)
-        per_state[:: self.search.classes] = bits
+        per_state[:: self.search.classes] = self.search.accepts
         active = len(starts)
         for i in range(int(length[0]) if len(length) else 0):
             while active and length[active - 1] <= i:
                 active -= 1
-            now = step[state[:active] + symbol[starts[:active] + i]]
+            now = step[state[:active] + symbol[first[:active] + i]]
             state[:active] = now
             seen[:active] |= per_state[now]
-        out = np.zeros(len(starts), np.int64)
-        out[order] = seen
-        return out
+        found, last = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        found[order], last[order] = seen, state // self.search.classes
+        begin = np.zeros(len(starts), np.int64)
+        rows, accepts = self.search.rows()
+        for k in np.flatnonzero(trial).tolist():
+            begin[k] = true = int(last[k - 1])
+            tried, bits = 0, 0
+            for b in data[starts[k] : ends[k]].tobytes() if true else b"":
+                true, tried = rows[true][b], rows[tried][b]
+                bits |= accepts[true]
+                if true == tried:
+                    break
+            else:
+                last[k] = true if begin[k] else last[k]
+            found[k] |= bits
+        return found, begin
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """text -> (start, rule, end) in bytes of the slice, for texts that have any."""
-        starts, ends = self.stretches(data, offsets)
-        hits = self.hits(data, starts, ends)
+        starts, ends, trial = self.stretches(data, offsets)
+        hits, begin = self.hits(data, starts, ends, trial)
+        if len(starts):
+            whole = np.flatnonzero(begin == 0)  # no match is under way where these begin
+            starts, ends, hits = starts[whole], np.append(starts[whole[1:]], ends[-1]), np.bitwise_or.reduceat(hits, whole)
         raw, out = data.tobytes(), {}
         for s in np.flatnonzero(hits):
             a, b = int(starts[s]), int(ends[s])
@@ -331,7 +353,7 @@ class Scanner:
             for k, own in enumerate(self.own):
                 if not hits[s] >> k & 1:
                     continue
-                own._rows()
+                own.rows()
                 free = a
                 for at in (np.flatnonzero(own.begins[data[a:b]]) + a).tolist():
                     if at >= free and (end := own.longest(raw, at, b)) > 0:

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import drop_written, word_count, written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Cost of a token's first, second and third use; convex, so earlier uses fill first.
 REPEAT_COSTS = (0, 1, 3)
 #: The network is solved on the driver; more patterns than this are refused.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 200_000
 #: Hash buckets a pattern's documents are summed by.
 BUCKET_BITS = 12
 #: Times the hash order is gone through for what is left of the quotas, and then
@@ -56,48 +56,67 @@ def targets(sizes: Mapping, order: Sequence, weights: Sequence[float] = WEIGHTS,
 def route(capacity: Mapping[str, int], members: Mapping[str, Sequence], quota: Mapping, costs: Sequence[int] = REPEAT_COSTS) -> dict[str, int]:
     """Tokens taken of each pattern: a maximum flow of minimum cost.
 
-    Shortest augmenting paths; every pattern has one arc per use, with capacity
-    the pattern's tokens and that use's cost.
+    Every pattern has one arc per use, with capacity the pattern's tokens and
+    that use's cost; all other arcs are free. A shortest path costs as much as
+    the use it begins with, and such costs never fall again. So the uses are
+    opened one after another, cheapest first, and each time the flow is made
+    maximal by blocking flows.
     """
-    start, sink = ("start",), ("sink",)
-    arcs: list[list] = []  # to, left, cost; the reverse arc is the neighbour by xor 1
-    leaving: dict = {}
-
-    def arc(a, b, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            leaving.setdefault(x, []).append(len(arcs))
-            arcs.append([y, r, c])
-        return len(arcs) - 2
-
-    uses = {p: [arc(start, ("p", p), n, c) for c in costs] for p, n in capacity.items() if n > 0}
-    for p in uses:
+    patterns, sources = [p for p, n in capacity.items() if n > 0], list(quota)
+    place = {s: len(patterns) + i for i, s in enumerate(sources)}
+    start, sink = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    to, room, leaving = [], [], [[] for _ in range(sink + 1)]
+
+    def arc(a: int, b: int, n: int) -> int:
+        """The reverse arc is the neighbour by xor 1."""
+        for x, y, r in ((a, b, n), (b, a, 0)):
+            leaving[x].append(len(to))
+            to.append(y)
+            room.append(r)
+        return len(to) - 2
+
+    uses = [arc(start, i, 0) for i in range(len(patterns))]
+    for i, p in enumerate(patterns):
         for s in members[p]:
-            arc(("p", p), ("s", s), sum(quota.values()) + 1, 0)
+            arc(i, place[s], sum(quota.values()) + 1)
     for s, n in quota.items():
-        arc(("s", s), sink, n, 0)
-    while start in leaving and sink in leaving:
-        dist, via, queue, queued = {start: 0}, {}, deque([start]), {start}
-        while queue:
-            node = queue.popleft()
-            queued.discard(node)
-            for e in leaving[node]:
-                to, room, cost = arcs[e]
-                if room > 0 and dist[node] + cost < dist.get(to, float("inf")):
-                    dist[to], via[to] = dist[node] + cost, e
-                    if to not in queued:
-                        queued.add(to)
-                        queue.append(to)
-        if sink not in via:
-            break
-        path, node = [], sink
-        while node != start:
-            path.append(via[node])
-            node = arcs[via[node] ^ 1][0]
-        flow = min(arcs[e][1] for e in path)
-        for e in path:
-            arcs[e][1] -= flow
-            arcs[e ^ 1][1] += flow
-    return {p: sum(arcs[e ^ 1][1] for e in es) for p, es in uses.items()}
+        arc(place[s], sink, n)
+    order = sorted(costs)
+    for _ in order:
+        for i, p in enumerate(patterns):
+            room[uses[i]] += capacity[p]
+        while True:
+            level, queue = [-1] * (sink + 1), deque([start])
+            level[start] = 0
+            while queue:
+                node = queue.popleft()
+                for e in leaving[node]:
+                    if room[e] > 0 and level[to[e]] < 0:
+                        level[to[e]] = level[node] + 1
+                        queue.append(to[e])
+            if level[sink] < 0:
+                break
+            nth, path, node = [0] * (sink + 1), [], start
+            while True:  # one blocking flow: walk on, and step back from dead ends
+                if node == sink:
+                    flow = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, node = [], start
+                elif nth[node] < len(leaving[node]):
+                    e = leaving[node][nth[node]]
+                    if room[e] > 0 and level[to[e]] == level[node] + 1:
+                        path.append(e)
+                        node = to[e]
+                    else:
+                        nth[node] += 1
+                elif path:
+                    node = to[path.pop() ^ 1]
+                    nth[node] += 1
+                else:
+                    break
+    return {p: room[uses[i] ^ 1] for i, p in enumerate(patterns)}
 
 
 def _left(chosen: DataFrame) -> DataFrame:
@@ -138,12 +157,12 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
     * a null or empty array of sources belongs to no quota: nothing is taken
     * equal hashes fall back on the id; rows that repeat an id are chosen together in order
     * an empty table gives empty results; further columns of docs are ignored
-    * over max_patterns different patterns raise ValueError: the network is solved on the driver
+    * over max_patterns different patterns raise ValueError: the network, some arcs per pattern, is solved on the driver
     """
     spark = docs.sparkSession
     listed = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
-    sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.to_json(listed).alias("pattern"), word_count(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw")),
+    sizes = sized = written(
+        docs.select(F.col(id_col).alias("doc_id"), F.to_json(listed).alias("pattern"), word_count(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("draw")),
         "mix-sizes",
     )
     patterns = sized.groupBy("pattern").agg(F.sum("size").alias("tokens")).limit(max_patterns + 1).collect()
@@ -162,14 +181,19 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
     plan_rows = [(p, min(len(costs), flow.get(p, 0) // n) if n else 0, flow.get(p, 0) % n if n and flow.get(p, 0) < len(costs) * n else 0) for p, n in capacity.items()]
     plan = F.broadcast(spark.createDataFrame(plan_rows, "pattern string, base int, quota long"))  # at most max_patterns rows
 
-    chosen = written(sized.join(plan, "pattern").withColumn("extra", F.lit(0)), "mix-chosen")
+    def step(rows: DataFrame, before: DataFrame) -> DataFrame:
+        out = written(rows, "mix-chosen")
+        drop_written(before)
+        return out
+
+    chosen = step(sized.join(plan, "pattern").withColumn("extra", F.lit(0)), sizes)
     for _ in range(PASSES):
-        chosen = written(_next_pass(chosen), "mix-chosen")
+        chosen = step(_next_pass(chosen), chosen)
     for _ in range(FILLS):
         fits = chosen.join(F.broadcast(_left(chosen)), "pattern").where("extra = 0 and usable > 0 and usable <= left")
         fill = fits.groupBy("pattern").agg(F.max(F.struct("usable", "draw", "doc_id")).alias("best")).select("pattern", F.col("best.draw").alias("fill_draw"), F.col("best.doc_id").alias("fill_id"))
         hit = (F.col("draw") == F.col("fill_draw")) & F.col("doc_id").eqNullSafe(F.col("fill_id"))
-        chosen = written(chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when(hit, 1).otherwise(F.col("extra"))).drop("fill_draw", "fill_id"), "mix-chosen")
+        chosen = step(chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when(hit, 1).otherwise(F.col("extra"))).drop("fill_draw", "fill_id"), chosen)
     copies = F.when(F.col("usable") > 0, F.col("base") + F.col("extra")).otherwise(0)
     names = F.transform(F.from_json("pattern", "array<string>"), lambda s: F.when(s != "1", F.substring(s, 2, 1 << 30)))
     taken = chosen.select("doc_id", names.alias("sources"), "size", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

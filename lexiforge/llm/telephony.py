@@ -2,7 +2,8 @@
 
 mu-law and A-law codes are expanded by tables of 256 entries. ADPCM blocks are
 decoded side by side: numpy takes one nibble step for all blocks of a slice of
-documents at once. PCM is resampled by linear interpolation and stored as WAV.
+documents at once. PCM is resampled by linear interpolation and stored as WAV
+in a table of its own, from which it is read back.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices, text_buffers
+from .common import written
+from .words import slices
 
 RATE = 8000
 #: Payload unit: also the size of an ADPCM block (4 bytes of state, then two samples a byte).
@@ -156,43 +158,69 @@ def _levels(pcm: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [power, peak, np.add.reduceat(turns, first)]
 
 
-def read_audio(media: DataFrame, up: int = 2, down: int = 1, keep_pcm: bool = False) -> DataFrame:
-    """Reads stored files (doc_id, n_bytes, media) back and decodes them.
+def expand(data: np.ndarray, codec: str) -> np.ndarray:
+    """PCM of coded bytes; those of ADPCM are whole blocks."""
+    if codec == "ima_adpcm":
+        return decode_ima(data.reshape(-1, UNIT)).reshape(-1)
+    return {"mulaw": MULAW, "alaw": ALAW}[codec][data]
+
+
+def decode_audio(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
+    """Reads media files (doc_id, n_bytes, media) back and decodes them.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature; with keep_pcm also pcm, the WAV file of the mu-law
-    signal resampled by up / down. feature gives root mean square, peak and sign
-    changes of the bytes read as mu-law, as A-law and as ADPCM blocks, and the
-    crc32 of the resampled samples.
+    media_sha256, levels, pcm. pcm is the WAV file of the signal resampled by
+    up / down. levels gives root mean square, peak and sign changes of the bytes
+    read as mu-law, as A-law and as ADPCM blocks.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "levels", "pcm"]
+    kinds = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, levels string, pcm binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "media", 4 << 20):
+            for batch in slices(whole, "media", 2 << 20):
                 files = batch.column("media").to_pylist()
-                payloads = [read_wav(m)[2] for m in files]
+                codecs, _, payloads = zip(*map(read_wav, files))
                 data = np.frombuffer(b"".join(payloads), np.uint8)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
-                signal = MULAW[data]
-                mu, al = _levels(signal, offsets), _levels(ALAW[data], offsets)
+                mu, al = _levels(MULAW[data], offsets), _levels(ALAW[data], offsets)
                 ima = decode_ima(data.reshape(-1, UNIT))
-                per = ima.shape[1]
-                ad = _levels(ima.reshape(-1), offsets // UNIT * per)
-                pcm = [resample(signal[a:b], up, down).astype("<i2").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                feature = [
-                    f"mulaw:{mu[0][i]},{mu[1][i]},{mu[2][i]};alaw:{al[0][i]},{al[1][i]},{al[2][i]};adpcm:{ad[0][i]},{ad[1][i]},{ad[2][i]};pcm{RATE * up // down}:{len(p)},{zlib.crc32(p):08x}"
-                    for i, p in enumerate(pcm)
-                ]
+                ad = _levels(ima.reshape(-1), offsets // UNIT * ima.shape[1])
+                levels = [f"mulaw:{mu[0][i]},{mu[1][i]},{mu[2][i]};alaw:{al[0][i]},{al[1][i]},{al[2][i]};adpcm:{ad[0][i]},{ad[1][i]},{ad[2][i]}" for i in range(len(files))]
+                pcm = [wav(resample(expand(data[a:b], c), up, down).astype("<i2").tobytes(), "pcm", RATE * up // down) for c, a, b in zip(codecs, offsets[:-1], offsets[1:])]
                 columns = [
                     batch.column("doc_id"), batch.column("n_bytes"),
                     pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
                     pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                    pa.array(map(len, files), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in files]), pa.array(feature),
+                    pa.array(map(len, files), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in files]),
+                    pa.array(levels), pa.array(pcm, pa.binary()),
                 ]
-                if keep_pcm:
-                    columns.append(pa.array([wav(p, "pcm", RATE * up // down) for p in pcm], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=names + ["pcm"] * keep_pcm)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return media.mapInArrow(read, kinds)
+
+
+def store_pcm(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
+    """decode_audio() as a table in the shared folder."""
+    return written(decode_audio(media, up, down), "telephony-pcm", level=6)
+
 
-    return media.mapInArrow(read, kinds + ", pcm binary" * keep_pcm)
+def read_pcm(stored: DataFrame) -> DataFrame:
+    """Reads stored PCM files back: the columns of decode_audio() with `feature` for levels and pcm.
+
+    feature adds to the levels the rate, bytes, root mean square, peak, sign
+    changes and crc32 of the stored samples.
+    """
+    names = [c for c in stored.columns if c not in ("levels", "pcm")] + ["feature"]
+    kinds = ", ".join(f"{c} {stored.schema[c].dataType.simpleString()}" for c in names[:-1])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "pcm", 4 << 20):
+                _, rates, samples = zip(*map(read_wav, batch.column("pcm").to_pylist()))
+                offsets = np.concatenate([[0], np.cumsum([len(p) // 2 for p in samples])])
+                power, peak, turns = _levels(np.frombuffer(b"".join(samples), "<i2"), offsets)
+                feature = [f"{levels};pcm{rates[i]}:{len(samples[i])},{power[i]},{peak[i]},{turns[i]},{zlib.crc32(samples[i]):08x}" for i, levels in enumerate(batch.column("levels").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(feature)], names=names)
+
+    return stored.mapInArrow(read, kinds + ", feature string")
