@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, written
+from .common import id_crc, scope, written
 from .words import Words, slices, text_buffers
 
 #: Bytes of text whose distinct words are counted together.
@@ -127,6 +127,11 @@ def score_documents(docs: DataFrame, model_path: str, folds: int = 7, held_fold:
     * without training rows every token is unknown and pieces are equally likely
     * an empty table gives an empty result; further columns of docs are ignored
     """
+    with scope():
+        return written(_scores(docs, model_path, folds, held_fold, id_col, text_col), "scores", keep=True)
+
+
+def _scores(docs: DataFrame, model_path: str, folds: int, held_fold: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(id_crc(F.col(id_col)), F.lit(folds)) == held_fold, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

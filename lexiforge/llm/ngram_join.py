@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, joined_by_weight, written
+from .common import drop_written, joined_by_weight, scope, written
 from .graph import components
 from .words import Words, _mix, exact_shingle_sets, shingle_sets, slices, text_buffers
 
@@ -37,8 +38,8 @@ BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
 BLOCK_COLUMNS, DENSE = 4096, 32
 #: Documents of a block where counts are compared, and rows of a pack of small groups.
 SKETCH_DOCS, SKETCH_ROWS = 512, 6_000
-#: Rounds in which the members of a large group are compared with a pivot.
-PIVOTS = 4
+#: Groups of more documents than this meet pivots first; turns in which they do at most.
+PIVOT_DOCS, PIVOTS = 64, 8
 #: Pairs listed at once, and bytes of counts compared at once.
 PAIRS, COUNT_BYTES = 100_000, 2 << 20
 #: Bytes of text hashed at once.
@@ -288,35 +289,33 @@ def _compare_stars(percent: int):
     return compare
 
 
-def dealt(members: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
-    """Rows (group, node, label, weight) dealt to tasks: pack, i, j, side beside group, node and label.
+TASK = ["group", "node", "label"]
 
-    A group within the limits goes whole to one of the packs (side 2). Of a
-    larger one, the members with its main label (that of its smallest node) are
-    split into blocks by hash, and the others into blocks of their own. Each
-    pair of blocks is a task unless both are of the main label, with the first
-    block on side 0 and the second on side 1 (2 where they are one). Groups of
-    one label have nothing left to compare.
-    """
-    limit = most_weight or 1 << 60
-    groups = members.groupBy("group").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("main")).where("low <> high")
-    total = groups.agg(F.sum("weight"), F.sum("docs")).first()
-    packs = int(max((total[0] or 0) // limit, (total[1] or 0) // pack_docs)) + 1
-    blocks = lambda weight, docs: F.greatest(F.lit(1), F.ceil(F.greatest(weight / limit, docs / most_docs)))
-    known = groups.select("group", (blocks(F.col("weight"), F.col("docs")) == 1).alias("small"), "main", "docs")
-    placed = joined_by_weight(members, known, ["group"], "docs", total[1] or 0, F.col("node"))
+
+def packed(members: DataFrame, packs: int) -> DataFrame:
+    """Rows (group, node, label) of small groups dealt to tasks: pack, i, j, side; a group goes whole to a pack (side 2)."""
     none = F.lit(-1).cast("long")
-    packed = placed.where("small").select("group", "node", "label", F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), none.alias("i"), none.alias("j"), F.lit(2).alias("side"))
-    large = placed.where("not small").withColumn("of_main", F.col("label") == F.col("main"))
-    count = lambda c: blocks(F.sum(F.when(c, F.col("weight")).otherwise(0)), F.sum(c.cast("int")))
-    split = large.groupBy("group").agg(count(F.col("of_main")).alias("first"), count(~F.col("of_main")).alias("second"), F.count(F.lit(1)).alias("docs"))
-    large = joined_by_weight(large.drop("docs"), split, ["group"], "docs", total[1] or 0, F.col("node"))
+    return members.select(*TASK, F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), none.alias("i"), none.alias("j"), F.lit(2).alias("side"))
+
+
+def split(members: DataFrame, most_docs: int, most_weight: int | None = None) -> DataFrame:
+    """Rows (group, node, label, main, weight) of large groups dealt to tasks: pack, i, j, side beside group, node and label.
+
+    The members with the group's main label are split into blocks by hash, and
+    the others into blocks of their own. Each pair of blocks is a task unless
+    both are of the main label, with the first block on side 0 and the second on
+    side 1 (2 where they are one): a group whose others fill one block takes
+    work in proportion to its members.
+    """
+    of_main = F.col("label") == F.col("main")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(c, F.col("weight")).otherwise(0)) / (most_weight or 1 << 60), F.sum(c.cast("int")) / most_docs)))
+    counts = members.groupBy("group").agg(blocks(of_main).alias("first"), blocks(~of_main).alias("second"))
     hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    own = F.when(F.col("of_main"), hashed("first")).otherwise(F.col("first") + hashed("second"))
-    other = F.explode(F.sequence(F.when(F.col("of_main"), F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("second") - 1))
+    own = F.when(of_main, hashed("first")).otherwise(F.col("first") + hashed("second"))
+    other = F.explode(F.sequence(F.when(of_main, F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("second") - 1))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    large = large.withColumn("own", own).withColumn("other", other)
-    return packed.unionAll(large.select("group", "node", "label", F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")))
+    placed = members.join(counts, "group").withColumn("own", own).withColumn("other", other)
+    return placed.select(*TASK, F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
 
 
 def starred(pairs: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
@@ -330,11 +329,11 @@ def starred(pairs: DataFrame, most_docs: int, pack_docs: int, most_weight: int |
     total = pivots.agg(F.sum("weight"), F.sum("docs")).first()
     packs = int(max((total[0] or 0) // limit, (total[1] or 0) // pack_docs)) + 1
     blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("weight") / limit, F.col("docs") / most_docs)))
-    pivots = pivots.select("a", blocks.alias("blocks"), "docs")
+    pivots = pivots.select("a", blocks.alias("blocks"))
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("a"), F.lit(packs))).otherwise(F.col("a")).alias("pack")
     i = lambda c: F.when(F.col("blocks") == 1, F.lit(-1).cast("long")).otherwise(c).alias("i")
     rest = lambda node, side: [F.lit(0).cast("long").alias("j"), F.lit(side).alias("side"), F.col("a").alias("group"), F.col(node).alias("node"), F.col(node).alias("label")]
-    right = joined_by_weight(pairs.select("a", "b"), pivots, ["a"], "docs", total[1] or 0, F.col("b")).select(pack, i(F.pmod(F.xxhash64("b"), F.col("blocks"))), *rest("b", 1))
+    right = pairs.select("a", "b").join(pivots, "a").select(pack, i(F.pmod(F.xxhash64("b"), F.col("blocks"))), *rest("b", 1))
     left = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(pack, i(F.col("block")), *rest("a", 0))
     return right.unionAll(left)
 
@@ -447,63 +446,77 @@ def _multiply_stars(size: int, percent: int):
 
 
 class _Join:
-    """The tables that the steps of one join share: texts, and class nodes with sketches."""
+    """The tables that the steps of one join share: texts, class nodes with sketches, and the links so far."""
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, size: int, percent: int):
         self.rows, self.nodes, self.size, self.percent = rows, nodes, size, percent
         self.counts = nodes.select("node", "n", "sketch")
-        self.links, self.labels = None, None
-
-    def add(self, links: DataFrame) -> None:
-        """Takes links over, and labels every node by what all links so far reach."""
-        self.links = links if self.links is None else self.links.unionAll(links)
-        self.labels = written(components(self.links), "jaccard-labels")
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        self.links: list[DataFrame] = []
 
     def with_texts(self, tasks: DataFrame) -> DataFrame:
         """Rows of tasks with the texts of their nodes."""
         need = written(tasks, "jaccard-tasks")
         keys = written(need.select("node").distinct().join(self.nodes.select("node", "doc_id", "text_key", "seq"), "node"), "jaccard-keys")
         same = self.rows["doc_id"].eqNullSafe(keys["doc_id"]) & (self.rows["text_key"] == keys["text_key"])
-        texts = self.rows.join(keys, same).select("node", "seq", "text")
-        return need.join(texts, "node")
+        return need.join(self.rows.join(keys, same).select("node", "seq", "text"), "node")
 
-    def pivot(self, members: DataFrame, most_docs: int, turn: int) -> bool:
-        """Compares the members of groups over most_docs and of several labels with one of them; False where there are none.
+    def thinned(self, members: DataFrame, most_docs: int) -> DataFrame:
+        """Rows (group, node, label, main, weight) of large groups (group, node, weight) that are not one component yet.
 
-        The pivot is the node of the smallest hash in this turn: groups that
-        share most of their members mostly share it, too.
+        Each turn draws a pivot for every group, the node of the smallest hash:
+        groups that share most of their members mostly share it, too. Each node
+        is compared with one pivot, of those of its groups the one that it
+        shares most groups with, and takes its label where they link. Further
+        turns go over groups of which more than a block stays apart. A group's
+        main label is that of its last pivot.
         """
-        drawn = F.min_by(F.struct("label", "node"), F.xxhash64("node", F.lit(turn))).alias("pivot")
-        groups = self.labelled(members).groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high"), drawn)
-        groups = written(groups.where(F.col("docs") > most_docs).where("low <> high").select("group", F.col("pivot.node").alias("a"), F.col("pivot.label").alias("own"), "docs"), "jaccard-pivots")
-        total = groups.agg(F.sum("docs")).first()[0]
-        if not total:
-            return False
-        pairs = joined_by_weight(self.labelled(members), groups, ["group"], "docs", total, F.col("node")).where("label <> own")
-        pairs = written(pairs.select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n")).distinct(), "jaccard-pairs")
-        near = written(starred(pairs, SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node").groupBy("pack", "i").applyInArrow(_compare_stars(self.percent), LINKS + ", n long"), "jaccard-near-pairs")
-        tasks = self.with_texts(starred(near, BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
-        self.add(written(tasks.groupBy("pack", "i").applyInArrow(_multiply_stars(self.size, self.percent), LINKS), "jaccard-links"))
-        return True
-
-    def compare(self, members: DataFrame) -> DataFrame:
-        """Clusters (node, group) of what can link by counts."""
-        near = dealt(self.labelled(members), SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node")
-        return written(components(near.groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)).withColumnRenamed("component", "group"), "jaccard-clusters")
-
-    def multiply(self, members: DataFrame) -> None:
-        """Links within clusters, by products of blocks."""
-        tasks = self.with_texts(dealt(self.labelled(members), BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
-        self.add(written(tasks.groupBy("pack", "i", "j").applyInArrow(_multiply(self.size, self.percent), LINKS), "jaccard-links"))
-
-
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id; one row per row of docs.
+        rows = members.withColumn("label", F.col("node"))
+        for turn in range(PIVOTS):
+            drawn = rows.groupBy("group").agg(F.min_by(F.struct("label", "node"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
+            drawn = written(drawn.select("group", F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("own")), "jaccard-pivots")
+            meet = rows.join(drawn, "group").where("label <> own").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("often"))
+            pairs = written(meet.groupBy("node").agg(F.max_by("pivot", F.struct("often", "pivot")).alias("a")).select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n")), "jaccard-pairs")
+            near = written(starred(pairs, SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node").groupBy("pack", "i").applyInArrow(_compare_stars(self.percent), LINKS + ", n long"), "jaccard-near-pairs")
+            tasks = self.with_texts(starred(near, BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
+            links = written(tasks.groupBy("pack", "i").applyInArrow(_multiply_stars(self.size, self.percent), LINKS), "jaccard-links")
+            self.links.append(links)
+            # A pivot may have found a pivot of its own: one step further.
+            parents = links.select(F.col("a").alias("up"), F.col("b").alias("node"))
+            further = parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top"))
+            rows = rows.join(further, "node", "left").select("group", "node", "weight", F.coalesce("top", "label").alias("label")).join(drawn.select("group", "pivot"), "group")
+            rows = written(rows, "jaccard-labelled")
+            state = rows.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main")).where("low <> high")
+            rows = written(rows.drop("pivot").join(state.select("group", "main"), "group"), "jaccard-apart")
+            if not rows.where("label <> main").groupBy("group").count().where(F.col("count") > most_docs).limit(1).count():
+                break
+        return rows
+
+    def compare(self, meets: DataFrame) -> DataFrame:
+        """Clusters (node, group) of what can link by counts; meets: (group, node, many)."""
+        small = meets.where(F.col("many") <= PIVOT_DOCS).withColumn("label", F.col("node"))
+        large = meets.where(F.col("many") > PIVOT_DOCS).select("group", "node", F.lit(1).cast("long").alias("weight"))
+        tasks = packed(small, small.count() // SKETCH_ROWS + 1)
+        if large.limit(1).count():
+            tasks = tasks.unionAll(split(self.thinned(large, SKETCH_DOCS), SKETCH_DOCS))
+        near = tasks.join(self.counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)
+        return written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
+
+    def multiply(self, clusters: DataFrame) -> None:
+        """Links within clusters (group, node), by products of blocks."""
+        members = clusters.join(self.nodes.select("node", F.col("n").alias("weight")), "node")
+        groups = members.groupBy("group").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("docs"))
+        groups = written(groups.withColumn("small", (F.col("all") <= BLOCK_SHINGLES) & (F.col("docs") <= BLOCK_DOCS)), "jaccard-sizes")
+        total = groups.agg(F.sum("all"), F.sum("docs"), F.sum((~F.col("small")).cast("int"))).first()
+        rows = members.join(groups.select("group", "small"), "group").select("group", "node", "weight", "small")
+        small = rows.where("small").withColumn("label", F.col("node"))
+        tasks = packed(small, int(max((total[0] or 0) // BLOCK_SHINGLES, (total[1] or 0) // BLOCK_DOCS)) + 1)
+        if total[2]:
+            tasks = tasks.unionAll(split(self.thinned(written(rows.where("not small").drop("small"), "jaccard-large"), BLOCK_DOCS), BLOCK_DOCS, BLOCK_SHINGLES))
+        self.links.append(written(self.with_texts(tasks).groupBy("pack", "i", "j").applyInArrow(_multiply(self.size, self.percent), LINKS), "jaccard-links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id; one row per row of docs. With with_key also text_key, xxhash64 of the text.
 
     Documents link when 100 * intersection >= percent * union of their sets of
     `size`-word shingles (A-Z lower-cased). component_id is the smallest id that
@@ -515,40 +528,36 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     * a null id is carried through without a component unless links reach an id; null ids are documents of their own
     * an empty table gives an empty result; further columns of docs are ignored
     """
+    with scope():
+        found = _components_of(docs, size, percent, id_col, text_col)
+        return written(found if with_key else found.drop("text_key"), "jaccard", keep=True)
+
+
+def _components_of(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     signed = written(rows.mapInArrow(_signatures(size, percent), SIGNED).withColumn("row", F.monotonically_increasing_id()), "jaccard-signatures")
     filled = signed.where("n > 0")
     classes = written(filled.groupBy("seq").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many")), "jaccard-classes")
     total = classes.agg(F.sum("many")).first()[0] or 0
-    own = joined_by_weight(filled.select("doc_id", "n", "row", "seq"), classes, ["seq"], "many", total, F.col("row")).select("doc_id", "n", "node", "rep")
-    found = written(own.unionAll(signed.where("n = 0").select("doc_id", "n", F.col("row").alias("node"), F.col("doc_id").alias("rep"))), "jaccard-found")
+    own = joined_by_weight(filled.select("doc_id", "text_key", "n", "row", "seq"), classes, ["seq"], "many", total, F.col("row")).select("doc_id", "text_key", "n", "node", "rep")
+    found = written(own.unionAll(signed.where("n = 0").select("doc_id", "text_key", "n", F.col("row").alias("node"), F.col("doc_id").alias("rep"))), "jaccard-found")
     nodes = written(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
     drop_written(signed)
 
     buckets = nodes.select("node", F.explode("sigs").alias("group"))
     shared = written(buckets.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "jaccard-shared")
-    total = shared.agg(F.sum("many")).first()[0] or 0
-    meets = written(joined_by_weight(buckets, shared, ["group"], "many", total, F.col("node")).select("group", "node", F.lit(1).cast("long").alias("weight"), "many"), "jaccard-meets")
-
+    meets = written(buckets.join(shared, "group"), "jaccard-meets")
     join = _Join(rows, nodes, size, percent)
-    large = meets.where(F.col("many") > SKETCH_DOCS).drop("many")
-    for turn in range(PIVOTS):
-        if not join.pivot(large, SKETCH_DOCS, turn):
-            break
-    clusters = join.compare(meets.drop("many")).join(nodes.select("node", F.col("n").alias("weight")), "node")
-    for turn in range(PIVOTS):
-        if not join.pivot(clusters, BLOCK_DOCS, turn):
-            break
-    join.multiply(clusters)
+    join.multiply(join.compare(meets))
 
     # Rows that repeat an id tie their classes together.
     known = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count(F.lit(1)).alias("times")).where("a <> last")
     ties = known.select("a", "doc_id").join(found.select("doc_id", F.col("node").alias("b")), "doc_id").where("a <> b").select("a", "b").distinct()
-    reached = written(components(join.links.unionAll(ties)), "jaccard-components")
+    reached = written(components(reduce(DataFrame.unionAll, join.links, ties)), "jaccard-components")
     one = F.lit(1).cast("long").alias("many")
     reps = reached.join(classes.select("node", "rep", "many").unionAll(found.where("n = 0").select("node", "rep", one)), "node")
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = reps.join(least, "component").select("node", "component_id", "many")
     out = joined_by_weight(found, of_node, ["node"], "many", found.count(), F.col("doc_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -138,15 +138,17 @@ def _next_pass(chosen: DataFrame) -> DataFrame:
     upto = F.sum("tokens").over(W.partitionBy("pattern").orderBy("bucket"))
     ends = sums.withColumn("upto", upto).where("tokens > 0 and upto > left and upto - tokens <= left").select("pattern", F.col("bucket").alias("last"), (F.col("left") - F.col("upto") + F.col("tokens")).alias("room"))
     rows = rows.join(F.broadcast(ends), "pattern", "left")
-    running = F.sum("fits").over(W.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    running = F.sum("fits").over(W.partitionBy("pattern").orderBy("draw", "doc_id", "text_key").rowsBetween(W.unboundedPreceding, 0))
     at_end = rows.where("bucket = last").withColumn("take", (F.col("fits") > 0) & (running <= F.col("room")))
     others = rows.where("last is null or bucket <> last").withColumn("take", (F.col("fits") > 0) & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))))
     both = at_end.unionByName(others)
-    return both.select("pattern", "doc_id", "size", "draw", "usable", "base", "quota", F.when(F.col("take"), 1).otherwise(F.col("extra")).alias("extra"))
+    return both.select("pattern", "doc_id", "text_key", "size", "draw", "usable", "base", "quota", F.when(F.col("take"), 1).otherwise(F.col("extra")).alias("extra"))
 
 
 def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, costs: Sequence[int] = REPEAT_COSTS, seed: int = 17, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sources, size, copies, taken) per row of docs, and (source, source_size, target).
+    """(doc_id, text_key, sources, size, copies, taken) per row of docs, and (source, source_size, target).
+
+    text_key is xxhash64 of the text: with doc_id it tells rows apart.
 
     sources is a column: the array of sources of a document (null elements are a
     source of their own, ordered last). Whole documents are taken, each at most
@@ -161,8 +163,9 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     listed = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sizes = sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.to_json(listed).alias("pattern"), word_count(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("draw")),
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.to_json(listed).alias("pattern"), word_count(text).alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("draw")),
         "mix-sizes",
     )
     patterns = sized.groupBy("pattern").agg(F.sum("size").alias("tokens")).limit(max_patterns + 1).collect()
@@ -191,11 +194,11 @@ def mix_sources(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str
         chosen = step(_next_pass(chosen), chosen)
     for _ in range(FILLS):
         fits = chosen.join(F.broadcast(_left(chosen)), "pattern").where("extra = 0 and usable > 0 and usable <= left")
-        fill = fits.groupBy("pattern").agg(F.max(F.struct("usable", "draw", "doc_id")).alias("best")).select("pattern", F.col("best.draw").alias("fill_draw"), F.col("best.doc_id").alias("fill_id"))
-        hit = (F.col("draw") == F.col("fill_draw")) & F.col("doc_id").eqNullSafe(F.col("fill_id"))
-        chosen = step(chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when(hit, 1).otherwise(F.col("extra"))).drop("fill_draw", "fill_id"), chosen)
+        fill = fits.groupBy("pattern").agg(F.max(F.struct("usable", "draw", "doc_id", "text_key")).alias("best")).select("pattern", "best")
+        hit = F.struct("usable", "draw", "doc_id", "text_key").eqNullSafe(F.col("best"))
+        chosen = step(chosen.join(F.broadcast(fill), "pattern", "left").withColumn("extra", F.when(hit, 1).otherwise(F.col("extra"))).drop("best"), chosen)
     copies = F.when(F.col("usable") > 0, F.col("base") + F.col("extra")).otherwise(0)
     names = F.transform(F.from_json("pattern", "array<string>"), lambda s: F.when(s != "1", F.substring(s, 2, 1 << 30)))
-    taken = chosen.select("doc_id", names.alias("sources"), "size", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    taken = chosen.select("doc_id", "text_key", names.alias("sources"), "size", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
     goals = spark.createDataFrame([(None if s == "1" else s[1:], total[s], float(target[s])) for s in order], "source string, source_size long, target double")
     return taken, goals

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ from messy import empty, fold, frame, rows, thue_morse, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiforge.llm import lattice_lm, ngram_join, source_mix, substring_dedup
+from lexiforge.llm import common, lattice_lm, ngram_join, source_mix, substring_dedup
 from lexiforge.llm.graph import components
 from lexiforge.llm.words import Words, exact_shingle_sets, shingle_sets, text_buffers
 
@@ -173,6 +174,7 @@ def test_similar_sets(spark, size, percent, seed):
 def test_similar_sets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
     monkeypatch.setattr(ngram_join, "SKETCH_DOCS", 5)
+    monkeypatch.setattr(ngram_join, "PIVOT_DOCS", 4)
     docs = [(i, " ".join(f"s{(j * (1 if j % 40 else i % 3 + 1))}" for j in range(90))) for i in range(40)]
     got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want_components(docs, 3, 90)
@@ -180,7 +182,7 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
 
 def test_large_groups_meet_pivots(spark, monkeypatch):
     """Copies of one text beyond all limits, with some that no pivot reaches: equal to brute force, in linear work."""
-    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("BLOCK_SHINGLES", 1500)):
+    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("BLOCK_SHINGLES", 1500)):
         monkeypatch.setattr(ngram_join, name, n)
     r = random.Random(8)
     base = [f"b{i}" for i in range(150)]
@@ -193,8 +195,8 @@ def test_large_groups_meet_pivots(spark, monkeypatch):
     for k in range(6):  # share a third of it
         docs.append((500 + k, " ".join(base[:50] + [f"y{k}.{j}" for j in range(100)])))
     work = []
-    plain = ngram_join.dealt
-    monkeypatch.setattr(ngram_join, "dealt", lambda members, *a: work.append((members.count(), plain(members, *a).count())) or plain(members, *a))
+    plain = ngram_join.split
+    monkeypatch.setattr(ngram_join, "split", lambda members, *a: work.append((members.count(), plain(members, *a).count())) or plain(members, *a))
     got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want_components(docs, 3, 90)
     assert work and all(dealt <= 3 * members for members, dealt in work)
@@ -326,25 +328,60 @@ def test_components(spark):
 # -- pipeline
 
 
+def awkward_documents(spark):
+    """The awkward rows with repeats, null ids, one id of two texts and columns that clash with the stages' own."""
+    docs = frame(spark)
+    more = [(None, ROWS[3][1] + " more words", "en", "src0"), (None, ROWS[4][1] + " other words", None, "src1"), (None, "x y z", "en", None), (None, "x y z", "en", None), (5, "an id of two texts", "en", "src2")]
+    rows = spark.createDataFrame([(*m, 1) for m in more], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(rows, allowMissingColumns=True)
+    for c in ("id_key", "text_key", "copies", "mix_copies", "pred", "label", "node", "size"):
+        docs = docs.withColumn(c, F.lit(1))
+    return docs
+
+
 def test_pipeline_stages(spark):
-    docs = frame(spark).select("doc_id", "text", "lang", "source", "n_chars").distinct()
+    docs = awkward_documents(spark)
     names = docs.columns
     kept = corpus_pipeline.language(spark, docs, "")
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == names and not ids & {100, 101, 102, 103} and ids >= set(range(60))
+    assert all(r["lang"] for r in kept.collect())
     single = corpus_pipeline.exact(spark, kept, "")
     left = single.collect()
-    assert len({fold(r["text"]) for r in left}) == len(left) == len({fold(r["text"]) for r in kept.collect()})
+    last = {}
+    for r in kept.collect():
+        last[fold(r["text"])] = max((r["doc_id"] is not None, r["doc_id"] or 0), last.get(fold(r["text"]), (False, 0)))
+    want = {t: i if has else None for t, (has, i) in last.items()}
+    assert single.columns == names and len(left) == len(want) and {fold(r["text"]): r["doc_id"] for r in left} == want
     near = corpus_pipeline.near(spark, single, "")
-    want = {c for _, c in want_components([(r["doc_id"], r["text"]) for r in left], 5, 80).values()}
-    assert {r["doc_id"] for r in near.collect()} == want and near.columns == names
+    ids = [(i, r["text"]) for i, r in enumerate(left)]
+    groups = want_components(ids, 5, 80)
+    stay = []
+    for i, (_, group) in groups.items():
+        members = [left[j]["doc_id"] for j, (_, g) in groups.items() if g == group]
+        least = min((m for m in members if m is not None), default=None)
+        stay += [(left[i]["doc_id"], left[i]["text"])] * (left[i]["doc_id"] == least)
+    found = near.collect()
+    assert near.columns == names and sorted(map(str, stay)) == sorted(str((r["doc_id"], r["text"])) for r in found)
     mixed = corpus_pipeline.mix(spark, near, "")
-    counts = Counter(r["doc_id"] for r in mixed.collect())
-    assert mixed.columns == names and counts and max(counts.values()) <= 3 and set(counts) <= want
+    taken, _ = source_mix.mix_sources(near, F.array("source"))
+    counts = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    assert mixed.columns == names and max(counts.values()) <= 3 and sum(counts.values()) == sum(r["copies"] for r in taken.collect()) > 0
     tokens = corpus_pipeline.tokens(spark, mixed, "").collect()
     assert len(tokens) == sum(counts.values()) and all(len(r["ids"]) == r["n_tokens"] for r in tokens)
 
 
+def test_pipeline_leaves_only_its_last_input(spark, tmp_path):
+    awkward_documents(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    root = Path(common.shared_dir(spark)) / "lexiforge"
+    common.release()
+    assert not root.exists() or not list(root.iterdir())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in root.iterdir()] == ["stage-mix"]
+    common.release()
+    assert not list(root.iterdir())
+
+
 def test_pipeline_on_empty(spark):
     docs = empty(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
