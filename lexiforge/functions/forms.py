@@ -7,19 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An example paradigm: form name -> (ending to cut, ending to add, prefix).
-WEAK = {"infinitive": ("", "", ""), "present": ("en", "t", ""), "past": ("en", "te", ""), "participle": ("en", "t", "ge")}
 
+def paradigm(word: Column, rules: Mapping[str, tuple[str, str, str]]) -> Column:
+    """Map from form to its name, by rules name -> (ending to cut, ending to add, prefix).
 
-def paradigm(word: Column, rules: Mapping[str, tuple[str, str, str]] = WEAK) -> Column:
-    """Map from form to its name; the first name wins where forms coincide."""
+    The first name wins where forms coincide.
+    """
+    return F.map_from_entries(_first_names(_entries(word, rules)))
+
+
+def closed_paradigm(word: Column, rules: Mapping[str, tuple[str, str, str]], swaps: Sequence[tuple[str, str]]) -> Column:
+    """As paradigm(), with the spelling variants of every form under the form's name; true forms come first."""
+    plain = _entries(word, rules)
+    spelt = F.flatten(F.transform(plain, lambda e: F.transform(variants(e["form"], swaps), lambda v: F.struct(v.alias("form"), e["name"].alias("name")))))
+    return F.map_from_entries(_first_names(F.concat(plain, spelt)))
+
+
+def _first_names(found: Column) -> Column:
+    return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["form"]), x["form"]) == i + 1)
+
+
+def _entries(word: Column, rules: Mapping[str, tuple[str, str, str]]) -> Column:
     entries = []
     for name, (cut, add, prefix) in rules.items():
         stem = F.when(F.lit(cut == ""), word).when(F.endswith(word, F.lit(cut)), F.expr(f"left({_name(word)}, length({_name(word)}) - {len(cut)})"))
         entries.append(F.when(stem.isNotNull(), F.struct(F.concat(F.lit(prefix), stem, F.lit(add)).alias("form"), F.lit(name).alias("name"))))
-    found = F.array_compact(F.array(*entries))
-    fresh = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["form"]), x["form"]) == i + 1)
-    return F.map_from_entries(fresh)
+    return F.array_compact(F.array(*entries))
 
 
 def _name(word: Column) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = r"\p{L}+"
@@ -71,6 +72,22 @@ def window_around(text: Column, at: Column, radius: int) -> Column:
     return F.when(at > 0, F.substring(text, start, at + radius - start)).otherwise(F.substring(text, F.lit(1), F.lit(2 * radius)))
 
 
+def split_at_middle(df: DataFrame, text: str, term: str) -> DataFrame:
+    """Rows that hold a term (lower case), with before, keyword and after: split at the term's
+    occurrence nearest the middle (the left one of two), widened to the whole run of letters."""
+    low, n = F.lower(text), len(term)
+    rows = df.where(low.contains(term)).withColumn("_mid", F.floor(F.char_length(text) / 2).cast("int") + 1)
+    right = F.expr(f"locate('{term}', lower(`{text}`), _mid)")
+    back = F.instr(F.reverse(F.substring(low, F.lit(1), F.col("_mid") + n - 2)), term[::-1])
+    left = F.when(back > 0, F.col("_mid") - back)
+    nearest = F.when((right == 0) | (F.col("_mid") - left <= right - F.col("_mid")), left).otherwise(right)
+    cut = rows.withColumn("_at", F.coalesce(nearest, right))
+    cut = cut.withColumn("_b", F.substring(text, F.lit(1), F.col("_at") - 1)).withColumn("_a", F.substring(text, F.col("_at") + n, F.char_length(text)))
+    x, y = F.regexp_extract("_b", r"\p{L}+$", 0), F.regexp_extract("_a", r"^\p{L}+", 0)
+    out = cut.withColumn("before", F.substring("_b", F.lit(1), F.char_length("_b") - F.char_length(x))).withColumn("keyword", F.concat(x, F.substring(text, F.col("_at"), F.lit(n)), y)).withColumn("after", F.substring("_a", F.char_length(y) + 1, F.char_length("_a")))
+    return out.drop("_mid", "_at", "_a", "_b")
+
+
 def ladder(rules: Sequence[tuple[Column, object]], otherwise: object = None) -> Column:
     """The value of the first rule that holds."""
     out = None
@@ -91,36 +108,59 @@ def rewritten(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
-#: An example of spelling rules: old digraphs and doubled letters to modern ones.
-SPELLING = (("ck", "k"), ("gh", "g"), ("ae", "aa"), ("y", "i"), ("([a-z])\\1", "$1"))
+@dataclass(frozen=True)
+class Rule:
+    """A named rewriting of spellings; patterns may look around and refer back."""
+
+    name: str
+    pattern: str
+    replacement: str
 
 
-def spelling_key(text: Column, rules: Sequence[tuple[str, str]] = SPELLING) -> Column:
-    """Normal form after the spelling rules."""
-    return rewritten(normal(text), rules)
+def spelling_key(text: Column, rules: Sequence[Rule], skip: Sequence[str] = ()) -> Column:
+    """Normal form after the rules in order, without those named in skip."""
+    return rewritten(normal(text), [(r.pattern, r.replacement) for r in rules if r.name not in skip])
 
 
-def fired_rules(text: Column, rules: Sequence[tuple[str, str]] = SPELLING) -> Column:
-    """Patterns of the rules that change the text, in order."""
+def fired_rules(text: Column, rules: Sequence[Rule], skip: Sequence[str] = ()) -> Column:
+    """Names of the rules that change the text, in order."""
     out, now = [], normal(text)
-    for pattern, replacement in rules:
-        after = F.regexp_replace(now, pattern, replacement)
-        out.append(F.when(after != now, F.lit(pattern)))
-        now = after
+    for r in rules:
+        if r.name not in skip:
+            after = F.regexp_replace(now, r.pattern, r.replacement)
+            out.append(F.when(after != now, F.lit(r.name)))
+            now = after
     return F.array_compact(F.array(*out))
 
 
-def loose_key(text: Column) -> Column:
-    """Doubled consonants squeezed."""
-    return F.regexp_replace(normal(text), r"([b-df-hj-np-tv-z])\1+", "$1")
+def eligible(text: Column, least: int = 3) -> Column:
+    """Whether a spelling key stands for anything: one word of so many letters."""
+    return normal(text).rlike(rf"^\p{{L}}{{{least},}}$")
+
 
+def loose_key(text: Column, prefixes: Sequence[str] = ()) -> Column:
+    """Doubled consonants squeezed, and a prefix written twice written once."""
+    out = F.regexp_replace(normal(text), r"([b-df-hj-np-tv-z])\1+", "$1")
+    return F.regexp_replace(out, rf"^({'|'.join(prefixes)})\1", "$1") if prefixes else out
 
-def phonetic_key(text: Column) -> Column:
-    """Sounds that look alike in old print, folded: digraphs, then single letters, then doubles."""
+
+def sound_key(text: Column, pairs: Sequence[tuple[str, str]], letters: tuple[str, str] = ("", "")) -> Column:
+    """Letters that sound alike folded: groups by `pairs` in order, single ones by `letters`, repeats squeezed."""
     out = normal(text)
-    for pair, one in (("ph", "f"), ("th", "t"), ("ch", "g"), ("sz", "s"), ("qu", "kw")):
-        out = F.replace(out, F.lit(pair), F.lit(one))
-    return F.regexp_replace(F.translate(out, "czvydx", "ksfits"), r"(.)\1+", "$1")
+    for group, one in pairs:
+        out = F.replace(out, F.lit(group), F.lit(one))
+    return F.regexp_replace(F.translate(out, *letters), r"(.)\1+", "$1")
+
+
+def swapped(word: Column, swaps: Sequence[tuple[str, str]]) -> Column:
+    """Array of (other, swap): the word with one occurrence of one of the swaps carried out."""
+
+    def one(a: str, b: str) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(word) - len(a) + 1))
+        at = F.filter(places, lambda i: F.substring(word, i, F.lit(len(a))) == a)
+        return F.transform(at, lambda i: F.struct(F.concat(F.substring(word, F.lit(1), i - 1), F.lit(b), F.substring(word, i + len(a), F.char_length(word))).alias("other"), F.lit(f"{a}>{b}").alias("swap")))
+
+    return F.concat(*(one(a, b) for a, b in swaps))
 
 
 def strip_tags(html: Column) -> Column:

@@ -15,16 +15,7 @@ def term_counts(tokens: DataFrame, keys: Sequence[str], term: str = "token") ->
     return tokens.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cooccurrence(docs: DataFrame, doc: str, words: str, targets: Sequence[str], radius: int) -> DataFrame:
-    """(target, collocate, doc) once each: words within radius of a document's first use of a target."""
-    listed = F.array(*(F.lit(t) for t in targets))
-    hits = docs.select(doc, words, F.explode(F.array_intersect(listed, F.col(words))).alias("target")).withColumn("at", F.array_position(words, F.col("target")))
-    start = F.greatest(F.lit(1), F.col("at") - radius).cast("int")
-    near = F.concat(F.slice(words, start, (F.col("at") - start).cast("int")), F.slice(words, (F.col("at") + 1).cast("int"), F.lit(radius)))
-    return hits.select(doc, "target", F.explode(F.array_distinct(F.filter(near, lambda w: w != F.col("target")))).alias("collocate"))
-
-
-def cooccurrence_all(docs: DataFrame, doc: str, words: str, targets: Sequence[str], radius: int, piece: int = 1000) -> DataFrame:
+def cooccurrence(docs: DataFrame, doc: str, words: str, targets: Sequence[str], radius: int, piece: int = 1000) -> DataFrame:
     """(target, collocate, doc) once each: words within radius of any use of a target in a document.
 
     Words are taken in pieces that overlap by the radius, so no row holds more
@@ -111,8 +102,15 @@ def tag_histogram(df: DataFrame, tags: Column, missing: str = "(missing)") -> Da
 
 
 def tag_union(df: DataFrame, keys: Sequence[str], tags: Column, separator: str = "|") -> DataFrame:
-    """Sorted union of the groups' tag sets."""
-    return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tags)))), separator).alias("tags"))
+    """Sorted union of the groups' tag sets; each tag of a group is gathered once."""
+    single = df.select(*keys, F.explode_outer(tags).alias("_tag")).distinct()
+    return single.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_tag")), separator).alias("tags"))
+
+
+def first_values(df: DataFrame, keys: Sequence[str], value: str, k: int, name: str, separator: str = "|") -> DataFrame:
+    """The first k distinct values of each key in order, joined; no key's values are gathered beyond k."""
+    few = top_k(df.select(*keys, value).distinct(), keys, [F.asc(value)], k)
+    return few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), separator).alias(name))
 
 
 def weighted_collapse(df: DataFrame, key: str, value: str, weight: str, variant: str) -> DataFrame:
@@ -144,6 +142,22 @@ def top_collocates(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["target"], [F.desc("pmi"), F.desc("n_pair"), F.asc("collocate")], k)
 
 
+def capped_collocates(pairs: DataFrame, counts: DataFrame, total: str, works: DataFrame, work: str, order: Column, cap: int, least: int, k: int) -> DataFrame:
+    """target, collocate, n_pair, n_all, log_dice: the k strongest collocates of each target.
+
+    pairs are (doc, target, collocate), works (doc, target, <work>): of each work
+    and target at most cap documents count, by a seeded order. counts are the
+    collocates' counts over all pairs, `total` its column. Collocates of fewer
+    than `least` documents don't count.
+    """
+    doc = [c for c in works.columns if c not in ("target", work)]
+    some = top_k(works, [work, "target"], [order, *doc], cap, "_turn").drop("_turn", work)
+    sizes = some.groupBy("target").agg(F.count(F.lit(1)).alias("n_target"))
+    joint = pairs.join(some, [*doc, "target"], "left_semi").groupBy("target", "collocate").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= least)
+    scored = joint.join(sizes, "target").join(counts, "collocate").withColumn("log_dice", log_dice(F.col("n_pair"), F.col("n_target"), F.col(total)))
+    return top_k(scored, ["target"], [F.desc("log_dice"), F.desc("n_pair"), F.asc("collocate")], k).select("target", "collocate", "n_pair", total, "log_dice")
+
+
 def compounds(vocabulary: DataFrame, form: str) -> DataFrame:
     """form, head, modifier of distinct forms that end in another after a known stem: the longest such head."""
     size = F.length(form)

@@ -41,44 +41,59 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b:
     return left.withColumn("_bucket", F.floor(F.col(a) / width)).join(near, [*keys, "_bucket"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_bucket")
 
 
-def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str, size: int = 3, anchor: int = 0) -> DataFrame:
-    """Rows of texts with the needles they contain as a run of words.
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
-    A needle of at least `size` words is looked up by its first `size`, so the
-    join is an equality join on word runs with a residual containment test.
-    """
-    words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-    runs = texts.withColumn("_w", words(text)).where(F.size("_w") >= size)
-    runs = runs.withColumn("_gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (size - 1)), lambda i: F.array_join(F.slice("_w", i, size), " "))))).drop("_w")
-    keyed = needles.withColumn("_n", words(needle)).where(F.size("_n") >= size).withColumn("_gram", F.array_join(F.slice("_n", 1 + anchor, size), " ")).drop("_n")
-    return runs.join(keyed, "_gram").where(F.col(text).contains(F.col(needle))).drop("_gram")
 
+def _gram(kind: Column, text: Column) -> Column:
+    return F.xxhash64(kind, text)
 
-def found_values(texts: DataFrame, values: DataFrame, key: str, text: str, value: str) -> DataFrame:
-    """Rows of texts (key, text) with the values they hold anywhere, whatever the case; blank values are in none.
 
-    A value of five words or more is looked up by its second to fourth, which
-    stand whole in any text that holds it; texts join again only with what
-    was found. Shorter values are tried on every text.
+def contains_join(texts: DataFrame, needles: DataFrame, key: str, text: str, needle: str, ignore_case: bool = False) -> DataFrame:
+    """Rows of texts with the rows of needles whose needle they contain anywhere; empty needles are in none.
+
+    The words inside a needle, all but its first and last, stand whole in any
+    text that holds it: a needle is looked up by up to three of them, one of
+    fewer words by its first letters (up to three). So candidates come from an
+    equality join on hashed runs, which carries keys only; texts join again with
+    what was found, and the whole needle decides. Rows of texts with one key are
+    each tested.
     """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda w, i: F.xxhash64(F.slice(w, i, 3))
-    low = texts.select(F.col(key), F.lower(text).alias("_text"))
-    needles = values.withColumn("_value", F.lower(F.trim(value))).where("_value <> ''").withColumn("_w", words(F.col("_value")))
-    long = needles.where(F.size("_w") >= 5).withColumn("_gram", gram(F.col("_w"), 2)).drop("_w")
-    split = low.select(F.col(key).alias("_key"), words(F.col("_text")).alias("_w")).where(F.size("_w") >= 3)
-    runs = split.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i))).alias("_gram"))
-    near = runs.join(long, "_gram").drop("_gram").distinct()
-    held = F.col("_text").contains(F.col("_value"))
-    by_run = low.join(near, low[key].eqNullSafe(near["_key"])).where(held).drop("_key")
-    return by_run.unionByName(low.join(needles.where(F.size("_w") < 5).drop("_w"), held)).drop("_text", "_value")
+    low = F.lower if ignore_case else (lambda c: c)
+    listed = needles.where(F.col(needle) != "").withColumn("_needle", low(F.col(needle))).withColumn("_w", _words(F.col("_needle")))
+    inner = F.least(F.lit(3), F.size("_w") - 2)
+    kind = F.when(inner > 0, inner).otherwise(-F.least(F.lit(3), F.char_length("_needle")))
+    head = F.when(inner > 0, F.array_join(F.slice("_w", 2, F.greatest(inner, F.lit(1))), " ")).otherwise(F.substring("_needle", F.lit(1), -F.col("_kind")))
+    keyed = listed.withColumn("_kind", kind).withColumn("_gram", _gram(F.col("_kind"), head)).drop("_w", "_kind")
+    used = sorted(r[0] for r in listed.select(kind.alias("k")).distinct().collect())  # at most six kinds
+    if not used:
+        return texts.join(needles.limit(0), F.lit(False))
+    whole = texts.select(F.col(key).alias("_key"), low(F.col(text)).alias("_text")).where("_text is not null").withColumn("_w", _words(F.col("_text")))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (n - 1))), lambda i: _gram(F.lit(n), F.array_join(F.slice("_w", i, n), " ")))
+    letters = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_text") - (n - 1))), lambda i: _gram(F.lit(-n), F.substring("_text", i, F.lit(n))))
+    grams = F.array_distinct(F.concat(*(runs(n) if n > 0 else letters(-n) for n in used)))
+    near = whole.select("_key", F.explode(grams).alias("_gram")).join(keyed, "_gram").drop("_gram").distinct()
+    found = texts.join(near, texts[key].eqNullSafe(near["_key"])).where(low(F.col(text)).contains(F.col("_needle")))
+    return found.select(*(texts[c] for c in texts.columns), *(near[c] for c in needles.columns))
+
+
+def found_values(texts: DataFrame, values: DataFrame, key: str, text: str, value: str) -> DataFrame:
+    """The key of each text with the values (rows of values) it holds anywhere, whatever the case; blank values are in none."""
+    trimmed = values.withColumn("_value", F.trim(value)).where("_value <> ''")
+    return contains_join(texts.select(key, text), trimmed, key, text, "_value", ignore_case=True).drop(text, "_value")
 
 
 def tiered_join(left: DataFrame, tiers: Sequence[tuple[DataFrame, Sequence[str], str]], key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Matches by the first tier that has one: (right, columns to join on, name) in order of priority."""
+    """Matches by the first tier that has one: (right, columns to join on, name) in order of priority.
+
+    Each tier's right side is reduced to the first row of its columns before it
+    is joined; order must be columns of the right sides.
+    """
     out = None
     for rank, (right, on, name) in enumerate(tiers):
-        part = left.join(right, list(on)).withColumn("tier", F.lit(name)).withColumn("_rank", F.lit(rank))
+        rest = [c for c in right.columns if c not in on]
+        first = right.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*on, *(F.col("_r")[c].alias(c) for c in rest))
+        part = left.join(first, list(on)).withColumn("tier", F.lit(name)).withColumn("_rank", F.lit(rank))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     pick = F.row_number().over(W.partitionBy(*key).orderBy("_rank", *order))
     return out.withColumn("_n", pick).where("_n = 1").drop("_n", "_rank")
@@ -102,12 +117,15 @@ def shingle_pairs(tokens: DataFrame, key: str, words: str, size: int, least: int
     """Pairs of keys that share word runs: a < b, shared, share of the smaller set.
 
     Runs that stand in fewer than `least` or more than `most` keys don't count.
+    Runs travel as 96 bits of hash; only runs within the limits are gathered.
     """
-    runs = tokens.where(F.size(words) >= size).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " ")))).alias("run"))
-    sizes = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    posted = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least, most))
-    used = runs.join(posted, "run").select("run", key)
-    a, b = used.select("run", F.col(key).alias("a")), used.select("run", F.col(key).alias("b"))
-    pairs = a.join(b, "run").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    smaller = pairs.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    return smaller.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("share")).where(F.col("share") >= overlap)
+    run = lambda i: F.array_join(F.slice(words, i, size), " ")
+    listed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (size - 1))), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.hash(run(i)).alias("g"))))
+    sets = tokens.where(F.size(words) >= size).select(key, listed.alias("_runs")).select(key, F.size("_runs").alias("n"), "_runs")
+    runs = sets.select(F.struct(F.col(key).alias("k"), "n").alias("owner"), F.explode("_runs").alias("run"))
+    posted = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(max(2, least), most)).select("run")
+    owners = runs.join(posted, "run").groupBy("run").agg(F.array_sort(F.collect_list("owner")).alias("o"))  # at most `most`
+    after = F.flatten(F.transform("o", lambda x, i: F.transform(F.slice("o", i + 2, most), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = owners.select(F.explode(after).alias("p")).where("p.x.k < p.y.k").groupBy("p").agg(F.count(F.lit(1)).alias("shared"))
+    share = F.col("shared") / F.least("p.x.n", "p.y.n")
+    return pairs.select(F.col("p.x.k").alias("a"), F.col("p.y.k").alias("b"), "shared", share.alias("share")).where(F.col("share") >= overlap)

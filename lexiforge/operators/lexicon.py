@@ -36,3 +36,19 @@ def reviewed(base: DataFrame, reviews: DataFrame, key: str, value: str) -> DataF
     latest = first_of(reviews, [key], [F.desc("seq")]).select(key, F.col("decision").alias("_decision"), F.col(value).alias("_value"))
     out = base.join(latest, key, "left").where(F.coalesce(F.col("_decision") != "drop", F.lit(True)))
     return out.withColumn(value, F.coalesce("_value", value)).withColumn("reviewed", F.col("_decision").isNotNull()).drop("_decision", "_value")
+
+
+def alias_index(aliases: DataFrame, key: str) -> DataFrame:
+    """alias, key, keys, words from (key, alias, rank): the key of the smallest rank (ties: the smallest key)."""
+    single = aliases.where("alias is not null").groupBy(F.lower("alias").alias("alias"), key).agg(F.min("rank").alias("rank"))
+    best = single.groupBy("alias").agg(F.min_by(key, F.struct("rank", key)).alias("key"), F.count(F.lit(1)).alias("keys"))
+    return best.withColumn("words", F.size(F.split("alias", " ")).cast("long"))
+
+
+def glossary_lookup(df: DataFrame, term: str, glossary: DataFrame) -> DataFrame:
+    """Rows with the glossary's entry (alias, entry) for their whole term, else for its first word, and which of the two it was."""
+    whole, head = glossary.select(F.col("alias").alias("_whole"), F.col("entry").alias("_by_whole")), glossary.select(F.col("alias").alias("_head"), F.col("entry").alias("_by_head"))
+    name = F.lower(F.trim(term))
+    rows = df.join(whole, name == F.col("_whole"), "left").join(head, F.element_at(F.split(name, " "), 1) == F.col("_head"), "left")
+    by = F.when(F.col("_by_whole").isNotNull(), "whole").when(F.col("_by_head").isNotNull(), "head").otherwise("")
+    return rows.withColumn("entry", F.coalesce("_by_whole", "_by_head")).withColumn("by", by).drop("_whole", "_head", "_by_whole", "_by_head")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import tag_union
 from .windows import first_of
 
 
@@ -21,8 +22,9 @@ def union_sources(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 def collapse_duplicates(df: DataFrame, keys: Sequence[str], first: Sequence[str], order: Column, tags: Column) -> tuple[DataFrame, DataFrame]:
     """One row per key (first columns in order, union of tags), and a report of duplicate keys."""
-    grouped = df.groupBy(*keys).agg(*(F.min_by(c, order).alias(c) for c in first), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tags)))), "|").alias("tags"), F.count(F.lit(1)).alias("n"))
-    return grouped.drop("n"), grouped.where("n > 1").select(*keys, "n")
+    grouped = df.groupBy(*keys).agg(*(F.min_by(c, order).alias(c) for c in first), F.count(F.lit(1)).alias("n"))
+    union = tag_union(df, keys, tags).select("tags", F.struct(*keys).alias("_key"))
+    return grouped.drop("n").join(union, F.struct(*keys).eqNullSafe(F.col("_key"))).drop("_key"), grouped.where("n > 1").select(*keys, "n")
 
 
 def append_unseen(base: DataFrame, more: DataFrame, key: Sequence[str], order: Sequence | None = None, limit: int | None = None) -> DataFrame:

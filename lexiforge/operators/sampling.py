@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import ranked, top_k
+from .windows import top_k
 
 
 def hash_sample(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
@@ -26,15 +26,22 @@ def rotating_sample(df: DataFrame, key: str, order: Column, id_col: str, key_ord
 
 
 def quota_sample(df: DataFrame, stratum: str, quotas: DataFrame, order: Sequence) -> DataFrame:
-    """Up to `quota` rows of each stratum; quotas (stratum, quota) is a small table."""
-    return ranked(df.join(F.broadcast(quotas), stratum), [stratum], order, "_rank").where("_rank <= quota").drop("_rank", "quota")  # quotas: one row per stratum, a parameter
+    """Up to `quota` rows of each stratum; quotas (stratum, quota) is a small table.
+
+    The largest quota bounds what any task hands on of a stratum.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    rows = top_k(df.join(F.broadcast(quotas), stratum), [stratum], order, most, "_rank")  # quotas: one row per stratum, a parameter
+    return rows.where("_rank <= quota").drop("_rank", "quota")
 
 
 def pinned_buckets(df: DataFrame, bucket: str, pinned: Column, order: Sequence, k: int) -> DataFrame:
     """Pinned rows of every bucket, filled up to k with others; the pool's size beside them."""
-    pool = F.count(F.lit(1)).over(W.partitionBy(bucket))
-    rows = ranked(df.withColumn("pool", pool).withColumn("pinned", pinned), [bucket], [F.desc("pinned"), *order], "_rank")
-    return rows.where("pinned or _rank <= " + str(k)).drop("_rank")
+    rows = df.withColumn("pinned", F.coalesce(pinned, F.lit(False)))
+    pools = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("pool"), F.sum(F.col("pinned").cast("int")).alias("_pins"))
+    others = top_k(rows.where(~F.col("pinned")), [bucket], order, k, "_rank")
+    chosen = rows.where("pinned").withColumn("_rank", F.lit(0)).unionByName(others)
+    return chosen.join(pools, bucket).where(f"pinned or _rank <= {k} - _pins").drop("_rank", "_pins")
 
 
 def group_split(df: DataFrame, group: str, order: Column, share: float) -> DataFrame:
@@ -43,9 +50,17 @@ def group_split(df: DataFrame, group: str, order: Column, share: float) -> DataF
 
 
 def stratified_split(df: DataFrame, stratum: str, order: Sequence, dev: int, excluded: Column) -> DataFrame:
-    """dev rows of each stratum; excluded rows are never among them."""
-    rows = ranked(df.withColumn("_out", excluded), [stratum], ["_out", *order], "_rank")
-    return rows.withColumn("split", F.when(~F.col("_out") & (F.col("_rank") <= dev), "dev").otherwise("train")).drop("_out", "_rank")
+    """dev rows of each stratum; excluded rows are never among them.
+
+    order must settle ties: the last of a stratum's dev rows is the threshold
+    that all its rows are held against.
+    """
+    place = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))
+    rows = df.withColumn("_out", F.coalesce(excluded, F.lit(False))).withColumn("_place", place)
+    last = top_k(rows.where(~F.col("_out")).select(stratum, "_place"), [stratum], ["_place"], dev, "_rank").groupBy(stratum).agg(F.max("_place").alias("_last"))
+    marked = rows.join(last.withColumnRenamed(stratum, "_stratum"), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    inside = F.coalesce(~F.col("_out") & (F.col("_place") <= F.col("_last")), F.lit(False))
+    return marked.withColumn("split", F.when(inside, "dev").otherwise("train")).drop("_out", "_place", "_last", "_stratum")
 
 
 def folds(df: DataFrame, order: Column, k: int) -> DataFrame:
@@ -57,12 +72,28 @@ def oversample(df: DataFrame, rare: Column, factor: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(rare, factor).otherwise(1))))
 
 
-def balanced_negatives(df: DataFrame, positive: Column, cap_keys: Sequence[str], order: Sequence, cap: int) -> DataFrame:
-    """All positives, and at most as many negatives, capped per key."""
-    marked = df.withColumn("_positive", positive)
+def first_by_hash(df: DataFrame, order: Column, ties: Sequence, n: int, bits: int = 16) -> DataFrame:
+    """The first n rows by a 32-bit hash, ties by further columns.
+
+    Rows are counted by the hash's upper bits; only the bucket in which the n-th
+    row lies is sorted, so no task holds more than that bucket.
+    """
+    rows = df.withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 32 - bits))
+    upto = F.sum("n").over(W.orderBy("_bucket"))  # one row per bucket
+    ends = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto).where(F.col("upto") >= n).orderBy("_bucket").limit(1).collect()
+    if ends:
+        left = n - (ends[0]["upto"] - ends[0]["n"])
+        last = rows.where(F.col("_bucket") == ends[0]["_bucket"]).orderBy("_order", *ties).limit(left)
+        rows = rows.where(F.col("_bucket") < ends[0]["_bucket"]).unionByName(last)
+    return rows.drop("_order", "_bucket")
+
+
+def balanced_negatives(df: DataFrame, positive: Column, cap_keys: Sequence[str], order: Column, ties: Sequence, cap: int) -> DataFrame:
+    """All positives, and at most as many negatives, capped per key, by a 32-bit hash."""
+    marked = df.withColumn("_positive", F.coalesce(positive, F.lit(False)))
     positives = marked.where("_positive").drop("_positive")
-    negatives = top_k(marked.where(~F.col("_positive")), cap_keys, order, cap, "_cap").select(*df.columns)
-    return positives.unionByName(negatives.orderBy(*order).limit(positives.count()))
+    negatives = top_k(marked.where(~F.col("_positive")), cap_keys, [order, *ties], cap, "_cap").select(*df.columns)
+    return positives.unionByName(first_by_hash(negatives, order, ties, positives.count()))
 
 
 def mode_union(df: DataFrame, modes: Sequence[tuple[str, Sequence]], n: int) -> DataFrame:

@@ -32,6 +32,14 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
+def mean_pool(df: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
+    """key, n, pooled: the mean of a key's vectors where the mask holds; zeros where it holds for none."""
+    flat = df.select(key, F.col(mask).cast("boolean").alias("_m"), F.posexplode(vector).alias("i", "x")).groupBy(key, "i")
+    kept = F.col("_m")
+    means = flat.agg(F.coalesce(F.avg(F.when(kept, F.col("x").cast("double"))), F.lit(0.0)).alias("x"), F.count(F.when(kept, 1)).alias("n"))
+    return means.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("pooled"))
+
+
 def similarities(df: DataFrame, id_col: str, vector: str, against: dict, name: str = "label") -> DataFrame:
     """Cosine of every row with each of some named vectors (a bounded parameter), by matrix products per Arrow batch."""
     names, matrix = list(against), np.array([against[k] for k in against], dtype=np.float64)

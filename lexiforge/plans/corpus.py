@@ -36,11 +36,14 @@ def term_census(t):
     return per_doc.groupBy("source", "lang", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 5")
 
 
-_PAIRS = f"""
+#: Words within the radius of any use of a target, once per document.
+_USES = f"""
 tok AS ({_TOKENS}),
-hit AS (SELECT doc_id, w, target, list_position(w, target) AS p FROM (SELECT doc_id, w, unnest([{_LIST}]) AS target FROM tok) WHERE list_contains(w, target)),
+hit AS (SELECT doc_id, w, target FROM (SELECT doc_id, w, unnest([{_LIST}]) AS target FROM tok) WHERE list_contains(w, target)),
+use AS (SELECT doc_id, w, target, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = target)) AS p FROM hit),
 pairs AS (SELECT DISTINCT doc_id, target, collocate FROM (
-  SELECT doc_id, target, unnest(list_concat(w[greatest(1, p - {RADIUS}):p - 1], w[p + 1:p + {RADIUS}])) AS collocate FROM hit) WHERE collocate <> target),
+  SELECT doc_id, target, unnest(list_concat(w[greatest(1, p - {RADIUS}):p - 1], w[p + 1:p + {RADIUS}])) AS collocate FROM use) WHERE collocate <> target)"""
+_PAIRS = _USES + """,
 joint AS (SELECT target, collocate, count(*) AS n_pair FROM pairs GROUP BY ALL HAVING count(*) >= 2),
 scored AS (SELECT target, collocate, n_pair, n_target, n_collocate, n_rows,
   round(log2((n_pair + 0.5::DOUBLE) * n_rows / ((n_target + 0.5::DOUBLE) * (n_collocate + 0.5::DOUBLE))), 6) AS pmi
@@ -48,63 +51,67 @@ scored AS (SELECT target, collocate, n_pair, n_target, n_collocate, n_rows,
   JOIN (SELECT collocate, count(*) AS n_collocate FROM pairs GROUP BY 1) USING (collocate), (SELECT count(*) AS n_rows FROM hit))
 """
 
-#: The same over every use of a target.
-_PAIRS_ALL = f"""
-tok AS ({_TOKENS}),
-hit AS (SELECT doc_id, w, target FROM (SELECT doc_id, w, unnest([{_LIST}]) AS target FROM tok) WHERE list_contains(w, target)),
-use AS (SELECT doc_id, w, target, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = target)) AS p FROM hit),
-pairs AS (SELECT DISTINCT doc_id, target, collocate FROM (
-  SELECT doc_id, target, unnest(list_concat(w[greatest(1, p - {RADIUS}):p - 1], w[p + 1:p + {RADIUS}])) AS collocate FROM use) WHERE collocate <> target),
-""" + _PAIRS[_PAIRS.index("joint AS"):]
-
-
-def _pmi(t, cooccurrence=A.cooccurrence):
+def _pmi(t):
     words = _words(t)
-    pairs = cooccurrence(words, "doc_id", "w", TARGETS, RADIUS)
+    pairs = A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS)
     rows = words.select("doc_id", F.explode(F.array_intersect(F.array(*map(F.lit, TARGETS)), "w")).alias("target"))
     return A.pmi(pairs, rows, "doc_id").select("target", "collocate", "n_pair", "n_target", "n_collocate", "n_rows", "pmi")
 
 
 @BOOK.query("cooc_pmi", f"WITH {_PAIRS} SELECT * FROM scored")
-def cooc_pmi(t, cooccurrence=A.cooccurrence):
-    return _pmi(t, cooccurrence)
+def cooc_pmi(t):
+    return _pmi(t)
 
 
 @BOOK.query("cooc_topk", f"WITH {_PAIRS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY pmi DESC, n_pair DESC, collocate) AS INTEGER) AS rank FROM scored) WHERE rank <= 20")
-def cooc_topk(t, cooccurrence=A.cooccurrence):
-    return A.top_collocates(_pmi(t, cooccurrence), 20)
+def cooc_topk(t):
+    return A.top_collocates(_pmi(t), 20)
+
+
+@BOOK.query("log_dice_all", f"WITH {_PAIRS} SELECT target, collocate, n_pair, round(14 + log2(2.0::DOUBLE * n_pair / (n_target + n_collocate)), 6) AS log_dice FROM scored")
+def log_dice_all(t):
+    """All collocates, of all documents."""
+    return _pmi(t).select("target", "collocate", "n_pair", A.log_dice(F.col("n_pair"), F.col("n_target"), F.col("n_collocate")).alias("log_dice"))
+
+
+#: Words that are no collocates, documents of a source that count per target, documents that a collocate needs, and collocates shown.
+STOP, WORK_CAP, LEAST, SHOWN = ("of", "den", "une", "una"), 60, 3, 25
 
 
-@BOOK.query("log_dice", f"WITH {_PAIRS} SELECT target, collocate, n_pair, round(14 + log2(2.0::DOUBLE * n_pair / (n_target + n_collocate)), 6) AS log_dice FROM scored")
-def log_dice(t, cooccurrence=A.cooccurrence):
-    return _pmi(t, cooccurrence).select("target", "collocate", "n_pair", A.log_dice(F.col("n_pair"), F.col("n_target"), F.col("n_collocate")).alias("log_dice"))
+@BOOK.query("log_dice", f"""WITH {_USES}, p AS (SELECT * FROM pairs WHERE length(collocate) > 2 AND collocate NOT IN ({", ".join(f"'{w}'" for w in STOP)})),
+picked AS (SELECT doc_id, target FROM (SELECT doc_id, target, row_number() OVER (PARTITION BY source, target ORDER BY CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT), doc_id) AS r FROM hit JOIN documents USING (doc_id)) WHERE r <= {WORK_CAP}),
+f AS (SELECT target, collocate, count(*) AS n_pair FROM p JOIN picked USING (doc_id, target) GROUP BY ALL HAVING count(*) >= {LEAST}),
+d AS (SELECT target, collocate, n_pair, n_all, round(14 + log2(2.0::DOUBLE * n_pair / (n_target + n_all)), 6) AS log_dice FROM f JOIN (SELECT target, count(*) AS n_target FROM picked GROUP BY 1) USING (target) JOIN (SELECT collocate, count(*) AS n_all FROM p GROUP BY 1) USING (collocate))
+SELECT target, collocate, n_pair, n_all, log_dice FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY log_dice DESC, n_pair DESC, collocate) AS r FROM d) WHERE r <= {SHOWN}""")
+def log_dice(t):
+    """The strongest collocates, with a cap per source, a stop list and a minimum."""
+    words = t.documents.select("doc_id", "source", T.tokens(F.col("text")).alias("w"))
+    pairs = A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS).where((F.length("collocate") > 2) & ~F.col("collocate").isin(*STOP))
+    counts = pairs.groupBy("collocate").agg(F.count(F.lit(1)).alias("n_all"))
+    works = words.select("doc_id", "source", F.explode(F.array_intersect(F.array(*map(F.lit, TARGETS)), "w")).alias("target"))
+    return A.capped_collocates(pairs, counts, "n_all", works, "source", T.hash_order(F.col("doc_id")), WORK_CAP, LEAST, SHOWN)
 
 
 @BOOK.query("collocates_by_class", f"WITH {_PAIRS} SELECT target, collocate, lang, count(*) AS n FROM pairs JOIN documents USING (doc_id) GROUP BY ALL HAVING count(*) >= 3")
-def collocates_by_class(t, cooccurrence=A.cooccurrence):
+def collocates_by_class(t):
     words = _words(t)
-    pairs = cooccurrence(words.select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
+    pairs = A.cooccurrence(words.select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
     return pairs.groupBy("target", "collocate", "lang").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @BOOK.query("collocates_compare", f"""WITH {_PAIRS}, side AS (SELECT target, collocate, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang <> 'en') AS b FROM pairs JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT target, collocate, a AS n_left, b AS n_right, a - b AS diff FROM side WHERE a + b >= 3""")
-def collocates_compare(t, cooccurrence=A.cooccurrence):
+def collocates_compare(t):
     """Two score vectors aligned by key, missing ones as 0, and their difference."""
-    pairs = cooccurrence(_words(t).select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
+    pairs = A.cooccurrence(_words(t).select("doc_id", "w"), "doc_id", "w", TARGETS, RADIUS).join(t.documents.select("doc_id", "lang"), "doc_id")
     count = lambda df, name: df.groupBy("target", "collocate").agg(F.count(F.lit(1)).alias(name))
     both = count(pairs.where("lang = 'en'"), "n_left").join(count(pairs.where("lang <> 'en'"), "n_right"), ["target", "collocate"], "full_outer").fillna(0, ["n_left", "n_right"])
     return both.where("n_left + n_right >= 3").withColumn("diff", F.col("n_left") - F.col("n_right"))
 
 
-def _over_all_uses(build):
-    """The query over every use of a target, as <name>_all; the SQL of <name> itself fixes the first use."""
-    name = build.__name__
-    BOOK.query(f"{name}_all", ORACLES[name].replace(_PAIRS, _PAIRS_ALL))(lambda t: build(t, A.cooccurrence_all))
-
-
-for _build in (cooc_pmi, cooc_topk, log_dice, collocates_by_class, collocates_compare):
-    _over_all_uses(_build)
+# The names that these queries had while their plain names went by the first use of a target alone.
+for _build in (cooc_pmi, cooc_topk, collocates_by_class, collocates_compare):
+    BOOK.query(f"{_build.__name__}_all", ORACLES[_build.__name__])(_build)
 
 
 @BOOK.query("sentence_tokens", f"SELECT DISTINCT list_aggregate(w, 'string_agg', ' ') AS tokens, len(w) AS n FROM ({_TOKENS}) WHERE len(w) > 0")
@@ -165,10 +172,15 @@ def kwic_scan(t):
     return hits.select("doc_id", "pos", "term", F.array_join(F.slice("w", start, F.col("pos") + 1 - start), " ").alias("before"), F.array_join(F.slice("w", F.col("pos") + 2, F.lit(5)), " ").alias("after"))
 
 
-@BOOK.query("kwic_split", f"SELECT doc_id, substr(text, 1, {_POS}) AS before, substr(text, {_POS} + 1, 3) AS keyword, substr(text, {_POS} + 4) AS after FROM documents WHERE {_POS} > 0")
+_MIDDLE = """SELECT doc_id, text, low, mid, instr(substr(low, mid), 'the') AS r, instr(reverse(substr(low, 1, mid + 1)), 'eht') AS l FROM (SELECT doc_id, text, lower(text) AS low, length(text) // 2 + 1 AS mid FROM documents WHERE contains(lower(text), 'the'))"""
+
+
+@BOOK.query("kwic_split", rf"""WITH p AS (SELECT doc_id, text, CASE WHEN r = 0 OR (l > 0 AND l <= r - 1) THEN mid - l ELSE mid + r - 1 END AS place FROM ({_MIDDLE})),
+c AS (SELECT doc_id, substr(text, 1, place - 1) AS b, substr(text, place, 3) AS k, substr(text, place + 3) AS a FROM p), e AS (SELECT *, regexp_extract(b, '\p{{L}}+$') AS x, regexp_extract(a, '^\p{{L}}+') AS y FROM c)
+SELECT doc_id, substr(b, 1, length(b) - length(x)) AS before, x || k || y AS keyword, substr(a, length(y) + 1) AS after FROM e""")
 def kwic_split(t):
-    at = F.instr(F.lower("text"), " the ")
-    return t.documents.where(at > 0).select("doc_id", F.substring("text", F.lit(1), at).alias("before"), F.substring("text", at + 1, F.lit(3)).alias("keyword"), F.substring("text", at + 4, F.length("text")).alias("after"))
+    """Around the occurrence nearest the middle, widened to its whole token."""
+    return T.split_at_middle(t.documents, "text", "the").select("doc_id", "before", "keyword", "after")
 
 
 @BOOK.query("marker_injection", f"SELECT doc_id, CASE WHEN {_POS} > 0 THEN substr(text, 1, {_POS}) || '<t>the</t>' || substr(text, {_POS} + 4) ELSE '<t>the</t> ' || text END AS marked FROM documents")
@@ -204,7 +216,7 @@ def stride_chunks(t):
 @BOOK.query("contains_join", "SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains(documents.text, b.text)")
 def contains_join(t):
     needles = t.benchmark.select("item_id", F.col("text").alias("needle"))
-    return J.contains_join(t.documents.select("doc_id", "text"), needles, "text", "needle", anchor=1).select("doc_id", "item_id")
+    return J.contains_join(t.documents.select("doc_id", "text"), needles, "doc_id", "text", "needle").select("doc_id", "item_id")
 
 
 @BOOK.query("class_ladder", r"""SELECT doc_id, CASE WHEN length(text) < 100 THEN 'fragment' WHEN regexp_matches(text, '[0-9a-f]{16}') THEN 'secret'
@@ -257,17 +269,35 @@ def normalised_text(t):
     return t.documents.select("doc_id", T.normal(F.col("text")).alias("norm"))
 
 
-@BOOK.query("spelling_keys", r"""SELECT DISTINCT token, replace(replace(replace(token, 'ck', 'k'), 'gh', 'g'), 'ae', 'aa') AS key_part FROM (SELECT unnest(w) AS token FROM (""" + _TOKENS + r""")) WHERE token NOT LIKE '%y%' """)
+#: Rules of spelling, sound and print made up for the words of these tables.
+RULES = (T.Rule("greek_f", "ph", "f"), T.Rule("sharp_s", "ß", "ss"), T.Rule("tion", "tion(?=s?$)", "cion"), T.Rule("last_h", "(?<=[aeiou])h$", ""), T.Rule("twice", r"([mnlr])\1", "$1"))
+SOUNDS, ALIKE = (("sch", "j"), ("ou", "u"), ("ei", "ai")), ("bgä", "pke")
+PRINT = (("rn", "m"), ("cl", "d"), ("h", "b"))
+
+
+@BOOK.query("spelling_keys", r"""SELECT token, regexp_replace(replace(replace(token, 'ph', 'f'), 'ß', 'ss'), 'tion(s?)$', 'cion\1') AS key_part, length(token) >= 3 AS eligible FROM (SELECT DISTINCT unnest(w) AS token FROM (""" + _TOKENS + r""")) WHERE NOT regexp_matches(token, '[æœſ]') AND lower(token) = token""")
 def spelling_keys(t):
-    token = _words(t).select(F.explode("w").alias("token")).distinct().where(~F.col("token").contains("y"))
-    return token.select("token", T.rewritten(F.col("token"), T.SPELLING[:3]).alias("key_part"))
+    """The rules that any engine can apply, the others skipped."""
+    token = _words(t).select(F.explode("w").alias("token")).distinct().where(~F.col("token").rlike("[æœſ]") & (F.lower("token") == F.col("token")))
+    return token.select("token", T.spelling_key(F.col("token"), RULES, ("last_h", "twice")).alias("key_part"), T.eligible(F.col("token")).alias("eligible"))
 
 
 @BOOK.query("spelling_key_full")
 def spelling_key_full(t):
-    """Keys with back references, and the rules that fired (no back references in the oracle's patterns)."""
+    """Keys with look-behind and back references, and the rules that fired (no SQL for those)."""
     token = _words(t).select(F.explode("w").alias("token")).distinct()
-    return token.select("token", T.spelling_key(F.col("token")).alias("key"), T.loose_key(F.col("token")).alias("loose"), T.phonetic_key(F.col("token")).alias("phonetic"), F.array_join(T.fired_rules(F.col("token")), ";").alias("fired"))
+    c = F.col("token")
+    return token.select("token", T.spelling_key(c, RULES).alias("key"), T.loose_key(c, ("ge", "er")).alias("loose"), T.sound_key(c, SOUNDS, ALIKE).alias("phonetic"), F.array_join(T.fired_rules(c, RULES), ";").alias("fired"))
+
+
+@BOOK.query("confusable_forms", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), s AS (SELECT unnest(['rn', 'cl', 'h']) AS a, unnest(['m', 'd', 'b']) AS b),
+n AS (SELECT DISTINCT form, left(form, CAST(i - 1 AS BIGINT)) || b || substr(form, CAST(i + length(a) AS BIGINT)) AS other, a || '>' || b AS swap FROM (SELECT form, a, b, unnest(range(1, length(form) - length(a) + 2)) AS i FROM v, s) WHERE substr(form, CAST(i AS BIGINT), length(a)) = a)
+SELECT n.form, n.other, n.swap FROM n JOIN v ON n.other = v.form""")
+def confusable_forms(t):
+    """Vocabulary words that one misread letter turns into another vocabulary word."""
+    form = _words(t).select(F.explode("w").alias("form")).distinct()
+    near = form.select("form", F.explode(F.array_distinct(T.swapped(F.col("form"), PRINT))).alias("x")).select("form", "x.other", "x.swap")
+    return near.join(form.select(F.col("form").alias("other")), "other", "left_semi").select("form", "other", "swap")
 
 
 @BOOK.query("key_list_join", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), k AS (SELECT form, replace(replace(form, 'th', 't'), 'ph', 'f') AS key FROM v)
@@ -281,12 +311,11 @@ def key_list_join(t):
 @BOOK.query("compound_parts", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT v.form, h.form AS head, length(h.form) AS n FROM v JOIN v h ON right(v.form, 3) = right(h.form, 3) AND suffix(v.form, h.form) AND length(v.form) >= length(h.form) + 4 WHERE length(h.form) BETWEEN 5 AND 8)
 SELECT form, arg_max(head, n) AS head, left(form, CAST(length(form) - max(n) AS BIGINT)) AS modifier FROM c GROUP BY form""")
 def compound_parts(t):
-    """The longest vocabulary word that ends a longer one; the join is on the last three letters."""
-    form = _words(t).select(F.explode("w").alias("form")).distinct().withColumn("tail", F.substring("form", -3, 3))
-    heads = form.where(F.length("form").between(5, 8)).select(F.col("form").alias("head"), "tail")
-    pairs = form.join(heads, "tail").where(F.expr("endswith(form, head) and length(form) >= length(head) + 4"))
-    best = X.first_of(pairs.withColumn("n", F.length("head")), ["form"], [F.desc("n")])
-    return best.select("form", "head", F.expr("left(form, length(form) - n)").alias("modifier"))
+    """The longest vocabulary word of five to eight letters that ends a longer one: each form's endings looked up."""
+    form = _words(t).select(F.explode("w").alias("form")).distinct()
+    ends = form.where(F.length("form") >= 9).select("form", F.explode(F.sequence(F.lit(5), F.least(F.lit(8), F.length("form") - 4))).alias("n")).withColumn("head", F.expr("right(form, n)"))
+    best = ends.join(form.select(F.col("form").alias("head")), "head", "left_semi").groupBy("form").agg(F.max_by("head", "n").alias("head"))
+    return best.select("form", "head", F.expr("left(form, length(form) - length(head))").alias("modifier"))
 
 
 @BOOK.query("compound_parts_all", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT form, unnest(range(2, length(form) - 2)) AS stem FROM v WHERE length(form) >= 5),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import lexicon as L
 from ..operators import metrics as E
 from ..operators import vectors as V
 from ..operators import windows as X
@@ -309,19 +310,19 @@ def qa_examples(t):
     return rows.withColumn("place", F.expr("locate(lower(answer), lower(p_name))").cast("long")).where("place > 0").drop("p_name")
 
 
-@BOOK.query("grounding", "SELECT doc_id, item_id FROM (SELECT doc_id, text, doc_id % 40 AS item_id FROM documents) d JOIN benchmark b USING (item_id) WHERE contains(lower(d.text), lower(substr(b.text, 1, 5)))")
-def grounding(t):
-    rows = t.documents.withColumn("item_id", F.col("doc_id") % 40).join(t.benchmark.withColumnRenamed("text", "item"), "item_id")
-    return rows.where(F.lower("text").contains(F.lower(F.substring("item", 1, 5)))).select("doc_id", "item_id")
+_HELD = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE trim(b.text) <> ''"
 
 
-@BOOK.query("grounding_all", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE trim(b.text) <> ''")
-def grounding_all(t):
+@BOOK.query("grounding", _HELD)
+def grounding(t):
     """Every document with each whole item that it holds."""
     items = t.benchmark.select("item_id", F.col("text").alias("item"))
     return J.found_values(t.documents.select("doc_id", "text"), items, "doc_id", "text", "item").select("doc_id", "item_id")
 
 
+BOOK.query("grounding_all", _HELD)(grounding)  # its name while the plain one tried one item a document
+
+
 @BOOK.query("strip_tags", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body FROM pages""")
 def strip_tags(t):
     return t.pages.select("page_id", T.strip_tags(F.col("html")).alias("body"))
@@ -404,18 +405,22 @@ def hybrid_candidates_all(t):
     return hybrid_candidates(t, V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid"))
 
 
-@BOOK.query("mean_pool", "SELECT label, count(*) AS n, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) WHERE i % 2 = 0 GROUP BY 1")
+@BOOK.query("mean_pool", "SELECT label, CAST(i AS INTEGER) AS i, count(*) FILTER (WHERE keep) AS n, round(coalesce(avg(x) FILTER (WHERE keep), 0), 5) AS x FROM (SELECT label, vec_id % 3 > 0 AS keep, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL")
 def mean_pool(t):
-    flat = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).where("i % 2 = 0")
-    return flat.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    """Each label's rows as its tokens, under a mask."""
+    pooled = V.mean_pool(t.embeddings.withColumn("keep", F.col("vec_id") % 3 > 0), "label", "embedding", "keep")
+    return pooled.select("label", "n", F.posexplode("pooled").alias("i", "x")).select("label", "i", "n", F.round("x", 5).alias("x"))
 
 
 # -- lexicon and lineage --------------------------------------------------------------------------
 
 
-@BOOK.query("alias_index", "SELECT alias, arg_min(p_partkey, p_partkey) AS first_key, max(p_partkey) AS last_key FROM (SELECT p_partkey, lower(p_type) AS alias FROM part) GROUP BY 1")
+@BOOK.query("alias_index", """WITH a AS (SELECT p_partkey, lower(p_name) AS alias, 1 AS rank FROM part UNION ALL SELECT p_partkey, lower(p_type), 2 FROM part), b AS (SELECT alias, p_partkey, min(rank) AS rank FROM a GROUP BY ALL)
+SELECT alias, arg_min(p_partkey, (rank, p_partkey)) AS key, count(*) AS keys, len(string_split(alias, ' ')) AS words FROM b GROUP BY alias""")
 def alias_index(t):
-    return t.part.select("p_partkey", F.lower("p_type").alias("alias")).groupBy("alias").agg(F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+    """alias -> the key of its best source, how many keys it may mean, and its length in words."""
+    one = lambda c, rank: t.part.select("p_partkey", F.col(c).alias("alias"), F.lit(rank).alias("rank"))
+    return L.alias_index(one("p_name", 1).unionAll(one("p_type", 2)), "p_partkey")
 
 
 @BOOK.query("trigger_merge", """WITH s AS (SELECT p_name AS form, p_brand AS frame, 1 AS prio, 'seed' AS src FROM part WHERE p_size < 20 UNION ALL SELECT p_name, p_brand, 2, 'corpus' FROM part WHERE p_size >= 10), d AS (SELECT p_name AS form FROM part WHERE p_size > 48)
@@ -430,7 +435,8 @@ def trigger_merge(t):
 
 @BOOK.query("candidate_forms", "SELECT p_type AS form, count(*) AS n, count(DISTINCT p_brand) AS generators, array_to_string(list_sort(list_distinct(list(p_name)))[1:3], '|') AS examples FROM part GROUP BY 1")
 def candidate_forms(t):
-    return t.part.groupBy(F.col("p_type").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("generators"), F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 3), "|").alias("examples"))
+    counts = t.part.groupBy(F.col("p_type").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("generators"))
+    return counts.join(A.first_values(t.part.withColumnRenamed("p_type", "form"), ["form"], "p_name", 3, "examples"), "form")
 
 
 @BOOK.query("auto_keep", "SELECT c_custkey, manual = 'yes' OR (auto AND manual <> 'no') AS keep FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS manual, c_acctbal > 0 AS auto FROM customer)")
@@ -439,10 +445,12 @@ def auto_keep(t):
     return rows.select("c_custkey", ((F.col("manual") == "yes") | (F.col("auto") & (F.col("manual") != "no"))).alias("keep"))
 
 
-@BOOK.query("glossary_lookup", "SELECT p_partkey, r_name AS english FROM part LEFT JOIN (SELECT lower(r_name) AS alias, r_name FROM region UNION SELECT substr(lower(r_name), 1, 1), r_name FROM region WHERE r_name LIKE 'E%') ON substr(lower(p_type), 1, 1) = alias")
+@BOOK.query("glossary_lookup", """WITH g AS (SELECT lower(p_type) AS alias, min(p_brand) AS entry FROM part GROUP BY 1 UNION ALL SELECT lower(p_name), min(p_brand) FROM part WHERE p_size > 45 GROUP BY 1)
+SELECT p_partkey, coalesce(w.entry, h.entry) AS entry, CASE WHEN w.entry IS NOT NULL THEN 'whole' WHEN h.entry IS NOT NULL THEN 'head' ELSE '' END AS by FROM part LEFT JOIN g w ON lower(trim(p_name)) = w.alias LEFT JOIN g h ON lower(string_split(trim(p_name), ' ')[1]) = h.alias""")
 def glossary_lookup(t):
-    alias = t.region.select(F.lower("r_name").alias("alias"), "r_name").unionAll(t.region.where("r_name like 'E%'").select(F.substring(F.lower("r_name"), 1, 1), "r_name")).distinct()
-    return t.part.withColumn("alias", F.substring(F.lower("p_type"), 1, 1)).join(alias, "alias", "left").select("p_partkey", F.col("r_name").alias("english"))
+    """A term's glossary entry by its whole name, else by its first word."""
+    part = lambda df, c: df.groupBy(F.lower(c).alias("alias")).agg(F.min("p_brand").alias("entry"))
+    return L.glossary_lookup(t.part, "p_name", part(t.part, "p_type").unionAll(part(t.part.where("p_size > 45"), "p_name"))).select("p_partkey", "entry", "by")
 
 
 _CATALOG = "c(name, parent, mirror_of, recorded, live) AS (VALUES ('raw', NULL, NULL, 'a', 'a'), ('clean', 'raw', NULL, 'b', 'b'), ('tokens', 'clean', NULL, 'c', 'c'), ('clean_copy', 'clean', 'clean', 'b', 'x'), ('loop_a', 'loop_b', NULL, 'd', 'd'), ('loop_b', 'loop_a', NULL, 'e', 'e'))"

@@ -106,12 +106,12 @@ def gold_left_join(t):
     return t.documents.join(exact, "doc_id", "left").join(variant, "doc_id", "left").select("doc_id", F.coalesce("q1", "q2", F.lit(0)).alias("pred"))
 
 
-@BOOK.query("localised_text", "SELECT item_id, doc_id, instr(d.text, substr(b.text, 1, 25)) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@BOOK.query("localised_text", "SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def localised_text(t):
     from ..operators.joins import contains_join
 
-    hits = contains_join(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle")), "text", "needle", anchor=1)
-    return hits.select("item_id", "doc_id", F.expr("locate(substring(needle, 1, 25), text)").cast("long").alias("at"))
+    hits = contains_join(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle")), "doc_id", "text", "needle")
+    return hits.select("item_id", "doc_id", F.expr("locate(needle, text)").cast("long").alias("at"))
 
 
 @BOOK.query("best_per_chunk", "SELECT conv_id, role, len FROM (SELECT conv_id, role, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, role, turn) AS r FROM conversations) WHERE r = 1")

@@ -140,13 +140,17 @@ def coverage(t):
 
 @BOOK.query("glossary_candidates", "SELECT * FROM (SELECT p_brand, max(p_size) AS max_size, arg_min(p_type, p_partkey) AS first_type, array_to_string(list_sort(list_distinct(list(p_name)))[1:5], '|') AS names FROM part GROUP BY 1) ORDER BY max_size DESC, p_brand LIMIT 15")
 def glossary_candidates(t):
-    out = t.part.groupBy("p_brand").agg(F.max("p_size").alias("max_size"), F.min_by("p_type", "p_partkey").alias("first_type"), F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 5), "|").alias("names"))
-    return out.orderBy(F.desc("max_size"), "p_brand").limit(15)
+    out = t.part.groupBy("p_brand").agg(F.max("p_size").alias("max_size"), F.min_by("p_type", "p_partkey").alias("first_type"))
+    top = out.orderBy(F.desc("max_size"), "p_brand").limit(15)
+    names = A.first_values(t.part, ["p_brand"], "p_name", 5, "names")
+    return top.join(names, "p_brand")
 
 
-@BOOK.query("stem_groups", "SELECT stem, array_to_string(list_sort(list(p_name)), '|') AS forms, count(*) AS size, CAST(sum(p_size) AS BIGINT) AS total, arg_min(p_name, p_partkey) AS example FROM (SELECT *, substr(p_name, 1, 6) AS stem FROM part) GROUP BY 1")
+@BOOK.query("stem_groups", "WITH c AS (SELECT substr(p_name, 1, 6) AS stem, p_name, count(*) AS n, sum(p_size) AS s FROM part GROUP BY ALL) SELECT stem, array_to_string(list_sort(list(p_name)), '|') AS forms, CAST(sum(n) AS BIGINT) AS size, CAST(sum(s) AS BIGINT) AS total, arg_min(p_name, (-n, p_name)) AS example FROM c GROUP BY 1")
 def stem_groups(t):
-    return t.part.groupBy(F.substring("p_name", 1, 6).alias("stem")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), "|").alias("forms"), F.count(F.lit(1)).alias("size"), F.sum("p_size").alias("total"), F.min_by("p_name", "p_partkey").alias("example"))
+    """The distinct forms of each stem, and the commonest (ties: the first in order)."""
+    forms = t.part.groupBy(F.substring("p_name", 1, 6).alias("stem"), "p_name").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"))
+    return forms.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "|").alias("forms"), F.sum("n").alias("size"), F.sum("s").alias("total"), F.min_by("p_name", F.struct(-F.col("n"), "p_name")).alias("example"))
 
 
 @BOOK.query("best_level", "SELECT best, count(*) AS n FROM (SELECT o_custkey, min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END) AS best FROM orders GROUP BY 1) GROUP BY 1")
@@ -324,19 +328,22 @@ def tiered_match(t):
     return J.tiered_join(left, [(right, ["key", "nation"], "1 key"), (right.drop("key"), ["nation"], "2 nation")], ["s_suppkey"], ["c_custkey"]).select("s_suppkey", "c_custkey", "tier")
 
 
-@BOOK.query("exact_else_contains", "WITH v AS (SELECT n_name AS label FROM nation UNION ALL SELECT r_name FROM region), m AS (SELECT p_partkey, label, 0 AS tier FROM part JOIN v ON lower(p_brand) = lower(label) UNION ALL SELECT p_partkey, label, 1 FROM part, v WHERE contains(lower(p_name), substr(lower(label), 1, 2))) SELECT p_partkey, label, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, length(label), label) AS r FROM m) WHERE r = 1")
+@BOOK.query("exact_else_contains", "WITH v AS (SELECT DISTINCT p_name AS label FROM part WHERE p_size < 5 UNION SELECT DISTINCT string_split(p_name, ' ')[2] FROM part), m AS (SELECT p_partkey, label, 0 AS tier FROM part JOIN v ON lower(p_name) = lower(label) UNION ALL SELECT p_partkey, label, 1 FROM part JOIN v ON contains(lower(p_name), lower(label))) SELECT p_partkey, label, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, length(label), label) AS r FROM m) WHERE r = 1")
 def exact_else_contains(t):
-    """Equality first, else the shortest label whose first letters a name contains; labels are a small fixed table."""
-    labels = t.nation.select(F.col("n_name").alias("label")).unionAll(t.region.select("r_name"))
-    exact = t.part.join(labels, F.lower("p_brand") == F.lower("label")).select("p_partkey", "label", F.lit(0).alias("tier"))
-    grams = t.part.select("p_partkey", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.substring(F.lower("p_name"), i, F.lit(2))))).alias("gram"))
-    near = grams.join(labels.withColumn("gram", F.substring(F.lower("label"), 1, 2)), "gram").select("p_partkey", "label", F.lit(1).alias("tier"))
+    """Equality first, else the shortest label that a name contains."""
+    labels = t.part.where("p_size < 5").select(F.col("p_name").alias("label")).unionAll(t.part.select(F.get(F.split("p_name", " "), F.lit(1)))).where("label is not null").distinct()
+    exact = t.part.join(labels, F.lower("p_name") == F.lower("label")).select("p_partkey", "label", F.lit(0).alias("tier"))
+    near = J.contains_join(t.part.select("p_partkey", "p_name"), labels, "p_partkey", "p_name", "label", ignore_case=True).select("p_partkey", "label", F.lit(1).alias("tier"))
     return X.first_of(exact.unionAll(near), ["p_partkey"], ["tier", F.length("label"), "label"])
 
 
-@BOOK.query("prefix_key_join", "SELECT p_partkey, n_nationkey FROM part LEFT JOIN nation ON substr(lower(p_name), 1, 1) = substr(lower(n_name), 1, 1)")
+@BOOK.query("prefix_key_join", r"""WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS form FROM documents), h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS head FROM benchmark)
+SELECT form, head FROM f LEFT JOIN (SELECT left(head, 6) AS stem, min(head) AS head FROM h WHERE length(head) >= 6 GROUP BY 1) ON left(form, 6) = stem WHERE length(form) >= 6""")
 def prefix_key_join(t):
-    return t.part.withColumn("k", F.substring(F.lower("p_name"), 1, 1)).join(t.nation.withColumn("k", F.substring(F.lower("n_name"), 1, 1)), "k", "left").select("p_partkey", "n_nationkey")
+    """Forms with the first lexicon word of their stem, cut after six letters; the lexicon comes with one row a stem."""
+    word = lambda df, name: df.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias(name)).distinct().where(F.length(name) >= 6).withColumn("stem", F.substring(name, 1, 6))
+    heads = word(t.benchmark, "head").groupBy("stem").agg(F.min("head").alias("head"))
+    return word(t.documents, "form").join(heads, "stem", "left").select("form", "head")
 
 
 @BOOK.query("title_fallback", "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'O' THEN year(o_orderdate) END, y) AS year FROM orders LEFT JOIN (SELECT o_custkey, min(year(o_orderdate)) AS y FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1) USING (o_custkey)")
@@ -390,7 +397,8 @@ def union_sources(t):
 
 @BOOK.query("dedupe_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_first(t):
-    return X.first_of(t.documents.select("doc_id", F.sha2("text", 256).alias("k"), "text"), ["k", "text"], ["doc_id"]).select("doc_id")
+    """The least id of each text: the aggregate meets equal texts in every task before it shuffles, under a digest."""
+    return t.documents.groupBy(F.sha2("text", 256).alias("k"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @BOOK.query("collapse_duplicates", "SELECT p_brand, arg_min(p_name, p_partkey) AS p_name, array_to_string(list_sort(list_distinct(list(lower(p_type)))), '|') AS tags FROM part GROUP BY 1")
@@ -501,7 +509,7 @@ def series_pick(t):
 
 @BOOK.query("balanced_negatives", f"WITH p AS (SELECT doc_id FROM labels WHERE toxic = 1), n AS (SELECT doc_id, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) AS q FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id')}, doc_id) AS r FROM labels WHERE toxic = 0) WHERE r <= 40) SELECT doc_id FROM p UNION ALL SELECT doc_id FROM n WHERE q <= (SELECT count(*) FROM p)")
 def balanced_negatives(t):
-    return S.balanced_negatives(t.labels, F.col("toxic") == 1, ["quality"], [T.hash_order(F.col("doc_id")), "doc_id"], 40).select("doc_id")
+    return S.balanced_negatives(t.labels, F.col("toxic") == 1, ["quality"], T.hash_order(F.col("doc_id")), ["doc_id"], 40).select("doc_id")
 
 
 @BOOK.query("mode_union", "WITH a AS (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20), b AS (SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 20) SELECT p_partkey, array_to_string(list_sort(list(m)), '|') AS modes FROM (SELECT *, 'price' AS m FROM a UNION ALL SELECT *, 'size' FROM b) GROUP BY 1")

@@ -22,8 +22,32 @@ def test_normal_and_keys(spark):
     assert one(spark, T.normal(F.lit("  Daſ Œuvre—42 x"))) == "das oeuvre x"
     assert one(spark, T.slug(F.lit("  A b!! C "))) == "a_b_c"
     assert one(spark, T.loose_key(F.lit("Ballen"))) == "balen"
-    assert one(spark, T.spelling_key(F.lit("backen"))) == "baken"
-    assert one(spark, T.fired_rules(F.lit("backen"))) == ["ck"]
+    rules = (T.Rule("f", "ph", "f"), T.Rule("tail", "(?<=o)h$", ""), T.Rule("twice", r"(n)\1", "$1"))
+    assert one(spark, T.spelling_key(F.lit("Phannoh"), rules)) == "fano"
+    assert one(spark, T.spelling_key(F.lit("Phannoh"), rules, ("twice",))) == "fanno"
+    assert one(spark, T.fired_rules(F.lit("phanah"), rules)) == ["f"]
+    assert one(spark, T.loose_key(F.lit("gegessen"), ("ge",))) == "gesen"
+    assert one(spark, T.sound_key(F.lit("Schouh"), (("sch", "x"), ("ou", "u")), ("h", "x"))) == "xux"
+    assert [tuple(x) for x in one(spark, T.swapped(F.lit("rnarn"), (("rn", "m"),)))] == [("marn", "rn>m"), ("rnam", "rn>m")]
+    assert one(spark, T.swapped(F.lit("a"), (("rn", "m"),))) == []
+    assert [one(spark, T.eligible(F.lit(w))) for w in ("ab", "abc", "a b c")] == [False, True, False]
+
+
+def test_split_at_middle(spark):
+    texts = ["the end", "other words", "a the b The ", "xthexx the", "no"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: (r.before, r.keyword, r.after) for r in T.split_at_middle(df, "text", "the").collect()}
+    for i, text in enumerate(texts):
+        places = [k for k in range(len(text)) if text.lower().startswith("the", k)]
+        if places:
+            at = min(places, key=lambda k: (abs(k - len(text) // 2), k))
+            a, b = at, at + 3
+            while a and text[a - 1].isalpha():
+                a -= 1
+            while b < len(text) and text[b].isalpha():
+                b += 1
+            assert got[i] == (text[:a], text[a:b], text[b:])
+    assert set(got) == {0, 1, 2, 3}
 
 
 def test_bools(spark):
@@ -170,7 +194,11 @@ def test_vectors(spark):
 
 def test_paradigm(spark):
     df = spark.createDataFrame([("koken",)], "w string")
-    assert df.select(forms.paradigm(F.col("w")).alias("m")).first()["m"] == {"koken": "infinitive", "kokt": "present", "kokte": "past", "gekokt": "participle"}
+    rules = {"base": ("", "", ""), "third": ("en", "t", ""), "past": ("en", "te", ""), "participle": ("en", "t", "ge"), "same": ("en", "t", "")}
+    plain = {"koken": "base", "kokt": "third", "kokte": "past", "gekokt": "participle"}
+    assert df.select(forms.paradigm(F.col("w"), rules).alias("m")).first()["m"] == plain
+    closed = df.select(forms.closed_paradigm(F.col("w"), rules, (("k", "c"),)).alias("m")).first()["m"]
+    assert closed == plain | {"cocen": "base", "coct": "third", "cocte": "past", "gecoct": "participle"}
 
 
 def test_cooccurrence_of_later_uses(spark):
@@ -178,7 +206,7 @@ def test_cooccurrence_of_later_uses(spark):
     long = ["x"] * 998 + ["y", "the", "z", "the"]
     docs = spark.createDataFrame([(1, text), (2, []), (3, long)], "doc_id long, w array<string>")
     for piece in (3, 1000):
-        got = {tuple(r) for r in A.cooccurrence_all(docs, "doc_id", "w", ["the"], 2, piece).select("doc_id", "target", "collocate").collect()}
+        got = {tuple(r) for r in A.cooccurrence(docs, "doc_id", "w", ["the"], 2, piece).select("doc_id", "target", "collocate").collect()}
         assert got == {(1, "the", c) for c in "axbc"} | {(3, "the", c) for c in "xyz"}
 
 
@@ -208,6 +236,43 @@ def test_found_values_are_whole(spark):
     assert got == {(1, 41), (None, 41), (3, 43)}
 
 
+def test_contains_finds_every_needle(spark):
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["ab", "abc", "b", "ca", "Cab"]) for _ in range(12)) for _ in range(40)] + ["", None, "tail"]
+    needles = ["a", "ab", "bc a", "b ca", "abc b c", "ca ab abc b", " ab", "ab  b", "Cab ca b ab", "tail", "zz", "", "b abc ca ab b"]
+    needles += [t[a : a + n] for t in texts[:10] for a, n in ((0, 9), (2, 14), (5, 30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    values = spark.createDataFrame(list(enumerate(needles)), "n int, needle string")
+    for fold in (False, True):
+        low = (lambda x: x.lower()) if fold else (lambda x: x)
+        want = sorted((i, n) for i, t in enumerate(texts) for n, v in enumerate(needles) if t is not None and v and low(v) in low(t))
+        assert sorted(tuple(x) for x in J.contains_join(df, values, "id", "text", "needle", fold).select("id", "n").collect()) == want
+
+
+def test_shingle_pairs(spark):
+    docs = {1: "a b c d e f", 2: "a b c d x", 3: "c d e f", 4: "a b", 5: "q r s t u"}
+    df = spark.createDataFrame([(k, v.split()) for k, v in docs.items()], "id int, w array<string>")
+    got = {(x.a, x.b): (x.shared, round(x.share, 4)) for x in J.shingle_pairs(df, "id", "w", 3, 2, 9, 0.1).collect()}
+    assert got == {(1, 2): (2, 0.6667), (1, 3): (2, 1.0)}
+
+
+def test_samples_by_thresholds(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 3).alias("s"), T.hash_order(F.col("id")).alias("h"))
+    rows = {x.id: (x.s, x.h) for x in df.collect()}
+    first = sorted(rows, key=lambda i: (rows[i][1], i))
+    for n in (0, 1, 700, 1999, 2000, 5000):
+        assert sorted(column(S.first_by_hash(df, F.col("h"), ["id"], n), "id")) == sorted(first[:n])
+    split = {x.id: x.split for x in S.stratified_split(df, "s", ["h", "id"], 20, F.col("id") < 100).collect()}
+    want = {i for s in range(3) for i in [i for i in first if rows[i][0] == s and i >= 100][:20]}
+    assert len(split) == 2000 and {i for i, x in split.items() if x == "dev"} == want
+    pinned = {x.id: x.pool for x in S.pinned_buckets(df, "s", F.col("id").isin(0, 3, 6, 1), ["h", "id"], 2).collect()}
+    others = [i for i in first if i not in (0, 3, 6, 1)]
+    want = {0, 3, 6, 1} | {next(i for i in others if rows[i][0] == 1)} | set([i for i in others if rows[i][0] == 2][:2])
+    assert set(pinned) == want and pinned[0] == 667
+
+
 def test_compounds_of_any_length(spark):
     known = "ei brot suppe rundfunkanstalt haupt tee er eisuppe hauptrundfunkanstalt brottee xybrot eier".split()
     got = {tuple(r) for r in A.compounds(spark.createDataFrame([(w,) for w in known], "form string"), "form").select("form", "head", "modifier").collect()}
