@@ -105,7 +105,7 @@ def drop_written(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._lexiforge_path)
 
 
-def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weight: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weight: str, total: int, spread: Column, how: str = "inner", least: int = 0) -> DataFrame:
     """Rows with the row of found (one per key) that their key names; found's other columns follow.
 
     Rows whose key found lacks go, or with how="left" stay with nulls.
@@ -114,8 +114,11 @@ def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weig
     over a thousandth of the rows are broadcast: by that measure they are fewer
     than a thousand. So no other key brings more than a thousandth to one task;
     the heavy keys' rows pass the join under keys that match nothing, dealt by
-    `spread` (a column of rows).
+    `spread` (a column of rows). Up to `least` rows in all, which one task can
+    hold, it is a plain join.
     """
+    if total <= least:
+        return rows.join(found, list(key), how)
     others = [c for c in found.columns if c not in key]
     packed = F.struct(*others)
     heavy = found.where(F.col(weight) * HEAVY > F.lit(total)).select(*key, packed.alias("_heavy"))

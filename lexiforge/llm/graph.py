@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, joined_by_weight, written
 
+#: Edges (of two numbers) that a single task can take, were they all of one node.
+FEW = 1_000_000
+
 
 def _stamp(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -30,9 +33,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "m").alias("m"), "many")
-        large = joined_by_weight(both, least, ["u"], "many", 2 * stamp[0], F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined_by_weight(both, least, ["u"], "many", 2 * stamp[0], F.col("v"), least=FEW).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
-        small = joined_by_weight(large, below, ["u"], "many", stamp[0], F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v"))).distinct()
+        small = joined_by_weight(large, below, ["u"], "many", stamp[0], F.col("v"), least=FEW).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "edges")
         new_stamp = _stamp(after)
         drop_written(now)

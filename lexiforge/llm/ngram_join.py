@@ -37,7 +37,9 @@ BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
 #: N-gram columns multiplied at once; columns that fill more than one of so many cells are multiplied whole.
 BLOCK_COLUMNS, DENSE = 4096, 32
 #: Documents of a block where counts are compared, and rows of a pack of small groups.
-SKETCH_DOCS, SKETCH_ROWS = 512, 6_000
+SKETCH_DOCS, SKETCH_ROWS = 512, 3_000
+#: Nodes whose texts are wanted that are broadcast at most (40 bytes each), so that no other text moves; beyond, texts are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Groups of more documents than this meet pivots first; turns in which they do at most.
 PIVOT_DOCS, PIVOTS = 64, 8
 #: Pairs listed at once, and bytes of counts compared at once.
@@ -457,6 +459,8 @@ class _Join:
         """Rows of tasks with the texts of their nodes."""
         need = written(tasks, "jaccard-tasks")
         keys = written(need.select("node").distinct().join(self.nodes.select("node", "doc_id", "text_key", "seq"), "node"), "jaccard-keys")
+        if keys.count() <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
         same = self.rows["doc_id"].eqNullSafe(keys["doc_id"]) & (self.rows["text_key"] == keys["text_key"])
         return need.join(self.rows.join(keys, same).select("node", "seq", "text"), "node")
 

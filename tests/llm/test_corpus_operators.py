@@ -15,7 +15,7 @@ from messy import empty, fold, frame, rows, thue_morse, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiforge.llm import common, lattice_lm, ngram_join, source_mix, substring_dedup
+from lexiforge.llm import common, graph, lattice_lm, ngram_join, source_mix, substring_dedup
 from lexiforge.llm.graph import components
 from lexiforge.llm.words import Words, exact_shingle_sets, shingle_sets, text_buffers
 
@@ -182,7 +182,7 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
 
 def test_large_groups_meet_pivots(spark, monkeypatch):
     """Copies of one text beyond all limits, with some that no pivot reaches: equal to brute force, in linear work."""
-    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("BLOCK_SHINGLES", 1500)):
+    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("BLOCK_SHINGLES", 1500), ("BROADCAST_KEYS", 0)):
         monkeypatch.setattr(ngram_join, name, n)
     r = random.Random(8)
     base = [f"b{i}" for i in range(150)]
@@ -308,7 +308,9 @@ def test_shingle_sets_are_sets_of_sequences():
     assert values[bounds[3]] in values[: bounds[1]]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
     parent = {i: i for e in edges for i in e}
