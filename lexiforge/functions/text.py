@@ -83,7 +83,7 @@ def split_at_middle(df: DataFrame, text: str, term: str) -> DataFrame:
     nearest = F.when((right == 0) | (F.col("_mid") - left <= right - F.col("_mid")), left).otherwise(right)
     cut = rows.withColumn("_at", F.coalesce(nearest, right))
     cut = cut.withColumn("_b", F.substring(text, F.lit(1), F.col("_at") - 1)).withColumn("_a", F.substring(text, F.col("_at") + n, F.char_length(text)))
-    x, y = F.regexp_extract("_b", r"\p{L}+$", 0), F.regexp_extract("_a", r"^\p{L}+", 0)
+    x, y = F.regexp_extract("_b", r"\p{L}+\z", 0), F.regexp_extract("_a", r"^\p{L}+", 0)
     out = cut.withColumn("before", F.substring("_b", F.lit(1), F.char_length("_b") - F.char_length(x))).withColumn("keyword", F.concat(x, F.substring(text, F.col("_at"), F.lit(n)), y)).withColumn("after", F.substring("_a", F.char_length(y) + 1, F.char_length("_a")))
     return out.drop("_mid", "_at", "_a", "_b")
 

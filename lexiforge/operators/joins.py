@@ -23,6 +23,25 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, s
     return out.select(*left.columns, *(F.col("_last")[v].alias(v) for v in values), F.col("_last")["_start"].alias(f"{start}_asof"))
 
 
+def bucketed_asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, start: str, values: Sequence[str], width: int) -> DataFrame:
+    """asof_join() for keys with long histories: at and start, in seconds, are dealt to buckets of `width`.
+
+    A bucket that has no mark before a row takes the last one of the key's
+    earlier buckets; only one row per key and bucket is carried over the key's
+    whole history. Marks of one key and time must be equal.
+    """
+    bucket = lambda c: F.floor(F.col(c).cast("long") / width)
+    last = right.groupBy(*keys, bucket(start).alias("_bucket")).agg(F.max_by(F.struct(*values, F.col(start).alias("_start")), start).alias("_mark"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    asked = left.select(*keys, bucket(at).alias("_bucket")).distinct().join(last, [*keys, "_bucket"], "full_outer")
+    carried = asked.select(*keys, "_bucket", F.last("_mark", ignorenulls=True).over(before).alias("_earlier"))
+    rows, marks = left.withColumn("_bucket", bucket(at)), right.withColumn("_bucket", bucket(start))
+    found = asof_join(rows, marks, [*keys, "_bucket"], at, start, values).join(carried, [*keys, "_bucket"], "left")
+    own = F.col(f"{start}_asof").isNotNull()
+    pick = lambda c, name: F.when(own, F.col(c)).otherwise(F.col("_earlier")[name]).alias(c)
+    return found.select(*left.columns, *(pick(v, v) for v in values), pick(f"{start}_asof", "_start"))
+
+
 def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: Column, start: str, end: str, width: int) -> DataFrame:
     """Points inside half-open spans of their keys; spans are dealt to buckets of `width`."""
     buckets = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))

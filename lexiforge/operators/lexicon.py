@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normal
-from .windows import first_of
+from .windows import first_of, top_k
 
 
 def alias_table(sources: DataFrame, denied: DataFrame, frequencies: DataFrame, least_letters: int = 3) -> DataFrame:
@@ -52,3 +54,15 @@ def glossary_lookup(df: DataFrame, term: str, glossary: DataFrame) -> DataFrame:
     rows = df.join(whole, name == F.col("_whole"), "left").join(head, F.element_at(F.split(name, " "), 1) == F.col("_head"), "left")
     by = F.when(F.col("_by_whole").isNotNull(), "whole").when(F.col("_by_head").isNotNull(), "head").otherwise("")
     return rows.withColumn("entry", F.coalesce("_by_whole", "_by_head")).withColumn("by", by).drop("_whole", "_head", "_by_whole", "_by_head")
+
+
+def mined(hits: DataFrame, matrix: DataFrame, text: str, key: str, labels: Sequence[str], least: float, per_text: int) -> DataFrame:
+    """Hits (text, key, start, label, form) of the first per_text of each text whose label's score for the key is `least` or more.
+
+    matrix has a row per key and a column per label. As the limit comes before
+    the scores, a text whose first hits score too little gives none.
+    """
+    first = top_k(hits, [text], [F.asc("start"), F.asc("label"), F.asc("form")], per_text, "_place").drop("_place")
+    scores = matrix.unpivot([key], list(labels), "label", "score").where(F.col("score") >= least)
+    found = first.join(scores, [key, "label"])
+    return first_of(found, [text, "label", "form"], [F.asc("start")]).select(text, key, "start", "label", "form", F.col("score").cast("double").alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import wilson
+from ..functions.text import normal, soft_match, token_f1, tokens, wilson
 
 
 def _count(c: Column) -> Column:
@@ -84,3 +84,26 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     names = ["all", *(n for n, _ in stages)]
     order = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))), F.col("stage"))
     return df.agg(*counts).unpivot([], names, "stage", "n").withColumn("place", order)
+
+
+def span_scores(df: DataFrame, gold: str, pred: str, field: str) -> DataFrame:
+    """field, n, n_positive, exact, f1, soft, and those three over rows with an answer alone.
+
+    gold and pred are the texts of the answers' spans, empty or null where there
+    is none. The blended figures go up with every rightly empty row, so the
+    positive ones show what is found.
+    """
+    a, b = F.coalesce(F.col(gold), F.lit("")), F.coalesce(F.col(pred), F.lit(""))
+    scored = df.select(
+        F.col(field).alias("field"),
+        (a != "").alias("positive"),
+        (normal(a) == normal(b)).cast("double").alias("exact"),
+        token_f1(tokens(a), tokens(b)).alias("f1"),
+        soft_match(a, b).cast("double").alias("soft"),
+    )
+    mean = lambda c: F.round(F.avg(c), 6)
+    only = lambda c: F.when(F.col("positive"), F.col(c))
+    return scored.groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("n_positive"),
+        *(mean(F.col(c)).alias(c) for c in ("exact", "f1", "soft")), *(mean(only(c)).alias(f"positive_{c}") for c in ("exact", "f1", "soft")),
+    )

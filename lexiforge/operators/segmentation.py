@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import band_join
+from .windows import top_k
+
 SPANS = "array<struct<start:int,end:int>>"
 _SENTENCE = re.compile(r"[.!?…;:]+(?=\s|$)")
 
@@ -158,10 +162,185 @@ def markup_entries(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     return cut.select(*keep, "ord", "start", "end", "tag", F.trim(F.substring("text", F.col("start") + 1, F.least(F.lit(80), F.col("end") - F.col("start")))).alias("head"))
 
 
-def suppress_overlaps(spans: Column) -> Column:
+def markup_sections(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
+    """keep, ord, start, end, level, head, path, carriers, anchors: the sections that headings declare.
+
+    A section runs to the next heading of its own or an upper level; path joins
+    the heads above it and its own. carriers counts the elements that hold its
+    text (up to the next heading) by tag, anchors lists the terms that begin
+    such an element in bold, and rubrics those in italics in their order, repeats
+    in a row once.
+    """
+    kind = "array<struct<start:int,tag:string,text:string,bold:string,italic:array<string>>>"
+
+    @F.pandas_udf(f"struct<size:int,marks:{kind}>")
+    def walk(pages: pd.Series) -> pd.DataFrame:
+        found = [_Elements.of(p or "") for p in pages]
+        return pd.DataFrame({"size": [n for n, _ in found], "marks": [m for _, m in found]})
+
+    rows = df.select(*keep, walk(F.col(html)).alias("w")).select(*keep, F.col("w.size").alias("size"), F.posexplode("w.marks").alias("ord", "m")).select(*keep, "size", "ord", "m.*")
+    upto = W.partitionBy(*keep).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    heading = F.col("tag").rlike("^h[1-6]$")
+    level = F.when(heading, F.substring("tag", 2, 1).cast("int"))
+    rows = rows.withColumn("level", level).withColumn("_section", F.sum(heading.cast("int")).over(upto))
+    inside = rows.where(~heading & F.col("tag").isin("p", "li", "td")).groupBy(*keep, "_section").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "tag", "bold", "italic"))).alias("_e")
+    )
+    # The heads above: for every level the last heading of it since the last one of an upper level.
+    heads = rows.where(heading).withColumn("head", F.trim("text"))
+    following = W.partitionBy(*keep).orderBy("ord").rowsBetween(1, W.unboundedFollowing)
+    ends = F.coalesce(*[F.when(F.col("level") == n, F.min(F.when(F.col("level") <= n, F.col("start"))).over(following)) for n in range(1, 7)], F.col("size"))
+    before = W.partitionBy(*keep).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    heads = heads.withColumn("end", ends)
+    for n in range(1, 7):
+        heads = heads.withColumn(f"_h{n}", F.last(F.when(F.col("level") == n, F.struct("ord", "head")), ignorenulls=True).over(before))
+        heads = heads.withColumn(f"_u{n}", F.last(F.when(F.col("level") < n, F.col("ord")), ignorenulls=True).over(before))
+    above = F.array_compact(F.array(*(F.when((F.col("level") >= n) & (F.coalesce(F.col(f"_u{n}"), F.lit(-1)) < F.col(f"_h{n}.ord")) | (F.col("level") == n), F.col(f"_h{n}.head")) for n in range(1, 7))))
+    out = heads.withColumn("path", F.array_join(above, " / ")).join(inside, [*keep, "_section"], "left")
+    tags = F.transform(F.array(F.lit("p"), F.lit("li"), F.lit("td")), lambda t: F.struct(t.alias("tag"), F.coalesce(F.size(F.filter("_e", lambda e: e["tag"] == t)), F.lit(0)).alias("n")))
+    carriers = F.array_join(F.transform(F.filter(tags, lambda x: x["n"] > 0), lambda x: F.concat_ws("=", x["tag"], x["n"].cast("string"))), ",")
+    anchors = F.array_compact(F.transform("_e", lambda e: e["bold"]))
+    italics = F.flatten(F.transform("_e", lambda e: e["italic"]))
+    rubrics = F.filter(italics, lambda x, i: (i == 0) | (F.get(italics, i - 1) != x))
+    none = F.array().cast("array<string>")
+    return out.select(*keep, "ord", "start", "end", "level", "head", "path", carriers.alias("carriers"), F.coalesce(anchors, none).alias("anchors"), F.coalesce(rubrics, none).alias("rubrics"))
+
+
+class _Elements(HTMLParser):
+    """One walk over markup: headings and content elements with their places in the rendered text."""
+
+    CONTENT = {"p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"}
+    SKIP = {"script", "style", "note"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.size, self.skipping, self.marks, self.open, self.style = 0, 0, [], None, None
+
+    @classmethod
+    def of(cls, markup: str) -> tuple[int, list[dict]]:
+        walker = cls()
+        walker.feed(markup)
+        return walker.size, walker.marks
+
+    def handle_starttag(self, tag, attrs):
+        self.skipping += tag in self.SKIP
+        if tag in self.CONTENT:
+            self.open = {"start": self.size, "tag": tag, "text": "", "bold": None, "italic": []}
+            self.marks.append(self.open)
+        elif tag in ("b", "strong", "i", "em"):
+            self.style = "bold" if tag in ("b", "strong") else "italic"
+
+    def handle_endtag(self, tag):
+        if tag in self.SKIP and self.skipping:
+            self.skipping -= 1
+        if tag in self.CONTENT:
+            self.open = None
+        if tag in ("b", "strong", "i", "em"):
+            self.style = None
+
+    def handle_data(self, data):
+        piece = " ".join(data.split())
+        if self.skipping or not piece:
+            return
+        if self.open is not None:
+            if self.style == "bold" and not self.open["text"]:
+                self.open["bold"] = piece
+            if self.style == "italic":
+                self.open["italic"].append(piece.rstrip(".:"))
+            self.open["text"] = (self.open["text"] + " " + piece)[:200].strip()
+        self.size += len(piece) + 1
+
+
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Bounds of words: letters, with an apostrophe between letters."""
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[str], clitics: Sequence[str] = (), stop: Sequence[str] = (), longest: int = 3) -> DataFrame:
+    """keep, start, end, surface, form, label, clitic: where forms of a lexicon (form, label) stand in a text.
+
+    Forms are one to `longest` words in lower case, looked up by equality. A word
+    that is no form itself and not in stop is also tried without each clitic at
+    its end, joined by an apostrophe or not (the first clitic that leaves a form
+    wins); then the surface is what stands before the clitic.
+    """
+    words = exploded(df.select(*keep, text), text, word_places, keep).withColumn("word", F.lower("part"))
+    window = W.partitionBy(*keep).orderBy("ord")
+    out = None
+    for n in range(1, longest + 1):
+        last = n - 1
+        run = F.concat_ws(" ", *(F.lead("word", i).over(window) for i in range(n)))
+        end = F.lead("end", last).over(window)
+        part = words.select(*keep, "ord", "start", end.alias("end"), "part", run.alias("form")).where("end is not null")
+        hits = part.join(lexicon.select("form", "label"), "form").withColumn("_n", F.lit(n))
+        out = hits if out is None else out.unionByName(hits)
+    plain = out.withColumn("clitic", F.lit(""))
+    if clitics:
+        known = lexicon.select(F.col("form").alias("word")).distinct()
+        bare = words.join(known, "word", "left_anti").where(~F.col("word").isin(*stop)) if stop else words.join(known, "word", "left_anti")
+        cut = F.array(*(F.when(F.col("word").endswith(c) & (F.char_length("word") > len(c)), F.struct(F.lit(i).alias("rank"), F.lit(c).alias("clitic"), F.regexp_replace(F.expr(f"left(word, length(word) - {len(c)})"), "'$", "").alias("form"))) for i, c in enumerate(clitics)))
+        hosts = bare.select(*keep, "ord", "start", "end", "part", F.explode(F.array_compact(cut)).alias("h")).select(*keep, "ord", "start", "end", "part", "h.rank", "h.clitic", "h.form")
+        best = hosts.join(lexicon.select("form", "label"), "form")
+        pick = F.row_number().over(W.partitionBy(*keep, "ord").orderBy("rank"))
+        plain = plain.unionByName(best.withColumn("_p", pick).where("_p = 1").drop("_p", "rank").withColumn("_n", F.lit(0)))
+    source = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)), F.col(text).alias("_text"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keep)]
+    several = plain.where("_n > 1").join(source, same).withColumn("surface", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start"))).select(*keep, "start", "end", "surface", "form", "label", "clitic")
+    single = plain.where("_n <= 1").withColumn("surface", F.when(F.col("clitic") != "", F.substring("part", F.lit(1), F.char_length("form"))).otherwise(F.col("part"))).select(*keep, "start", "end", "surface", "form", "label", "clitic")
+    return single.unionByName(several)
+
+
+def trigger_scan(hits: DataFrame, terms: DataFrame, keep: Sequence[str], radius: int, cap: int, weight: Column | None = None) -> DataFrame:
+    """keep, start, label, terms, score: triggers with the terms around them, scored, at most cap per text.
+
+    hits (keep, start, label) and terms (keep, start, term) meet within radius
+    characters. A trigger inside the window of one kept before it is left out.
+    The score is the number of different terms, plus `weight` of the trigger.
+    """
+    a = hits.select(*keep, F.col("start").alias("_a"), "label")
+    b = terms.select(*keep, F.col("start").alias("_b"), "term")
+    near = band_join(a, b, list(keep), "_a", "_b", radius)
+    found = near.groupBy(*keep, "_a", "label").agg(F.count_distinct("term").alias("terms"))
+    rows = found.withColumn("score", F.col("terms") + (weight if weight is not None else F.lit(0)))
+    places = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.col("_a").alias("start"), (F.col("_a") + radius).alias("end"), "label", "terms", "score"))).alias("_s"))
+    kept = places.select(*keep, F.explode(suppress_overlaps(F.col("_s"), "array<struct<start:int,end:int,label:string,terms:bigint,score:bigint>>")).alias("k"))
+    flat = kept.select(*keep, "k.start", "k.label", "k.terms", "k.score")
+    return top_k(flat, list(keep), [F.desc("score"), F.asc("start"), F.asc("label")], cap, "_place").drop("_place")
+
+
+@dataclass(frozen=True)
+class Construction:
+    """A construction of several words; where it needs a cue, one must stand within some characters of it."""
+
+    name: str
+    pattern: str
+    cue: str | None = None
+
+
+def construction_hits(df: DataFrame, text: str, constructions: Sequence[Construction], keep: Sequence[str], around: int = 100) -> DataFrame:
+    """keep, ord, start, end, name, part: occurrences of constructions in the order of a text."""
+    compiled = [(c.name, re.compile(c.pattern, re.I), c.cue and re.compile(c.cue, re.I)) for c in constructions]
+
+    def find(t: str) -> list[dict]:
+        hits = [(m.start(), m.end(), name) for name, rx, cue in compiled for m in rx.finditer(t) if not cue or cue.search(t, max(0, m.start() - around), m.end() + around)]
+        return [{"start": a, "end": b, "name": name} for a, b, name in sorted(hits)]
+
+    @F.pandas_udf("array<struct<start:int,end:int,name:string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: find(t or ""))
+
+    rows = df.select(*keep, text, F.posexplode(spans(F.col(text))).alias("ord", "s"))
+    return rows.select(*keep, "ord", "s.start", "s.end", "s.name", F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"))
+
+
+def suppress_overlaps(spans: Column, kind: str = "array<struct<start:int,end:int>>") -> Column:
     """Of spans sorted by start, those that begin at or after the end of the last one kept."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(spans, start, lambda kept, s: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= s["start"]), F.concat(kept, F.array(s))).otherwise(kept))
+    first = F.struct(F.lit(None).cast("int").alias("end"), F.array().cast(kind).alias("kept"))
+    step = lambda acc, s: F.when(acc["end"].isNull() | (acc["end"] <= s["start"]), F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
+    return F.aggregate(spans, first, step, lambda acc: acc["kept"])
 
 
 def separated_pairs(tokens: DataFrame, keep: Sequence[str], verbs: Sequence[str], particles: Sequence[str], ahead: int = 7) -> DataFrame:

@@ -131,3 +131,67 @@ def hybrid(scored: DataFrame, id_col: str, anchored: DataFrame, margin: float, q
     known = best.join(anchored.select(id_col, F.lit(True).alias("anchored")).distinct(), id_col, "left")
     tier = F.when((F.col("gap") >= margin) & F.col("anchored"), 0).when(F.col("gap") >= margin, 1).otherwise(2)
     return top_k(known.withColumn("tier", tier), ["label"], [F.asc("tier"), F.desc("gap"), F.asc(id_col)], quota)
+
+
+def hybrid_limited(ranked: DataFrame, id_col: str, key: str, limit: int, labels: int) -> tuple[DataFrame, DataFrame]:
+    """Anchored and other rows of a ranking, each at most limit.
+
+    ranked has id_col, label, score and key, which is null where a row holds no
+    anchor. Anchored rows are taken in the order of their scores, one per key,
+    and of each label at most its share of the limit; then those put off by
+    their label's share fill what is left. Others are the best by score. The
+    order decides one row at a time, but only over the first rows of each label:
+    a label can lose at most `limit` keys to others, so twice that many suffice.
+    """
+    share = max(1, limit // max(1, labels))
+    order = [F.desc("score"), F.asc(id_col)]
+    first = first_of(ranked.where(F.col(key).isNotNull()), ["label", key], order)
+    few = top_k(first, ["label"], order, 2 * limit, "_place").drop("_place")
+
+    def choose(rows):
+        rows = rows.drop(columns="_all").sort_values(["score", id_col], ascending=[False, True])
+        seen, count, kept, later = set(), {}, [], []
+        for turn, part in ((1, rows.itertuples()), (2, later)):
+            for row in part:
+                label, name = row.label, getattr(row, key)
+                if name in seen or len(kept) >= limit:
+                    continue
+                if turn == 1 and count.get(label, 0) >= share:
+                    later.append(row)
+                    continue
+                seen.add(name)
+                count[label] = count.get(label, 0) + 1
+                kept.append((row.Index, turn))
+        out = rows.loc[[i for i, _ in kept]]
+        return out.assign(turn=[t for _, t in kept])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema.fields) + ", turn int"
+    anchored = few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, kinds)  # at most labels * 2 * limit rows
+    return anchored, ranked.where(F.col(key).isNull()).orderBy(*order).limit(limit)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters of a padded lower-cased text: a stand-in for an encoder."""
+    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - 2)), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def ground_by_span(df: DataFrame, id_col: str, value: str, context: str, threshold: float, more: int = 1) -> DataFrame:
+    """id_col, value, grounded, replaced: a value that its context holds stays; else the most similar
+    run of words (of up to `more` words more or less) takes its place where it reaches the threshold.
+
+    Similarity is the cosine of trigram sets; the leftmost of equal runs wins. A blank value is grounded.
+    """
+    held = (F.trim(value) == "") | F.lower(context).contains(F.lower(F.trim(value)))
+    rows = df.select(id_col, F.col(value).alias("_v"), F.col(context).alias("_c"), F.coalesce(held, F.col(value).isNull()).alias("_held"))
+    words = F.filter(F.split(F.coalesce("_c", F.lit("")), r"\s+"), lambda w: w != "")
+    open_rows = rows.where(~F.col("_held")).withColumn("_w", words).withColumn("_n", F.size(F.split(F.trim("_v"), r"\s+")))
+    lengths = F.sequence(F.greatest(F.lit(1), F.col("_n") - more), F.col("_n") + more)
+    sized = open_rows.select(id_col, "_v", "_w", F.explode(lengths).alias("_k")).where("_k <= size(_w)")
+    spans = sized.select(id_col, "_v", "_k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("_k")), " "))).alias("_at", "_span"))
+    a, b = trigrams(F.col("_v")), trigrams(F.col("_span"))
+    score = F.round(F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b)), 6)
+    best = spans.groupBy(id_col).agg(F.min_by(F.struct("_span", score.alias("_score")), F.struct(-score, "_at", "_k")).alias("_b"))
+    found = rows.join(best, id_col, "left")
+    good = F.coalesce(F.col("_b._score") >= threshold, F.lit(False)) & ~F.col("_held")
+    return found.select(id_col, F.when(good, F.col("_b._span")).otherwise(F.col("_v")).alias(value), (F.col("_held") | good).alias("grounded"), good.alias("replaced"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import forms as W
 from ..functions import text as T
 from ..operators import cascade as C
+from ..operators import lexicon as L
 from ..operators import sampling as S
 from ..operators import segmentation as G
 from ..operators import vectors as V
@@ -84,6 +85,91 @@ def entry_heads(t):
     return G.markup_entries(t.pages, "html", ["page_id"])
 
 
+@BOOK.query("markup_sections")
+def markup_sections(t):
+    return G.markup_sections(t.pages, "html", ["page_id"])
+
+
+#: Forms, clitics, terms and constructions made up for the words of these tables.
+TRIGGERS = (("that", "link"), ("with the", "tool"), ("und", "add"), ("pour", "aim"), ("the", "name"))
+CLITICS, KNOWN_WORDS = ("ed", "s"), ("was",)
+TERMS = ("one", "haus", "maison", "of", "in", "die", "les")
+CONSTRUCTIONS = (G.Construction("the_of", r"\bthe \w+ of\b"), G.Construction("in_with", r"\bin \w+ with\b", r"\bthat\b"), G.Construction("zu_en", r"\bzu \w+en\b"))
+
+
+def _triggers(t):
+    lexicon = t.spark.createDataFrame(TRIGGERS, "form string, label string")
+    return G.trigger_hits(t.documents, "text", lexicon, ["doc_id"], CLITICS, KNOWN_WORDS)
+
+
+@BOOK.query("trigger_offsets")
+def trigger_offsets(t):
+    """Forms of one to three words, and words that are a form with a clitic at its end, with their places."""
+    return _triggers(t)
+
+
+@BOOK.query("trigger_scan")
+def trigger_scan(t):
+    """Windows around triggers that hold terms, scored, at most 3,000 of a text."""
+    terms = G.trigger_hits(t.documents, "text", t.spark.createDataFrame([(w, "term") for w in TERMS], "form string, label string"), ["doc_id"], longest=1)
+    return G.trigger_scan(_triggers(t), terms.select("doc_id", "start", F.col("form").alias("term")), ["doc_id"], 120, 3000)
+
+
+@BOOK.query("construction_hits")
+def construction_hits(t):
+    return G.construction_hits(t.documents, "text", CONSTRUCTIONS, ["doc_id"])
+
+
+@BOOK.query("sentences_in_sql")
+def sentences_in_sql(t):
+    """The table function for sentences, joined laterally in SQL."""
+    from ..functions.registered import register
+
+    register(t.spark)
+    return t.spark.sql("SELECT doc_id, ord, start, `end` FROM {docs}, LATERAL lexi_sentences(text)", docs=t.documents.select("doc_id", "text"))
+
+
+_KAPPA = "WITH c AS (SELECT lang AS class, toxic AS a, 1 - quality AS b, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), s AS (SELECT class, CAST(sum(n) AS DOUBLE) AS t, sum(n) FILTER (WHERE a = b) AS e FROM c GROUP BY 1), x AS (SELECT class, a, sum(n) AS n FROM c GROUP BY ALL), y AS (SELECT class, b, sum(n) AS n FROM c GROUP BY ALL), p AS (SELECT class, sum(x.n * y.n) AS p FROM x JOIN y USING (class) WHERE x.a = y.b GROUP BY 1)"
+
+
+@BOOK.query("kappa_by_class", f"{_KAPPA} SELECT class, CASE WHEN coalesce(p, 0) / (t * t) = 1 THEN 1.0 ELSE round((coalesce(e, 0) / t - coalesce(p, 0) / (t * t)) / (1 - coalesce(p, 0) / (t * t)), 6) END AS kappa FROM s LEFT JOIN p USING (class)")
+def kappa_by_class(t):
+    """Chance-corrected agreement of two labels per class, by an aggregate function over counts."""
+    from ..functions.registered import kappa
+
+    rows = t.documents.join(t.labels, "doc_id").select(F.col("lang").alias("class"), F.col("toxic").alias("a"), (1 - F.col("quality")).alias("b"))
+    counts = rows.groupBy("class", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("class").agg(kappa("a", "b", "n").alias("kappa")).withColumn("kappa", F.round("kappa", 6))
+
+
+@BOOK.query("hybrid_deferred")
+def hybrid_deferred(t):
+    """Anchored candidates under shares per label, filled up by those put off, beside unanchored ones."""
+    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
+    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres).withColumn("score", F.round("score", 6))
+    best = X.first_of(scored, ["vec_id"], [F.desc("score"), "label"])
+    ranked = best.withColumn("key", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 101))
+    anchored, others = V.hybrid_limited(ranked, "vec_id", "key", 60, len(centres))
+    return anchored.select("vec_id", "label", "turn").unionByName(others.select("vec_id", "label", F.lit(0).alias("turn")))
+
+
+@BOOK.query("ground_by_span")
+def ground_by_span(t):
+    """The first two words of each turn, held against the turn before."""
+    turns = t.conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    rows = turns.join(before, ["conv_id", "turn"]).withColumn("value", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " "))
+    return V.ground_by_span(rows.withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id", "value", "context", 0.6)
+
+
+@BOOK.query("mined_by_scores")
+def mined_by_scores(t):
+    """Triggers whose label scores enough in the document's source, at most two of a text."""
+    shares = t.documents.groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).count().fillna(0)
+    matrix = shares.select("source", F.col("en").alias("link"), F.col("de").alias("add"), F.col("fr").alias("aim"), F.col("es").alias("tool"))
+    return L.mined(_triggers(t).join(t.documents.select("doc_id", "source"), "doc_id"), matrix, "doc_id", "source", ["link", "add", "aim", "tool"], 3.0, 2)
+
+
 @BOOK.query("overlap_suppression")
 def overlap_suppression(t):
     """Greedy: a span is kept if it begins at or after the end of the last one kept."""
@@ -160,14 +246,15 @@ def linear_probe(t):
 def word_vectors(t):
     """Skip-gram vectors of the corpus, and the words nearest to some targets."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     sentences = t.documents.select(T.tokens(F.col("text")).alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=50, maxIter=1, seed=7, inputCol="words", outputCol="v").fit(sentences)
-    out = None
-    for word in ("the", "und"):
-        part = model.findSynonyms(word, 5).select(F.lit(word).alias("target"), "word", F.round("similarity", 4).alias("similarity"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    parts = min(8, t.spark.sparkContext.defaultParallelism)  # shards that each learn and are then averaged
+    model = Word2Vec(vectorSize=16, minCount=5, maxIter=parts, numPartitions=parts, seed=7, inputCol="words", outputCol="v").fit(sentences)
+    vectors = model.getVectors().select(F.col("word"), vector_to_array("vector").alias("v"))
+    known = t.spark.createDataFrame([("the", 0), ("und", 1), ("les", 2), ("que", 3)], "word string, n int").join(vectors, "word")
+    near = V.similarities(vectors, "word", "v", {r["word"]: list(r["v"]) for r in known.collect()}, "target").where("word <> target")  # the targets are a parameter
+    return X.top_k(near, ["target"], [F.desc("score"), "word"], 5).select("target", "word", F.round("score", 4).alias("similarity"))
 
 
 @BOOK.query("text_encoder")
@@ -177,7 +264,7 @@ def text_encoder(t):
     from pyspark.ml.functions import vector_to_array
 
     hashed = HashingTF(numFeatures=64, inputCol="words", outputCol="v").transform(t.documents.select("doc_id", T.tokens(F.col("text")).alias("words")))
-    return hashed.select("doc_id", V.unit(vector_to_array("v")).alias("u")).select("doc_id", F.round(V.norm(F.col("u")), 6).alias("length"))
+    return hashed.select("doc_id", F.transform(V.unit(vector_to_array("v")), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @BOOK.query("catalog_check")

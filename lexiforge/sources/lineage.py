@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parent pointers followed at most; a chain that returns to its child ends there.
-DEPTH = 8
+#: Parent pointers followed at most; a longer chain is an error, and one that returns to its child ends there.
+DEPTH = 64
 
 
 def chain(catalog: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(child, node, depth): each dataset and all it comes from, by a recursive query."""
+    """(child, node, depth): each dataset and all it comes from, by a recursive query; a chain beyond depth raises."""
     query = """
     WITH RECURSIVE up(child, node, parent, depth) AS (
       SELECT name, name, parent, 0 FROM {catalog}
       UNION ALL
       SELECT up.child, c.name, c.parent, up.depth + 1
       FROM up JOIN {catalog} c ON up.parent = c.name
-      WHERE up.depth < :depth AND c.name <> up.child
+      WHERE up.depth <= :depth AND c.name <> up.child
     )
-    SELECT child, node, depth FROM up
+    SELECT child, node, CASE WHEN depth <= :depth THEN depth ELSE CAST(raise_error('a chain is too long: ' || child) AS INT) END AS depth FROM up
     """
     return catalog.sparkSession.sql(query, args={"depth": depth}, catalog=catalog)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -112,13 +113,66 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str, keep_default_na=False))
 
 
+def read_separated(spark: SparkSession, path: str) -> DataFrame:
+    """CSV exports that may open with a line `sep=;` naming their separator; all text, header from the first line after it."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = [r["value"].lstrip("\ufeff").strip() for r in lines.limit(2).collect()]
+    if not first:
+        return spark.createDataFrame([], "value string")
+    named = first[0].lower().startswith("sep=")
+    separator = first[0][4:5] if named else ","
+    header = first[1] if named and len(first) > 1 else first[0]
+    names = next(csv.reader([header], delimiter=separator))
+    clean = F.trim(F.ltrim(F.col("value"), F.lit("\ufeff")))
+    rows = lines.where((clean != header) & ~F.lower(clean).startswith("sep="))
+    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "quote": '"', "escape": '"'})
+    return rows.select(parsed.alias("row")).select("row.*")
+
+
+def _sidecar(spark: SparkSession, path: str, record: dict) -> dict:
+    """Provenance beside a table, written after its data."""
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.meta")
+    return record
+
+
+def _record(df: DataFrame, name: str, parents: Sequence[str], description: str, phase: str) -> dict:
+    return {"name": name, "parents": list(parents), "description": description, "phase": phase, "columns": df.columns, "written": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+
+
+def write_jsonl(df: DataFrame, path: str, name: str, parents: Sequence[str] = (), description: str = "", phase: str = "explore") -> dict:
+    """JSON lines (nulls kept, text as it is) with a sidecar that holds the number of records, too."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    spark = df.sparkSession
+    return _sidecar(spark, path, _record(df, name, parents, description, phase) | {"records": spark.read.text(path).count()})
+
+
+def import_labelled(spark: SparkSession, source: str, table: str, mirror: str, labelled: str = "labelled", name: str = "gold") -> DataFrame:
+    """Labelled rows of a CSV sheet as a Parquet table and a JSON lines mirror, both with provenance.
+
+    A row counts as labelled where that column says yes; a sheet without any
+    raises ValueError and writes nothing.
+    """
+    from ..functions.text import tolerant_bool
+
+    rows = read_csv(spark, source).where(F.coalesce(tolerant_bool(F.col(labelled)), F.lit(False)))
+    if rows.isEmpty():
+        raise ValueError(f"no labelled rows in {source}: set {labelled} for the rows to import")
+    write_jsonl(rows, mirror, f"{name}_jsonl", [source], "mirror of the labelled rows")
+    write_parquet(rows, table, name, [source, f"{name}_jsonl"], "labelled rows")
+    return spark.read.parquet(table)
+
+
+def load_assets(spark: SparkSession, path: str, schema: str) -> list[dict]:
+    """Few-shot examples or other small assets from a JSON file, in the file's order; a list of objects of that schema."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return [r.asDict(recursive=True) for r in rows.collect()]  # an asset file is a parameter
+
+
 def write_parquet(df: DataFrame, path: str, name: str, parents: Sequence[str] = (), description: str = "", phase: str = "frozen") -> dict:
     """Parquet with provenance in the columns' metadata, and a sidecar written after the data."""
-    record = {"name": name, "parents": list(parents), "description": description, "phase": phase, "columns": df.columns, "written": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    record = _record(df, name, parents, description, phase)
     df.select(*(F.col(f"`{c}`").alias(c, metadata={"lexiforge": {"name": name, "parents": list(parents), "phase": phase}}) for c in df.columns)).write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.meta")
-    return record
+    return _sidecar(df.sparkSession, path, record)
 
 
 def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexiforge.functions import forms, text as T
-from lexiforge.operators import aggregates as A, cascade as C, joins as J, merge as M, metrics as E, sampling as S, segmentation as G, vectors as V, windows as X
+from lexiforge.operators import aggregates as A, cascade as C, joins as J, lexicon as L, merge as M, metrics as E, sampling as S, segmentation as G, vectors as V, windows as X
 
 
 def column(df, name):
@@ -277,3 +277,118 @@ def test_compounds_of_any_length(spark):
     known = "ei brot suppe rundfunkanstalt haupt tee er eisuppe hauptrundfunkanstalt brottee xybrot eier".split()
     got = {tuple(r) for r in A.compounds(spark.createDataFrame([(w,) for w in known], "form string"), "form").select("form", "head", "modifier").collect()}
     assert got == {("eisuppe", "suppe", "ei"), ("hauptrundfunkanstalt", "rundfunkanstalt", "haupt"), ("brottee", "tee", "brot")}
+
+
+def test_asof_in_buckets_equals_asof(spark):
+    import random
+
+    r = random.Random(5)
+    left = spark.createDataFrame([(r.randrange(3), r.randrange(400), i) for i in range(200)], "k int, at long, i int")
+    marks = {(r.randrange(3), r.randrange(400)): r.randrange(9) for _ in range(25)}
+    right = spark.createDataFrame([(k, a, v) for (k, a), v in marks.items()], "k int, start long, v int")
+    plain = sorted(map(str, J.asof_join(left, right, ["k"], "at", "start", ["v"]).collect()))
+    for width in (1, 30, 1000):
+        assert sorted(map(str, J.bucketed_asof_join(left, right, ["k"], "at", "start", ["v"], width).collect())) == plain
+
+
+def test_trigger_hits_with_places(spark):
+    text = "Zout's in de kook't. Kookte het, In De pot kookt"
+    lexicon = spark.createDataFrame([("kook", "cook"), ("kookt", "cook"), ("in de", "where"), ("zout", "food"), ("de pot", "thing")], "form string, label string")
+    df = spark.createDataFrame([(1, text), (2, None), (3, "kooks pots")], "id int, text string")
+    got = {(x.id, text[x.start : x.end] if x.id == 1 else "", x.surface, x.form, x.clitic) for x in G.trigger_hits(df, "text", lexicon, ["id"], ("te", "t", "s"), ("kooks",)).collect()}
+    assert got == {(1, "Zout's", "Zout", "zout", "s"), (1, "in de", "in de", "in de", ""), (1, "kook't", "kook", "kook", "t"), (1, "Kookte", "Kook", "kook", "te"), (1, "In De", "In De", "in de", ""), (1, "De pot", "De pot", "de pot", ""), (1, "kookt", "kookt", "kookt", "")}
+
+
+def test_trigger_scan(spark):
+    hits = spark.createDataFrame([(1, 10, "a"), (1, 15, "b"), (1, 40, "c"), (1, 90, "d")], "id int, start int, label string")
+    terms = spark.createDataFrame([(1, 12, "x"), (1, 18, "y"), (1, 19, "y"), (1, 45, "x"), (2, 90, "x")], "id int, start int, term string")
+    got = [tuple(x) for x in G.trigger_scan(hits, terms, ["id"], 10, 5).orderBy("start").collect()]
+    assert got == [(1, 10, "a", 2, 2), (1, 40, "c", 1, 1)]
+    assert [x.start for x in G.trigger_scan(hits, terms, ["id"], 10, 1).collect()] == [10]
+
+
+def test_constructions_need_their_cue(spark):
+    df = spark.createDataFrame([(1, "salt of the sea, cure for cough"), (2, "cure for nothing" + " " * 150 + "sick"), (3, None)], "id int, text string")
+    rules = [G.Construction("of", r"\w+ of the \w+"), G.Construction("cure", r"cure for \w+", r"cough|sick")]
+    assert [(x.id, x.name, x.part) for x in G.construction_hits(df, "text", rules, ["id"]).orderBy("id", "ord").collect()] == [(1, "of", "salt of the sea"), (1, "cure", "cure for cough")]
+
+
+def test_sections_of_markup(spark):
+    page = "<h1>Book</h1><p>intro</p><h2>Salt</h2><p><b>Zout</b> is <i>Use.</i> good <i>Use</i></p><ul><li>one <b>late</b></li></ul><h3>Deep</h3><p>x</p><h2>Pepper</h2><h1>End</h1><td><b>Tail</b></td>"
+    rows = G.markup_sections(spark.createDataFrame([(1, page), (2, None), (3, "<p>no head</p>")], "id int, html string"), "html", ["id"]).orderBy("ord").collect()
+    assert [(x.head, x.level, x.path, x.carriers, x.anchors, x.rubrics) for x in rows] == [
+        ("Book", 1, "Book", "p=1", [], []),
+        ("Salt", 2, "Book / Salt", "p=1,li=1", ["Zout"], ["Use"]),
+        ("Deep", 3, "Book / Salt / Deep", "p=1", [], []),
+        ("Pepper", 2, "Book / Pepper", "", [], []),
+        ("End", 1, "End", "td=1", ["Tail"], []),
+    ]
+    starts = {x.head: (x.start, x.end) for x in rows}
+    assert starts["Book"] == (0, starts["End"][0]) and starts["Salt"][1] == starts["Pepper"][0] == starts["Deep"][1]
+
+
+def test_span_scores(spark):
+    df = spark.createDataFrame([("f", "the red pot", "red pot"), ("f", None, ""), ("f", "", "pot"), ("f", "salt", "Salt!")], "k string, g string, p string")
+    x = E.span_scores(df, "g", "p", "k").first()
+    assert (x.n, x.n_positive, x.exact, x.f1, x.soft) == (4, 2, 0.5, 0.7, 0.75) and (x.positive_exact, x.positive_f1, x.positive_soft) == (0.5, 0.9, 1.0)
+
+
+def test_grounding_by_span(spark):
+    rows = [(1, "red pot", "a Red Pot here"), (2, "red pots", "the reds and the red pot"), (3, "zebra", "nothing alike"), (4, " ", "x"), (5, "word", None)]
+    df = spark.createDataFrame(rows, "id int, v string, c string")
+    got = {x.id: (x.v, x.grounded, x.replaced) for x in V.ground_by_span(df, "id", "v", "c", 0.6).collect()}
+    assert got == {1: ("red pot", True, False), 2: ("red pot", True, True), 3: ("zebra", False, False), 4: (" ", True, False), 5: ("word", False, False)}
+
+
+def test_hybrid_equals_one_by_one(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(i, r.choice("abc"), round(r.random(), 3), r.choice([None, *range(12)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label string, score double, key long")
+    for limit in (6, 10, 40):
+        seen, count, kept, later = set(), {}, [], []
+        order = sorted((x for x in rows if x[3] is not None), key=lambda x: (-x[2], x[0]))
+        for turn, part in ((1, order), (2, later)):
+            for x in part:
+                if x[3] in seen or len(kept) >= limit:
+                    continue
+                if turn == 1 and count.get(x[1], 0) >= max(1, limit // 3):
+                    later.append(x)
+                    continue
+                seen.add(x[3])
+                count[x[1]] = count.get(x[1], 0) + 1
+                kept.append((x[0], turn))
+        anchored, others = V.hybrid_limited(df, "id", "key", limit, 3)
+        assert sorted((x.id, x.turn) for x in anchored.collect()) == sorted(kept)
+        assert others.count() == min(limit, sum(x[3] is None for x in rows))
+
+
+def test_masked_mean(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], True), (1, [3.0, 6.0], True), (1, [9.0, 9.0], False), (2, [5.0, 5.0], False)], "k int, v array<double>, m boolean")
+    assert {x.k: (x.n, x.pooled) for x in V.mean_pool(df, "k", "v", "m").collect()} == {1: (2, [2.0, 4.0]), 2: (0, [0.0, 0.0])}
+
+
+def test_mined_by_scores(spark):
+    hits = spark.createDataFrame([(1, "k", 5, "a", "x"), (1, "k", 9, "b", "y"), (1, "k", 12, "a", "z"), (2, "q", 1, "a", "x")], "id int, key string, start int, label string, form string")
+    matrix = spark.createDataFrame([("k", 4, 1), ("q", 0, 9)], "key string, a long, b long")
+    assert [tuple(x) for x in L.mined(hits, matrix, "id", "key", ["a", "b"], 2.0, 2).collect()] == [(1, "k", 5, "a", "x", 4.0)]
+
+
+def test_functions_in_sql(spark):
+    from lexiforge.functions.registered import register
+
+    register(spark)
+    df = spark.createDataFrame([(1, "One. Two!"), (2, None)], "id int, text string")
+    got = spark.sql("SELECT id, ord, part FROM {t}, LATERAL lexi_sentences(text)", t=df).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "One."), (1, 1, "Two!")]
+    counts = spark.createDataFrame([("x", "x", 20), ("x", "y", 5), ("y", "x", 10), ("y", "y", 15)], "a string, b string, n long")
+    assert spark.sql("SELECT lexi_kappa(a, b, n) AS k FROM {t}", t=counts).first().k == pytest.approx(0.4)
+
+
+def test_capped_collocates(spark):
+    pairs = spark.createDataFrame([(i, "t", c) for i in range(6) for c in ("a", "b")] + [(0, "t", "rare")], "doc int, target string, collocate string")
+    works = spark.createDataFrame([(i, "t", "w" if i < 5 else "v") for i in range(6)], "doc int, target string, work string")
+    counts = pairs.groupBy("collocate").count()
+    got = A.capped_collocates(pairs, counts, "count", works, "work", F.col("doc"), 2, 2, 1).collect()
+    assert [tuple(x) for x in got] == [("t", "a", 3, 6, round(14 + __import__("math").log2(6 / 9), 6))]

@@ -85,3 +85,46 @@ def test_stream_resumes(spark, tmp_path):
     assert run().count() == 4
     rows.where("event_id >= 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.event_id for r in run().collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_jsonl_sink_and_sidecar(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
+    record = R.write_jsonl(df, str(tmp_path / "x.jsonl"), "things", ["raw"])
+    assert record["records"] == 2 and spark.read.text(str(tmp_path / "x.jsonl.meta")).count() == 1
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "x.jsonl")).collect()) == ['{"a":1,"b":"é"}', '{"a":2,"b":null}']
+
+
+def test_import_of_labelled_rows(spark, tmp_path):
+    (tmp_path / "gold.csv").write_text("id,labelled,frame\n1,yes,A\n2,,B\n3,TRUE,C\n")
+    df = R.import_labelled(spark, str(tmp_path / "gold.csv"), str(tmp_path / "gold.parquet"), str(tmp_path / "gold.jsonl"))
+    assert sorted(r.id for r in df.collect()) == ["1", "3"] and spark.read.text(str(tmp_path / "gold.jsonl")).count() == 2
+    (tmp_path / "none.csv").write_text("id,labelled\n1,no\n")
+    with pytest.raises(ValueError):
+        R.import_labelled(spark, str(tmp_path / "none.csv"), str(tmp_path / "n.parquet"), str(tmp_path / "n.jsonl"))
+    assert not (tmp_path / "n.parquet").exists() and not (tmp_path / "n.jsonl").exists()
+
+
+def test_records_and_separators(spark, tmp_path):
+    (tmp_path / "export.csv").write_text('\ufeffsep=;\ntitle;year\n"A; or B";1650\nC;\n')
+    got = R.read_separated(spark, str(tmp_path / "export.csv"))
+    assert got.columns == ["title", "year"] and sorted((r.title, r.year) for r in got.collect()) == [("A; or B", "1650"), ("C", None)]
+    (tmp_path / "plain.csv").write_text("a,b\n1,2\n")
+    assert [tuple(r) for r in R.read_separated(spark, str(tmp_path / "plain.csv")).collect()] == [("1", "2")]
+    xml = spark.createDataFrame([(1, "<r><t>One</t><y>1650</y><y>1651</y></r>")], "n int, xml string")
+    row = R.read_records(xml, "xml", {"title": "<t>(.*?)</t>", "years": "<y>(.*?)</y>"}).first()
+    assert row.title == ["One"] and row.years == ["1650", "1651"]
+
+
+def test_assets_and_sheets(spark, tmp_path):
+    (tmp_path / "shots.json").write_text('[{"text": "a", "labels": ["x"]}, {"text": "b", "labels": []}]')
+    assert R.load_assets(spark, str(tmp_path / "shots.json"), "text string, labels array<string>") == [{"text": "a", "labels": ["x"]}, {"text": "b", "labels": []}]
+    with pytest.raises(RuntimeError):
+        R.read_sheet(spark, str(tmp_path / "none.xlsx"))
+
+
+def test_lineage_goes_on_or_raises(spark):
+    rows = [(f"n{i}", f"n{i + 1}" if i < 20 else None) for i in range(21)]
+    catalog = spark.createDataFrame(rows, "name string, parent string")
+    assert L.chain(catalog).where("child = 'n0'").count() == 21
+    with pytest.raises(Exception, match="too long"):
+        L.chain(catalog, 10).collect()
