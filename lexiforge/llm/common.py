@@ -82,12 +82,12 @@ def on_release(remove) -> None:
     _scopes[-1].append(remove)
 
 
-def written(df: DataFrame, name: str, keep: bool = False, level: int = 3) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, level: int = 3, block: int = 128 << 20) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
     with freed_shuffles(spark):
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).option("parquet.block.size", str(block)).parquet(path)
     schema = df.schema
     out = spark.read.schema(schema).parquet(path)
     out._lexiforge_path = path

@@ -25,6 +25,8 @@ RATE = 8000
 #: Payload unit: also the size of an ADPCM block (4 bytes of state, then two samples a byte).
 UNIT = 576
 PAD = b"\xff"
+#: Bytes of text or media handled at once.
+SLICE = 1 << 20
 FORMATS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 
 #: The index changes and step sizes of IMA ADPCM.
@@ -137,7 +139,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, limit=8 << 20):
+            for batch in slices(whole, limit=SLICE):
                 texts = batch.column("text").to_pylist()
                 media = [wav(padded(t), codec) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -178,7 +180,7 @@ def decode_audio(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "media", 2 << 20):
+            for batch in slices(whole, "media", SLICE):
                 files = batch.column("media").to_pylist()
                 codecs, _, payloads = zip(*map(read_wav, files))
                 data = np.frombuffer(b"".join(payloads), np.uint8)
@@ -202,7 +204,7 @@ def decode_audio(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
 
 def store_pcm(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
     """decode_audio() as a table in the shared folder."""
-    return written(decode_audio(media, up, down), "telephony-pcm", level=6)
+    return written(decode_audio(media, up, down), "telephony-pcm", level=6, block=32 << 20)
 
 
 def read_pcm(stored: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def read_pcm(stored: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "pcm", 4 << 20):
+            for batch in slices(whole, "pcm", 2 * SLICE):
                 _, rates, samples = zip(*map(read_wav, batch.column("pcm").to_pylist()))
                 offsets = np.concatenate([[0], np.cumsum([len(p) // 2 for p in samples])])
                 power, peak, turns = _levels(np.frombuffer(b"".join(samples), "<i2"), offsets)
