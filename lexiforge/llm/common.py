@@ -16,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: A key that holds more than one of so many rows is broadcast in joined_by_weight(): fewer keys than this can.
-HEAVY = 1000
+#: A key that holds more than one of so many rows is salted in joined_by_weight(): fewer keys than this can be.
+HEAVY, HEAVY_SALTS = 1000, 64
 #: What the open scopes have written, innermost last: functions that remove it.
 _scopes: list[list] = [[]]
 
@@ -111,24 +111,20 @@ def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weig
     Rows whose key found lacks go, or with how="left" stay with nulls.
 
     weight is the number of rows of a key and total that of all. Keys that hold
-    over a thousandth of the rows are broadcast: by that measure they are fewer
-    than a thousand. So no other key brings more than a thousandth to one task;
-    the heavy keys' rows pass the join under keys that match nothing, dealt by
-    `spread` (a column of rows). Up to `least` rows in all, which one task can
-    hold, it is a plain join.
+    over a thousandth of the rows are fewer than a thousand; their hashes come
+    to the driver, and their rows are dealt by `spread` (a column of rows) over
+    many salts, with found's row repeated for each. So no key brings more than a
+    thousandth to one task. Up to `least` rows in all, which one task can hold,
+    it is a plain join.
     """
-    if total <= least:
+    mark = F.xxhash64(*key)
+    heavy = [r[0] for r in found.where(F.col(weight) * HEAVY > F.lit(total)).select(mark).distinct().collect()] if total > least else []  # fewer than HEAVY
+    if not heavy:
         return rows.join(found, list(key), how)
-    others = [c for c in found.columns if c not in key]
-    packed = F.struct(*others)
-    heavy = found.where(F.col(weight) * HEAVY > F.lit(total)).select(*key, packed.alias("_heavy"))
-    light = found.where(F.col(weight) * HEAVY <= F.lit(total)).select(*key, packed.alias("_light"), F.lit(0).cast("long").alias("_away"))
-    marked = rows.join(F.broadcast(heavy), list(key), "left")
-    marked = marked.withColumn("_away", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
-    both = marked.join(light, [*key, "_away"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
-    if how == "inner":
-        both = both.where("_found is not null")
-    return both.select(*rows.columns, *(F.col("_found")[c].alias(c) for c in others))
+    hot = F.coalesce(mark.isin(heavy), F.lit(False))
+    salted = rows.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(HEAVY_SALTS))).otherwise(F.lit(0).cast("long")))
+    each = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(HEAVY_SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(found.withColumn("_salt", F.explode(each)), [*key, "_salt"], how).drop("_salt")
 
 
 def text_of(name: str = "text") -> Column:

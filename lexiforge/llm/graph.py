@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round hangs every neighbour above a node on the node's smallest
     neighbour, then every neighbour below likewise, and writes the edges anew;
     it ends when a round changes nothing. A node with more than a thousandth of
-    all edges meets them by a broadcast. Nodes without an edge to another node
+    many edges is salted where it meets them. Nodes without an edge to another node
     don't appear; they may be of any type with an order.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
