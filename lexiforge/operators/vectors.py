@@ -40,9 +40,13 @@ def mean_pool(df: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
     return means.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("pooled"))
 
 
-def similarities(df: DataFrame, id_col: str, vector: str, against: dict, name: str = "label") -> DataFrame:
-    """Cosine of every row with each of some named vectors (a bounded parameter), by matrix products per Arrow batch."""
-    names, matrix = list(against), np.array([against[k] for k in against], dtype=np.float64)
+def similarities(df: DataFrame, id_col: str, vector: str, against: dict, name: str = "label", top: int | None = None, digits: int = 9) -> DataFrame:
+    """Cosine of every row with each of some named vectors (a bounded parameter), by matrix products per Arrow batch.
+
+    With top only a row's best that many leave the batch; scores equal to so many digits go by the order of names.
+    """
+    names = sorted(against)
+    matrix = np.array([against[k] for k in names], dtype=np.float64).reshape(len(names), -1)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), EPS)
     kept = df.sparkSession.sparkContext.broadcast((names, matrix))
 
@@ -51,7 +55,13 @@ def similarities(df: DataFrame, id_col: str, vector: str, against: dict, name: s
         for batch in batches:
             flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, m.shape[1]))
             sims = (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), EPS)) @ m.T
-            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(np.repeat(np.arange(batch.num_rows), len(labels)))), pa.array(labels * batch.num_rows), pa.array(sims.ravel())], names=[id_col, name, "score"])
+            if top is None:
+                which = np.broadcast_to(np.arange(len(labels)), sims.shape)
+            else:
+                which = np.argsort(-np.round(sims, digits), axis=1, kind="stable")[:, :top]
+                sims = np.take_along_axis(sims, which, 1)
+            rows = np.repeat(np.arange(batch.num_rows), which.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(rows)), pa.array(labels).take(pa.array(which.ravel())), pa.array(sims.ravel())], names=[id_col, name, "score"])
 
     kind = "string" if names and isinstance(names[0], str) else "long"
     return df.select(id_col, vector).mapInArrow(score, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {name} {kind}, score double")

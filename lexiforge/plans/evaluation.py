@@ -150,11 +150,13 @@ def pool_comparison(t):
     return t.documents.groupBy("lang").agg(F.count_if(a).alias("n_a"), F.count_if(b).alias("n_b"), F.count_if(a & b).alias("both"), F.round(F.avg(F.when(a, F.col("n_chars"))), 4).alias("mean_a"))
 
 
-@BOOK.query("token_f1", r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS a, regexp_extract_all(lower(substr(text, 1, 80)), '\p{L}+') AS b FROM benchmark),
+@BOOK.query("token_f1", r"""WITH w AS (SELECT p.item_id, regexp_extract_all(lower(p.text), '\p{L}+') AS a, regexp_extract_all(lower(q.text), '\p{L}+') AS b FROM benchmark p JOIN benchmark q ON q.item_id = p.item_id + 1),
 s AS (SELECT item_id, sum(least(x.n, y.n)) AS shared FROM (SELECT item_id, tok, count(*) AS n FROM (SELECT item_id, unnest(a) AS tok FROM w) GROUP BY ALL) x JOIN (SELECT item_id, tok, count(*) AS n FROM (SELECT item_id, unnest(b) AS tok FROM w) GROUP BY ALL) y USING (item_id, tok) GROUP BY 1)
 SELECT item_id, round(coalesce(2.0::DOUBLE * shared / (len(a) + len(b)), 0), 6) AS f1 FROM w LEFT JOIN s USING (item_id)""")
 def token_f1(t):
-    return t.benchmark.select("item_id", F.round(T.token_f1(T.tokens(F.col("text")), T.tokens(F.substring("text", 1, 80))), 6).alias("f1"))
+    """Each item's words against those of the next."""
+    following = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return t.benchmark.join(following, "item_id").select("item_id", F.round(T.token_f1(T.tokens(F.col("text")), T.tokens(F.col("next"))), 6).alias("f1"))
 
 
 @BOOK.query("span_qa", f"""WITH {_SQL} SELECT CASE WHEN drop_gold THEN 'empty' ELSE 'positive' END AS side, count(*) AS n, round(avg(CAST(gold = pred AS INTEGER)), 6) AS em, round(avg(CASE WHEN drop_gold = drop_pred THEN score ELSE 0 END), 6) AS soft FROM p GROUP BY 1""")
@@ -406,7 +408,7 @@ SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label
 def hybrid_candidates(t, queries=None):
     """Anchored rows first, then semantic ones, then those deferred by the margin."""
     queries = queries or V.collected(t.embeddings.where("vec_id in (0, 100, 200, 300)"), "vec_id", "embedding")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", queries).withColumn("gap", F.round("score", 5))
+    scored = V.similarities(t.embeddings, "vec_id", "embedding", queries, top=1, digits=5).withColumn("gap", F.round("score", 5))
     return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
 
 

@@ -32,8 +32,10 @@ SWAPS = (("sch", "sh"), ("ei", "ai"))
 
 
 def _folder(spark) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiforge-")
+    """A fresh folder under spark.checkpoint.dir; where that is unset, a temporary one in a local session, else the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = tempfile.mkdtemp(prefix="lexiforge-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/lexiforge/{uuid.uuid4().hex}"
 
 
@@ -146,8 +148,7 @@ def kappa_by_class(t):
 def hybrid_deferred(t):
     """Anchored candidates under shares per label, filled up by those put off, beside unanchored ones."""
     centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres).withColumn("score", F.round("score", 6))
-    best = X.first_of(scored, ["vec_id"], [F.desc("score"), "label"])
+    best = V.similarities(t.embeddings, "vec_id", "embedding", centres, top=1, digits=6).withColumn("score", F.round("score", 6))
     ranked = best.withColumn("key", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 101))
     anchored, others = V.hybrid_limited(ranked, "vec_id", "key", 60, len(centres))
     return anchored.select("vec_id", "label", "turn").unionByName(others.select("vec_id", "label", F.lit(0).alias("turn")))
