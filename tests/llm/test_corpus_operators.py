@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
@@ -95,6 +96,37 @@ def test_index_compacts(spark):
 # -- 3: likelihood
 
 
+class SlowLattice:
+    """All segmentations of a word by plain dynamic programming over probabilities, in decimals; pieces counted word by word."""
+
+    def __init__(self, words, ends):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+        counts = Counter()
+        for w, n in words.items():
+            for piece in model.encode(w):
+                counts[piece] += n
+        usable = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        total = sum(counts.values()) + ends + len(usable) + 1
+        chance = lambda n: Decimal(n + 1) / total
+        self.byte = {int(model.id_to_piece(i)[3:5], 16): chance(counts[i]) for i in usable if model.is_byte(i)}
+        self.piece = {model.id_to_piece(i): chance(counts[i]) for i in usable if not model.is_byte(i)}
+        self.longest, self.end, self.known = max(map(len, self.piece)), float(chance(ends).log10()), {}
+
+    def __call__(self, word):
+        if word not in self.known:
+            text = "▁" + word
+            ways = [Decimal(1)]
+            for j in range(1, len(text) + 1):
+                raw = Decimal(1)
+                for b in text[j - 1].encode():
+                    raw *= self.byte.get(b, Decimal(1))
+                ways.append(ways[j - 1] * raw + sum(ways[i] * self.piece[text[i:j]] for i in range(max(0, j - self.longest), j) if text[i:j] in self.piece))
+            self.known[word] = float(ways[-1].log10())
+        return self.known[word]
+
+
 def test_scores(spark):
     got = {r["doc_id"]: r for r in lattice_lm.score_documents(frame(spark), PIECES).collect()}
     tokens = {r[0]: words(fold(r[1] or "")) for r in ROWS}
@@ -104,12 +136,14 @@ def test_scores(spark):
             counts.update(words(fold(r[1] or "")))
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    model = SlowLattice(counts, ends)
     for i, w in tokens.items():
         base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in w) + math.log10((ends + 1) / (n + v + 1))
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(counts[t] > 0 for t in w) + 1, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert r["score"] == pytest.approx(sum(model(t) for t in w) + model.end, rel=1e-9) and r["score"] < 0
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
     assert got[100]["score"] == got[101]["score"] > got[0]["score"]
     assert lattice_lm.score_documents(empty(spark), PIECES).count() == 0
 
