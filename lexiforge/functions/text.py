@@ -72,6 +72,15 @@ def window_around(text: Column, at: Column, radius: int) -> Column:
     return F.when(at > 0, F.substring(text, start, at + radius - start)).otherwise(F.substring(text, F.lit(1), F.lit(2 * radius)))
 
 
+def keyword_windows(df: DataFrame, words: str, terms: Sequence[str], radius: int) -> DataFrame:
+    """df without its words, and pos, term, before, after for every word that is a term; no row carries the whole array."""
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda h: h["term"].isin(*terms))
+    left = lambda p: F.slice(words, F.greatest(F.lit(1), p - radius + 1), F.least(p, F.lit(radius)))
+    cut = lambda h: F.struct(h["pos"].alias("pos"), h["term"].alias("term"), F.array_join(left(h["pos"]), " ").alias("before"), F.array_join(F.slice(words, h["pos"] + 2, F.lit(radius)), " ").alias("after"))
+    rest = [c for c in df.columns if c != words]
+    return df.select(*rest, F.explode(F.transform(hits, cut)).alias("_k")).select(*rest, "_k.*")
+
+
 def split_at_middle(df: DataFrame, text: str, term: str) -> DataFrame:
     """Rows that hold a term (lower case), with before, keyword and after: split at the term's
     occurrence nearest the middle (the left one of two), widened to the whole run of letters."""

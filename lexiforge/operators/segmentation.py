@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import band_join
-from .windows import top_k
+from .windows import first_of, top_k
 
-SPANS = "array<struct<start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int,part:string,gap:string>>"
 _SENTENCE = re.compile(r"[.!?…;:]+(?=\s|$)")
 
 
@@ -55,19 +56,34 @@ def chunk_bounds(text: str, most: int = 300, overlap: int = 50) -> list[tuple[in
     return out
 
 
+def _listed(counts: list[int], **columns) -> pa.Array:
+    """A list array of structs, from the number of structs up to each row and flat columns."""
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
 def _spans(find) -> Column:
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in find(t or "")])
+    """Bounds, text and the text up to the next span, for each span of a finder."""
+
+    @F.arrow_udf(SPANS)
+    def spans(texts: pa.Array) -> pa.Array:
+        start, end, part, gap, counts = [], [], [], [], [0]
+        for t in texts.to_pylist():
+            found = find(t or "")
+            for (a, b), (c, _) in zip(found, [*found[1:], (0, 0)]):
+                start.append(a)
+                end.append(b)
+                part.append(t[a:b])
+                gap.append(t[b:c])
+            counts.append(len(start))
+        return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), part=pa.array(part, pa.string()), gap=pa.array(gap, pa.string()))
 
     return spans
 
 
-def exploded(df: DataFrame, text: str, find, keep: Sequence[str]) -> DataFrame:
-    """keep, ord, start, end, part: the spans of a finder, one row each."""
-    spans = df.select(*keep, text, _spans(find)(F.col(text)).alias("_s"))
-    rows = spans.select(*keep, text, F.posexplode("_s").alias("ord", "s"))
-    return rows.select(*keep, "ord", "s.start", "s.end", F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"))
+def exploded(df: DataFrame, text: str, find, keep: Sequence[str], gap: bool = False) -> DataFrame:
+    """keep, ord, start, end, part (and gap): the spans of a finder, one row each; the text itself isn't carried along."""
+    rows = df.select(*keep, F.posexplode(_spans(find)(F.col(text))).alias("ord", "s"))
+    return rows.select(*keep, "ord", "s.start", "s.end", "s.part", *(["s.gap"] if gap else []))
 
 
 def sentences(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -80,22 +96,25 @@ def chunks(df: DataFrame, text: str, keep: Sequence[str], most: int = 300, overl
 
 def target_sentence(df: DataFrame, text: str, term: Column, keep: Sequence[str]) -> DataFrame:
     """The sentence with a term's first hit, and whether it touches the text's edges."""
-    rows = sentences(df, text, [*keep, text])
-    hit = F.instr(F.lower(F.col(text)), term) - 1
-    found = rows.where((F.col("start") <= hit) & (hit < F.col("end")))
-    return found.select(*keep, "part", (F.col("start") == 0).alias("cut_left"), (F.col("end") == F.char_length(text)).alias("cut_right"))
+    marked = df.withColumn("_hit", F.instr(F.lower(F.col(text)), term) - 1).withColumn("_len", F.char_length(text))
+    rows = sentences(marked, text, [*keep, "_hit", "_len"])
+    found = rows.where("start <= _hit and _hit < end")
+    return found.select(*keep, "part", (F.col("start") == 0).alias("cut_left"), (F.col("end") == F.col("_len")).alias("cut_right"))
 
 
 def cue_units(df: DataFrame, text: str, cues: dict[str, str], keep: Sequence[str]) -> DataFrame:
     """Units from one sentence-initial cue to the next: start, end, kind; with the text's cue density per 10,000 characters."""
-    import pyspark.sql.types as T
-
     compiled = {k: re.compile(r"(?:(?<=^)|(?<=[.!?;\n]\s)|(?<=\n))(?:" + p + r")\b", re.I) for k, p in cues.items()}
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
-    @F.pandas_udf(kind)
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "kind": k} for a, k in sorted((m.start(), k) for k, p in compiled.items() for m in p.finditer(t or ""))])
+    @F.arrow_udf("array<struct<start:int,kind:string>>")
+    def find(texts: pa.Array) -> pa.Array:
+        start, kind, counts = [], [], [0]
+        for t in texts.to_pylist():
+            for a, k in sorted((m.start(), k) for k, p in compiled.items() for m in p.finditer(t or "")):
+                start.append(a)
+                kind.append(k)
+            counts.append(len(start))
+        return _listed(counts, start=pa.array(start, pa.int32()), kind=pa.array(kind, pa.string()))
 
     rows = df.select(*keep, F.char_length(text).alias("_len"), find(F.col(text)).alias("_c")).withColumn("density", F.round(F.size("_c") * 10000 / F.greatest("_len", F.lit(1)), 3))
     flat = rows.select(*keep, "_len", "density", F.posexplode("_c").alias("ord", "c"))
@@ -151,15 +170,20 @@ def rendered(markup: str) -> tuple[str, list[tuple[int, str]]]:
 def markup_entries(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """keep, ord, start, end, tag, head: stretches of rendered text from one mark to the next."""
 
-    @F.pandas_udf("struct<text:string,marks:array<struct<start:int,tag:string>>>")
-    def walk(pages: pd.Series) -> pd.DataFrame:
-        found = [rendered(p or "") for p in pages]
-        return pd.DataFrame({"text": [t for t, _ in found], "marks": [[{"start": a, "tag": k} for a, k in m] for _, m in found]})
+    @F.arrow_udf("array<struct<start:int,end:int,tag:string,head:string>>")
+    def walk(pages: pa.Array) -> pa.Array:
+        start, end, tag, head, counts = [], [], [], [], [0]
+        for page in pages.to_pylist():
+            text, marks = rendered(page or "")
+            for (a, k), (b, _) in zip(marks, [*marks[1:], (len(text), "")]):
+                start.append(a)
+                end.append(b)
+                tag.append(k)
+                head.append(text[a : min(b, a + 80)].strip(" "))
+            counts.append(len(start))
+        return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), tag=pa.array(tag, pa.string()), head=pa.array(head, pa.string()))
 
-    rows = df.select(*keep, walk(F.col(html)).alias("w")).select(*keep, "w.text", F.posexplode("w.marks").alias("ord", "m"))
-    end = F.coalesce(F.lead("m.start").over(W.partitionBy(*keep).orderBy("ord")), F.char_length("text"))
-    cut = rows.select(*keep, "ord", "m.start", end.alias("end"), F.col("m.tag").alias("tag"), "text")
-    return cut.select(*keep, "ord", "start", "end", "tag", F.trim(F.substring("text", F.col("start") + 1, F.least(F.lit(80), F.col("end") - F.col("start")))).alias("head"))
+    return df.select(*keep, F.posexplode(walk(F.col(html))).alias("ord", "m")).select(*keep, "ord", "m.start", "m.end", "m.tag", "m.head")
 
 
 def markup_sections(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
@@ -267,30 +291,27 @@ def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[st
     its end, joined by an apostrophe or not (the first clitic that leaves a form
     wins); then the surface is what stands before the clitic.
     """
-    words = exploded(df.select(*keep, text), text, word_places, keep).withColumn("word", F.lower("part"))
+    words = exploded(df, text, word_places, keep, gap=True).withColumn("word", F.lower("part"))
     window = W.partitionBy(*keep).orderBy("ord")
+    after = lambda c, n: F.lead(c, n).over(window)
     out = None
     for n in range(1, longest + 1):
-        last = n - 1
-        run = F.concat_ws(" ", *(F.lead("word", i).over(window) for i in range(n)))
-        end = F.lead("end", last).over(window)
-        part = words.select(*keep, "ord", "start", end.alias("end"), "part", run.alias("form")).where("end is not null")
-        hits = part.join(lexicon.select("form", "label"), "form").withColumn("_n", F.lit(n))
+        run = F.concat_ws(" ", *(after("word", i) for i in range(n)))
+        surface = F.concat(*(after(c, i) for i in range(n) for c in (["part", "gap"] if i < n - 1 else ["part"])))
+        part = words.select(*keep, "start", after("end", n - 1).alias("end"), surface.alias("surface"), run.alias("form")).where("end is not null")
+        hits = part.join(lexicon.select("form", "label"), "form").withColumn("clitic", F.lit(""))
         out = hits if out is None else out.unionByName(hits)
-    plain = out.withColumn("clitic", F.lit(""))
     if clitics:
         known = lexicon.select(F.col("form").alias("word")).distinct()
-        bare = words.join(known, "word", "left_anti").where(~F.col("word").isin(*stop)) if stop else words.join(known, "word", "left_anti")
-        cut = F.array(*(F.when(F.col("word").endswith(c) & (F.char_length("word") > len(c)), F.struct(F.lit(i).alias("rank"), F.lit(c).alias("clitic"), F.regexp_replace(F.expr(f"left(word, length(word) - {len(c)})"), "'$", "").alias("form"))) for i, c in enumerate(clitics)))
+        bare = words.join(known, "word", "left_anti")
+        if stop:
+            bare = bare.where(~F.col("word").isin(*stop))
+        host = lambda c: F.regexp_replace(F.expr(f"left(word, length(word) - {len(c)})"), "'$", "")
+        cut = F.array(*(F.when(F.col("word").endswith(c) & (F.char_length("word") > len(c)), F.struct(F.lit(i).alias("rank"), F.lit(c).alias("clitic"), host(c).alias("form"))) for i, c in enumerate(clitics)))
         hosts = bare.select(*keep, "ord", "start", "end", "part", F.explode(F.array_compact(cut)).alias("h")).select(*keep, "ord", "start", "end", "part", "h.rank", "h.clitic", "h.form")
-        best = hosts.join(lexicon.select("form", "label"), "form")
-        pick = F.row_number().over(W.partitionBy(*keep, "ord").orderBy("rank"))
-        plain = plain.unionByName(best.withColumn("_p", pick).where("_p = 1").drop("_p", "rank").withColumn("_n", F.lit(0)))
-    source = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)), F.col(text).alias("_text"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keep)]
-    several = plain.where("_n > 1").join(source, same).withColumn("surface", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start"))).select(*keep, "start", "end", "surface", "form", "label", "clitic")
-    single = plain.where("_n <= 1").withColumn("surface", F.when(F.col("clitic") != "", F.substring("part", F.lit(1), F.char_length("form"))).otherwise(F.col("part"))).select(*keep, "start", "end", "surface", "form", "label", "clitic")
-    return single.unionByName(several)
+        best = first_of(hosts.join(lexicon.select("form", "label"), "form"), [*keep, "ord"], ["rank", "label"])
+        out = out.unionByName(best.withColumn("surface", F.substring("part", F.lit(1), F.char_length("form"))).select(*out.columns))
+    return out.select(*keep, "start", "end", "surface", "form", "label", "clitic")
 
 
 def trigger_scan(hits: DataFrame, terms: DataFrame, keep: Sequence[str], radius: int, cap: int, weight: Column | None = None) -> DataFrame:
@@ -328,12 +349,17 @@ def construction_hits(df: DataFrame, text: str, constructions: Sequence[Construc
         hits = [(m.start(), m.end(), name) for name, rx, cue in compiled for m in rx.finditer(t) if not cue or cue.search(t, max(0, m.start() - around), m.end() + around)]
         return [{"start": a, "end": b, "name": name} for a, b, name in sorted(hits)]
 
-    @F.pandas_udf("array<struct<start:int,end:int,name:string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: find(t or ""))
-
-    rows = df.select(*keep, text, F.posexplode(spans(F.col(text))).alias("ord", "s"))
-    return rows.select(*keep, "ord", "s.start", "s.end", "s.name", F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"))
+    @F.arrow_udf("array<struct<start:int,end:int,name:string,part:string>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        flat, counts = [], [0]
+        for t in texts.to_pylist():
+            flat += [(h["start"], h["end"], h["name"], t[h["start"] : h["end"]]) for h in find(t or "")]
+            counts.append(len(flat))
+        start, end, name, part = zip(*flat) if flat else ((),) * 4
+        return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), name=pa.array(name, pa.string()), part=pa.array(part, pa.string()))
+
+    rows = df.select(*keep, F.posexplode(spans(F.col(text))).alias("ord", "s"))
+    return rows.select(*keep, "ord", "s.start", "s.end", "s.name", "s.part")
 
 
 def suppress_overlaps(spans: Column, kind: str = "array<struct<start:int,end:int>>") -> Column:

@@ -165,11 +165,8 @@ def kwic_clip(t):
 @BOOK.query("kwic_scan", f"""SELECT doc_id, CAST(i AS INTEGER) AS pos, w[i + 1] AS term, array_to_string(w[greatest(1, i - 4):i], ' ') AS before, array_to_string(w[i + 2:i + 6], ' ') AS after
 FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM ({_TOKENS})) WHERE w[i + 1] IN ('that', 'with', 'und', 'pour', 'para')""")
 def kwic_scan(t):
-    """One row per keyword occurrence: five words on either side."""
-    terms = ["that", "with", "und", "pour", "para"]
-    hits = _words(t).select("doc_id", "w", F.posexplode("w").alias("pos", "term")).where(F.col("term").isin(terms))
-    start = F.greatest(F.lit(1), F.col("pos") - 4)
-    return hits.select("doc_id", "pos", "term", F.array_join(F.slice("w", start, F.col("pos") + 1 - start), " ").alias("before"), F.array_join(F.slice("w", F.col("pos") + 2, F.lit(5)), " ").alias("after"))
+    """One row per keyword occurrence: five words on either side, cut before the rows are made."""
+    return T.keyword_windows(_words(t), "w", ["that", "with", "und", "pour", "para"], 5).select("doc_id", "pos", "term", "before", "after")
 
 
 _MIDDLE = """SELECT doc_id, text, low, mid, instr(substr(low, mid), 'the') AS r, instr(reverse(substr(low, 1, mid + 1)), 'eht') AS l FROM (SELECT doc_id, text, lower(text) AS low, length(text) // 2 + 1 AS mid FROM documents WHERE contains(lower(text), 'the'))"""
