@@ -30,12 +30,13 @@ def bucketed_asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a
     earlier buckets; only one row per key and bucket is carried over the key's
     whole history. Marks of one key and time must be equal.
     """
-    bucket = lambda c: F.floor(F.col(c).cast("long") / width)
-    last = right.groupBy(*keys, bucket(start).alias("_bucket")).agg(F.max_by(F.struct(*values, F.col(start).alias("_start")), start).alias("_mark"))
+    seconds = lambda df, c: F.col(c).cast("timestamp").cast("long") if df.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("long")
+    in_left, in_right = F.floor(seconds(left, at) / width), F.floor(seconds(right, start) / width)
+    last = right.groupBy(*keys, in_right.alias("_bucket")).agg(F.max_by(F.struct(*values, F.col(start).alias("_start")), start).alias("_mark"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    asked = left.select(*keys, bucket(at).alias("_bucket")).distinct().join(last, [*keys, "_bucket"], "full_outer")
+    asked = left.select(*keys, in_left.alias("_bucket")).distinct().join(last, [*keys, "_bucket"], "full_outer")
     carried = asked.select(*keys, "_bucket", F.last("_mark", ignorenulls=True).over(before).alias("_earlier"))
-    rows, marks = left.withColumn("_bucket", bucket(at)), right.withColumn("_bucket", bucket(start))
+    rows, marks = left.withColumn("_bucket", in_left), right.withColumn("_bucket", in_right)
     found = asof_join(rows, marks, [*keys, "_bucket"], at, start, values).join(carried, [*keys, "_bucket"], "left")
     own = F.col(f"{start}_asof").isNotNull()
     pick = lambda c, name: F.when(own, F.col(c)).otherwise(F.col("_earlier")[name]).alias(c)

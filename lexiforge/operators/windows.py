@@ -47,17 +47,33 @@ def best_per_bin(df: DataFrame, keys: Sequence, offset: Column, length: Column,
     return first_of(binned, [*keys, "bin"], order)
 
 
-def evenly_spaced(df: DataFrame, keys: Sequence, order: Sequence, cap: int) -> DataFrame:
-    """cap evenly spaced rows of each group, all of them where there are no more."""
-    whole = W.partitionBy(*keys)
-    at = df.withColumn("_i", F.row_number().over(whole.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, name: str, total: str | None = None) -> DataFrame:
+    """Numbers from 0 within keys (and the keys' totals), without a task that holds a whole key.
+
+    bucket must not fall along the order, and never be null: rows are numbered
+    within it, and each bucket begins where the counts of those before it end.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("_total", F.sum("_size").over(W.partitionBy(*keys))).drop("_size")
+    starts = starts.select(F.struct(*keys, "_bucket").alias("_at"), "_start", "_total")
+    within = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    joined = rows.withColumn("_within", within).join(starts, F.struct(*keys, "_bucket").eqNullSafe(F.col("_at")))
+    out = joined.withColumn(name, F.col("_start") + F.col("_within"))
+    return (out.withColumn(total, F.col("_total")) if total else out).drop("_bucket", "_within", "_at", "_start", "_total")
+
+
+def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int, bucket: Column | None = None) -> DataFrame:
+    """cap evenly spaced rows of each group, all of them where there are no more; a bucket that follows the order splits large groups."""
+    at = numbered(df, keys, F.lit(0) if bucket is None else bucket, order, "_i", "_n")
     step = lambda i: F.floor((i * cap + F.col("_n") - 1) / F.col("_n"))
     return at.where((F.col("_n") <= cap) | (step(F.col("_i") + 1) > step(F.col("_i")))).drop("_i", "_n")
 
 
 def round_robin(df: DataFrame, bucket: Sequence, order: Sequence, limit: int, bucket_order: Sequence) -> DataFrame:
-    """The k-th row of every bucket in turn, up to limit rows."""
-    return ranked(df, bucket, order, "turn").orderBy("turn", *bucket_order).limit(limit)
+    """The k-th row of every bucket in turn, up to limit rows; no bucket can give more than that."""
+    return top_k(df, bucket, order, limit, "turn").orderBy("turn", *bucket_order).limit(limit)
 
 
 def runs_of(df: DataFrame, keys: Sequence, order: Sequence, flag: Column) -> DataFrame:

@@ -214,7 +214,7 @@ def position_bins(t):
 
 @BOOK.query("evenly_spaced", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n <= 4 OR ((i + 1) * 4 + n - 1) // n > (i * 4 + n - 1) // n")
 def evenly_spaced(t):
-    return X.evenly_spaced(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 4).select("user_id", "event_id")
+    return X.evenly_spaced(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 4, F.to_date("ts")).select("user_id", "event_id")
 
 
 @BOOK.query("carry_forward", "SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations")
@@ -240,8 +240,7 @@ def first_seen(t):
 
 @BOOK.query("occurrence_ids", "SELECT source || '__' || lang || CASE WHEN r > 0 THEN '__' || r ELSE '' END AS id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS r FROM documents)")
 def occurrence_ids(t):
-    r = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id")) - 1
-    rows = t.documents.select("doc_id", "source", "lang", r.alias("r"))
+    rows = X.numbered(t.documents.select("doc_id", "source", "lang"), ["source", "lang"], F.floor(F.col("doc_id") / 100_000), ["doc_id"], "r")
     return rows.select(F.concat_ws("__", "source", "lang", F.when(F.col("r") > 0, F.col("r").cast("string"))).alias("id"), "doc_id")
 
 
@@ -290,7 +289,7 @@ def anti_pending(t):
 def asof_last(t):
     purchases = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     signups = t.events.where("event_type = 'signup'").groupBy("user_id", F.col("ts").alias("start")).agg(F.max("event_id").alias("signup_id"))
-    return J.asof_join(purchases, signups, ["user_id"], "ts", "start", ["signup_id"]).select("event_id", "user_id", "signup_id")
+    return J.bucketed_asof_join(purchases, signups, ["user_id"], "ts", "start", ["signup_id"], 7 * 86400).select("event_id", "user_id", "signup_id")
 
 
 _SEC = "CAST(epoch(ts) AS BIGINT)"

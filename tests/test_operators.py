@@ -392,3 +392,14 @@ def test_capped_collocates(spark):
     counts = pairs.groupBy("collocate").count()
     got = A.capped_collocates(pairs, counts, "count", works, "work", F.col("doc"), 2, 2, 1).collect()
     assert [tuple(x) for x in got] == [("t", "a", 3, 6, round(14 + __import__("math").log2(6 / 9), 6))]
+
+
+def test_numbers_over_buckets(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("k"))
+    got = X.numbered(df, ["k"], F.floor(F.col("id") / 40), ["id"], "i", "n").collect()
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.k, []).append(r.id)
+    assert sorted((r.id, r.i, r.n) for r in got) == sorted((v, i, len(g)) for g in groups.values() for i, v in enumerate(sorted(g)))
+    even = X.evenly_spaced(df, ["k"], ["id"], 4, F.floor(F.col("id") / 40))
+    assert sorted(map(tuple, even.collect())) == sorted(map(tuple, X.evenly_spaced(df, ["k"], ["id"], 4).collect()))
