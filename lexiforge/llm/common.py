@@ -105,7 +105,7 @@ def drop_written(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._lexiforge_path)
 
 
-def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weight: str, total: int, spread: Column, how: str = "inner", least: int = 0) -> DataFrame:
+def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weight: str, total: int, spread: Column, how: str = "inner", least: int = 0, mark: Column | None = None) -> DataFrame:
     """Rows with the row of found (one per key) that their key names; found's other columns follow.
 
     Rows whose key found lacks go, or with how="left" stay with nulls.
@@ -115,9 +115,10 @@ def joined_by_weight(rows: DataFrame, found: DataFrame, key: Sequence[str], weig
     to the driver, and their rows are dealt by `spread` (a column of rows) over
     many salts, with found's row repeated for each. So no key brings more than a
     thousandth to one task. Up to `least` rows in all, which one task can hold,
-    it is a plain join.
+    it is a plain join. mark may name a column that both sides have as the keys'
+    hash.
     """
-    mark = F.xxhash64(*key)
+    mark = F.xxhash64(*key) if mark is None else mark
     heavy = [r[0] for r in found.where(F.col(weight) * HEAVY > F.lit(total)).select(mark).distinct().collect()] if total > least else []  # fewer than HEAVY
     if not heavy:
         return rows.join(found, list(key), how)

@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = winners.agg(F.sum("group_size")).first()[0] or 0
     shared = winners.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     if shared.isEmpty():
-        found = joined_by_weight(rows.select("doc_id", "digest", second, length), winners, key, "group_size", total, F.col("doc_id"))
+        found = joined_by_weight(rows.select("doc_id", "digest", second, length), winners, key, "group_size", total, F.col("doc_id"), mark=F.col("second"))
     else:
         found = rows.join(combined.withColumn("text_sha256", sha), ["digest", "content"])
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")

@@ -52,21 +52,40 @@ class Lattice:
                 self.byte[int(text[3:5], 16)] = score[i]
             else:
                 self.piece[text] = score[i]
-        self.longest = max(map(len, self.piece), default=1)
+        #: What a character costs as bytes (filled as characters come), and every beginning of a piece, with the piece's score where it is one.
+        self.chars: dict[str, float] = {}
+        self.prefix: dict[str, float | None] = {}
+        for text in self.piece:
+            for k in range(1, len(text)):
+                self.prefix.setdefault(text[:k])
+        self.prefix |= self.piece
 
     def log10(self, word: str) -> float:
-        """log10 of the sum over all segmentations of a word."""
-        text = MARK + word
-        n, piece, longest = len(text), self.piece, self.longest
-        ways: list[float] = [0.0] + [-math.inf] * n
-        for j in range(1, n + 1):
-            terms = [ways[j - 1] + sum(self.byte[b] for b in text[j - 1].encode())]
-            for i in range(max(0, j - longest), j):
-                if (p := piece.get(text[i:j])) is not None:
-                    terms.append(ways[i] + p)
-            top = max(terms)
-            ways[j] = top if len(terms) == 1 else top + math.log10(sum(10 ** (t - top) for t in terms))
-        return ways[n]
+        """log10 of the sum over all segmentations of a word, forward from place to place."""
+        text, prefix, chars, none = MARK + word, self.prefix, self.chars, 1.0
+        n = len(text)
+        terms: list[list[float]] = [[0.0]] + [[] for _ in range(n)]
+        for i in range(n):
+            here = terms[i]
+            way = here[0] if len(here) == 1 else _sum_log10(here)
+            c = text[i]
+            if (p := chars.get(c)) is None:
+                p = chars[c] = sum(self.byte[b] for b in c.encode())
+            j = i + 1
+            terms[j].append(way + p)
+            while j <= n and (p := prefix.get(text[i:j], none)) is not none:
+                if p is not None:
+                    terms[j].append(way + p)
+                j += 1
+        return _sum_log10(terms[n])
+
+
+def _sum_log10(terms: list[float]) -> float:
+    """log10 of the sum of numbers given by their log10."""
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top + math.log10(sum([10 ** (t - top) for t in terms]))
 
 
 def _slice_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
