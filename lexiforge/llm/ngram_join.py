@@ -25,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_written, joined_by_weight, scope, written
@@ -41,7 +42,7 @@ SKETCH_DOCS, SKETCH_ROWS = 512, 3_000
 #: Nodes whose texts are wanted that are broadcast at most (40 bytes each), so that no other text moves; beyond, texts are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Groups of more documents than this meet pivots first; turns in which they do at most.
-PIVOT_DOCS, PIVOTS = 64, 8
+PIVOT_DOCS, PIVOTS = 64, 3
 #: Pairs listed at once, and bytes of counts compared at once.
 PAIRS, COUNT_BYTES = 100_000, 2 << 20
 #: Bytes of text hashed at once.
@@ -279,18 +280,6 @@ def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return left[at[found]], right[found]
 
 
-def _compare_stars(percent: int):
-    def compare(group: pa.Table) -> pa.Table:
-        """The pairs of a pivot and a partner that can link, and the pivot's size."""
-        ids, node, size, _, counts = _count_rows(group)
-        a, b = (node[x] for x in _partners(group))
-        near = [at + _near_counts(size, counts, a[at : at + PAIRS], b[at : at + PAIRS], percent) for at in range(0, len(a), PAIRS)]
-        near = np.concatenate([np.zeros(0, np.int64), *near])
-        return pa.table({"a": ids[a[near]], "b": ids[b[near]], "n": size[a[near]]})
-
-    return compare
-
-
 TASK = ["group", "node", "label"]
 
 
@@ -320,24 +309,23 @@ def split(members: DataFrame, most_docs: int, most_weight: int | None = None) ->
     return placed.select(*TASK, F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
 
 
-def starred(pairs: DataFrame, most_docs: int, pack_docs: int, most_weight: int | None = None) -> DataFrame:
-    """Pairs (a, b, n) of a pivot and a partner dealt to tasks: pack, i, j, side, group, node, label.
+def starred(pairs: DataFrame, most_docs: int, most_weight: int) -> DataFrame:
+    """Pairs (a, b, n) of a pivot and a partner dealt to tasks: pack, i, side, group, node, label.
 
-    Few partners go with their pivot (side 0) to a pack; many are split into
-    blocks by hash, each with the pivot.
+    n is the pivot's weight. Few partners go with their pivot (side 0) to one of
+    many packs; many are split into blocks by hash, each with the pivot.
     """
-    limit = most_weight or 1 << 60
-    pivots = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
-    total = pivots.agg(F.sum("weight"), F.sum("docs")).first()
-    packs = int(max((total[0] or 0) // limit, (total[1] or 0) // pack_docs)) + 1
-    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("weight") / limit, F.col("docs") / most_docs)))
-    pivots = pivots.select("a", blocks.alias("blocks"))
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("a"), F.lit(packs))).otherwise(F.col("a")).alias("pack")
-    i = lambda c: F.when(F.col("blocks") == 1, F.lit(-1).cast("long")).otherwise(c).alias("i")
-    rest = lambda node, side: [F.lit(0).cast("long").alias("j"), F.lit(side).alias("side"), F.col("a").alias("group"), F.col(node).alias("node"), F.col(node).alias("label")]
-    right = pairs.select("a", "b").join(pivots, "a").select(pack, i(F.pmod(F.xxhash64("b"), F.col("blocks"))), *rest("b", 1))
-    left = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(pack, i(F.col("block")), *rest("a", 0))
-    return right.unionAll(left)
+    packs = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("weight") / most_weight, F.col("docs") / most_docs)))
+    pivots = counts.select("a", blocks.alias("blocks"))
+    small, none = F.col("blocks") == 1, F.lit(-1).cast("long")
+    pack = F.when(small, F.pmod(F.xxhash64("a"), F.lit(packs))).otherwise(F.col("a"))
+    partner = F.struct(F.when(small, none).otherwise(F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("i"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    rows = pairs.select("a", "b").join(pivots, "a").select(pack.alias("pack"), F.col("a").alias("group"), partner.alias("x"))
+    first = F.struct(F.when(small, none).otherwise(F.col("block")).alias("i"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    own = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(pack.alias("pack"), F.col("a").alias("group"), first.alias("x"))
+    return rows.unionAll(own).select("pack", "group", "x.*", F.col("x.node").alias("label"))
 
 
 def overlap_product(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -454,6 +442,7 @@ class _Join:
         self.rows, self.nodes, self.size, self.percent = rows, nodes, size, percent
         self.counts = nodes.select("node", "n", "sketch")
         self.links: list[DataFrame] = []
+        self.tops: list[DataFrame] = []
 
     def with_texts(self, tasks: DataFrame) -> DataFrame:
         """Rows of tasks with the texts of their nodes."""
@@ -465,33 +454,40 @@ class _Join:
         return need.join(self.rows.join(keys, same).select("node", "seq", "text"), "node")
 
     def thinned(self, members: DataFrame, most_docs: int) -> DataFrame:
-        """Rows (group, node, label, main, weight) of large groups (group, node, weight) that are not one component yet.
-
-        Each turn draws a pivot for every group, the node of the smallest hash:
-        groups that share most of their members mostly share it, too. Each node
-        is compared with one pivot, of those of its groups the one that it
-        shares most groups with, and takes its label where they link. Further
-        turns go over groups of which more than a block stays apart. A group's
-        main label is that of its last pivot.
+        """Rows (group, node, weight, label, main) of large groups (group, node, weight) that are not one component yet.
+
+        The first turn draws as a group's pivot the node that is in most groups,
+        which lost the fewest of its shingles to changes, and later turns that of
+        the smallest hash: groups that share most of their members mostly share
+        their pivot, too. Each node
+        is compared with one pivot, of those of its groups that are of a fitting
+        size the one that it shares most groups with, and takes its label where
+        they link. Further turns go over groups of which more than a block
+        stays apart. A group's main label is that of its last pivot.
         """
-        rows = members.withColumn("label", F.col("node"))
+        sizes = self.nodes.select("node", "n")
+        rows = members.join(sizes, "node").withColumn("label", F.col("node")).withColumn("often", F.count(F.lit(1)).over(W.partitionBy("node")))
         for turn in range(PIVOTS):
-            drawn = rows.groupBy("group").agg(F.min_by(F.struct("label", "node"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
-            drawn = written(drawn.select("group", F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("own")), "jaccard-pivots")
-            meet = rows.join(drawn, "group").where("label <> own").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("often"))
-            pairs = written(meet.groupBy("node").agg(F.max_by("pivot", F.struct("often", "pivot")).alias("a")).select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n")), "jaccard-pairs")
-            near = written(starred(pairs, SKETCH_DOCS, SKETCH_ROWS).join(self.counts, "node").groupBy("pack", "i").applyInArrow(_compare_stars(self.percent), LINKS + ", n long"), "jaccard-near-pairs")
-            tasks = self.with_texts(starred(near, BLOCK_DOCS, BLOCK_DOCS, BLOCK_SHINGLES))
+            drawn = rows.groupBy("group").agg(F.max_by(F.struct("label", "node", "n"), F.struct(F.lit(0) if turn else F.col("often"), F.xxhash64("node", F.lit(turn)))).alias("p"))
+            drawn = written(drawn.select("group", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"), F.col("p.n").alias("size")), "jaccard-pivots")
+            fits = F.least("n", "size") * 100 >= F.greatest("n", "size") * self.percent
+            meet = rows.join(drawn, "group").where(fits).where("label <> own").groupBy("node", "pivot", "size").agg(F.count(F.lit(1)).alias("shared"))
+            best = meet.groupBy("node").agg(F.max_by(F.struct("pivot", "size"), F.struct("shared", "pivot")).alias("p"))
+            pairs = written(best.select(F.col("p.pivot").alias("a"), F.col("node").alias("b"), F.col("p.size").alias("n")), "jaccard-pairs")
+            tasks = self.with_texts(starred(pairs, BLOCK_DOCS, BLOCK_SHINGLES))
             links = written(tasks.groupBy("pack", "i").applyInArrow(_multiply_stars(self.size, self.percent), LINKS), "jaccard-links")
             self.links.append(links)
             # A pivot may have found a pivot of its own: one step further.
             parents = links.select(F.col("a").alias("up"), F.col("b").alias("node"))
-            further = parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top"))
-            rows = rows.join(further, "node", "left").select("group", "node", "weight", F.coalesce("top", "label").alias("label")).join(drawn.select("group", "pivot"), "group")
+            further = written(parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top")), "jaccard-tops")
+            self.tops.append(further)
+            mains = drawn.select("group", F.col("pivot").alias("node"), "own").join(further, "node", "left").select("group", F.coalesce("top", "own").alias("main"))
+            rows = rows.join(further, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top", "main").join(mains, "group")
             rows = written(rows, "jaccard-labelled")
-            state = rows.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main")).where("low <> high")
-            rows = written(rows.drop("pivot").join(state.select("group", "main"), "group"), "jaccard-apart")
-            if not rows.where("label <> main").groupBy("group").count().where(F.col("count") > most_docs).limit(1).count():
+            state = rows.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("others")).where("low <> high")
+            state = written(state.select("group", "others"), "jaccard-apart")
+            rows = rows.join(state.select("group"), "group", "left_semi")
+            if (state.agg(F.max("others")).first()[0] or 0) <= most_docs:
                 break
         return rows
 
@@ -499,8 +495,9 @@ class _Join:
         """Clusters (node, group) of what can link by counts; meets: (group, node, many)."""
         small = meets.where(F.col("many") <= PIVOT_DOCS).withColumn("label", F.col("node"))
         large = meets.where(F.col("many") > PIVOT_DOCS).select("group", "node", F.lit(1).cast("long").alias("weight"))
-        tasks = packed(small, small.count() // SKETCH_ROWS + 1)
-        if large.limit(1).count():
+        many = meets.agg(F.count_if(F.col("many") <= PIVOT_DOCS), F.count_if(F.col("many") > PIVOT_DOCS)).first()
+        tasks = packed(small, many[0] // SKETCH_ROWS + 1)
+        if many[1]:
             tasks = tasks.unionAll(split(self.thinned(large, SKETCH_DOCS), SKETCH_DOCS))
         near = tasks.join(self.counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)
         return written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
@@ -515,9 +512,19 @@ class _Join:
         small = rows.where("small").withColumn("label", F.col("node"))
         tasks = packed(small, int(max((total[0] or 0) // BLOCK_SHINGLES, (total[1] or 0) // BLOCK_DOCS)) + 1)
         if total[2]:
-            tasks = tasks.unionAll(split(self.thinned(written(rows.where("not small").drop("small"), "jaccard-large"), BLOCK_DOCS), BLOCK_DOCS, BLOCK_SHINGLES))
+            tasks = tasks.unionAll(split(self.labelled(rows.where("not small").drop("small")), BLOCK_DOCS, BLOCK_SHINGLES))
         self.links.append(written(self.with_texts(tasks).groupBy("pack", "i", "j").applyInArrow(_multiply(self.size, self.percent), LINKS), "jaccard-links"))
 
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """Members of large clusters with the labels that their pivots gave them, or where there were none, thinned now."""
+        if not self.tops:
+            return self.thinned(written(members, "jaccard-large"), BLOCK_DOCS)
+        rows = members.withColumn("label", F.col("node"))
+        for tops in self.tops:
+            rows = rows.join(tops, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+        mains = rows.groupBy("group").agg(F.min_by("label", F.xxhash64("node")).alias("main"))
+        return written(rows.join(mains, "group"), "jaccard-large")
+
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs. With with_key also text_key, xxhash64 of the text.
