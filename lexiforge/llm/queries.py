@@ -16,6 +16,7 @@ from .shard_tree import shard_documents
 from .source_mix import mix_sources
 from .substring_dedup import substring_dedup
 from .telephony import read_pcm, store_audio, store_pcm
+from .token_links import align_tokens
 
 
 def vocabulary() -> str:
@@ -70,6 +71,12 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(documents(spark, sf_dir), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,6 +160,7 @@ def queries() -> dict:
         "op9_bpe": op9_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_shard_tree": op10_shard_tree,
+        "op11_token_links": op11_token_links,
         "pipeline": pipeline,
     }
 
