@@ -26,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
@@ -146,3 +150,22 @@ def word_count(text: Column) -> Column:
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the decimal text of an id."""
     return F.crc32(doc_id.cast("string"))
+
+
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str, *more: str, nonzero: bool = False) -> tuple[DataFrame, int]:
+    """(rows, length): _id long, _v array<double> and further columns, of rows whose vector can be used.
+
+    Null and empty vectors and those that hold null or non-finite components go,
+    with nonzero also zero vectors. Vectors must have one length: that which
+    most of them have (of equally many the smaller), 0 for an empty table.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    good = v.isNotNull() & finite
+    if nonzero:
+        good &= F.exists(v, lambda x: x != 0)
+    rows = df.where(good).select(F.col(id_col).cast("long").alias("_id"), v.alias("_v"), *(F.col(f"`{c}`") for c in more))
+    lengths = rows.select(F.size("_v").alias("n")).where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("many"))
+    first = lengths.orderBy(F.desc("many"), "n").first()
+    length = first["n"] if first else 0
+    return rows.where(F.size("_v") == length), length

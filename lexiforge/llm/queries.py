@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .common import documents
+from .common import documents, embeddings
 from .exact_dedup import exact_dedup
 from .language_id import identify_languages
 from .lattice_lm import score_documents
@@ -17,6 +17,7 @@ from .source_mix import mix_sources
 from .substring_dedup import substring_dedup
 from .telephony import read_pcm, store_audio, store_pcm
 from .token_links import align_tokens
+from .vector_codes import digest, vector_codes
 
 
 def vocabulary() -> str:
@@ -77,6 +78,11 @@ def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(documents(spark, sf_dir), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(embeddings(spark, sf_dir))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -139,6 +145,46 @@ FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON d.doc_id = c.doc_id
 """
 
+def _op12_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out, over vectors of parts times width components; their sums are whole numbers, exact as doubles."""
+    steps, last = [], rounds
+    for k in range(last + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, part, x, unnest(best).entry AS entry, unnest(best).gap AS gap FROM (
+    SELECT q.vec_id, q.part, any_value(q.x) AS x,
+           [min({{'gap': q.sq - 2 * list_inner_product(q.x, b.x) + list_inner_product(b.x, b.x), 'entry': b.entry}})] AS best
+    FROM parts q JOIN book{k} b ON q.part = b.part GROUP BY q.vec_id, q.part)
+)""")
+        if k < last:
+            steps.append(f"""
+mean{k} AS (
+  SELECT part, entry, place, floor(sum(v) / count(*)) AS v
+  FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{k}) GROUP BY part, entry, place
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x
+  FROM book{k} b LEFT JOIN (SELECT part, entry, list(v ORDER BY place) AS x FROM mean{k} GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, part, x, list_inner_product(x, x) AS sq
+  FROM (SELECT vec_id, part, v[part * {width} + 1 : part * {width} + {width}] AS x FROM kept, range({parts}) AS p(part))
+), book0 AS MATERIALIZED (
+  SELECT part, entry, x FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts) WHERE entry < {entries}
+),{",".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM near{last} GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM book{last})
+)
+SELECT c.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded c JOIN kept k ON c.vec_id = k.vec_id, books
+"""
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(content) AS text_sha256
@@ -161,9 +207,10 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op10_shard_tree": op10_shard_tree,
         "op11_token_links": op11_token_links,
+        "op12_vector_codes": op12_vector_codes,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_vector_codes": _op12_sql()}
