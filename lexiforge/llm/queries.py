@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import documents, embeddings
 from .exact_dedup import exact_dedup
+from .hamming_index import nearest
 from .language_id import identify_languages
 from .lattice_lm import score_documents
 from .ngram_join import jaccard_components
@@ -83,6 +84,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 
+def op13_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(embeddings(spark, sf_dir), "_id % 20 = 0")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -208,6 +213,7 @@ def queries() -> dict:
         "op10_shard_tree": op10_shard_tree,
         "op11_token_links": op11_token_links,
         "op12_vector_codes": op12_vector_codes,
+        "op13_hamming_index": op13_hamming_index,
         "pipeline": pipeline,
     }
 
