@@ -51,9 +51,17 @@ def tag_set(text: Column, separator: str = "|") -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")))
 
 
+#: Members of a list literal: quoted by either mark (the other may stand inside, a backslash hides the same), or bare.
+_QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+_MEMBER = rf"""(?:{_QUOTED}|[^\s,'"\[\]]++)"""
+_LITERAL = rf"(?s)\s*\[\s*(?:{_MEMBER}\s*+(?:,\s*{_MEMBER}\s*+)*+,?+)?+\s*\]\s*"
+
+
 def parse_list(text: Column) -> Column:
     """Members of a list literal with single or double quotes; empty where it can't be read."""
-    return F.coalesce(F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>"), F.array().cast("array<string>"))
+    members = F.regexp_extract_all(text, F.lit(f"(?s){_MEMBER}"), F.lit(0))
+    bare = lambda m: F.when(m.rlike("""(?s)^['"]"""), F.regexp_replace(F.substring(m, F.lit(2), F.char_length(m) - 2), r"""\\(['"\\])""", "$1")).otherwise(m)
+    return F.when(text.rlike(f"^{_LITERAL}$"), F.transform(members, bare)).otherwise(F.array().cast("array<string>"))
 
 
 def year_of(text: Column) -> Column:

@@ -22,6 +22,7 @@ from .windows import first_of, top_k
 
 SPANS = "array<struct<start:int,end:int,part:string,gap:string>>"
 _SENTENCE = re.compile(r"[.!?…;:]+(?=\s|$)")
+_LINE = re.compile(r"(?m)^[^\S\n]*(?=\S)")
 
 
 def sentence_bounds(text: str) -> list[tuple[int, int]]:
@@ -102,24 +103,38 @@ def target_sentence(df: DataFrame, text: str, term: Column, keep: Sequence[str])
     return found.select(*keep, "part", (F.col("start") == 0).alias("cut_left"), (F.col("end") == F.col("_len")).alias("cut_right"))
 
 
+def unit_starts(text: str) -> list[int]:
+    """Where a unit may begin: at the first letter of a sentence or of a line."""
+    starts = {a for a, _ in sentence_bounds(text)}
+    starts.update(m.end() for m in _LINE.finditer(text))
+    return sorted(starts)
+
+
 def cue_units(df: DataFrame, text: str, cues: dict[str, str], keep: Sequence[str]) -> DataFrame:
-    """Units from one sentence-initial cue to the next: start, end, kind; with the text's cue density per 10,000 characters."""
-    compiled = {k: re.compile(r"(?:(?<=^)|(?<=[.!?;\n]\s)|(?<=\n))(?:" + p + r")\b", re.I) for k, p in cues.items()}
+    """Units from one cue at the start of a sentence or line to the next: start, end, kind, cue_end; with the text's cue density per 10,000 characters.
 
-    @F.arrow_udf("array<struct<start:int,kind:string>>")
+    cues maps a kind to a pattern of whole words, whatever the case; where several stand at one place the longest counts, then the first in order.
+    """
+    compiled = [(k, re.compile(rf"(?:{p})(?!\w)", re.I)) for k, p in cues.items()]
+
+    @F.arrow_udf("array<struct<start:int,cue_end:int,kind:string>>")
     def find(texts: pa.Array) -> pa.Array:
-        start, kind, counts = [], [], [0]
+        start, end, kind, counts = [], [], [], [0]
         for t in texts.to_pylist():
-            for a, k in sorted((m.start(), k) for k, p in compiled.items() for m in p.finditer(t or "")):
-                start.append(a)
-                kind.append(k)
+            for a in unit_starts(t or ""):
+                hits = [(m.end(), k) for k, p in compiled if (m := p.match(t, a))]
+                if hits:
+                    b, k = max(hits, key=lambda h: h[0])
+                    start.append(a)
+                    end.append(b)
+                    kind.append(k)
             counts.append(len(start))
-        return _listed(counts, start=pa.array(start, pa.int32()), kind=pa.array(kind, pa.string()))
+        return _listed(counts, start=pa.array(start, pa.int32()), cue_end=pa.array(end, pa.int32()), kind=pa.array(kind, pa.string()))
 
     rows = df.select(*keep, F.char_length(text).alias("_len"), find(F.col(text)).alias("_c")).withColumn("density", F.round(F.size("_c") * 10000 / F.greatest("_len", F.lit(1)), 3))
     flat = rows.select(*keep, "_len", "density", F.posexplode("_c").alias("ord", "c"))
     end = F.coalesce(F.lead("c.start").over(W.partitionBy(*keep).orderBy("ord")), F.col("_len"))
-    return flat.select(*keep, "ord", "c.start", end.alias("end"), "c.kind", "density")
+    return flat.select(*keep, "ord", "c.start", end.alias("end"), "c.kind", "density", "c.cue_end")
 
 
 def trusted_units(units: DataFrame, kinds: Sequence[str], density: float = 2.0) -> DataFrame:
@@ -179,27 +194,27 @@ def markup_entries(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
                 start.append(a)
                 end.append(b)
                 tag.append(k)
-                head.append(text[a : min(b, a + 80)].strip(" "))
+                head.append(text[a:b].strip(" "))
             counts.append(len(start))
         return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), tag=pa.array(tag, pa.string()), head=pa.array(head, pa.string()))
 
     return df.select(*keep, F.posexplode(walk(F.col(html))).alias("ord", "m")).select(*keep, "ord", "m.start", "m.end", "m.tag", "m.head")
 
 
-def markup_sections(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
+def markup_sections(df: DataFrame, html: str, keep: Sequence[str], marks: str = ".:") -> DataFrame:
     """keep, ord, start, end, level, head, path, carriers, anchors: the sections that headings declare.
 
     A section runs to the next heading of its own or an upper level; path joins
     the heads above it and its own. carriers counts the elements that hold its
     text (up to the next heading) by tag, anchors lists the terms that begin
-    such an element in bold, and rubrics those in italics in their order, repeats
-    in a row once.
+    such an element in bold, and rubrics its stretches in italics, without
+    `marks` at their ends, each where it differs from the one before.
     """
     kind = "array<struct<start:int,tag:string,text:string,bold:string,italic:array<string>>>"
 
     @F.pandas_udf(f"struct<size:int,marks:{kind}>")
     def walk(pages: pd.Series) -> pd.DataFrame:
-        found = [_Elements.of(p or "") for p in pages]
+        found = [_Elements.of(p or "", marks) for p in pages]
         return pd.DataFrame({"size": [n for n, _ in found], "marks": [m for _, m in found]})
 
     rows = df.select(*keep, walk(F.col(html)).alias("w")).select(*keep, F.col("w.size").alias("size"), F.posexplode("w.marks").alias("ord", "m")).select(*keep, "size", "ord", "m.*")
@@ -225,7 +240,7 @@ def markup_sections(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     carriers = F.array_join(F.transform(F.filter(tags, lambda x: x["n"] > 0), lambda x: F.concat_ws("=", x["tag"], x["n"].cast("string"))), ",")
     anchors = F.array_compact(F.transform("_e", lambda e: e["bold"]))
     italics = F.flatten(F.transform("_e", lambda e: e["italic"]))
-    rubrics = F.filter(italics, lambda x, i: (i == 0) | (F.get(italics, i - 1) != x))
+    rubrics = F.transform(F.filter(F.arrays_zip(italics.alias("now"), F.concat(F.array(F.lit(None).cast("string")), italics).alias("last")), lambda p: p["now"].isNotNull() & ~p["now"].eqNullSafe(p["last"])), lambda p: p["now"])
     none = F.array().cast("array<string>")
     return out.select(*keep, "ord", "start", "end", "level", "head", "path", carriers.alias("carriers"), F.coalesce(anchors, none).alias("anchors"), F.coalesce(rubrics, none).alias("rubrics"))
 
@@ -234,45 +249,48 @@ class _Elements(HTMLParser):
     """One walk over markup: headings and content elements with their places in the rendered text."""
 
     CONTENT = {"p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"}
+    STYLE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic"}
     SKIP = {"script", "style", "note"}
 
-    def __init__(self):
+    def __init__(self, marks: str):
         super().__init__(convert_charrefs=True)
-        self.size, self.skipping, self.marks, self.open, self.style = 0, 0, [], None, None
+        self.edges = marks + " "
+        self.size, self.skipping, self.found = 0, 0, []
+        self.pieces = self.style = None
 
     @classmethod
-    def of(cls, markup: str) -> tuple[int, list[dict]]:
-        walker = cls()
+    def of(cls, markup: str, marks: str) -> tuple[int, list[dict]]:
+        walker = cls(marks)
         walker.feed(markup)
-        return walker.size, walker.marks
+        return walker.size, [walker.told(*f) for f in walker.found]
+
+    def told(self, start: int, tag: str, pieces: list[tuple[str, str | None]]) -> dict:
+        """An element from its stretches of text and their styles."""
+        leads = pieces[0][0] if pieces and pieces[0][1] == "bold" else None
+        italics = [stretch.strip(self.edges) for stretch, style in pieces if style == "italic"]
+        return {"start": start, "tag": tag, "text": " ".join(p for p, _ in pieces), "bold": leads, "italic": [x for x in italics if x]}
 
     def handle_starttag(self, tag, attrs):
         self.skipping += tag in self.SKIP
         if tag in self.CONTENT:
-            self.open = {"start": self.size, "tag": tag, "text": "", "bold": None, "italic": []}
-            self.marks.append(self.open)
-        elif tag in ("b", "strong", "i", "em"):
-            self.style = "bold" if tag in ("b", "strong") else "italic"
+            self.pieces = []
+            self.found.append((self.size, tag, self.pieces))
+        self.style = self.STYLE.get(tag, self.style)
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skipping:
-            self.skipping -= 1
+        if tag in self.SKIP:
+            self.skipping = max(0, self.skipping - 1)
         if tag in self.CONTENT:
-            self.open = None
-        if tag in ("b", "strong", "i", "em"):
+            self.pieces = None
+        if tag in self.STYLE:
             self.style = None
 
     def handle_data(self, data):
-        piece = " ".join(data.split())
-        if self.skipping or not piece:
-            return
-        if self.open is not None:
-            if self.style == "bold" and not self.open["text"]:
-                self.open["bold"] = piece
-            if self.style == "italic":
-                self.open["italic"].append(piece.rstrip(".:"))
-            self.open["text"] = (self.open["text"] + " " + piece)[:200].strip()
-        self.size += len(piece) + 1
+        stretch = " ".join(data.split())
+        if stretch and not self.skipping:
+            if self.pieces is not None:
+                self.pieces.append((stretch, self.style))
+            self.size += len(stretch) + 1
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")

@@ -92,7 +92,7 @@ def read_annotated(spark: SparkSession, path: str) -> DataFrame:
 
     upto = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     opened = F.col("line").startswith("#Text=")
-    rows = lines.withColumn("sentence", F.sum(opened.cast("int")).over(upto)).withColumn("text", F.last(F.when(opened, F.substring("line", 7, 1 << 20)), ignorenulls=True).over(upto))
+    rows = lines.withColumn("sentence", F.sum(opened.cast("int")).over(upto)).withColumn("text", F.last(F.when(opened, F.expr("substring(line, 7)")), ignorenulls=True).over(upto))
     parts = F.split("line", "\t")
     tokens = rows.where(F.col("line").rlike(r"^\d+-\d+\t")).withColumn("p", parts)
     span = F.split(F.col("p")[1], "-")

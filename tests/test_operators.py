@@ -403,3 +403,38 @@ def test_numbers_over_buckets(spark):
     assert sorted((r.id, r.i, r.n) for r in got) == sorted((v, i, len(g)) for g in groups.values() for i, v in enumerate(sorted(g)))
     even = X.evenly_spaced(df, ["k"], ["id"], 4, F.floor(F.col("id") / 40))
     assert sorted(map(tuple, even.collect())) == sorted(map(tuple, X.evenly_spaced(df, ["k"], ["id"], 4).collect()))
+
+
+def test_list_literals_with_apostrophes(spark):
+    read = lambda s: one(spark, T.parse_list(F.lit(s)))
+    assert read("""["l'eau", 'zout']""") == ["l'eau", "zout"]
+    assert read(r"""['it\'s', "say \"yes\"", 'back\\slash']""") == ["it's", 'say "yes"', "back\\slash"]
+    assert read("[]") == [] and read("[ 1, two , 'three' ]") == ["1", "two", "three"] and read("['a, b', ']']") == ["a, b", "]"]
+    assert read("['open") == [] and read("['a' 'b']") == [] and read("['a'], x") == []
+    assert read("['" + "x" * 200_000 + "']") == ["x" * 200_000]
+
+
+def test_long_headings_stay_whole(spark):
+    long = "word " * 100
+    page = f"<h1>{long}one</h1><p>a<i>First.</i> <i>First.</i> b <i>Second:</i></p><h1>{long}two</h1><p><b>{long}</b> x</p>"
+    rows = G.markup_sections(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).orderBy("ord").collect()
+    assert [r["path"] for r in rows] == [f"{long}one", f"{long}two"]
+    assert rows[0]["rubrics"] == ["First", "Second"] and rows[1]["anchors"] == [long.strip()]
+    entries = G.markup_entries(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).collect()
+    assert max(len(r["head"]) for r in entries) >= 500
+
+
+def test_shingle_pairs_of_a_long_text(spark):
+    import time
+
+    from lexiforge.operators import joins
+
+    base = [f"w{i % 9973}x{i % 31}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[5000:12_000])), (3, "nothing shared here at all"), (4, "too short"), (5, None)], "id int, text string")
+    tokens = df.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    pairs = joins.shingle_pairs(tokens, "id", "w", 5, 2, 29, 0.3)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    began = time.time()
+    assert [(r["a"], r["b"], r["shared"]) for r in pairs.collect()] == [(1, 2, 6996)]
+    assert time.time() - began < 30
