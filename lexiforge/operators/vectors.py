@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,3 +206,119 @@ def ground_by_span(df: DataFrame, id_col: str, value: str, context: str, thresho
     found = rows.join(best, id_col, "left")
     good = F.coalesce(F.col("_b._score") >= threshold, F.lit(False)) & ~F.col("_held")
     return found.select(id_col, F.when(good, F.col("_b._span")).otherwise(F.col("_v")).alias(value), (F.col("_held") | good).alias("grounded"), good.alias("replaced"))
+
+
+def _unit_rows(batch: pa.RecordBatch, vector: str) -> np.ndarray:
+    flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), EPS)
+
+
+#: Added to bounds of distances, for rounding.
+SLACK = 1e-6
+
+
+def nearest_in_clusters(queries: DataFrame, others: DataFrame, store, k: int = 1, digits: int = 6, pivots: int = 64, block: int = 1024, visits: list | None = None) -> DataFrame:
+    """query, id, score, rank: for every query its k most similar others of its field, exactly, without meeting all of them.
+
+    queries has query, own, field, v and others id, field, v; a query doesn't
+    find the other whose id is its own. Others are dealt to clusters by the
+    nearest of a bounded number of pivots (drawn by hash over all fields), and
+    each cluster of a field keeps its radius. A query first searches its nearest
+    cluster; another one is searched only where the distance of its pivot less
+    its radius does not exceed the distance of the k-th best found so far (the
+    triangle inequality on unit vectors), which loses nothing. Both rounds are
+    products of blocks. store(df, name) writes a table and gives it back; visits,
+    where given, receives the numbers of (query, cluster) visits made and possible.
+    """
+    spark = others.sparkSession
+    drawn = others.orderBy(F.xxhash64("id", "field"), "id").limit(pivots).select("v").collect()  # at most `pivots` vectors
+    kinds = {c: queries.schema[c].dataType.simpleString() for c in ("query", "own", "field")} | {"id": others.schema["id"].dataType.simpleString()}
+    if not drawn:
+        return spark.createDataFrame([], f"query {kinds['query']}, id {kinds['id']}, score double, rank int")
+    centres = np.array([r["v"] for r in drawn], np.float64)
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), EPS)
+    held = spark.sparkContext.broadcast(centres)
+
+    def away(batches):
+        for batch in batches:
+            unit_rows = _unit_rows(batch, "v")
+            gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * unit_rows @ held.value.T))
+            columns = [*batch.columns, pa.array(gaps.argmin(1).astype(np.int32)), pa.array(list(gaps), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "near", "gaps"])
+
+    more = "near int, gaps array<double>"
+    placed = others.select("id", "field", F.col("v").cast("array<double>").alias("v")).mapInArrow(away, f"id {kinds['id']}, field {kinds['field']}, v array<double>, {more}")
+    placed = store(placed.select("id", "field", F.col("near").alias("cluster"), F.col("gaps")[F.col("near")].alias("gap"), "v"), "clusters")
+    radii = placed.groupBy("field", "cluster").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
+    listed = radii.groupBy("field").agg(F.collect_list(F.struct("cluster", "radius", "n")).alias("clusters"))  # at most `pivots` a field
+    asked = queries.select("query", "own", "field", F.col("v").cast("array<double>").alias("v")).mapInArrow(away, f"query {kinds['query']}, own {kinds['own']}, field {kinds['field']}, v array<double>, {more}")
+    near = lambda c: F.struct(F.col("gaps")[c["cluster"]].alias("gap"), c["cluster"].alias("cluster"), c["radius"].alias("radius"), c["n"].alias("n"))
+    asked = store(asked.join(listed, "field").select("query", "own", "field", "v", F.array_sort(F.transform("clusters", near)).alias("c")), "asked")
+    home = _in_cells(asked.withColumn("x", F.col("c")[0]), placed, kinds, k, digits, block)
+    first = store(home, "home")
+    reached = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    # The score was rounded: half a unit of its last digit less is below the true one.
+    limit = F.when(F.col("least").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * (F.col("least") - 0.5 * 10.0**-digits))) + SLACK)
+    open_ = asked.join(reached, "query", "left").withColumn("limit", F.coalesce(limit, F.lit(4.0)))
+    rest = F.filter(F.slice("c", 2, pivots), lambda c: c["gap"] - c["radius"] <= F.col("limit"))
+    again = store(open_.select("query", "own", "field", "v", F.explode(rest).alias("x")), "visits")
+    if visits is not None:
+        visits += [asked.count() + again.count(), asked.agg(F.sum(F.size("c"))).first()[0] or 0]
+    found = first.unionAll(_in_cells(again, placed, kinds, k, digits, block))
+    return top_k(found, ["query"], [F.desc("score"), F.asc("id")], k)
+
+
+def _in_cells(asked: DataFrame, placed: DataFrame, kinds: dict, k: int, digits: int, block: int) -> DataFrame:
+    """query, id, score: each query's k best of the cluster x it visits, by blocks of both sides."""
+    asked = asked.select("query", "own", "field", "v", "x.cluster", "x.n")
+    sides = asked.groupBy("field", "cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("_q"), F.ceil(F.max("n") / block).alias("_o"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asked.drop("n").join(sides, ["field", "cluster"]).select("field", "cluster", own("query", "_q").alias("_i"), every("_o").alias("_j"), "query", "own", none(kinds["id"]).alias("id"), "v")
+    right = placed.join(sides, ["field", "cluster"]).select("field", "cluster", every("_q").alias("_i"), own("id", "_o").alias("_j"), none(kinds["query"]).alias("query"), none(kinds["own"]).alias("own"), "id", "v")
+
+    def best(cell: pa.Table) -> pa.Table:
+        asks = cell.column("id").is_null()
+        q, o = cell.filter(asks), cell.filter(pa.compute.invert(asks)).sort_by("id")
+        if not q.num_rows or not o.num_rows:
+            return pa.table({"query": q.column("query").slice(0, 0), "id": o.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        side = lambda t: _unit_rows(t.combine_chunks().to_batches()[0], "v")
+        scores = np.round(side(q) @ side(o).T, digits)
+        owners, ids = np.array(q.column("own").to_pylist(), object), np.array(o.column("id").to_pylist(), object)
+        scores[owners[:, None] == ids[None, :]] = -np.inf
+        top = scores.argmax(1)[:, None] if k == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(scores, top, 1).ravel()
+        rows, good = np.repeat(np.arange(q.num_rows), top.shape[1]), np.isfinite(value)
+        return pa.table({"query": q.column("query").take(pa.array(rows[good])), "id": o.column("id").take(pa.array(top.ravel()[good])), "score": value[good]})
+
+    return left.unionAll(right).groupBy("field", "cluster", "_i", "_j").applyInArrow(best, f"query {kinds['query']}, id {kinds['id']}, score double")
+
+
+def best_candidates(candidates: DataFrame, exemplars: DataFrame, store, penalty: float, digits: int = 6, **bounds) -> DataFrame:
+    """row, candidate, exemplar, score: for each row the candidate most like any exemplar of its field other than the row itself.
+
+    candidates has row, candidate (its place), field, v, part (whether it is a
+    part of a word, which costs the penalty); exemplars id, field, v. The first
+    of equal candidates counts; a row whose field has no other exemplar has none.
+    """
+    named = candidates.withColumn("query", F.struct("row", "candidate"))
+    near = nearest_in_clusters(named.select("query", F.col("row").alias("own"), "field", "v"), exemplars, store, 1, digits, **bounds)
+    scored = near.select("query.row", "query.candidate", F.col("id").alias("exemplar"), "score").join(candidates.select("row", "candidate", "part"), ["row", "candidate"])
+    final = F.round(F.col("score") - F.when(F.col("part"), F.lit(penalty)).otherwise(0.0), digits)
+    return first_of(scored.withColumn("score", final), ["row"], [F.desc("score"), F.asc("candidate")]).select("row", "candidate", "exemplar", "score")
+
+
+def reranked(scored: DataFrame, id_col: str, none_label, margin: float, k: int) -> DataFrame:
+    """id_col, label, score, none_score, fallback, rank: rows per label that beat the row's NONE score by a margin, best first.
+
+    scored has a row's score for every label. A label that no row passes takes
+    all rows by score - none instead. At most k rows of a label are kept.
+    """
+    none = scored.where(F.col("label") == F.lit(none_label)).select(id_col, F.col("score").alias("none_score"))
+    rows = scored.where(F.col("label") != F.lit(none_label)).join(none, id_col, "left").withColumn("_passed", F.coalesce(F.col("score") >= F.col("none_score") + margin, F.lit(True)))
+    empty = rows.groupBy("label").agg((~F.bool_or("_passed")).alias("fallback"))
+    open_ = rows.join(F.broadcast(empty), "label").where(F.col("_passed") | F.col("fallback"))  # one row per label
+    order = F.when(F.col("fallback"), F.round(F.col("score") - F.col("none_score"), 9)).otherwise(F.col("score"))
+    ranked = top_k(open_.withColumn("_order", order), ["label"], [F.desc("_order"), F.asc(id_col)], k)
+    return ranked.select(id_col, "label", "score", "none_score", "fallback", "rank")

@@ -305,18 +305,12 @@ def key_list_join(t):
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.min("form").alias("first_form")).where("forms > 1")
 
 
-@BOOK.query("compound_parts", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT v.form, h.form AS head, length(h.form) AS n FROM v JOIN v h ON right(v.form, 3) = right(h.form, 3) AND suffix(v.form, h.form) AND length(v.form) >= length(h.form) + 4 WHERE length(h.form) BETWEEN 5 AND 8)
-SELECT form, arg_max(head, n) AS head, left(form, CAST(length(form) - max(n) AS BIGINT)) AS modifier FROM c GROUP BY form""")
-def compound_parts(t):
-    """The longest vocabulary word of five to eight letters that ends a longer one: each form's endings looked up."""
-    form = _words(t).select(F.explode("w").alias("form")).distinct()
-    ends = form.where(F.length("form") >= 9).select("form", F.explode(F.sequence(F.lit(5), F.least(F.lit(8), F.length("form") - 4))).alias("n")).withColumn("head", F.expr("right(form, n)"))
-    best = ends.join(form.select(F.col("form").alias("head")), "head", "left_semi").groupBy("form").agg(F.max_by("head", "n").alias("head"))
-    return best.select("form", "head", F.expr("left(form, length(form) - length(head))").alias("modifier"))
+_COMPOUNDS = f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT form, unnest(range(2, length(form) - 2)) AS stem FROM v WHERE length(form) >= 5),
+d AS (SELECT form, max(length(form) - stem) AS n FROM c WHERE right(form, length(form) - stem) IN (SELECT form FROM v) AND left(form, stem) IN (SELECT form FROM v) GROUP BY 1) SELECT form, right(form, n) AS head, left(form, length(form) - n) AS modifier FROM d"""
 
 
-@BOOK.query("compound_parts_all", f"""WITH v AS (SELECT DISTINCT unnest(w) AS form FROM ({_TOKENS})), c AS (SELECT form, unnest(range(2, length(form) - 2)) AS stem FROM v WHERE length(form) >= 5),
-d AS (SELECT form, max(length(form) - stem) AS n FROM c WHERE right(form, length(form) - stem) IN (SELECT form FROM v) AND left(form, stem) IN (SELECT form FROM v) GROUP BY 1) SELECT form, right(form, n) AS head, left(form, length(form) - n) AS modifier FROM d""")
-def compound_parts_all(t):
+@BOOK.query("compound_parts_all", _COMPOUNDS)
+@BOOK.query("compound_parts", _COMPOUNDS)
+def compound_parts(t):
     """The longest head of three letters or more after a known stem of two or more."""
     return A.compounds(_words(t).select(F.explode("w").alias("form")).distinct(), "form")

@@ -11,7 +11,7 @@ from ..operators import lexicon as L
 from ..operators import metrics as E
 from ..operators import vectors as V
 from ..operators import windows as X
-from .base import Book
+from .base import Book, stored
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
@@ -382,15 +382,16 @@ def cosine_topk(t):
     return V.most_similar(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 10, 5).select("query", "vec_id", "score")
 
 
-@BOOK.query("loo_nearest", f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS exemplar, round(list_dot_product(a.v, b.v), 6) AS score FROM u a, (SELECT * FROM u WHERE vec_id % 20 = 0) b WHERE a.vec_id <> b.vec_id) SELECT vec_id, exemplar, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, exemplar) AS r FROM s) WHERE r = 1")
-def loo_nearest(t):
-    return V.nearest_exemplar(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 20 = 0"))
+_LOO = f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS exemplar, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, exemplar, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, exemplar) AS r FROM s) WHERE r = 1"
 
 
-@BOOK.query("loo_nearest_all", f"WITH {_VEC}, s AS (SELECT a.vec_id, b.vec_id AS exemplar, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, exemplar, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, exemplar) AS r FROM s) WHERE r = 1")
-def loo_nearest_all(t):
-    """Every vector against all others of its label."""
-    return V.nearest_exemplar(t.embeddings, "vec_id", "embedding", t.embeddings, "label")
+@BOOK.query("loo_nearest_all", _LOO)
+@BOOK.query("loo_nearest", _LOO)
+def loo_nearest(t):
+    """Every vector against all others of its label, by clusters with bounds."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("field"), F.col("embedding").alias("v"))
+    near = V.nearest_in_clusters(rows.select(F.col("id").alias("query"), F.col("id").alias("own"), "field", "v"), rows, stored)
+    return near.select(F.col("query").alias("vec_id"), F.col("id").alias("exemplar"), "score")
 
 
 @BOOK.query("retrieve_margin", f"""WITH {_VEC}, c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
@@ -402,25 +403,21 @@ def retrieve_margin(t):
     return V.retrieve(scored, "vec_id", 0, 0.2, 8).select(F.col("label").cast("int").alias("label"), "vec_id")
 
 
-@BOOK.query("hybrid_candidates", f"""WITH {_VEC}, q AS (SELECT vec_id AS label, v FROM u WHERE vec_id IN (0, 100, 200, 300)), s AS (SELECT u.vec_id, q.label, round(list_dot_product(u.v, q.v), 5) AS gap FROM u, q),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, label) AS r FROM s) WHERE r = 1), t AS (SELECT vec_id, label, CASE WHEN gap >= 0.1 AND vec_id % 3 = 0 THEN 0 WHEN gap >= 0.1 THEN 1 ELSE 2 END AS tier, gap FROM b)
-SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15""")
-def hybrid_candidates(t, queries=None):
-    """Anchored rows first, then semantic ones, then those deferred by the margin."""
-    queries = queries or V.collected(t.embeddings.where("vec_id in (0, 100, 200, 300)"), "vec_id", "embedding")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", queries, top=1, digits=5).withColumn("gap", F.round("score", 5))
-    return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
-
-
 _CENTRES = "c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1)"
 
 
-@BOOK.query("hybrid_candidates_all", f"""WITH {_VEC}, {_CENTRES}, s AS (SELECT u.vec_id, c.label, round(list_dot_product(u.v, c.v) / sqrt(list_dot_product(c.v, c.v)), 5) AS gap FROM u, c),
+_HYBRID = f"""WITH {_VEC}, {_CENTRES}, s AS (SELECT u.vec_id, c.label, round(list_dot_product(u.v, c.v) / sqrt(list_dot_product(c.v, c.v)), 5) AS gap FROM u, c),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, label) AS r FROM s) WHERE r = 1), t AS (SELECT vec_id, label, CASE WHEN gap >= 0.1 AND vec_id % 3 = 0 THEN 0 WHEN gap >= 0.1 THEN 1 ELSE 2 END AS tier, gap FROM b)
-SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15""")
-def hybrid_candidates_all(t):
-    """The same with the class centroids as labels."""
-    return hybrid_candidates(t, V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid"))
+SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, gap DESC, vec_id) AS r FROM t) WHERE r <= 15"""
+
+
+@BOOK.query("hybrid_candidates_all", _HYBRID)
+@BOOK.query("hybrid_candidates", _HYBRID)
+def hybrid_candidates(t):
+    """With the class centroids as labels: anchored rows first, then semantic ones, then those deferred by the margin."""
+    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
+    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres, top=1, digits=5).withColumn("gap", F.round("score", 5))
+    return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
 
 
 @BOOK.query("mean_pool", "SELECT label, CAST(i AS INTEGER) AS i, count(*) FILTER (WHERE keep) AS n, round(coalesce(avg(x) FILTER (WHERE keep), 0), 5) AS x FROM (SELECT label, vec_id % 3 > 0 AS keep, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import forms as W
@@ -17,7 +13,7 @@ from ..operators import segmentation as G
 from ..operators import vectors as V
 from ..operators import windows as X
 from ..streaming import events as R
-from .base import Book
+from .base import Book, folder, stored
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
@@ -31,20 +27,6 @@ WEAK = {"base": ("", "", ""), "short": ("en", "", ""), "third": ("en", "t", ""),
 SWAPS = (("sch", "sh"), ("ei", "ai"))
 
 
-def _folder(spark) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, a temporary one in a local session, else the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexiforge-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/lexiforge/{uuid.uuid4().hex}"
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @BOOK.query("sentence_spans")
 def sentence_spans(t):
     return G.sentences(t.documents, "text", ["doc_id"])
@@ -195,7 +177,7 @@ def cascade_run(t):
     """All documents through sieve, entity, frame and roles, with a stand-in model."""
     known = t.labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_entity"))
     rows = t.documents.select(F.col("doc_id").alias("id"), "text")
-    return C.cascade(rows, "text", F.length("text") > 200, C.stub(["NONE", "prepare", "store", "trade"]), _stored, known)
+    return C.cascade(rows, "text", F.length("text") > 200, C.stub(["NONE", "prepare", "store", "trade"]), stored, known)
 
 
 @BOOK.query("pending_rows", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
@@ -217,13 +199,13 @@ def batch_checks(t):
 
 @BOOK.query("stream_resume_dedupe", "SELECT DISTINCT event_id FROM events")
 def stream_resume_dedupe(t):
-    path, where = f"{t.sf_dir.rstrip('/')}/events.parquet", _folder(t.spark)
+    path, where = f"{t.sf_dir.rstrip('/')}/events.parquet", folder(t.spark)
     return R.drained(R.deduplicated(R.event_stream(t.spark, path), "event_id", "ts", "3650 days").select("event_id"), f"{where}/out", f"{where}/check")
 
 
 @BOOK.query("stream_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_tumbling(t):
-    path, where = f"{t.sf_dir.rstrip('/')}/events.parquet", _folder(t.spark)
+    path, where = f"{t.sf_dir.rstrip('/')}/events.parquet", folder(t.spark)
     return R.drained(R.tumbling(R.event_stream(t.spark, path), "ts", "1 day", ["event_type"]), f"{where}/out", f"{where}/check", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -61,8 +61,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
 
 
-def read_zipped(spark: SparkSession, path: str, suffix: str = ".xml") -> DataFrame:
-    """(archive, member, text) of all members of zip files; one task per archive, one member at a time."""
+def read_zipped(spark: SparkSession, path: str, suffix: str = ".xml", most: int = 16 << 20) -> DataFrame:
+    """(archive, member, text) of the members of zip files whose names end so.
+
+    Each archive's directory is read first; partitions then hold ranges of its
+    members with at most `most` bytes of text (or one member). Stores that only
+    Spark reads give one task per archive.
+    """
+    from .zips import opened, zip_members
+
+    found = spark.read.format("binaryFile").load(path)
+    archives = sorted(r["path"] for r in found.select("path").collect())  # names only
+    try:
+        if archives:
+            opened(archives[0]).close()
+        return zip_members(spark, archives, suffix, most)
+    except (OSError, ValueError):  # Arrow doesn't know the store
+        pass
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -72,7 +87,7 @@ def read_zipped(spark: SparkSession, path: str, suffix: str = ".xml") -> DataFra
                         if name.endswith(suffix):
                             yield pd.DataFrame({"archive": [where], "member": [name], "text": [z.read(name).decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, text string")
+    return found.select("path", "content").mapInPandas(members, "archive string, member string, text string")
 
 
 def read_packed_text(spark: SparkSession, path: str) -> DataFrame:

@@ -438,3 +438,41 @@ def test_shingle_pairs_of_a_long_text(spark):
     began = time.time()
     assert [(r["a"], r["b"], r["shared"]) for r in pairs.collect()] == [(1, 2, 6996)]
     assert time.time() - began < 30
+
+
+def test_unique_windows_and_places(spark):
+    from lexiforge.operators import localise as O
+
+    r = __import__("random").Random(3)
+    text = "".join(r.choice("ab c") for _ in range(3000)) + "needle in the hay " * 2
+    some = [text[i : i + w] for i in range(0, 2900, 97) for w in (5, 15, 25)] + ["", "zzz", "needle in the hay", text]
+    want = [text.find(w) if w and text.find(w) >= 0 and text.find(w, text.find(w) + 1) < 0 else None for w in some]
+    assert O.unique_places(text, some) == want and None in want and any(want)
+    assert O.unique_places("ab", ["abc"]) == [None] and O.unique_places("", ["a"]) == [None]
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    assert O.unique_places(tm, [tm[100:2148], tm[:2048]]) == [tm.find(tm[100:2148]) if tm.count(tm[100:2148]) == 1 else None, 0]
+
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+    twice = "one two three four five six seven eight nine ten target eleven twelve " * 2
+    asked = [
+        ("w", "epsilon zeta eta theta", "eta", 34, "exact"), ("w", "XX" + line[2:], "iota", line.find("iota"), "60"), ("w", line[:60] + "##" + line[62:70], "theta", line.find("theta"), "25"),
+        ("w", "nothing alike here", "alike", None, None), ("w", "#" * 20 + " lambda mu nu " + "#" * 20, "lambda", None, None), ("w", "gone", "absent", None, None),
+        ("d", "#x# " + twice[20:68] + " #y#", "target", None, None), ("lost", "alpha", "alpha", None, None), (None, "alpha", "alpha", None, None), ("w", None, None, 0, "exact"),
+    ]
+    texts = spark.createDataFrame([("w", line), ("d", twice), ("n", None)], "work string, t string")
+    df = spark.createDataFrame([(*a[:3], i, 1) for i, a in enumerate(asked)], "work string, c string, target string, n int, _chunk int")
+    got = {r["n"]: (r["place"], r["found"]) for r in O.localised(df, texts, "work", "c", "target", "t").collect()}
+    assert [got[i] for i in range(len(asked))] == [a[3:] for a in asked]
+    again = spark.createDataFrame([("w", "a"), ("w", "b")], "work string, t string")
+    with pytest.raises(Exception, match="several texts"):
+        O.localised(df, again, "work", "c", "target", "t").collect()
+
+
+def test_matched_contexts_in_three_tiers(spark):
+    from lexiforge.operators import localise as O
+
+    long = "the quick brown fox jumps over the lazy dog while many other animals look on from a safe distance behind the old fence"
+    left = [("a", "fox", long), ("b", "fox", "The  QUICK brown " + long[16:]), ("c", "fox", "lead in " + long), ("d", "fox", long[8:100]), ("e", "cat", long), ("f", "fox", ""), ("g", None, long), ("h", "fox", None)]
+    right = [("a", "owl", "else", 9), ("r1", "fox", long, 2), ("r0", "fox", long, 1), ("r2", "fox", "", 0), ("r3", "fox", "x " + long[6:], 3), ("r4", None, long, 0)]
+    got = O.matched_contexts(spark.createDataFrame(left, "id string, term string, context string"), spark.createDataFrame(right, "id string, term string, context string, n int"), "id", "term", "context", "n")
+    assert {r["id"]: (r["other"], r["tier"]) for r in got.collect()} == {"a": ("a", 1), "b": ("r0", 2), "c": ("r0", 3), "d": ("r0", 3), "e": (None, None), "f": (None, None), "g": (None, None), "h": (None, None)}
