@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import floor_to, normal, wilson
 from .windows import first_of, top_k
 
 
@@ -165,3 +166,54 @@ def compounds(vocabulary: DataFrame, form: str) -> DataFrame:
     split = cut.select(form, "n", F.expr(f"right({form}, n)").alias("head"), F.expr(f"left({form}, length({form}) - n)").alias("modifier"))
     known = split.join(vocabulary.select(F.col(form).alias("head")), "head", "left_semi").join(vocabulary.select(F.col(form).alias("modifier")), "modifier", "left_semi")
     return known.groupBy(form).agg(F.max_by(F.struct("head", "modifier"), "n").alias("x")).select(form, "x.head", "x.modifier")
+
+
+def level_reach(df: DataFrame, key: str, members: str, levels: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], separator: str = ";") -> DataFrame:
+    """name, n, reached, unreached, share, low, high: how many keys each set of levels reaches, with Wilson bounds of the share it does not.
+
+    members is a delimited list; levels (member, level) gives a member's level,
+    and members without one reach nothing. Sets grow or shrink as they like; a
+    key is reached by a set where any of its members has one of its levels.
+    """
+    named = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda m: F.trim(m)), lambda m: m != ""))
+    keys = df.select(key).distinct()
+    single = df.select(key, F.explode(named(F.col(members))).alias("member")).distinct().join(levels.select("member", "level"), "member")
+    known = [(name, sorted(set(own))) for name, own in sets]
+    reached = single.groupBy(key).agg(*(F.bool_or(F.col("level").isin(*own)).alias(f"s{i}") for i, (_, own) in enumerate(known)))
+    counts = keys.join(reached, key, "left").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.coalesce(F.col(f"s{i}"), F.lit(False))).alias(f"s{i}") for i in range(len(known))))
+    rows = counts.select("n", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"s{i}").alias("reached")) for i, (name, _) in enumerate(known)))).alias("x"))
+    missed = F.col("n") - F.col("x.reached")
+    low, high = wilson(missed, F.col("n"))
+    return rows.select("x.name", "n", "x.reached", missed.alias("unreached"), F.when(F.col("n") > 0, F.round(missed / F.col("n"), 6)).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def names_by_span(df: DataFrame, text: str, year: str, work: str, pairs: Sequence[tuple[str, str, str]], span: int = 10) -> DataFrame:
+    """concept, since, left, right, works, texts, words: uses of two names of a concept (patterns) per span of years.
+
+    works counts the distinct works that use either name, texts and words all
+    texts of the span and their words. A text without a year is left out.
+    """
+    rows = df.where(F.col(year).isNotNull()).select(F.col(work).alias("_work"), floor_to(F.col(year), span).alias("since"), F.coalesce(text, F.lit("")).alias("_t"))
+    whole = rows.groupBy("since").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.regexp_count("_t", F.lit(r"\S+"))).alias("words"))
+    uses = F.array(*(F.struct(F.lit(c).alias("concept"), F.regexp_count("_t", F.lit(a)).alias("left"), F.regexp_count("_t", F.lit(b)).alias("right")) for c, a, b in pairs))
+    found = rows.select("_work", "since", F.explode(uses).alias("x")).where("x.left + x.right > 0")
+    per_work = found.groupBy("since", F.col("x.concept").alias("concept"), "_work").agg(F.sum("x.left").alias("left"), F.sum("x.right").alias("right"))
+    summed = per_work.groupBy("since", "concept").agg(F.sum("left").alias("left"), F.sum("right").alias("right"), F.count(F.lit(1)).alias("works"))
+    return summed.join(whole, "since").select("concept", "since", "left", "right", "works", "texts", "words")
+
+
+def pool_overlap(pools: DataFrame, gold: DataFrame, pool: str, term: str, context: str, positive: str, score: str, width: int = 240) -> DataFrame:
+    """Per pool: rows, distinct keys, keys that the gold table has as positive and as negative, and the mean score.
+
+    A key is a term and the first `width` characters of its context, both in
+    their normal form. gold has term, context and positive (boolean); a key that
+    stands there in both ways counts in both.
+    """
+    key = (normal(F.col(term)).alias("_term"), F.substring(normal(F.col(context)), 1, width).alias("_context"))
+    known = gold.select(*key, F.col(positive).alias("_p")).groupBy("_term", "_context").agg(F.bool_or("_p").alias("_yes"), F.bool_or(~F.col("_p")).alias("_no"))
+    rows = pools.select(F.col(pool).alias("pool"), *key, F.col(score).alias("_score"))
+    per_key = rows.groupBy("pool", "_term", "_context").agg(F.count(F.lit(1)).alias("n"), F.sum("_score").alias("total"), F.count("_score").alias("scored"))
+    met = per_key.join(known, ["_term", "_context"], "left").groupBy("pool").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.count_if(F.coalesce("_yes", F.lit(False))).alias("in_positive"), F.count_if(F.coalesce("_no", F.lit(False))).alias("in_negative"), F.sum("total").alias("_t"), F.sum("scored").alias("_s")
+    )
+    return met.select("pool", "n", "keys", "in_positive", "in_negative", F.round((F.col("in_positive") + F.col("in_negative")) / F.col("keys"), 6).alias("known"), F.round(F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")), 6).alias("mean_score"))

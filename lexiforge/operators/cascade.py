@@ -97,3 +97,46 @@ def run_batches(inputs: Iterator[DataFrame], work: Callable[[DataFrame], DataFra
     for df in held:
         write(df)
     return count + len(held)
+
+
+def fit_sieve(train: DataFrame, text: str, keep: str, features: int = 4096, most: int = 50_000):
+    """A model of P(drop) of a text: hashed words and logistic regression (in the JVM).
+
+    It learns from labelled rows (keep: boolean), of which a sample by hash of
+    about `most` is used where there are more.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    rows = train.where(F.col(keep).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), (~F.col(keep)).cast("double").alias("_drop"))
+    total = rows.count()
+    if total > most:
+        rows = rows.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(most / total * (1 << 20)))
+    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\p{L}+", gaps=False), HashingTF(numFeatures=features, inputCol="_words", outputCol="_features", binary=True), LogisticRegression(featuresCol="_features", labelCol="_drop", regParam=0.02, elasticNetParam=0.0, maxIter=30, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r")]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def drop_scores(model, df: DataFrame, text: str, name: str = "p_drop") -> DataFrame:
+    """df with the model's P(drop); 0 for a null text, which is never dropped unseen."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(df.withColumn("_text", F.coalesce(text, F.lit(""))))
+    p = F.when(F.col(text).isNotNull(), vector_to_array("_p")[1]).otherwise(0.0)
+    return scored.withColumn(name, p).drop("_text", "_words", "_features", "_p", "_y", "_r")
+
+
+def sieve_sweep(scored: DataFrame, keep: str, thresholds: Sequence[float], name: str = "p_drop") -> DataFrame:
+    """threshold, dropped, lost, saved, lost_share: what dropping from each threshold up saves, and the rows to keep it loses."""
+    bad = F.col(keep).isNotNull()
+    rows = scored.where(bad).select(F.col(name).alias("_p"), F.col(keep).alias("_k"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_k").alias("kept"), *(c for i, t in enumerate(thresholds) for c in (F.count_if(F.col("_p") >= t).alias(f"d{i}"), F.count_if((F.col("_p") >= t) & F.col("_k")).alias(f"l{i}"))))
+    each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"d{i}").alias("dropped"), F.col(f"l{i}").alias("lost")) for i, t in enumerate(thresholds))))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return sums.select("n", "kept", each.alias("x")).select("x.threshold", "x.dropped", "x.lost", share(F.col("x.dropped"), F.col("n")).alias("saved"), share(F.col("x.lost"), F.col("kept")).alias("lost_share"))
+
+
+def chosen_threshold(sweep: DataFrame, most_lost: float) -> float:
+    """The lowest threshold that loses at most that share of the rows to keep; infinity (nothing is dropped) where none does."""
+    found = sweep.where(F.col("lost_share") <= most_lost).agg(F.min("threshold")).first()[0]
+    return float("inf") if found is None else found

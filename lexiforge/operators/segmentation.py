@@ -110,25 +110,34 @@ def unit_starts(text: str) -> list[int]:
     return sorted(starts)
 
 
+def compiled_cues(cues: dict[str, str]) -> list[tuple[str, re.Pattern]]:
+    return [(k, re.compile(rf"(?:{p})(?!\w)", re.I)) for k, p in cues.items()]
+
+
+def cue_places(text: str, cues: Sequence[tuple[str, re.Pattern]]) -> list[tuple[int, int, str]]:
+    """Start, end and kind of the cue at each unit start that has one: the longest, then the first in order."""
+    out = []
+    for a in unit_starts(text):
+        hits = [(m.end(), k) for k, p in cues if (m := p.match(text, a))]
+        if hits:
+            out.append((a, *max(hits, key=lambda h: h[0])))
+    return out
+
+
 def cue_units(df: DataFrame, text: str, cues: dict[str, str], keep: Sequence[str]) -> DataFrame:
     """Units from one cue at the start of a sentence or line to the next: start, end, kind, cue_end; with the text's cue density per 10,000 characters.
 
-    cues maps a kind to a pattern of whole words, whatever the case; where several stand at one place the longest counts, then the first in order.
+    cues maps a kind to a pattern of whole words, whatever the case.
     """
-    compiled = [(k, re.compile(rf"(?:{p})(?!\w)", re.I)) for k, p in cues.items()]
+    compiled = compiled_cues(cues)
 
     @F.arrow_udf("array<struct<start:int,cue_end:int,kind:string>>")
     def find(texts: pa.Array) -> pa.Array:
-        start, end, kind, counts = [], [], [], [0]
+        flat, counts = [], [0]
         for t in texts.to_pylist():
-            for a in unit_starts(t or ""):
-                hits = [(m.end(), k) for k, p in compiled if (m := p.match(t, a))]
-                if hits:
-                    b, k = max(hits, key=lambda h: h[0])
-                    start.append(a)
-                    end.append(b)
-                    kind.append(k)
-            counts.append(len(start))
+            flat += cue_places(t or "", compiled)
+            counts.append(len(flat))
+        start, end, kind = zip(*flat) if flat else ((),) * 3
         return _listed(counts, start=pa.array(start, pa.int32()), cue_end=pa.array(end, pa.int32()), kind=pa.array(kind, pa.string()))
 
     rows = df.select(*keep, F.char_length(text).alias("_len"), find(F.col(text)).alias("_c")).withColumn("density", F.round(F.size("_c") * 10000 / F.greatest("_len", F.lit(1)), 3))
@@ -301,6 +310,29 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
+def candidate_places(text: str, most: int, least: int, sizes: range) -> list[tuple[int, int, bool]]:
+    """Bounds of runs of one to `most` words, then of parts (of so many letters) of words of `least` letters or more."""
+    words = word_places(text)
+    runs = [(words[i][0], words[i + n][1], False) for i in range(len(words)) for n in range(min(most, len(words) - i))]
+    return runs + [(a + at, a + at + n, True) for a, b in words if b - a >= least for n in sizes if n < b - a for at in range(b - a - n + 1)]
+
+
+def candidates(df: DataFrame, text: str, keep: Sequence[str], most: int = 6, least: int = 7, sizes: range = range(4, 11)) -> DataFrame:
+    """keep, ord, start, end, part, inside: what may answer a question about a context: runs of words, and parts inside long words."""
+
+    @F.arrow_udf("array<struct<start:int,end:int,part:string,inside:boolean>>")
+    def find(texts: pa.Array) -> pa.Array:
+        flat, counts = [], [0]
+        for t in texts.to_pylist():
+            flat += [(a, b, t[a:b], inside) for a, b, inside in candidate_places(t or "", most, least, sizes)]
+            counts.append(len(flat))
+        start, end, part, inside = zip(*flat) if flat else ((),) * 4
+        return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), part=pa.array(part, pa.string()), inside=pa.array(inside, pa.bool_()))
+
+    rows = df.select(*keep, F.posexplode(find(F.col(text))).alias("ord", "s"))
+    return rows.select(*keep, "ord", "s.start", "s.end", "s.part", "s.inside")
+
+
 def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[str], clitics: Sequence[str] = (), stop: Sequence[str] = (), longest: int = 3) -> DataFrame:
     """keep, start, end, surface, form, label, clitic: where forms of a lexicon (form, label) stand in a text.
 

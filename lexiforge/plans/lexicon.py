@@ -167,23 +167,6 @@ def gloss_rules(t):
     return t.part.select("p_partkey", F.coalesce(head, F.when(F.col("p_type").rlike("STEEL|TIN"), "metal"), F.lit("none")).alias("frame"))
 
 
-_SCORE = "CAST(contains(lower(text), ' the ') AS INTEGER) * 2 + CAST(contains(lower(text), ' with ') AS INTEGER) - CAST(n_chars < 200 AS INTEGER)"
-
-
-@BOOK.query("context_score", f"SELECT doc_id, score, CASE WHEN score >= 3 THEN 'A' WHEN score >= 1 THEN 'B' ELSE 'C' END AS tier FROM (SELECT doc_id, {_SCORE} AS score FROM documents)")
-def context_score(t):
-    score = F.lower("text").contains(" the ").cast("int") * 2 + F.lower("text").contains(" with ").cast("int") - (F.col("n_chars") < 200).cast("int")
-    rows = t.documents.select("doc_id", score.alias("score"))
-    return rows.select("doc_id", "score", T.ladder([(F.col("score") >= 3, "A"), (F.col("score") >= 1, "B")], "C").alias("tier"))
-
-
-@BOOK.query("tier_flag", f"SELECT source, max_score, tier, n >= 5 AND tier = 'A' AS few_shot FROM (SELECT source, max(score) AS max_score, count(*) AS n, CASE WHEN avg(score) >= 2 THEN 'A' ELSE 'B' END AS tier FROM (SELECT source, {_SCORE} AS score FROM documents) GROUP BY 1)")
-def tier_flag(t):
-    score = F.lower("text").contains(" the ").cast("int") * 2 + F.lower("text").contains(" with ").cast("int") - (F.col("n_chars") < 200).cast("int")
-    per = t.documents.select("source", score.alias("score")).groupBy("source").agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("n"), F.when(F.avg("score") >= 2, "A").otherwise("B").alias("tier"))
-    return per.select("source", "max_score", "tier", ((F.col("n") >= 5) & (F.col("tier") == "A")).alias("few_shot"))
-
-
 @BOOK.query("hint_text", "SELECT n_nationkey, n_name || ' lies in ' || r_name || '.' AS hint FROM nation JOIN region ON n_regionkey = r_regionkey")
 def hint_text(t):
     return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.format_string("%s lies in %s.", "n_name", "r_name").alias("hint"))  # region: a fixed table

@@ -476,3 +476,85 @@ def test_matched_contexts_in_three_tiers(spark):
     right = [("a", "owl", "else", 9), ("r1", "fox", long, 2), ("r0", "fox", long, 1), ("r2", "fox", "", 0), ("r3", "fox", "x " + long[6:], 3), ("r4", None, long, 0)]
     got = O.matched_contexts(spark.createDataFrame(left, "id string, term string, context string"), spark.createDataFrame(right, "id string, term string, context string, n int"), "id", "term", "context", "n")
     assert {r["id"]: (r["other"], r["tier"]) for r in got.collect()} == {"a": ("a", 1), "b": ("r0", 2), "c": ("r0", 3), "d": ("r0", 3), "e": (None, None), "f": (None, None), "g": (None, None), "h": (None, None)}
+
+
+def plain_closure(words, rules):
+    import re
+
+    known = list(dict.fromkeys(words))
+    while True:
+        more = [f for w in known for f in (re.sub(p, r, w) for p, r in rules) if f not in known]
+        if not more:
+            return set(known)
+        known += list(dict.fromkeys(more))
+
+
+def test_forms_to_a_fixed_point(spark):
+    from lexiforge.functions import forms as W
+
+    chain = [("aa", "ae"), ("ae", "e"), ("ck", "kk"), ("kk", "x"), ("^x", "sh"), ("sh", "sj")]
+    rules = [T.Rule(f"r{i}", p, r) for i, (p, r) in enumerate(chain)]
+    for word in ("baacken", "ckaa", "plain", ""):
+        got = one(spark, W.closure(F.array(F.lit(word)), rules))
+        assert set(got) == plain_closure([word], chain) and len(got) == len(set(got)) and got[0] == word
+    assert len(one(spark, W.closure(F.array(F.lit("ckaa")), rules))) > 8  # forms that only two or more steps reach
+    with pytest.raises(Exception, match="no end"):
+        one(spark, W.closure(F.array(F.lit("a")), [T.Rule("grow", "a$", "aa")]))
+
+    table = W.FormRules("en", (T.Rule("double", "([bk])[bk]$", "$1"), T.Rule("open", "(o)(k)$", "$1$1$2")), (T.Rule("v", "v$", "f"),), {"stem": ("", ""), "past": ("", "te"), "participle": ("ge", "t")}, (T.Rule("oo", "oo", "oe"),), {"gaan": ("ging", "gaat")})
+    forms = lambda w: {r["form"]: r["kind"] for r in one(spark, W.all_forms(F.lit(w), table))}
+    assert forms("koken") == {"koken": "lemma", "kook": "stem", "koek": "stem", "kookte": "past", "koekte": "past", "gekookt": "participle", "gekoekt": "participle"}
+    assert forms("bakken")["bak"] == "stem" and forms("leven")["gelef" + "t"] == "participle"
+    assert forms("gaan") == {"gaan": "lemma", "ging": "irregular", "gaat": "irregular"}
+
+
+def test_scores_reasons_and_strictly_greater_best(spark):
+    from lexiforge.functions import scoring as K
+
+    rules = [K.Points("hit", 4, "t", "a"), K.Points("many", -1, "t", "b", each=True), K.Points("bare", 2, "t", "z", absent=True), K.Points("bad", 0, "t", "x")]
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "abb"), (2, 1, "zb"), (3, 1, "ax"), (4, 1, None)], "k int, n int, t string")
+    rows = K.scored(df, rules, {"t": F.col("t")}, [("high", 6, ("bad",)), ("medium", 4, ())])
+    got = {(r["k"], r["n"]): (r["score"], ",".join(r["reasons"]), r["tier"]) for r in rows.collect()}
+    assert got == {(1, 1): (6, "hit,bare", "high"), (1, 2): (6, "hit,bare", "high"), (1, 3): (4, "hit,many,bare", "medium"), (2, 1): (-1, "many", "low"), (3, 1): (6, "hit,bare,bad", "medium"), (4, 1): (2, "bare", "low")}
+    assert {(r["k"], r["n"]) for r in K.best_scored(rows, ["k"], ["n"]).collect()} == {(1, 1), (3, 1)}
+
+
+def test_goal_rules_and_table_function(spark):
+    from lexiforge.operators import goals as O
+
+    rules = O.GoalRules({"make": "to make", "om": "om", "again": "another"}, {"make": O.GoalRule(after=r"\bto make\b", skip=("a", "the")), "om": O.GoalRule(after=r"\bom\b", before=r"\bte\b"), "again": O.GoalRule(inherits=True)}, r"[,.;]|\bwith\b", 3)
+    text = "To make a Good onion soup now, take. Boil.\nAnother with salt. Om de pijn van het hoofd te stillen neemt men. Om niets."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "to make. ")], "id int, t string")
+    got = O.inherited(O.unit_goals(df, "t", rules, ["id"]), ["id"]).orderBy("id", "ord").collect()
+    assert [(r["id"], r["kind"], r["goal"], r["goal_from"]) for r in got] == [(1, "make", "Good onion soup", 0), (1, "again", "Good onion soup", 0), (1, "om", "de pijn van het hoofd", 2), (1, "om", None, None), (3, "make", None, None)]
+    O.register_goals(spark, "own_goals", rules)
+    assert [r[0] for r in spark.sql("SELECT goal FROM own_goals('To make the best Pie. x')").collect()] == ["best Pie"]
+
+
+def test_nearest_in_clusters_skips_far_clusters(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    spots = r.normal(size=(12, 8)) * 4
+    v = np.float32(spots[r.integers(0, 12, 900)] + r.normal(size=(900, 8)) * 0.05)
+    rows = spark.createDataFrame([(i, i % 2, [float(x) for x in v[i]]) for i in range(900)] + [(2000, 7, [1.0] * 8)], "id long, field long, v array<float>")
+    visits: list = []
+    asked = rows.select(F.col("id").alias("query"), F.col("id").alias("own"), "field", "v")
+    store = lambda df, name: df.cache()
+    near = V.nearest_in_clusters(asked, rows, store, 3, pivots=32, block=64, visits=visits)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    want = set()
+    for i in range(900):
+        others = [j for j in range(900) if j != i and j % 2 == i % 2]
+        want |= {(i, j, n + 1) for n, j in enumerate(sorted(others, key=lambda j: (-scores[i, j], j))[:3])}
+    assert {(x["query"], x["id"], x["rank"]) for x in near.collect()} == want
+    assert visits[0] < visits[1] / 2  # most (query, cluster) visits are ruled out
+    assert V.nearest_in_clusters(asked.limit(0), rows.limit(0), store).count() == 0
+
+
+def test_candidates_with_a_penalty(spark):
+    ex = spark.createDataFrame([(1, "f", [1.0, 0.0]), (2, "f", [0.0, 1.0]), (3, "g", [1.0, 1.0])], "id int, field string, v array<double>")
+    c = spark.createDataFrame([(1, 0, "f", [1.0, 0.0], False), (1, 1, "f", [0.1, 1.0], True), (1, 2, "f", [0.2, 1.0], False), (2, 0, "f", [0.0, 1.0], False), (2, 1, "f", [0.0, 1.0], False), (3, 0, "g", [1.0, 1.0], False)], "row int, candidate int, field string, v array<double>, part boolean")
+    got = {r["row"]: (r["candidate"], r["exemplar"]) for r in V.best_candidates(c, ex, lambda df, n: df.cache(), 0.05).collect()}
+    assert got == {1: (2, 2), 2: (0, 1)}

@@ -336,3 +336,136 @@ def test_mined_by_scores(rows, tables):
     assert {(r["doc_id"], r["source"], r["start"], r["label"], r["form"], r["score"]) for r in rows("mined_by_scores")} == want and want
 
 
+
+
+GOAL_STOP = re.compile(r"[,.;:!?()]|\b(?:that|was|dans|que|ist)\b", re.I)
+
+
+def plain_goals(text):
+    """ord, start, end, header_end, kind, inherits, goal, goal_start, goal_end of each unit, rule by rule."""
+    units = units_of(text)
+    for i, (a, kind) in enumerate(units):
+        b = units[i + 1][0] if i + 1 < len(units) else len(text)
+        cue = max(m.end() for cues in spans.CUES.values() if (m := re.match(rf"(?:{cues})\b", text[a:], re.I))) + a
+        closing = re.search(r"[.!?]", text[cue:b])
+        head = cue + closing.end() if closing else min(b, cue + 160)
+        header, at, end, limit = text[a:head], 0, head - a, 5
+        if kind == "en":
+            openings = [m.end() for m in re.finditer(r"\b(?:of|with|in)\b", header, re.I)]
+            at = openings[-1] if openings else None
+        if kind == "de":
+            closed = re.search(r"\b(?:und|mit)\b", header, re.I)
+            end, limit = (closed.start(), 10**9) if closed else (None, 0)
+        elif at is not None and (halt := GOAL_STOP.search(header, at)):
+            end = halt.start()
+        goal = (None, None, None)
+        if kind != "es" and at is not None and end is not None:
+            skip = {"en": ("the", "and"), "fr": ("les", "pour", "la")}.get(kind, ())
+            found = [(at + m.start(), at + m.end()) for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?", header[at:end])]
+            while found and header[slice(*found[0])].lower() in skip:
+                found = found[1:]
+            if found := found[:limit]:
+                goal = (header[found[0][0] : found[-1][1]], a + found[0][0], a + found[-1][1])
+        yield i, a, b, head, kind, kind == "es", *goal
+
+
+def test_unit_goals(rows, tables):
+    want = {(d["doc_id"], *u) for d in tables.documents for u in plain_goals(d["text"] or "")}
+    got = {(r["doc_id"], r["ord"], r["start"], r["end"], r["header_end"], r["kind"], r["inherits"], r["goal"], r["goal_start"], r["goal_end"]) for r in rows("unit_goals")}
+    assert got == want and {u[5] for u in want if u[7]} == {"en", "de", "fr"}
+
+
+def test_goals_in_sql(rows):
+    assert {tuple(r.values()) for r in rows("goals_in_sql")} == {(r["doc_id"], r["ord"], r["kind"], r["goal"]) for r in rows("unit_goals")}
+
+
+def test_goal_carry(rows):
+    last, want = {}, set()
+    for r in sorted(rows("unit_goals"), key=lambda r: (r["doc_id"], r["ord"])):
+        if r["goal"]:
+            last[r["doc_id"]] = (r["goal"], r["ord"])
+        own = last.get(r["doc_id"], (None, None)) if r["inherits"] else (r["goal"], r["ord"] if r["goal"] else None)
+        want.add((r["doc_id"], r["ord"], r["kind"], *own))
+    assert {(r["doc_id"], r["ord"], r["kind"], r["goal"], r["goal_from"]) for r in rows("goal_carry")} == want and any(w[2] == "es" and w[3] for w in want)
+
+
+def normal(text):
+    return " ".join(words(text.replace("ſ", "s").lower().replace("æ", "ae").replace("œ", "oe")))
+
+
+def wilson(k, n, z=1.96):
+    p, whole = k / n, 1 + z * z / n
+    half = z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
+    return (p + z * z / (2 * n) - half) / whole, (p + z * z / (2 * n) + half) / whole
+
+
+def held_feasible(rows, tables, by, name):
+    want = {}
+    for d in tables.documents:
+        for u in plain_goals(d["text"] or ""):
+            c = want.setdefault(d[by], Counter())
+            c["units"] += 1
+            c["inherited"] += u[5]
+            if u[6]:
+                body, goal = d["text"][u[3] : u[2]], normal(u[6]).split()
+                c["with_goal"] += 1
+                c["first_at_head" if goal[0] in normal(body[:200]) else "first_later" if goal[0] in normal(body) else "first_absent"] += 1
+                c["last_in_body" if goal[-1] in normal(body) else "last_part" if len(goal[-1]) >= 4 and goal[-1][:4] in normal(body) else "last_absent"] += 1
+    got = {r[by]: r for r in rows(name)}
+    assert set(got) == set(want)
+    for key, c in want.items():
+        r = got[key]
+        assert {k: r[k] for k in r if k not in (by, "lost", "lost_low", "lost_high")} == {k: c[k] for k in ("units", "inherited", "with_goal", "first_at_head", "first_later", "first_absent", "last_in_body", "last_part", "last_absent")}
+        if c["with_goal"]:
+            assert (r["lost"], r["lost_low"], r["lost_high"]) == pytest.approx((c["first_absent"] / c["with_goal"], *wilson(c["first_absent"], c["with_goal"])), abs=1e-6)
+
+
+def test_feasibility_goals(rows, tables):
+    held_feasible(rows, tables, "source", "feasibility_goals")
+
+
+def test_feasibility_languages(rows, tables):
+    held_feasible(rows, tables, "lang", "feasibility_languages")
+
+
+def test_feasibility_segments(rows, tables):
+    want = {}
+    for d in tables.documents:
+        want.setdefault(d["source"], []).append(len(units_of(d["text"] or "")))
+    for r in rows("feasibility_segments"):
+        sizes = sorted(n for n in want.pop(r["source"]) if n)
+        assert r["with_units"] == len(sizes) and r["median_units"] == (sizes[(len(sizes) - 1) // 2] if sizes else None)
+        assert (r["rate"], r["rate_low"], r["rate_high"]) == pytest.approx((len(sizes) / r["texts"], *wilson(len(sizes), r["texts"])), abs=1e-6)
+    assert not want
+
+
+def test_candidate_spans(rows, tables):
+    want = Counter()
+    for c in tables.conversations:
+        text = c["text"] or ""
+        places = [m.span() for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?", text)]
+        for i in range(len(places)):
+            for n in range(1, 7):
+                if i + n <= len(places):
+                    a, b = places[i][0], places[i + n - 1][1]
+                    want[(c["conv_id"], c["turn"], a, b, text[a:b], False)] += 1
+        for a, b in places:
+            for n in range(4, 11):
+                if b - a >= 7 and n < b - a:
+                    for at in range(a, b - n + 1):
+                        want[(c["conv_id"], c["turn"], at, at + n, text[at : at + n], True)] += 1
+    assert Counter((r["conv_id"], r["turn"], r["start"], r["end"], r["part"], r["inside"]) for r in rows("candidate_spans")) == want and len(want) > 1000
+
+
+def test_sieved_cascade(spark, rows, tables):
+    got = rows("sieved_cascade")
+    ends = {r["name"]: r["n"] for r in got if r["part"] == "outcome"}
+    assert sum(ends.values()) == len(tables.documents)
+    sweep = {float(r["name"]): r for r in got if r["part"] != "outcome"}
+    assert sorted(sweep) == [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98]
+    dropped = [sweep[t]["n"] for t in sorted(sweep)]
+    assert dropped == sorted(dropped, reverse=True) and all(r["lost"] <= r["n"] for r in sweep.values())
+    taken = [t for t, r in sweep.items() if r["part"] == "taken"]
+    fits = [t for t, r in sweep.items() if r["lost_share"] <= 0.02]
+    assert taken == ([min(fits)] if fits else [])
+    assert ("sieved" in ends) == bool(taken and ends.get("sieved"))
