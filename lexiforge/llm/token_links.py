@@ -15,6 +15,7 @@ ever held whole by a task or the driver.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import PIECES, byte_letters
 from .common import joined_by_weight, scope, written
 from .words import slices, text_buffers
 
 #: Bytes of text tokenised at once, and bytes whose pairs are counted together.
-PART, SLICE = 512 << 10, 8 << 20
+PART, SLICE = 256 << 10, 8 << 20
 #: Salts of a pair in the first of the two sums.
 SALTS = 16
 #: Rows that a plain join takes, however they fall on keys.
@@ -54,37 +55,69 @@ class _Flat:
         return self.data[np.repeat(self.at[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+class _Numbers:
+    """Decimal numbers as rows of bytes with room for a mark behind the digits."""
+
+    def __init__(self, count: int):
+        width = len(str(count - 1)) + 1
+        self.size = np.array([len(str(i)) for i in range(count)], np.int32)
+        self.digits = np.array([list(str(i).ljust(width).encode()) for i in range(count)], np.uint8)
+        self.used = np.arange(width)[None, :] <= self.size[:, None]
+
+    def joined(self, which: np.ndarray, marks: np.ndarray) -> bytes:
+        """Each number and its mark."""
+        rows = self.digits[which]
+        rows[np.arange(len(which)), self.size[which]] = marks
+        return rows[self.used[which]].tobytes()
+
+
 class TokenPair:
     """Tokenizer A (byte-level BPE, JSON) and B (sentencepiece model), from the contents of their files."""
 
     def __init__(self, spec: bytes, model: bytes):
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_str(spec.decode())
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        model_a = json.loads(spec)["model"]
+        vocab, merges = model_a["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model_a["merges"]]
         byte_of = {c: b for b, c in byte_letters().items()}
-        vocab = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        plain = lambda t: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
-        self.bytes_a = _Flat([plain(vocab.get(i, "")) for i in range(max(vocab) + 1)])
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if all(c in byte_of for c in t)}
+        made = [vocab[a + b] for a, b in merges]
+        if made != sorted(made) or any(i > made[0] for t, i in vocab.items() if len(t) == 1 and t in byte_of):
+            raise ValueError("the ids of A's merges are not in their order")
+        # Where ids are in the order of the merges they are the ranks themselves; so the file's own vocabulary runs in the faster coder.
+        ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i >= made[0] and i <= made[-1]}
+        self.a = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        of_id = {i: t for t, i in ranks.items()}
+        self.bytes_a = _Flat([of_id.get(i, b"") for i in range(max(of_id) + 1)])
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = _Flat([piece(i) for i in range(self.b.get_piece_size())])
-        self.names = _Flat([b"%d" % i for i in range(max(len(self.bytes_a.size), len(self.bytes_b.size)))])
+        self.names = _Numbers(max(len(self.bytes_a.size), len(self.bytes_b.size)))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text by A and by B; none where a text is empty or the joined bytes of either are not a space and the text."""
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = [np.array(i, np.int64) for i in self.b.encode(texts, num_threads=1)]
-        none = np.zeros(0, np.int64)
+        spaced = [" " + t for t in texts]
+        a = [self.a.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in spaced]
+        b = [np.array(i, np.int32) for i in self.b.encode(texts, num_threads=1)]
+        want = [t.encode() for t in spaced]
+        given = [self._split(flat, ids, want) for flat, ids in ((self.bytes_a, a), (self.bytes_b, b))]
+        none = np.zeros(0, np.int32)
         for k, text in enumerate(texts):
-            want = b" " + text.encode()
-            if not text or self.bytes_a.joined(a[k]).tobytes() != want or self.bytes_b.joined(b[k]).tobytes() != want:
+            if not text or given[0][k] != want[k] or given[1][k] != want[k]:
                 a[k] = b[k] = none
         return a, b
 
+    @staticmethod
+    def _split(flat: _Flat, ids: list[np.ndarray], want: list[bytes]) -> list[bytes]:
+        """The joined bytes of each text's tokens; where all agree with what is wanted, that."""
+        every = np.concatenate([np.zeros(0, np.int32), *ids])
+        joined, upto = flat.joined(every).tobytes(), np.concatenate([[0], np.cumsum(flat.size[every])])
+        cut = upto[np.cumsum([0, *map(len, ids)])].tolist()
+        if joined == b"".join(want) and cut == np.cumsum([0, *map(len, want)]).tolist():
+            return want
+        return [joined[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
 
 _loaded: dict[str, TokenPair] = {}
 
@@ -101,7 +134,7 @@ def _pair(files: tuple[bytes, bytes]) -> TokenPair:
 def aligned(pair: TokenPair, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[dict[str, np.ndarray], list[str], np.ndarray]:
     """Counts of each text, the digest of its groups, and the pair numbers of its links, texts laid end to end."""
     counts_a, counts_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (a, b))
+    ids_a, ids_b = (np.concatenate([np.zeros(0, np.int32), *side]) for side in (a, b))
     ends_a, ends_b = np.cumsum(pair.bytes_a.size[ids_a]), np.cumsum(pair.bytes_b.size[ids_b])
     starts_a, starts_b = ends_a - pair.bytes_a.size[ids_a], ends_b - pair.bytes_b.size[ids_b]
     cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -110,9 +143,9 @@ def aligned(pair: TokenPair, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[
     # B tokens that overlap an A token are consecutive.
     low, high = np.searchsorted(ends_b, starts_a, "right"), np.searchsorted(starts_b, ends_a, "left")
     many = high - low
-    of_a = np.repeat(np.arange(len(ids_a)), many)
-    of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-    links = ids_a[of_a] * PAIR + ids_b[of_b]
+    of_b = np.repeat(low - (np.cumsum(many) - many), many)
+    of_b += np.arange(len(of_b))
+    links = np.repeat(ids_a.astype(np.int64) * PAIR, many) + ids_b[of_b]
 
     doc_a = np.repeat(np.arange(len(a)), counts_a)
     first_a = np.concatenate([[0], np.cumsum(counts_a)])
@@ -125,18 +158,12 @@ def aligned(pair: TokenPair, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[
     before_a, before_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
     place_a = np.arange(len(ids_a)) + before_b[group_a]
     place_b = np.arange(len(ids_b)) + (before_a + per_a)[group_b]
-    stream, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+    stream, mark = np.empty(len(ids_a) + len(ids_b), np.int32), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
     stream[place_a], stream[place_b] = ids_a, ids_b
     mark[before_a + per_a + before_b - 1] = ord("|")
     mark[before_a + per_a + before_b + per_b - 1] = ord(";")
-    width = pair.names.size[stream] + 1
-    ends = np.cumsum(width)
-    shown = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    is_mark = np.zeros(len(shown), bool)
-    is_mark[ends - 1] = True
-    shown[is_mark], shown[~is_mark] = mark, pair.names.joined(stream)
-    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts_a + counts_b)])].tolist()
-    raw = shown.tobytes()
+    bounds = np.concatenate([[0], np.cumsum(pair.names.size[stream] + 1, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts_a + counts_b)])].tolist()
+    raw = pair.names.joined(stream, mark)
     digests = [hashlib.sha256(raw[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(bounds[:-1], bounds[1:])]
     return out, digests, links
 
