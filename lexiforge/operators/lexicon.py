@@ -24,8 +24,8 @@ def alias_table(sources: DataFrame, denied: DataFrame, frequencies: DataFrame, l
     rows = first_of(rows, ["pref", "alias_norm"], ["rank", "kind", "source"])
     rows = rows.join(frequencies, "alias_norm", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
     short = F.char_length("alias_norm") < least_letters
-    labels = F.size(F.collect_set("pref").over(W.partitionBy("alias_norm")))
-    rows = rows.withColumn("reason", F.when(short, "short")).withColumn("reason", F.when(labels > 1, "conflict").otherwise(F.col("reason")))
+    labels = rows.groupBy("alias_norm", "pref").count().groupBy("alias_norm").agg(F.count("pref").alias("_labels"))
+    rows = rows.join(labels, "alias_norm").withColumn("reason", F.when(F.col("_labels") > 1, "conflict").when(short, "short")).drop("_labels")
     winner = F.row_number().over(W.partitionBy("alias_norm").orderBy(F.col("kind") != "pref", "rank", "pref", "source"))
     rows = rows.withColumn("reason", F.when((F.col("reason") == "conflict") & (winner == 1), None).otherwise(F.col("reason")))
     deny = denied.select(normal(F.col("alias")).alias("alias_norm"), F.lit(True).alias("_denied")).distinct()

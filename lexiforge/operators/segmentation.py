@@ -333,35 +333,61 @@ def candidates(df: DataFrame, text: str, keep: Sequence[str], most: int = 6, lea
     return rows.select(*keep, "ord", "s.start", "s.end", "s.part", "s.inside")
 
 
+#: Rows of a lexicon that are broadcast at most, so that no word of a text moves; larger ones are joined by a shuffle.
+LEXICON_ROWS = 200_000
+
+
+def trigger_candidates(text: str, longest: int, clitics: Sequence[str], stop: frozenset) -> list[tuple]:
+    """ord, start, end, surface, form, n, rank, clitic of every run of words in lower case, and of every word less a clitic."""
+    places = word_places(text)
+    low = [text[a:b].lower() for a, b in places]
+    out = []
+    for i, (a, b) in enumerate(places):
+        form = ""
+        for n in range(1, min(longest, len(places) - i) + 1):
+            form = f"{form} {low[i + n - 1]}" if form else low[i]
+            end = places[i + n - 1][1]
+            out.append((i, a, end, text[a:end], form, n, -1, ""))
+        if low[i] not in stop:
+            for rank, clitic in enumerate(clitics):
+                if low[i].endswith(clitic) and len(low[i]) > len(clitic):
+                    host = low[i][: -len(clitic)].removesuffix("'")
+                    out.append((i, a, b, text[a : a + len(host)], host, 1, rank, clitic))
+    return out
+
+
 def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[str], clitics: Sequence[str] = (), stop: Sequence[str] = (), longest: int = 3) -> DataFrame:
     """keep, start, end, surface, form, label, clitic: where forms of a lexicon (form, label) stand in a text.
 
     Forms are one to `longest` words in lower case, looked up by equality. A word
     that is no form itself and not in stop is also tried without each clitic at
     its end, joined by an apostrophe or not (the first clitic that leaves a form
-    wins); then the surface is what stands before the clitic.
+    wins); then the surface is what stands before the clitic. One pass over the
+    texts gives all candidates; a lexicon of counted size is broadcast, and only
+    hits go on.
     """
-    words = exploded(df, text, word_places, keep, gap=True).withColumn("word", F.lower("part"))
-    window = W.partitionBy(*keep).orderBy("ord")
-    after = lambda c, n: F.lead(c, n).over(window)
-    out = None
-    for n in range(1, longest + 1):
-        run = F.concat_ws(" ", *(after("word", i) for i in range(n)))
-        surface = F.concat(*(after(c, i) for i in range(n) for c in (["part", "gap"] if i < n - 1 else ["part"])))
-        part = words.select(*keep, "start", after("end", n - 1).alias("end"), surface.alias("surface"), run.alias("form")).where("end is not null")
-        hits = part.join(lexicon.select("form", "label"), "form").withColumn("clitic", F.lit(""))
-        out = hits if out is None else out.unionByName(hits)
-    if clitics:
-        known = lexicon.select(F.col("form").alias("word")).distinct()
-        bare = words.join(known, "word", "left_anti")
-        if stop:
-            bare = bare.where(~F.col("word").isin(*stop))
-        host = lambda c: F.regexp_replace(F.expr(f"left(word, length(word) - {len(c)})"), "'$", "")
-        cut = F.array(*(F.when(F.col("word").endswith(c) & (F.char_length("word") > len(c)), F.struct(F.lit(i).alias("rank"), F.lit(c).alias("clitic"), host(c).alias("form"))) for i, c in enumerate(clitics)))
-        hosts = bare.select(*keep, "ord", "start", "end", "part", F.explode(F.array_compact(cut)).alias("h")).select(*keep, "ord", "start", "end", "part", "h.rank", "h.clitic", "h.form")
-        best = first_of(hosts.join(lexicon.select("form", "label"), "form"), [*keep, "ord"], ["rank", "label"])
-        out = out.unionByName(best.withColumn("surface", F.substring("part", F.lit(1), F.char_length("form"))).select(*out.columns))
-    return out.select(*keep, "start", "end", "surface", "form", "label", "clitic")
+    barred = frozenset(stop)
+    kinds = {"ord": pa.int32(), "start": pa.int32(), "end": pa.int32(), "surface": pa.string(), "form": pa.string(), "n": pa.int32(), "rank": pa.int32(), "clitic": pa.string()}
+
+    @F.arrow_udf("array<struct<ord:int,start:int,end:int,surface:string,form:string,n:int,rank:int,clitic:string>>")
+    def find(texts: pa.Array) -> pa.Array:
+        flat, counts = [], [0]
+        for t in texts.to_pylist():
+            flat += trigger_candidates(t or "", longest, clitics, barred)
+            counts.append(len(flat))
+        columns = list(zip(*flat)) if flat else [()] * len(kinds)
+        return _listed(counts, **{name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
+
+    forms = lexicon.select("form", "label")
+    if forms.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
+        forms = F.broadcast(forms)
+    found = df.select(*keep, F.explode(find(F.col(text))).alias("c")).select(*keep, *(f"c.{name}" for name in kinds)).join(forms, "form")
+    word = W.partitionBy(*keep, "ord")
+    itself = F.max((F.col("rank") == -1) & (F.col("n") == 1)).over(word)
+    first = F.min(F.when(F.col("rank") >= 0, F.struct("rank", "label"))).over(word)
+    judged = found.withColumn("_itself", itself).withColumn("_first", first)
+    kept = judged.where((F.col("rank") == -1) | (~F.col("_itself") & (F.struct("rank", "label") == F.col("_first"))))
+    return kept.select(*keep, "start", "end", "surface", "form", "label", "clitic")
 
 
 def trigger_scan(hits: DataFrame, terms: DataFrame, keep: Sequence[str], radius: int, cap: int, weight: Column | None = None) -> DataFrame:
@@ -376,9 +402,8 @@ def trigger_scan(hits: DataFrame, terms: DataFrame, keep: Sequence[str], radius:
     near = band_join(a, b, list(keep), "_a", "_b", radius)
     found = near.groupBy(*keep, "_a", "label").agg(F.count_distinct("term").alias("terms"))
     rows = found.withColumn("score", F.col("terms") + (weight if weight is not None else F.lit(0)))
-    places = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.col("_a").alias("start"), (F.col("_a") + radius).alias("end"), "label", "terms", "score"))).alias("_s"))
-    kept = places.select(*keep, F.explode(suppress_overlaps(F.col("_s"), "array<struct<start:int,end:int,label:string,terms:bigint,score:bigint>>")).alias("k"))
-    flat = kept.select(*keep, "k.start", "k.label", "k.terms", "k.score")
+    places = rows.select(*keep, F.col("_a").alias("start"), (F.col("_a") + radius).alias("end"), "label", "terms", "score")
+    flat = suppressed(places, keep, "start", "end", ["label"]).drop("end")
     return top_k(flat, list(keep), [F.desc("score"), F.asc("start"), F.asc("label")], cap, "_place").drop("_place")
 
 
@@ -412,11 +437,26 @@ def construction_hits(df: DataFrame, text: str, constructions: Sequence[Construc
     return rows.select(*keep, "ord", "s.start", "s.end", "s.name", "s.part")
 
 
-def suppress_overlaps(spans: Column, kind: str = "array<struct<start:int,end:int>>") -> Column:
-    """Of spans sorted by start, those that begin at or after the end of the last one kept."""
-    first = F.struct(F.lit(None).cast("int").alias("end"), F.array().cast(kind).alias("kept"))
-    step = lambda acc, s: F.when(acc["end"].isNull() | (acc["end"] <= s["start"]), F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
-    return F.aggregate(spans, first, step, lambda acc: acc["kept"])
+def suppressed(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = ()) -> DataFrame:
+    """Greedy: of each key's rows by start (then end and order), those that begin at or after the end of the last one kept.
+
+    Keys are dealt to tasks and sorted there; one pass remembers only the key at
+    hand and the last end, so a key may have any number of rows.
+    """
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, start, end, *order)
+
+    def sweep(batches):
+        last_key = last_end = None
+        for batch in batches:
+            own = zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column(start).to_pylist(), batch.column(end).to_pylist())
+            kept = []
+            for i, (key, a, b) in enumerate(own):
+                if key != last_key or a >= last_end:
+                    last_key, last_end = key, b
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(sweep, rows.schema)
 
 
 def separated_pairs(tokens: DataFrame, keep: Sequence[str], verbs: Sequence[str], particles: Sequence[str], ahead: int = 7) -> DataFrame:

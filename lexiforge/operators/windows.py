@@ -85,9 +85,9 @@ def runs_of(df: DataFrame, keys: Sequence, order: Sequence, flag: Column) -> Dat
 
 
 def canonical_winner(df: DataFrame, key: str, label: str, order: Sequence) -> DataFrame:
-    """For keys with several labels: the winning row of each."""
-    counted = df.withColumn("_labels", F.size(F.collect_set(label).over(W.partitionBy(key))))
-    return first_of(counted.where("_labels > 1"), [key], order).withColumnRenamed("_labels", "n_labels")
+    """For keys with several labels: the winning row of each, and the number of labels."""
+    several = df.where(F.col(label).isNotNull()).groupBy(key, label).count().groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_labels")).where("n_labels > 1")
+    return first_of(df.join(several, key), [key], order)
 
 
 def ratio_guard(df: DataFrame, key: str, count: str, ratio: float, name: str = "final_key", own: str = "form") -> DataFrame:

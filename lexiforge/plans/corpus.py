@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import windows as X
-from .base import Book
+from .base import Book, stored
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
@@ -53,7 +53,7 @@ scored AS (SELECT target, collocate, n_pair, n_target, n_collocate, n_rows,
 
 def _pmi(t):
     words = _words(t)
-    pairs = A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS)
+    pairs = stored(A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS), "pairs")  # counted twice
     rows = words.select("doc_id", F.explode(F.array_intersect(F.array(*map(F.lit, TARGETS)), "w")).alias("target"))
     return A.pmi(pairs, rows, "doc_id").select("target", "collocate", "n_pair", "n_target", "n_collocate", "n_rows", "pmi")
 
@@ -86,7 +86,7 @@ SELECT target, collocate, n_pair, n_all, log_dice FROM (SELECT *, row_number() O
 def log_dice(t):
     """The strongest collocates, with a cap per source, a stop list and a minimum."""
     words = t.documents.select("doc_id", "source", T.tokens(F.col("text")).alias("w"))
-    pairs = A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS).where((F.length("collocate") > 2) & ~F.col("collocate").isin(*STOP))
+    pairs = stored(A.cooccurrence(words, "doc_id", "w", TARGETS, RADIUS).where((F.length("collocate") > 2) & ~F.col("collocate").isin(*STOP)), "pairs")
     counts = pairs.groupBy("collocate").agg(F.count(F.lit(1)).alias("n_all"))
     works = words.select("doc_id", "source", F.explode(F.array_intersect(F.array(*map(F.lit, TARGETS)), "w")).alias("target"))
     return A.capped_collocates(pairs, counts, "n_all", works, "source", T.hash_order(F.col("doc_id")), WORK_CAP, LEAST, SHOWN)
@@ -122,7 +122,7 @@ def sentence_tokens(t):
 @BOOK.query("shingles", f"SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM ({_TOKENS}) WHERE len(w) >= 5)")
 def shingles(t):
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    return _words(t).where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    return _words(t).select("doc_id", F.explode_outer(F.when(F.size("w") >= 5, F.array_distinct(runs))).alias("run")).where("run is not null")
 
 
 @BOOK.query("shingle_reuse", f"""WITH run AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM ({_TOKENS}) WHERE len(w) >= 5)),
@@ -133,23 +133,17 @@ def shingle_reuse(t):
     return J.shingle_pairs(_words(t), "doc_id", "w", 5, 2, 29, 0.3).withColumn("share", F.round("share", 6))
 
 
-def _run(n: int):
-    return lambda i: F.array_join(F.slice("w", i, n), " ")
-
-
 @BOOK.query("ngram_anchor", f"""WITH g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS n FROM ({_TOKENS})) WHERE len(w) >= n)),
 v AS (SELECT n_name AS alias, 1 AS x FROM nation UNION ALL SELECT unnest(['the of', 'of the', 'and the', 'de la', 'in the']), 1),
 m AS (SELECT doc_id, gram, n, i FROM g JOIN (SELECT DISTINCT lower(alias) AS gram FROM v) USING (gram))
 SELECT doc_id, arg_min(gram, (-n, i)) AS anchor, min((-n, i))[1] * -1 AS words FROM m GROUP BY 1""")
 def ngram_anchor(t):
-    """The longest, then leftmost, alias of a vocabulary in each document."""
-    grams = None
-    for n in (1, 2, 3):
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run(n))
-        part = _words(t).where(F.size("w") >= n).select("doc_id", F.posexplode(runs).alias("i", "gram")).withColumn("n", F.lit(n))
-        grams = part if grams is None else grams.unionAll(part)
+    """The longest, then leftmost, alias of a vocabulary in each document: runs of one to three words in one pass, a small vocabulary."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(*(F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("gram")) for n in (1, 2, 3)))))
+    sized = _words(t).select("doc_id", F.size("w").alias("many"), F.explode_outer(F.when(F.size("w") > 0, grams)).alias("g"))
+    runs = sized.where("g.i + g.n <= many + 1").select("doc_id", "g.*")
     alias = t.nation.select(F.lower("n_name").alias("gram")).unionAll(t.spark.createDataFrame([("the of",), ("of the",), ("and the",), ("de la",), ("in the",)], "gram string")).distinct()
-    hits = grams.join(alias, "gram")
+    hits = runs.join(F.broadcast(alias), "gram")  # the nations, a fixed table, and a list
     best = hits.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "i", "gram")).alias("b"))
     return best.select("doc_id", F.col("b.gram").alias("anchor"), (-F.col("b.m")).alias("words"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import forms as W
+from ..functions import forms as M
 from ..functions import text as T
 from ..operators import cascade as C
 from ..operators import lexicon as L
@@ -156,8 +157,10 @@ def mined_by_scores(t):
 @BOOK.query("overlap_suppression")
 def overlap_suppression(t):
     """Greedy: a span is kept if it begins at or after the end of the last one kept."""
-    spans = t.events.groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct(F.pmod("event_id", F.lit(1000)).cast("int").alias("start"), (F.pmod("event_id", F.lit(1000)) + 60).cast("int").alias("end")))).alias("s"))
-    return spans.select("user_id", F.posexplode(G.suppress_overlaps(F.col("s"))).alias("ord", "k")).select("user_id", "ord", "k.start", "k.end")
+    start = F.pmod("event_id", F.lit(1000)).cast("int")
+    spans = t.events.select("user_id", start.alias("start"), (start + 60).alias("end")).distinct()
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("start")) - 1
+    return G.suppressed(spans, ["user_id"], "start", "end").select("user_id", place.alias("ord"), "start", "end")
 
 
 @BOOK.query("separated_pairs")
@@ -169,7 +172,7 @@ def separated_pairs(t):
 @BOOK.query("verb_forms")
 def verb_forms(t):
     words = t.documents.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct().where(F.endswith("word", F.lit("en")))
-    return words.select("word", F.explode(W.closed_paradigm(F.col("word"), WEAK, SWAPS)).alias("form", "name"))
+    return words.select("word", F.explode(M.closed_paradigm(F.col("word"), WEAK, SWAPS)).alias("form", "name"))
 
 
 @BOOK.query("cascade_run")
@@ -200,7 +203,7 @@ def batch_checks(t):
 @BOOK.query("stream_resume_dedupe", "SELECT DISTINCT event_id FROM events")
 def stream_resume_dedupe(t):
     path, where = f"{t.sf_dir.rstrip('/')}/events.parquet", folder(t.spark)
-    return R.drained(R.deduplicated(R.event_stream(t.spark, path), "event_id", "ts", "3650 days").select("event_id"), f"{where}/out", f"{where}/check")
+    return R.deduplicated_into(R.event_stream(t.spark, path).select("event_id"), "event_id", f"{where}/out", f"{where}/check").select("event_id")
 
 
 @BOOK.query("stream_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

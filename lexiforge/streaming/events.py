@@ -39,3 +39,22 @@ def drained(result: DataFrame, out: str, checkpoint: str, mode: str = "append")
 
         result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return result.sparkSession.read.parquet(out)
+
+
+def deduplicated_into(stream: DataFrame, key: str, out: str, checkpoint: str) -> DataFrame:
+    """Each key once for ever: every micro-batch adds the keys that no earlier one has written; no state grows in the stream.
+
+    A batch that is run again replaces what it wrote. Keys are not null.
+    """
+    schema = stream.schema
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates([key])
+        where = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            before = spark.read.option("basePath", out).parquet(out).where(F.col("batch") < number)
+            new = new.join(before.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("basePath", out).parquet(out)

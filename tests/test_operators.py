@@ -1,6 +1,5 @@
 """Semantics that are easy to get wrong, on small literal tables."""
 
-import json
 
 import pytest
 from pyspark.errors import PySparkException
@@ -149,8 +148,16 @@ def test_rendered_offsets():
 
 
 def test_greedy_overlaps(spark):
-    spans = F.from_json(F.lit(json.dumps([{"start": a, "end": b} for a, b in ((0, 10), (5, 20), (12, 14), (13, 30))])), "array<struct<start:int,end:int>>")
-    assert [(s.start, s.end) for s in one(spark, G.suppress_overlaps(spans))] == [(0, 10), (12, 14)]
+    r = __import__("random").Random(2)
+    rows = [(k, a, a + r.randint(1, 9), i) for i, (k, a) in enumerate((r.choice([None, "x", "y"]), r.randint(0, 4000)) for _ in range(3000))]
+    got = G.suppressed(spark.createDataFrame(rows, "k string, a int, b int, i int").repartition(5), ["k"], "a", "b", ["i"])
+    want, last = set(), {}
+    for k, a, b, i in sorted(rows, key=lambda x: (x[0] or "", x[1], x[2], x[3])):
+        if a >= last.get(k, -1):
+            last[k] = b
+            want.add((k, a, b, i))
+    assert {tuple(x) for x in got.collect()} == want
+    assert G.suppressed(spark.createDataFrame([], "k string, a int, b int"), ["k"], "a", "b").count() == 0
 
 
 def test_units_and_profile(spark):
