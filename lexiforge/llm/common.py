@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A key that holds more than one of so many rows is salted in joined_by_weight(): fewer keys than this can be.
 HEAVY, HEAVY_SALTS = 1000, 64
-#: What the open scopes have written, innermost last: functions that remove it.
-_scopes: list[list] = [[]]
+
+
+class _Scopes(threading.local):
+    """What the open scopes of a thread have written, innermost last: functions that remove it."""
+
+    def __init__(self):
+        self.open: list[list] = [[]]
+
+
+_scopes = _Scopes()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,25 +75,31 @@ def freed_shuffles(spark: SparkSession):
 def scope():
     """Tables written inside go at the end, but for those written with keep=True."""
     made: list = []
-    _scopes.append(made)
+    _scopes.open.append(made)
     try:
         yield
     finally:
-        _scopes[:] = [m for m in _scopes if m is not made]
+        _scopes.open[:] = [m for m in _scopes.open if m is not made]
         for remove in made:
             remove()
 
 
 def release() -> None:
-    """Removes all tables that operators have written so far: for use once their results are stored."""
-    for made in _scopes:
+    """Removes all tables that operators have written so far in this thread: for use once their results are stored."""
+    for made in _scopes.open:
         while made:
             made.pop()()
 
 
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # a session that has ended
+        release()
+
+
 def on_release(remove) -> None:
     """Calls remove when the innermost open scope ends, or at release()."""
-    _scopes[-1].append(remove)
+    _scopes.open[-1].append(remove)
 
 
 def written(df: DataFrame, name: str, keep: bool = False, level: int = 3, block: int = 128 << 20) -> DataFrame:
@@ -95,7 +111,7 @@ def written(df: DataFrame, name: str, keep: bool = False, level: int = 3, block:
     schema = df.schema
     out = spark.read.schema(schema).parquet(path)
     out._lexiforge_path = path
-    _scopes[-2 if keep and len(_scopes) > 1 else -1].append(lambda: drop_path(spark, path))
+    _scopes.open[-2 if keep and len(_scopes.open) > 1 else -1].append(lambda: drop_path(spark, path))
     return out
 
 

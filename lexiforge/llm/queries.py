@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .common import documents, embeddings
+from .common import documents, embeddings, scope
 from .exact_dedup import exact_dedup
 from .hamming_index import nearest
 from .language_id import identify_languages
@@ -199,6 +199,10 @@ WINDOW g AS (PARTITION BY content)
 """
 
 
+#: A block in which queries keep their tables; at its end they go.
+tables_kept = scope
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,

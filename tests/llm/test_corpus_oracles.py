@@ -13,4 +13,4 @@ def test_equals_oracle(name, spark, small):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n != "pipeline")
-    assert numbers == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert numbers == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
