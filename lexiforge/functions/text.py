@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,3 +216,55 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def hash_order(key: Column) -> Column:
     """A reproducible order that other engines can repeat: the first 8 hex digits of md5."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def listed_forms(raw: Column, separators: str = ",;|") -> Column:
+    """Distinct normal forms of a delimited list in its order, each followed by itself without blanks."""
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), "[" + "".join("\\" + c for c in separators) + "]"), normal)
+    both = F.flatten(F.transform(parts, lambda p: F.array(p, F.replace(p, F.lit(" "), F.lit("")))))
+    return F.array_distinct(F.filter(both, lambda p: p != ""))
+
+
+def gloss_class(gloss: Column, heads: Mapping[str, str], rules: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The class of a gloss: by its first word, else by the first rule of which a keyword stands anywhere in it; null where none fits."""
+    text = normal(gloss)
+    found = ladder([(reduce(Column.__or__, (text.contains(k) for k in keywords)), F.lit(name)) for keywords, name in rules]) if rules else F.lit(None).cast("string")
+    head = F.try_element_at(F.split(text, " "), F.lit(1))
+    return F.when(text != "", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in heads.items() for x in pair)), head) if heads else F.lit(None), found))
+
+
+def gloss_pairs(text: Column) -> Column:
+    """Array of (form, gloss) for every word that is followed by a gloss in square brackets."""
+    pattern = F.lit(r"([\p{L}'-]+)\s*\[([^\[\]]+)\]")
+    groups = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("form"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("gloss"))
+    return F.transform(groups, lambda g: F.struct(g["form"].alias("form"), F.trim(g["gloss"]).alias("gloss")))
+
+
+@dataclass(frozen=True)
+class GenreRules:
+    """Rules of a catalogue's genre, in this order: schemes whose values name one; a scheme of codes, of which the first in
+    `codes` counts; a scheme searched for patterns; the title."""
+
+    schemes: Mapping[str, Mapping[str, str]]
+    code_scheme: str
+    codes: Sequence[tuple[str, str]]
+    subject_scheme: str
+    subjects: Sequence[tuple[str, str]]
+    titles: Sequence[tuple[str, str]]
+
+
+def genre(regime: Column, claims: Column, title: Column, rules: GenreRules, unknown: str = "UNKNOWN") -> Column:
+    """(genre, source): the regime unless unknown, then what the rules find in the claims (array of scheme, value) and the title."""
+    hit = lambda name, source: F.struct(name.alias("genre"), F.lit(source).alias("source"))
+    found = lambda name, source: F.when(name.isNotNull(), hit(name, source))
+    of = lambda scheme: F.transform(F.filter(claims, lambda c: c["scheme"] == scheme), lambda c: c["value"])
+    steps = [F.when(F.coalesce(regime, F.lit(unknown)) != unknown, hit(regime, "regime"))]
+    for scheme, names in rules.schemes.items():
+        named = partial(F.try_element_at, F.create_map(*(F.lit(x) for pair in names.items() for x in pair)))
+        steps.append(found(F.try_element_at(F.array_compact(F.transform(of(scheme), lambda v: named(v))), F.lit(1)), scheme))  # noqa: B023 - called at once
+    codes = of(rules.code_scheme)
+    steps.append(found(ladder([(F.array_contains(codes, code), F.lit(name)) for code, name in rules.codes]) if rules.codes else F.lit(None).cast("string"), rules.code_scheme))
+    joined = F.array_join(of(rules.subject_scheme), " | ")
+    steps.append(found(ladder([(joined.rlike(p), F.lit(name)) for name, p in rules.subjects]) if rules.subjects else F.lit(None).cast("string"), rules.subject_scheme))
+    steps.append(found(ladder([(title.rlike(p), F.lit(name)) for name, p in rules.titles]) if rules.titles else F.lit(None).cast("string"), "title"))
+    return F.coalesce(*steps, hit(F.lit(unknown), "none"))

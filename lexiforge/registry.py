@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Query modules of this library, one for each operator family.
-MODULES: tuple[str, ...] = ("corpus", "relational", "evaluation", "spans", "lexicon", "matching", "rules")
+MODULES: tuple[str, ...] = ("corpus", "relational", "evaluation", "spans", "lexicon", "matching", "rules", "review")
 
 
 def _collect(attribute: str) -> dict:

@@ -565,3 +565,38 @@ def test_candidates_with_a_penalty(spark):
     c = spark.createDataFrame([(1, 0, "f", [1.0, 0.0], False), (1, 1, "f", [0.1, 1.0], True), (1, 2, "f", [0.2, 1.0], False), (2, 0, "f", [0.0, 1.0], False), (2, 1, "f", [0.0, 1.0], False), (3, 0, "g", [1.0, 1.0], False)], "row int, candidate int, field string, v array<double>, part boolean")
     got = {r["row"]: (r["candidate"], r["exemplar"]) for r in V.best_candidates(c, ex, lambda df, n: df.cache(), 0.05).collect()}
     assert got == {1: (2, 2), 2: (0, 1)}
+
+
+def test_listed_forms_glosses_and_genres(spark):
+    assert one(spark, T.listed_forms(F.lit("Af snyden, afsnijden;AF snyden|  | x"))) == ["af snyden", "afsnyden", "afsnijden", "x"]
+    assert one(spark, T.listed_forms(F.lit(None).cast("string"))) == []
+    assert [tuple(p) for p in one(spark, T.gloss_pairs(F.lit("neemt sop [broth] en 't zap [ juice ] [no]")))] == [("sop", "broth"), ("zap", "juice")]
+    by = lambda g: one(spark, T.gloss_class(F.lit(g), {"koken": "heat"}, [(("zout", "azijn"), "keep"), (("ei",), "food")]))
+    assert [by(g) for g in ("Koken in zout", "in Azijn leggen", "eieren", "niets", "", None)] == ["heat", "keep", "food", None, None, None]
+
+    rules = T.GenreRules({"ggc": {"poem": "VERSE"}}, "code", (("02", "LAW"), ("01", "BOOK")), "subject", (("FOOD", "(?i)cook"),), (("PERIODICAL", "(?i)courant"),))
+    claims = lambda *pairs: F.array(*(F.struct(F.lit(s).alias("scheme"), F.lit(v).alias("value")) for s, v in pairs)) if pairs else F.array().cast("array<struct<scheme:string,value:string>>")
+    find = lambda regime, title, *pairs: tuple(one(spark, T.genre(F.lit(regime), claims(*pairs), F.lit(title), rules)))
+    assert find("RECIPE", "Courant", ("ggc", "poem")) == ("RECIPE", "regime")
+    assert find("UNKNOWN", None, ("ggc", "odd"), ("ggc", "poem"), ("code", "01")) == ("VERSE", "ggc")
+    assert find(None, None, ("code", "01"), ("code", "02")) == ("LAW", "code")
+    assert find(None, "De Courant", ("subject", "x"), ("subject", "Cookery")) == ("FOOD", "subject")
+    assert find(None, "De Courant") == ("PERIODICAL", "title") and find(None, None) == ("UNKNOWN", "none")
+
+
+def test_review_rows_targets_and_baselines(spark):
+    from lexiforge.operators import review as O
+
+    df = spark.createDataFrame([(1, "a", "Salt fish", 5), (2, "b", None, 9), (3, "a", "fish", None)], "id int, k string, t string, n int")
+    ids = lambda d: sorted(r["id"] for r in d.collect())
+    assert ids(O.review_rows(df)) == [1, 2, 3] and ids(O.review_rows(df, equal={"k": "a"}, contains={"t": "FISH"}, least={"n": 5}, among={"id": None})) == [1]
+    assert ids(O.review_rows(df, blank={"t": True})) == [2] and ids(O.review_rows(df, among={"id": [2, 3]}, blank={"n": False})) == [2]
+    assert ids(O.accepted(df, spark.createDataFrame([(1, " YES"), (1, "no"), (2, "no"), (3, None)], "id int, v string"), "id", "v")) == [1]
+
+    tokens = spark.createDataFrame([(1, 0, ["formal"]), (1, 1, ["food"]), (1, 2, ["cook"]), (2, 0, ["formal", "store"]), (2, 1, ["cook"]), (3, 0, ["store"]), (3, 1, ["cook"]), (4, 0, ["food"]), (5, 0, [])], "s int, p int, tags array<string>")
+    got = {(r["s"], r["p"]): (r["tier"], r["frame"]) for r in O.sentence_targets(tokens, ["s"], "p", "tags", (("food",), ("formal",), ("cook", "store")), ("cook", "store")).collect()}
+    assert got == {(1, 1): (0, "cook"), (2, 0): (1, "store"), (3, 0): (2, "store"), (3, 1): (2, "cook"), (4, 0): (0, "NONE")}
+
+    rows = spark.createDataFrame([("x", "x", ["x", "y"]), ("y", "y", ["x"]), ("x", "y", None), (None, "x", ["x"])], "g string, p string, c array<string>")
+    r = O.against_baselines(rows, "g", "p", "c").first()
+    assert (r["n"], r["accuracy"], r["reachable"], r["first_candidate"], r["chance"], r["majority"], r["lead"]) == pytest.approx((3, 2 / 3, 1 / 3, 1 / 3, 1 / 6, 2 / 3, 0), abs=1e-6)
