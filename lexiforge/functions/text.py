@@ -197,8 +197,14 @@ def soft_match(a: Column, b: Column) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of the multiset overlap of two token arrays; 1 for two empty ones."""
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
+    """F1 of the multiset overlap of two token arrays; 1 for two empty ones. One fold over the sorted tokens of both."""
+    side = lambda tokens, n: F.transform(tokens, lambda x: F.struct(x.alias("t"), F.lit(n).alias("s")))
+    both = F.array_sort(F.concat(side(a, 0), side(b, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("n"))
+    own = lambda e, n: (e["s"] == n).cast("int")
+    more = lambda acc, e: F.struct(e["t"].alias("t"), (acc["x"] + own(e, 0)).alias("x"), (acc["y"] + own(e, 1)).alias("y"), acc["n"].alias("n"))
+    fresh = lambda acc, e: F.struct(e["t"].alias("t"), own(e, 0).alias("x"), own(e, 1).alias("y"), (acc["n"] + F.least(acc["x"], acc["y"])).alias("n"))
+    shared = F.aggregate(both, start, lambda acc, e: F.when(acc["t"].eqNullSafe(e["t"]), more(acc, e)).otherwise(fresh(acc, e)), lambda acc: acc["n"] + F.least(acc["x"], acc["y"]))
     total = F.size(a) + F.size(b)
     return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
 

@@ -82,13 +82,44 @@ def retrieve(scored: DataFrame, id_col: str, none_label, margin: float, k: int)
 
 
 def collected(df: DataFrame, id_col: str, vector: str, most: int = 10_000) -> dict:
-    """A small set of named vectors on the driver; more than `most` are refused."""
+    """A small set of named vectors on the driver; more than `most` are refused: scores_against() takes any number."""
     rows = df.select(id_col, vector).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} vectors")
     return {r[0]: list(r[1]) for r in sorted(rows, key=lambda r: r[0])}
 
 
+def scores_against(df: DataFrame, id_col: str, vector: str, labels: DataFrame, label: str, centre: str, name: str = "label", top: int | None = None, digits: int = 9, block: int = 1024) -> DataFrame:
+    """As similarities(), against a table of named vectors of any size: rows meet blocks of labels in products.
+
+    With top, a row's best that many labels are merged over the blocks (equal rounded scores by label).
+    """
+    kinds = df.schema[id_col].dataType.simpleString(), labels.schema[label].dataType.simpleString()
+    count = labels.count()
+    blocks = max(1, -(-count // block))
+    parts = max(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(F.col(id_col).alias("_id"), F.lit(None).cast(kinds[1]).alias("_label"), F.col(vector).cast("array<double>").alias("_v"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    named = labels.select(F.lit(None).cast(kinds[0]).alias("_id"), F.col(label).alias("_label"), F.col(centre).cast("array<double>").alias("_v"))
+    named = named.withColumn("_block", F.pmod(F.xxhash64("_label"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def score(cell: pa.Table) -> pa.Table:
+        asks = cell.column("_label").is_null()
+        q, o = cell.filter(asks), cell.filter(pa.compute.invert(asks)).sort_by("_label")
+        if not q.num_rows or not o.num_rows:
+            return pa.table({id_col: q.column("_id").slice(0, 0), name: o.column("_label").slice(0, 0), "score": pa.array([], pa.float64())})
+        side = lambda t: _unit_rows(t.combine_chunks().to_batches()[0], "_v")
+        sims = side(q) @ side(o).T
+        which = np.broadcast_to(np.arange(o.num_rows), sims.shape) if top is None else np.argsort(-np.round(sims, digits), axis=1, kind="stable")[:, :top]
+        rows = np.repeat(np.arange(q.num_rows), which.shape[1])
+        return pa.table({id_col: q.column("_id").take(pa.array(rows)), name: o.column("_label").take(pa.array(which.ravel())), "score": np.take_along_axis(sims, which, 1).ravel()})
+
+    found = rows.select("_part", "_block", "_id", "_label", "_v").unionAll(named.select("_part", "_block", "_id", "_label", "_v")).groupBy("_part", "_block").applyInArrow(score, f"{id_col} {kinds[0]}, {name} {kinds[1]}, score double")
+    if top is None or blocks == 1:
+        return found
+    return top_k(found, [id_col], [F.desc(F.round("score", digits)), F.asc(name)], top, "_place").drop("_place")
+
+
 def most_similar(queries: DataFrame, others: DataFrame, id_col: str, vector: str, k: int, digits: int, field: str | None = None, block: int = 1024) -> DataFrame:
     """query, id_col, score, rank: for every query its k most similar others with another id (and the same field).
 

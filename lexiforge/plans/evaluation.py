@@ -398,8 +398,8 @@ def loo_nearest(t):
 s AS (SELECT vec_id, c.label, round(list_dot_product(u.v, c.v) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM u, c), g AS (SELECT a.vec_id, a.label, a.score - n.score AS gap FROM s a JOIN s n ON a.vec_id = n.vec_id AND n.label = 0 WHERE a.label <> 0),
 m AS (SELECT *, gap >= 0.2 AS passed, count(*) FILTER (WHERE gap >= 0.2) OVER (PARTITION BY label) AS k FROM g) SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY passed DESC, round(gap, 6) DESC, vec_id) AS r FROM m WHERE passed OR k < 2.0) WHERE r <= 8""")
 def retrieve_margin(t):
-    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres).withColumn("score", F.round("score", 6))
+    centres = V.centroids(t.embeddings, "label", "embedding")
+    scored = V.scores_against(t.embeddings, "vec_id", "embedding", centres, "label", "centroid").withColumn("score", F.round("score", 6))
     return V.retrieve(scored, "vec_id", 0, 0.2, 8).select(F.col("label").cast("int").alias("label"), "vec_id")
 
 
@@ -415,8 +415,8 @@ SELECT vec_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY label
 @BOOK.query("hybrid_candidates", _HYBRID)
 def hybrid_candidates(t):
     """With the class centroids as labels: anchored rows first, then semantic ones, then those deferred by the margin."""
-    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres, top=1, digits=5).withColumn("gap", F.round("score", 5))
+    centres = V.centroids(t.embeddings, "label", "embedding")
+    scored = V.scores_against(t.embeddings, "vec_id", "embedding", centres, "label", "centroid", top=1, digits=5).withColumn("gap", F.round("score", 5))
     return V.hybrid(scored, "vec_id", t.embeddings.where("vec_id % 3 = 0"), 0.1, 15).select("vec_id", "label", "tier")
 
 

@@ -102,8 +102,8 @@ SELECT vec_id, label, score, fallback, CAST(r AS INTEGER) AS rank FROM (SELECT *
 
 
 def _reranked(t, margin: float):
-    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
-    scored = V.similarities(t.embeddings, "vec_id", "embedding", centres).withColumn("score", F.round("score", 6))
+    centres = V.centroids(t.embeddings, "label", "embedding")
+    scored = V.scores_against(t.embeddings, "vec_id", "embedding", centres, "label", "centroid").withColumn("score", F.round("score", 6))
     return V.reranked(scored, "vec_id", 0, margin, 20).select("vec_id", F.col("label").cast("int").alias("label"), "score", "fallback", "rank")
 
 

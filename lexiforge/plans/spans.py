@@ -130,10 +130,10 @@ def kappa_by_class(t):
 @BOOK.query("hybrid_deferred")
 def hybrid_deferred(t):
     """Anchored candidates under shares per label, filled up by those put off, beside unanchored ones."""
-    centres = V.collected(V.centroids(t.embeddings, "label", "embedding"), "label", "centroid")
-    best = V.similarities(t.embeddings, "vec_id", "embedding", centres, top=1, digits=6).withColumn("score", F.round("score", 6))
+    centres = V.centroids(t.embeddings, "label", "embedding")
+    best = V.scores_against(t.embeddings, "vec_id", "embedding", centres, "label", "centroid", top=1, digits=6).withColumn("score", F.round("score", 6))
     ranked = best.withColumn("key", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 101))
-    anchored, others = V.hybrid_limited(ranked, "vec_id", "key", 60, len(centres))
+    anchored, others = V.hybrid_limited(ranked, "vec_id", "key", 60, centres.count())
     return anchored.select("vec_id", "label", "turn").unionByName(others.select("vec_id", "label", F.lit(0).alias("turn")))
 
 
@@ -235,8 +235,8 @@ def word_vectors(t):
     from pyspark.ml.functions import vector_to_array
 
     sentences = t.documents.select(T.tokens(F.col("text")).alias("words"))
-    parts = min(8, t.spark.sparkContext.defaultParallelism)  # shards that each learn and are then averaged
-    model = Word2Vec(vectorSize=16, minCount=5, maxIter=parts, numPartitions=parts, seed=7, inputCol="words", outputCol="v").fit(sentences)
+    parts = max(1, -(-sentences.count() // 5000))  # shards that each learn and are then averaged: by the size of the corpus
+    model = Word2Vec(vectorSize=16, minCount=5, maxIter=max(8, parts), numPartitions=parts, seed=7, inputCol="words", outputCol="v").fit(sentences)
     vectors = model.getVectors().select(F.col("word"), vector_to_array("vector").alias("v"))
     known = t.spark.createDataFrame([("the", 0), ("und", 1), ("les", 2), ("que", 3)], "word string, n int").join(vectors, "word")
     near = V.similarities(vectors, "word", "v", {r["word"]: list(r["v"]) for r in known.collect()}, "target").where("word <> target")  # the targets are a parameter

@@ -600,3 +600,30 @@ def test_review_rows_targets_and_baselines(spark):
     rows = spark.createDataFrame([("x", "x", ["x", "y"]), ("y", "y", ["x"]), ("x", "y", None), (None, "x", ["x"])], "g string, p string, c array<string>")
     r = O.against_baselines(rows, "g", "p", "c").first()
     assert (r["n"], r["accuracy"], r["reachable"], r["first_candidate"], r["chance"], r["majority"], r["lead"]) == pytest.approx((3, 2 / 3, 1 / 3, 1 / 3, 1 / 6, 2 / 3, 0), abs=1e-6)
+
+
+def test_scores_against_blocks_of_labels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.integers(-3, 4, 5)]) for i in range(70)]
+    named = {f"l{i:02}": [float(x) for x in r.integers(-3, 4, 5)] for i in range(23)}
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    labels = spark.createDataFrame(list(named.items()), "name string, c array<double>")
+    for top in (None, 3):
+        got = {(x["id"], x["label"]): x["score"] for x in V.scores_against(df, "id", "v", labels, "name", "c", top=top, digits=6, block=4).collect()}
+        want = {(x["id"], x["label"]): x["score"] for x in V.similarities(df, "id", "v", named, top=top, digits=6).collect()}
+        assert got.keys() == want.keys() and len(want) == 70 * (top or 23) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_token_f1_of_long_texts(spark):
+    import time
+    from collections import Counter
+
+    r = __import__("random").Random(1)
+    a, b = ([f"w{r.randint(0, 3000)}" for _ in range(n)] for n in (20_000, 15_000))
+    df = spark.createDataFrame([(a, b), ([], []), (["x"], []), (["x", "x", None], ["x", None, None])], "a array<string>, b array<string>")
+    began = time.time()
+    got = [x[0] for x in df.select(T.token_f1(F.col("a"), F.col("b"))).collect()]
+    shared = sum((Counter(a) & Counter(b)).values())
+    assert got == pytest.approx([2 * shared / 35_000, 1.0, 0.0, 2 * 2 / 6]) and time.time() - began < 30
