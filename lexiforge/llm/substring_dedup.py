@@ -152,7 +152,13 @@ def run_digests(rows: DataFrame, size: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of passages under one folder, each sorted by anchor hash in hash buckets."""
+    """Runs of passages under one folder, each sorted by anchor hash in hash buckets.
+
+    * batches come in the order of their ids: a smaller id is earlier, and no batch has ids below those of one before
+    * rows without an id don't belong in a batch (substring_dedup() leaves them out); null and empty texts have no passage
+    * rows that repeat an id count as one document: at equal starts none is earlier than the other
+    * an empty batch adds an empty run; further columns of a batch are ignored
+    """
 
     def __init__(self, spark: SparkSession, size: int = 20, buckets: int | None = None, max_runs: int = MAX_RUNS):
         self.spark, self.size, self.max_runs = spark, size, max_runs

@@ -174,6 +174,10 @@ def decode_audio(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
     media_sha256, levels, pcm. pcm is the WAV file of the signal resampled by
     up / down. levels gives root mean square, peak and sign changes of the bytes
     read as mu-law, as A-law and as ADPCM blocks.
+
+    * media is never null and holds at least one unit: store_audio() pads null and empty texts, and a very long one is decoded whole
+    * a null id is carried through; repeated rows get equal results
+    * an empty table gives an empty result; further columns of media are ignored
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "levels", "pcm"]
     kinds = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, levels string, pcm binary"
@@ -203,7 +207,7 @@ def decode_audio(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
 
 
 def store_pcm(media: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
-    """decode_audio() as a table in the shared folder."""
+    """decode_audio() as a table in the shared folder: all its cases hold, and an empty table is written as such."""
     return written(decode_audio(media, up, down), "telephony-pcm", level=6, block=32 << 20)
 
 
@@ -212,6 +216,10 @@ def read_pcm(stored: DataFrame) -> DataFrame:
 
     feature adds to the levels the rate, bytes, root mean square, peak, sign
     changes and crc32 of the stored samples.
+
+    * stored comes from store_pcm(): pcm and levels are never null
+    * a null id is carried through; repeated rows get equal results
+    * an empty table gives an empty result; further columns of stored come along unless they clash with `feature`
     """
     names = [c for c in stored.columns if c not in ("levels", "pcm")] + ["feature"]
     kinds = ", ".join(f"{c} {stored.schema[c].dataType.simpleString()}" for c in names[:-1])
