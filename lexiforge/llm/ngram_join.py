@@ -38,11 +38,11 @@ BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 512
 #: N-gram columns multiplied at once; columns that fill more than one of so many cells are multiplied whole.
 BLOCK_COLUMNS, DENSE = 4096, 32
 #: Documents of a block where counts are compared, and rows of a pack of small groups.
-SKETCH_DOCS, SKETCH_ROWS = 512, 3_000
+SKETCH_DOCS, SKETCH_ROWS = 1024, 3_000
 #: Nodes whose texts are wanted that are broadcast at most (40 bytes each), so that no other text moves; beyond, texts are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: Groups of more documents than this meet pivots first; turns in which they do at most.
-PIVOT_DOCS, PIVOTS = 64, 3
+#: Groups of more documents than this meet pivots first; turns in which they do at most, and members of a group that may stay apart without a further one.
+PIVOT_DOCS, PIVOTS, APART_DOCS = 64, 3, 512
 #: Pairs listed at once, and bytes of counts compared at once.
 PAIRS, COUNT_BYTES = 100_000, 2 << 20
 #: Bytes of text hashed at once.
@@ -296,14 +296,16 @@ def split(members: DataFrame, most_docs: int, most_weight: int | None = None) ->
     the others into blocks of their own. Each pair of blocks is a task unless
     both are of the main label, with the first block on side 0 and the second on
     side 1 (2 where they are one): a group whose others fill one block takes
-    work in proportion to its members.
+    work in proportion to its members. A group that fits one block is one task.
     """
     of_main = F.col("label") == F.col("main")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(c, F.col("weight")).otherwise(0)) / (most_weight or 1 << 60), F.sum(c.cast("int")) / most_docs)))
-    counts = members.groupBy("group").agg(blocks(of_main).alias("first"), blocks(~of_main).alias("second"))
-    hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    own = F.when(of_main, hashed("first")).otherwise(F.col("first") + hashed("second"))
-    other = F.explode(F.sequence(F.when(of_main, F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("second") - 1))
+    whole = (F.sum("weight") <= (most_weight or 1 << 60)) & (F.count(F.lit(1)) <= most_docs)
+    counts = members.groupBy("group").agg(blocks(of_main).alias("first"), blocks(~of_main).alias("second"), whole.alias("whole"))
+    hashed, none = lambda n: F.pmod(F.xxhash64("node"), F.col(n)), F.lit(0).cast("long")
+    own = F.when(F.col("whole"), none).when(of_main, hashed("first")).otherwise(F.col("first") + hashed("second"))
+    low = F.when(of_main & ~F.col("whole"), F.col("first")).otherwise(none)
+    other = F.explode(F.sequence(low, F.when(F.col("whole"), none).otherwise(F.col("first") + F.col("second") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     placed = members.join(counts, "group").withColumn("own", own).withColumn("other", other)
     return placed.select(*TASK, F.col("group").alias("pack"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
@@ -454,7 +456,7 @@ class _Join:
         return need.join(self.rows.join(keys, same).select("node", "seq", "text"), "node")
 
     def thinned(self, members: DataFrame, most_docs: int) -> DataFrame:
-        """Rows (group, node, weight, label, main) of large groups (group, node, weight) that are not one component yet.
+        """Rows (group, node, n, weight, label, main, pivot) of large groups (group, node, n, weight) that are not one component yet.
 
         The first turn draws as a group's pivot the node that is in most groups,
         which lost the fewest of its shingles to changes, and later turns that of
@@ -465,13 +467,12 @@ class _Join:
         they link. Further turns go over groups of which more than a block
         stays apart. A group's main label is that of its last pivot.
         """
-        sizes = self.nodes.select("node", "n")
-        rows = members.join(sizes, "node").withColumn("label", F.col("node")).withColumn("often", F.count(F.lit(1)).over(W.partitionBy("node")))
+        rows = written(members.withColumn("label", F.col("node")).withColumn("often", F.count(F.lit(1)).over(W.partitionBy("node"))), "jaccard-open")
         for turn in range(PIVOTS):
             drawn = rows.groupBy("group").agg(F.max_by(F.struct("label", "node", "n"), F.struct(F.lit(0) if turn else F.col("often"), F.xxhash64("node", F.lit(turn)))).alias("p"))
             drawn = written(drawn.select("group", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"), F.col("p.n").alias("size")), "jaccard-pivots")
             fits = F.least("n", "size") * 100 >= F.greatest("n", "size") * self.percent
-            meet = rows.join(drawn, "group").where(fits).where("label <> own").groupBy("node", "pivot", "size").agg(F.count(F.lit(1)).alias("shared"))
+            meet = rows.drop("pivot").join(drawn, "group").where(fits).where("label <> own").groupBy("node", "pivot", "size").agg(F.count(F.lit(1)).alias("shared"))
             best = meet.groupBy("node").agg(F.max_by(F.struct("pivot", "size"), F.struct("shared", "pivot")).alias("p"))
             pairs = written(best.select(F.col("p.pivot").alias("a"), F.col("node").alias("b"), F.col("p.size").alias("n")), "jaccard-pairs")
             tasks = self.with_texts(starred(pairs, BLOCK_DOCS, BLOCK_SHINGLES))
@@ -481,24 +482,46 @@ class _Join:
             parents = links.select(F.col("a").alias("up"), F.col("b").alias("node"))
             further = written(parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top")), "jaccard-tops")
             self.tops.append(further)
-            mains = drawn.select("group", F.col("pivot").alias("node"), "own").join(further, "node", "left").select("group", F.coalesce("top", "own").alias("main"))
-            rows = rows.join(further, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top", "main").join(mains, "group")
-            rows = written(rows, "jaccard-labelled")
-            state = rows.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("others")).where("low <> high")
+            mains = drawn.select("group", F.col("pivot").alias("node"), "own").join(further, "node", "left").select("group", F.col("node").alias("pivot"), F.coalesce("top", "own").alias("main"))
+            labelled = rows.drop("main", "pivot").join(further, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top").join(mains, "group")
+            labelled = written(labelled, "jaccard-labelled")
+            state = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("others")).where("low <> high")
             state = written(state.select("group", "others"), "jaccard-apart")
-            rows = rows.join(state.select("group"), "group", "left_semi")
+            drop_written(rows)
+            rows = written(labelled.join(state.select("group"), "group", "left_semi"), "jaccard-open")
+            drop_written(labelled)
             if (state.agg(F.max("others")).first()[0] or 0) <= most_docs:
                 break
         return rows
 
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """Rows (group, node, label, main, weight) of open groups, in which no two nodes meet more often than they need.
+
+        Groups that share members are joined to one where all pairs of its nodes,
+        each met once, are fewer than the pairs within the groups: so near copies
+        that share hundreds of buckets and stay apart are compared once. A joined
+        group's main label is the one that most of its nodes have.
+        """
+        found = written(components(rows.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "jaccard-joined")
+        placed = written(rows.select("group", "node", "label", "main").join(found, "node"), "jaccard-placed")
+        apart = placed.groupBy("component", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("component").agg(F.sum(F.col("c") * F.col("c")).alias("within"))
+        whole = found.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+        joined = written(apart.join(whole, "component").where("c * c <= within").select("component"), "jaccard-whole")
+        few = placed.join(joined, "component", "left_semi").select(F.col("component").alias("group"), "node", "label").distinct()
+        many = few.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
+        mains = many.groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        one = F.lit(1).cast("long").alias("weight")
+        rest = placed.join(joined, "component", "left_anti").select("group", "node", "label", "main", one)
+        return few.join(mains, "group").select("group", "node", "label", "main", one).unionAll(rest)
+
     def compare(self, meets: DataFrame) -> DataFrame:
         """Clusters (node, group) of what can link by counts; meets: (group, node, many)."""
         small = meets.where(F.col("many") <= PIVOT_DOCS).withColumn("label", F.col("node"))
-        large = meets.where(F.col("many") > PIVOT_DOCS).select("group", "node", F.lit(1).cast("long").alias("weight"))
+        large = meets.where(F.col("many") > PIVOT_DOCS).select("group", "node", "n", F.lit(1).cast("long").alias("weight"))
         many = meets.agg(F.count_if(F.col("many") <= PIVOT_DOCS), F.count_if(F.col("many") > PIVOT_DOCS)).first()
         tasks = packed(small, many[0] // SKETCH_ROWS + 1)
         if many[1]:
-            tasks = tasks.unionAll(split(self.thinned(large, SKETCH_DOCS), SKETCH_DOCS))
+            tasks = tasks.unionAll(split(self.merged(self.thinned(large, APART_DOCS)), SKETCH_DOCS))
         near = tasks.join(self.counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)
         return written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
 
@@ -518,7 +541,7 @@ class _Join:
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members of large clusters with the labels that their pivots gave them, or where there were none, thinned now."""
         if not self.tops:
-            return self.thinned(written(members, "jaccard-large"), BLOCK_DOCS)
+            return self.thinned(members.withColumn("n", F.col("weight")), BLOCK_DOCS)
         rows = members.withColumn("label", F.col("node"))
         for tops in self.tops:
             rows = rows.join(tops, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
@@ -556,8 +579,11 @@ def _components_of(docs: DataFrame, size: int, percent: int, id_col: str, text_c
     nodes = written(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
     drop_written(signed)
 
-    buckets = nodes.select("node", F.explode("sigs").alias("group"))
-    shared = written(buckets.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "jaccard-shared")
+    buckets = nodes.select("node", "n", F.explode("sigs").alias("group"))
+    # Groups of the same nodes (by number and 128 bits of their hashes) are one group.
+    alike = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    sized = buckets.groupBy("group").agg(F.count(F.lit(1)).alias("many"), *alike).where("many > 1")
+    shared = written(sized.groupBy("many", "x", "y").agg(F.min("group").alias("group")).select("group", "many"), "jaccard-shared")
     meets = written(buckets.join(shared, "group"), "jaccard-meets")
     join = _Join(rows, nodes, size, percent)
     join.multiply(join.compare(meets))
