@@ -187,7 +187,7 @@ def boundary_score(t):
     """Boundaries that have a partner within a tolerance."""
     from ..operators.joins import band_join
 
-    at = F.unix_timestamp("ts")
+    at = T.whole_seconds(F.col("ts"))
     g = t.events.where("event_type = 'signup'").select("user_id", at.alias("a"))
     q = t.events.where("event_type = 'purchase'").select("user_id", at.alias("b"))
     h = band_join(g, q, ["user_id"], "a", "b", 43200)

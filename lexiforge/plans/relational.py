@@ -297,7 +297,7 @@ _SEC = "CAST(epoch(ts) AS BIGINT)"
 
 @BOOK.query("interval_contains", f"WITH s AS (SELECT user_id, event_id AS span_id, {_SEC} AS a, {_SEC} + 86400 AS b FROM events WHERE event_type = 'signup') SELECT e.event_id, s.span_id FROM events e JOIN s ON e.user_id = s.user_id AND {_SEC} >= a AND {_SEC} < b WHERE e.event_type = 'click'")
 def interval_contains(t):
-    at = F.unix_timestamp("ts")
+    at = T.whole_seconds(F.col("ts"))
     spans = t.events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), at.alias("a"), (at + 86400).alias("b"))
     points = t.events.where("event_type = 'click'").select("user_id", "event_id", at.alias("at"))
     return J.interval_join(points, spans, ["user_id"], F.col("at"), "a", "b", 86400).select("event_id", "span_id")
@@ -305,7 +305,7 @@ def interval_contains(t):
 
 @BOOK.query("band_pairs", f"SELECT a.event_id AS a_id, b.event_id AS b_id FROM (SELECT *, {_SEC} AS s FROM events WHERE event_type = 'purchase') a JOIN (SELECT *, {_SEC} AS s FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND abs(a.s - b.s) <= 43200")
 def band_pairs(t):
-    at = F.unix_timestamp("ts")
+    at = T.whole_seconds(F.col("ts"))
     a = t.events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a_id"), at.alias("a"))
     b = t.events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("b_id"), at.alias("b"))
     return J.band_join(a, b, ["user_id"], "a", "b", 43200).select("a_id", "b_id")
@@ -314,7 +314,7 @@ def band_pairs(t):
 @BOOK.query("neighbour_vote", f"""WITH p AS (SELECT a.event_id, b.event_type FROM (SELECT *, {_SEC} AS s FROM events WHERE event_type = 'purchase') a JOIN (SELECT *, {_SEC} AS s FROM events WHERE event_type <> 'purchase') b ON a.user_id = b.user_id AND abs(a.s - b.s) <= 43200),
 c AS (SELECT event_id, event_type, count(*) AS votes FROM p GROUP BY ALL) SELECT event_id, event_type AS top, votes, n, round(votes / n, 3) AS agreement FROM (SELECT *, CAST(sum(votes) OVER (PARTITION BY event_id) AS BIGINT) AS n, row_number() OVER (PARTITION BY event_id ORDER BY votes DESC, event_type) AS r FROM c) WHERE r = 1""")
 def neighbour_vote(t):
-    at = F.unix_timestamp("ts")
+    at = T.whole_seconds(F.col("ts"))
     a = t.events.where("event_type = 'purchase'").select("user_id", "event_id", at.alias("a"))
     b = t.events.where("event_type <> 'purchase'").select("user_id", "event_type", at.alias("b"))
     return A.majority(J.band_join(a, b, ["user_id"], "a", "b", 43200), ["event_id"], "event_type")
