@@ -7,15 +7,15 @@ run over Arrow batches; what follows them is DataFrame work.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .joins import band_join
 from .windows import first_of, top_k
@@ -62,6 +62,44 @@ def _listed(counts: list[int], **columns) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
+#: Rows that a walk over texts hands on at once.
+FLUSH = 10_000
+_TYPES = {"int": (IntegerType(), pa.int32()), "string": (StringType(), pa.string()), "boolean": (BooleanType(), pa.bool_()), "strings": (ArrayType(StringType()), pa.list_(pa.string()))}
+
+
+def walked(df: DataFrame, text: str, find, keep: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """keep, and a row for each tuple that find gives for a text, its columns by kinds (name to type).
+
+    Rows are handed on as they come, so a worker holds a few thousand of them,
+    and never those of all texts that it was given at once.
+    """
+    given = df.select(*keep, F.col(text).alias("_text"))
+    fields = [f for f in given.schema.fields if f.name != "_text"]
+    schema = StructType(fields + [StructField(name, _TYPES[kind][0]) for name, kind in kinds.items()])
+    names, types = schema.names, [_TYPES[kind][1] for kind in kinds.values()]
+
+    def walk(batches):
+        for batch in batches:
+            own, texts = batch.columns[:-1], batch.columns[-1]
+
+            def table(owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+                at = pa.array(owners, pa.int64())
+                return pa.RecordBatch.from_arrays([c.take(at) for c in own] + [pa.array(c, kind) for c, kind in zip(zip(*rows), types)], names=names)
+
+            owners, rows = [], []
+            for i in range(batch.num_rows):
+                for row in find(texts[i].as_py() or ""):
+                    owners.append(i)
+                    rows.append(row)
+                    if len(rows) == FLUSH:
+                        yield table(owners, rows)
+                        owners, rows = [], []
+            if rows:
+                yield table(owners, rows)
+
+    return given.mapInArrow(walk, schema)
+
+
 def _spans(find) -> Column:
     """Bounds, text and the text up to the next span, for each span of a finder."""
 
@@ -219,14 +257,12 @@ def markup_sections(df: DataFrame, html: str, keep: Sequence[str], marks: str =
     such an element in bold, and rubrics its stretches in italics, without
     `marks` at their ends, each where it differs from the one before.
     """
-    kind = "array<struct<start:int,tag:string,text:string,bold:string,italic:array<string>>>"
-
-    @F.pandas_udf(f"struct<size:int,marks:{kind}>")
-    def walk(pages: pd.Series) -> pd.DataFrame:
-        found = [_Elements.of(p or "", marks) for p in pages]
-        return pd.DataFrame({"size": [n for n, _ in found], "marks": [m for _, m in found]})
+    def walk(page: str):
+        size, found = _Elements.of(page, marks)
+        for i, m in enumerate(found):
+            yield size, i, m["start"], m["tag"], m["text"], m["bold"], m["italic"]
 
-    rows = df.select(*keep, walk(F.col(html)).alias("w")).select(*keep, F.col("w.size").alias("size"), F.posexplode("w.marks").alias("ord", "m")).select(*keep, "size", "ord", "m.*")
+    rows = walked(df, html, walk, keep, {"size": "int", "ord": "int", "start": "int", "tag": "string", "text": "string", "bold": "string", "italic": "strings"})
     upto = W.partitionBy(*keep).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     heading = F.col("tag").rlike("^h[1-6]$")
     level = F.when(heading, F.substring("tag", 2, 1).cast("int"))
@@ -310,50 +346,44 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
-def candidate_places(text: str, most: int, least: int, sizes: range) -> list[tuple[int, int, bool]]:
+def candidate_places(text: str, most: int, least: int, sizes: range) -> Iterator[tuple[int, int, bool]]:
     """Bounds of runs of one to `most` words, then of parts (of so many letters) of words of `least` letters or more."""
     words = word_places(text)
-    runs = [(words[i][0], words[i + n][1], False) for i in range(len(words)) for n in range(min(most, len(words) - i))]
-    return runs + [(a + at, a + at + n, True) for a, b in words if b - a >= least for n in sizes if n < b - a for at in range(b - a - n + 1)]
+    yield from ((words[i][0], words[i + n][1], False) for i in range(len(words)) for n in range(min(most, len(words) - i)))
+    yield from ((a + at, a + at + n, True) for a, b in words if b - a >= least for n in sizes if n < b - a for at in range(b - a - n + 1))
 
 
 def candidates(df: DataFrame, text: str, keep: Sequence[str], most: int = 6, least: int = 7, sizes: range = range(4, 11)) -> DataFrame:
     """keep, ord, start, end, part, inside: what may answer a question about a context: runs of words, and parts inside long words."""
 
-    @F.arrow_udf("array<struct<start:int,end:int,part:string,inside:boolean>>")
-    def find(texts: pa.Array) -> pa.Array:
-        flat, counts = [], [0]
-        for t in texts.to_pylist():
-            flat += [(a, b, t[a:b], inside) for a, b, inside in candidate_places(t or "", most, least, sizes)]
-            counts.append(len(flat))
-        start, end, part, inside = zip(*flat) if flat else ((),) * 4
-        return _listed(counts, start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()), part=pa.array(part, pa.string()), inside=pa.array(inside, pa.bool_()))
+    def find(t: str):
+        for i, (a, b, inside) in enumerate(candidate_places(t, most, least, sizes)):
+            yield i, a, b, t[a:b], inside
 
-    rows = df.select(*keep, F.posexplode(find(F.col(text))).alias("ord", "s"))
-    return rows.select(*keep, "ord", "s.start", "s.end", "s.part", "s.inside")
+    return walked(df, text, find, keep, {"ord": "int", "start": "int", "end": "int", "part": "string", "inside": "boolean"})
 
 
 #: Rows of a lexicon that are broadcast at most, so that no word of a text moves; larger ones are joined by a shuffle.
 LEXICON_ROWS = 200_000
 
 
-def trigger_candidates(text: str, longest: int, clitics: Sequence[str], stop: frozenset) -> list[tuple]:
-    """ord, start, end, surface, form, n, rank, clitic of every run of words in lower case, and of every word less a clitic."""
+def trigger_candidates(text: str, longest: int, clitics: Sequence[str], stop: frozenset, known: frozenset | None = None) -> Iterator[tuple]:
+    """ord, start, end, surface, form, n, rank, clitic of every run of words in lower case, and of every word less a clitic, where known (if given) has the form."""
     places = word_places(text)
     low = [text[a:b].lower() for a, b in places]
-    out = []
     for i, (a, b) in enumerate(places):
         form = ""
         for n in range(1, min(longest, len(places) - i) + 1):
             form = f"{form} {low[i + n - 1]}" if form else low[i]
-            end = places[i + n - 1][1]
-            out.append((i, a, end, text[a:end], form, n, -1, ""))
+            if known is None or form in known:
+                end = places[i + n - 1][1]
+                yield i, a, end, text[a:end], form, n, -1, ""
         if low[i] not in stop:
             for rank, clitic in enumerate(clitics):
                 if low[i].endswith(clitic) and len(low[i]) > len(clitic):
                     host = low[i][: -len(clitic)].removesuffix("'")
-                    out.append((i, a, b, text[a : a + len(host)], host, 1, rank, clitic))
-    return out
+                    if known is None or host in known:
+                        yield i, a, b, text[a : a + len(host)], host, 1, rank, clitic
 
 
 def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[str], clitics: Sequence[str] = (), stop: Sequence[str] = (), longest: int = 3) -> DataFrame:
@@ -363,25 +393,16 @@ def trigger_hits(df: DataFrame, text: str, lexicon: DataFrame, keep: Sequence[st
     that is no form itself and not in stop is also tried without each clitic at
     its end, joined by an apostrophe or not (the first clitic that leaves a form
     wins); then the surface is what stands before the clitic. One pass over the
-    texts gives all candidates; a lexicon of counted size is broadcast, and only
-    hits go on.
+    texts gives all candidates; a lexicon of up to LEXICON_ROWS goes to the
+    tasks, so that only hits leave them, a larger one is joined by a shuffle.
     """
     barred = frozenset(stop)
-    kinds = {"ord": pa.int32(), "start": pa.int32(), "end": pa.int32(), "surface": pa.string(), "form": pa.string(), "n": pa.int32(), "rank": pa.int32(), "clitic": pa.string()}
-
-    @F.arrow_udf("array<struct<ord:int,start:int,end:int,surface:string,form:string,n:int,rank:int,clitic:string>>")
-    def find(texts: pa.Array) -> pa.Array:
-        flat, counts = [], [0]
-        for t in texts.to_pylist():
-            flat += trigger_candidates(t or "", longest, clitics, barred)
-            counts.append(len(flat))
-        columns = list(zip(*flat)) if flat else [()] * len(kinds)
-        return _listed(counts, **{name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
-
-    forms = lexicon.select("form", "label")
-    if forms.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
-        forms = F.broadcast(forms)
-    found = df.select(*keep, F.explode(find(F.col(text))).alias("c")).select(*keep, *(f"c.{name}" for name in kinds)).join(forms, "form")
+    kinds = {"ord": "int", "start": "int", "end": "int", "surface": "string", "form": "string", "n": "int", "rank": "int", "clitic": "string"}
+    forms, known = lexicon.select("form", "label"), None
+    few = forms.limit(LEXICON_ROWS + 1).select("form").collect()
+    if len(few) <= LEXICON_ROWS:
+        forms, known = F.broadcast(forms), frozenset(r["form"] for r in few)
+    found = walked(df, text, lambda t: trigger_candidates(t, longest, clitics, barred, known), keep, kinds).join(forms, "form")
     word = W.partitionBy(*keep, "ord")
     itself = F.max((F.col("rank") == -1) & (F.col("n") == 1)).over(word)
     first = F.min(F.when(F.col("rank") >= 0, F.struct("rank", "label"))).over(word)

@@ -24,3 +24,41 @@ def test_fractions_of_seconds_round_as_in_sql(spark, fractions, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{fractions}/events.parquet'")
     same(QUERIES[name](spark, fractions), con, ORACLES[name])
+
+
+def test_walks_hand_on_rows_as_they_come(spark, monkeypatch):
+    """A worker that is given many texts at once never holds the rows of them all."""
+    from lexiforge.operators import segmentation as G
+
+    monkeypatch.setattr(G, "FLUSH", 7)
+    held = []
+
+    class Frame:
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        def mapInArrow(self, walk, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pylist([{"id": i, "_text": text} for i, text in enumerate(texts)], pa.schema([("id", pa.int64()), ("_text", pa.string())]))
+            held.extend(out.num_rows for out in walk(iter([batch])))
+            return self.df.mapInArrow(walk, schema)
+
+    texts = ["<h1>one und</h1><p>the way with the one und und die</p>" * 9, None, "the und"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1)
+    plain = lambda f: [(i, *r) for i, t in enumerate(texts) for r in f(t or "")]
+    select = type(df).select
+    monkeypatch.setattr(type(df), "select", lambda self, *c: Frame(select(self, *c)) if c and "_text" in str(c[-1]) else select(self, *c))
+    got = G.candidates(df, "text", ["id"]).collect()
+    monkeypatch.undo()
+    want = plain(lambda t: [(k, a, b, t[a:b], x) for k, (a, b, x) in enumerate(G.candidate_places(t, 6, 7, range(4, 11)))])
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000 and max(held) <= 7 and sum(held) == len(want)
+
+
+def test_only_hits_of_a_small_lexicon_leave_the_walk(spark):
+    from lexiforge.operators import segmentation as G
+
+    text = "With the und, the und's was thes"
+    known = frozenset(["und", "with the", "the"])
+    every = list(G.trigger_candidates(text, 3, ("s",), frozenset(["was"])))
+    assert list(G.trigger_candidates(text, 3, ("s",), frozenset(["was"]), known)) == [r for r in every if r[4] in known] != every
