@@ -331,9 +331,12 @@ def tiered_match(t):
 def exact_else_contains(t):
     """Equality first, else the shortest label that a name contains."""
     labels = t.part.where("p_size < 5").select(F.col("p_name").alias("label")).unionAll(t.part.select(F.get(F.split("p_name", " "), F.lit(1)))).where("label is not null").distinct()
-    exact = t.part.join(labels, F.lower("p_name") == F.lower("label")).select("p_partkey", "label", F.lit(0).alias("tier"))
-    near = J.contains_join(t.part.select("p_partkey", "p_name"), labels, "p_partkey", "p_name", "label", ignore_case=True).select("p_partkey", "label", F.lit(1).alias("tier"))
-    return X.first_of(exact.unionAll(near), ["p_partkey"], ["tier", F.length("label"), "label"])
+    names = t.part.select("p_name").distinct()  # equal names are asked once
+    exact = names.join(labels, F.lower("p_name") == F.lower("label")).select("p_name", "label", F.lit(0).alias("tier"))
+    near = J.contains_join(names, labels, "p_name", "p_name", "label", ignore_case=True).select("p_name", "label", F.lit(1).alias("tier"))
+    order = ["tier", F.length("label"), "label"]
+    best = X.first_of(exact.unionAll(near), ["p_name"], order)
+    return X.first_of(t.part.select("p_partkey", "p_name").join(best, "p_name").drop("p_name"), ["p_partkey"], order)
 
 
 @BOOK.query("prefix_key_join", r"""WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS form FROM documents), h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS head FROM benchmark)

@@ -62,3 +62,15 @@ def test_only_hits_of_a_small_lexicon_leave_the_walk(spark):
     known = frozenset(["und", "with the", "the"])
     every = list(G.trigger_candidates(text, 3, ("s",), frozenset(["was"])))
     assert list(G.trigger_candidates(text, 3, ("s",), frozenset(["was"]), known)) == [r for r in every if r[4] in known] != every
+
+
+def test_equal_names_are_asked_once(spark, tmp_path, monkeypatch):
+    from lexiforge.operators import joins as J
+
+    duckdb.sql(f"COPY (SELECT i AS p_partkey, ['blue gear', 'Blue Gear', 'ring', NULL, 'red ring x'][1 + i % 5] AS p_name, CAST(i % 7 AS INTEGER) AS p_size FROM range(100) r(i)) TO '{tmp_path}/part.parquet'")
+    seen, plain = [], J.contains_join
+    monkeypatch.setattr(J, "contains_join", lambda texts, *more, **named: seen.append(texts.count()) or plain(texts, *more, **named))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    same(QUERIES["exact_else_contains"](spark, str(tmp_path)), con, ORACLES["exact_else_contains"])
+    assert seen and seen[0] <= 5
