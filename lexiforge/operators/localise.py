@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,13 +113,14 @@ def context_key(text: Column, width: int = 120) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 1, width)
 
 
-def matched_contexts(left: DataFrame, right: DataFrame, id_col: str, term: str, context: str, order: str, width: int = 120, head: int = 80) -> DataFrame:
+def matched_contexts(left: DataFrame, right: DataFrame, id_col: str, term: str, context: str, order: str, width: int = 120, head: int = 80, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """left with other (an id of right) and tier: the same id; else equal term and context key; else equal
     term and one context that holds the first `head` characters of the other.
 
     Of several rows of right in one tier the first in `order` counts; a row
     without a match has nulls. Ids of left are unique. A blank context matches
-    no other, and a null term none.
+    no other, and a null term none. Containment is asked once for all equal
+    contexts of a term. kept stores rows that are read several times.
     """
     others = right.select(F.col(id_col).alias("other"), F.col(term).alias("_term"), F.col(context).alias("_context"), F.col(order).alias("_order"))
     first = lambda df, keys: df.groupBy(*keys).agg(F.min_by("other", "_order").alias("other"))
@@ -131,11 +132,15 @@ def matched_contexts(left: DataFrame, right: DataFrame, id_col: str, term: str,
     by_key = keyed(by_id.where("tier is null").drop("other", "tier")).join(first(keyed(others), ["_term", "_key"]), ["_term", "_key"]).select("_id", "other", F.lit(2).alias("tier"))
     decided = by_id.where("tier is not null").select("_id", "other", "tier").unionAll(by_key)
 
-    rest = rows.join(decided.select("_id"), "_id", "left_anti")
+    rest = kept(rows.join(decided.select("_id"), "_id", "left_anti"), "rest")
     begins = lambda c: F.when(F.trim(c) != "", F.substring(c, 1, head))
-    needles = others.select("other", "_order", F.col("_term").alias("_t"), begins("_context").alias("_needle_text"))
-    held = contains_join(rest, needles, "_id", "_context", "_needle_text").where("_term = _t").select("_id", "other", "_order")
+    best = lambda df, keys: df.groupBy(*keys).agg(F.min_by("other", "_order").alias("other"), F.min("_order").alias("_order"))
+    met = lambda texts, needles, id_: contains_join(texts, needles, id_, "_context", "_needle_text", within=("_term", "_t"), longest=6).where("_term = _t")
+    needles = best(others.select("other", "_order", F.col("_term").alias("_t"), begins("_context").alias("_needle_text")), ["_t", "_needle_text"])
+    texts = rest.groupBy("_term", "_context").agg(F.min("_id").alias("_id"))
+    held = rest.join(best(met(texts, needles, "_id"), ["_term", "_context"]), ["_term", "_context"]).select("_id", "other", "_order")
     asked = rest.select("_id", F.col("_term").alias("_t"), begins("_context").alias("_needle_text"))
-    holding = contains_join(others, asked, "other", "_context", "_needle_text").where("_term = _t").select("_id", "other", "_order")
+    found = best(met(best(others, ["_term", "_context"]), asked.select("_t", "_needle_text").distinct(), "other"), ["_t", "_needle_text"])
+    holding = asked.join(found, ["_t", "_needle_text"]).select("_id", "other", "_order")
     either = held.unionAll(holding).groupBy("_id").agg(F.min_by("other", "_order").alias("other")).select("_id", "other", F.lit(3).alias("tier"))
     return left.join(decided.unionAll(either).withColumnRenamed("_id", id_col), id_col, "left")

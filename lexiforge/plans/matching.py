@@ -72,7 +72,7 @@ def tiered_contexts(t):
     number = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id"))
     other = F.when(F.col("doc_id") % 3 == 1, F.substring(F.replace("text", F.lit(" "), F.lit("  ")), 1, 300)).otherwise(F.substring("text", 11, 400))
     right = docs.select(number.alias("id"), "term", other.alias("context"), F.col("doc_id").alias("place"))
-    return O.matched_contexts(left, right, "id", "term", "context", "place").select("id", "term", "other", "tier")
+    return O.matched_contexts(left, right, "id", "term", "context", "place", kept=stored).select("id", "term", "other", "tier")
 
 
 _UNIT = "[CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN e])) FOR x IN e]"

@@ -64,6 +64,26 @@ def test_only_hits_of_a_small_lexicon_leave_the_walk(spark):
     assert list(G.trigger_candidates(text, 3, ("s",), frozenset(["was"]), known)) == [r for r in every if r[4] in known] != every
 
 
+def test_equal_contexts_are_asked_once(spark, monkeypatch):
+    """Copies of a context on either side meet as one, and a needle meets only contexts of its own term."""
+    from lexiforge.operators import localise as O
+
+    sizes = []
+    plain = O.contains_join
+
+    def counted(texts, needles, *more, **named):
+        sizes.append((texts.count(), needles.count(), named.get("within")))
+        return plain(texts, needles, *more, **named)
+
+    monkeypatch.setattr(O, "contains_join", counted)
+    head = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    left = spark.createDataFrame([(i, "t", "before " + head) for i in range(30)] + [(90, "u", "before " + head), (91, "t", "a b"), (92, "v", "x")], "id int, term string, context string")
+    right = spark.createDataFrame([(100 + i, "t", head, i) for i in range(20)] + [(200, "t", "z a b z", 9), (201, "v", "y x", 3), (202, "v", "yx", 2)], "id int, term string, context string, place int")
+    got = {r["id"]: (r["other"], r["tier"]) for r in O.matched_contexts(left, right, "id", "term", "context", "place").collect()}
+    assert got == {i: (100, 3) for i in range(30)} | {90: (None, None), 91: (200, 3), 92: (202, 3)}
+    assert sizes == [(4, 4, ("_term", "_t")), (4, 4, ("_term", "_t"))]
+
+
 def test_equal_names_are_asked_once(spark, tmp_path, monkeypatch):
     from lexiforge.operators import joins as J
 
