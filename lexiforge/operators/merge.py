@@ -44,13 +44,17 @@ def upsert_locked(base: DataFrame, update: DataFrame, key: str, columns: Sequenc
 
 
 def promoted(df: DataFrame, key: str, annotator: str, label: str, dropped: Column, fields: Sequence[str]) -> DataFrame:
-    """Keys on which at least two annotators agree; fields that differ are blanked."""
+    """Keys on which at least two annotators agree; fields that differ are blanked.
+
+    Whether values differ is told by their least and greatest: distinct counts
+    would take each row once for each of them.
+    """
     grouped = df.where(~dropped).groupBy(key).agg(
-        F.count_distinct(annotator).alias("annotators"), F.count_distinct(label).alias("labels"), F.min(label).alias(label),
-        *(F.when(F.count_distinct(f) == 1, F.min(f)).otherwise("").alias(f) for f in fields),
+        (F.min(annotator) < F.max(annotator)).alias("_several"), (F.min(label) == F.max(label)).alias("_one"), F.min(label).alias(label),
+        *(F.when(F.min(f) == F.max(f), F.min(f)).otherwise("").alias(f) for f in fields),
         F.array_join(F.array_sort(F.collect_set(F.col(annotator).cast("string"))), "+").alias("who"),
     )
-    return grouped.where("annotators >= 2 and labels = 1").drop("annotators", "labels")
+    return grouped.where("_several and _one").drop("_several", "_one")
 
 
 def in_all_groups(df: DataFrame, value: str, group: str) -> DataFrame:

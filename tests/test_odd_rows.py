@@ -94,3 +94,15 @@ def test_equal_names_are_asked_once(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
     same(QUERIES["exact_else_contains"](spark, str(tmp_path)), con, ORACLES["exact_else_contains"])
     assert seen and seen[0] <= 5
+
+
+def test_agreement_takes_each_row_once(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from lexiforge.operators import merge as M
+
+    rows = [(1, 7, "A", "x", 9), (1, 8, "A", "x", 9), (2, 7, "A", "x", 9), (2, 7, "A", "x", 9), (3, 7, "A", "x", 9), (3, 8, "B", "x", 9), (4, 7, "A", "x", 9), (4, 9, "A", "y", 9), (4, 5, "B", "z", 1), (5, 7, None, "x", 9), (5, 8, None, "x", 9), (6, 7, "A", None, 9), (6, 8, None, None, 9), (6, None, "A", None, 9)]
+    got = M.promoted(spark.createDataFrame(rows, "k int, who_ int, l string, f string, q int"), "k", "who_", "l", F.col("q") < 5, ["f"])
+    assert sorted(map(tuple, got.collect())) == [(1, "A", "x", "7+8"), (4, "A", "", "7+9"), (6, "A", "", "7+8")]
+    got.explain()
+    assert "Expand" not in capsys.readouterr().out
