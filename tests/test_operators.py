@@ -217,6 +217,32 @@ def test_cooccurrence_of_later_uses(spark):
         assert got == {(1, "the", c) for c in "axbc"} | {(3, "the", c) for c in "xyz"}
 
 
+def test_collocates_are_counted_before_they_move(spark, tmp_path):
+    """One row for a pair of words however many documents have it, null words and blank rows left out."""
+    docs = spark.createDataFrame([(i, "en" if i < 60 else None, ["a", "the", None, "b", "the"]) for i in range(90)] + [(90, "de", []), (91, "de", None)], "doc_id long, lang string, w array<string>").coalesce(1)
+    want = {("the", "a"): 90, ("the", "b"): 90, ("the", None): 90}
+    assert {(r.target, r.collocate): r.n for r in A.collocate_counts(docs, "w", ["the", "und"], 2).collect()} == want
+    by = [tuple(r) for r in A.collocate_counts(docs, "w", ["the", "und"], 2, "lang").collect()]
+    assert sorted(by, key=str) == sorted([(lang, *k, n) for lang, n in (("en", 60), (None, 30)) for k in want], key=str)
+    assert A.single(docs, "doc_id") and not A.single(docs.unionAll(docs.limit(1)), "doc_id") and not A.single(docs, "lang")
+
+
+@pytest.mark.parametrize("name", ["cooc_pmi", "collocates_by_class", "collocates_compare"])
+def test_collocates_of_repeated_ids(spark, tmp_path, name):
+    """Documents that share an id count once for a pair, as in the SQL."""
+    import duckdb
+    from compare import same
+
+    from lexiforge import registry
+
+    rows = [(i % 30, "en" if i % 3 else "de", "s", "we saw the old mill and the new one " + "by the river " * (i % 2)) for i in range(40)]
+    (tmp_path / "documents.parquet").mkdir()
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
+
+
 def test_most_similar_over_blocks(spark):
     import numpy as np
 
