@@ -11,7 +11,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -486,3 +488,43 @@ def separated_pairs(tokens: DataFrame, keep: Sequence[str], verbs: Sequence[str]
     later = F.array_compact(F.array(*(F.lead("token", i).over(window) for i in range(1, ahead + 1))))
     hit = F.filter(F.col("_later"), lambda x: x.isin(*particles))
     return tokens.withColumn("_later", later).where(F.col("token").isin(*verbs) & (F.size(hit) > 0)).select(*keep, "pos", "token", F.element_at(hit, 1).alias("particle"))
+
+
+def first_runs(docs: DataFrame, doc: str, words: str, vocabulary: Sequence[str], longest: int) -> DataFrame:
+    """doc, n, i, gram: the longest, then leftmost run of up to `longest` words of each row that a small vocabulary has (i from 1)."""
+    listed = sorted({tuple(v.split(" ")) for v in vocabulary if v.count(" ") < longest})
+    known = sorted({w for run in listed for w in run})
+    number = {w: i for i, w in enumerate(known)}
+    base = len(known) + 1
+    keyed = lambda run: sum(number[w] * base**i for i, w in enumerate(run))
+    sizes = [(n, sorted((keyed(r), " ".join(r)) for r in listed if len(r) == n)) for n in range(longest, 0, -1)]
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column(words)
+            coded = lists.flatten().dictionary_encode()
+            kinds = pa.compute.fill_null(pa.compute.index_in(coded.dictionary, value_set=pa.array(known, pa.string())), -1).to_numpy()
+            kind = np.append(kinds, -1)[coded.indices.fill_null(-1).to_numpy()].astype(np.int64)
+            many = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), many)
+            starts = np.cumsum(many) - many
+            found = np.zeros(batch.num_rows, bool)
+            for n, runs in sizes:
+                at = np.flatnonzero(kind >= 0)
+                at = at[at + n <= len(kind)]
+                at = at[owner[at + n - 1] == owner[at]]
+                parts = [kind[at + j] for j in range(n)]
+                good = np.all([p >= 0 for p in parts], axis=0) if len(at) else np.zeros(0, bool)
+                at, key = at[good], sum(p[good] * base**j for j, p in enumerate(parts))
+                wanted = np.array([k for k, _ in runs], np.int64)
+                if not len(at) or not len(wanted):
+                    continue
+                which = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                hit = (wanted[which] == key) & ~found[owner[at]]
+                at, which = at[hit], which[hit]
+                own, first = np.unique(owner[at], return_index=True)
+                found[own] = True
+                grams = pa.array([g for _, g in runs]).take(pa.array(which[first]))
+                yield pa.RecordBatch.from_arrays([batch.column(doc).take(pa.array(own)), pa.array(np.full(len(own), n, np.int32)), pa.array((at[first] - starts[own] + 1).astype(np.int32)), grams], names=[doc, "n", "i", "gram"])
+
+    return docs.select(doc, words).mapInArrow(rows, f"{doc} {docs.schema[doc].dataType.simpleString()}, n int, i int, gram string")
