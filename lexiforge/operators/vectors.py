@@ -218,6 +218,28 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - 2)), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def _near_spans(value: str, words: list[str], least: int, most: int, threshold: float) -> list[tuple[int, int]]:
+    """(place, length) of the runs of words whose trigrams can reach the threshold against the value's.
+
+    All but the trigrams over a blank lie in one padded word, so the words' own
+    hits and one for each blank are as many as a run can have in common.
+    """
+    cut = lambda text: {text[i : i + 3] for i in range(max(1, len(text) - 2))}
+    wanted = cut(f" {value} ")
+    hits = {w: sum(f" {w} "[i : i + 3] in wanted for i in range(len(w))) for w in set(words)}
+    upto = [0]
+    for w in words:
+        upto.append(upto[-1] + hits[w])
+    out = []
+    for size in range(least, min(most, len(words)) + 1):
+        for at in range(len(words) - size + 1):
+            if upto[at + size] - upto[at] + size - 1 >= threshold * threshold * len(wanted):
+                own = cut(f" {' '.join(words[at : at + size])} ")
+                if len(wanted & own) >= threshold * (len(wanted) * len(own)) ** 0.5:
+                    out.append((at, size))
+    return out
+
+
 def ground_by_span(df: DataFrame, id_col: str, value: str, context: str, threshold: float, more: int = 1) -> DataFrame:
     """id_col, value, grounded, replaced: a value that its context holds stays; else the most similar
     run of words (of up to `more` words more or less) takes its place where it reaches the threshold.
@@ -228,9 +250,18 @@ def ground_by_span(df: DataFrame, id_col: str, value: str, context: str, thresho
     rows = df.select(id_col, F.col(value).alias("_v"), F.col(context).alias("_c"), F.coalesce(held, F.col(value).isNull()).alias("_held"))
     words = F.filter(F.split(F.coalesce("_c", F.lit("")), r"\s+"), lambda w: w != "")
     open_rows = rows.where(~F.col("_held")).withColumn("_w", words).withColumn("_n", F.size(F.split(F.trim("_v"), r"\s+")))
-    lengths = F.sequence(F.greatest(F.lit(1), F.col("_n") - more), F.col("_n") + more)
-    sized = open_rows.select(id_col, "_v", "_w", F.explode(lengths).alias("_k")).where("_k <= size(_w)")
-    spans = sized.select(id_col, "_v", "_k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("_k")), " "))).alias("_at", "_span"))
+    asked = open_rows.select(id_col, "_v", "_w", F.lower("_v").alias("_low"), F.transform("_w", F.lower).alias("_lows"), "_n")
+
+    def near(batches):
+        for batch in batches:
+            values, words, sizes = (batch.column(c).to_pylist() for c in ("_low", "_lows", "_n"))
+            found = [_near_spans(v, w, max(1, n - more), n + more, threshold - 1e-6) for v, w, n in zip(values, words, sizes)]  # scores are rounded
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            place = [pa.array([x[i] for f in found for x in f], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(row), batch.column("_v").take(row), pa.array([" ".join(w[at : at + k]) for w, f in zip(batch.column("_w").to_pylist(), found) for at, k in f], pa.string()), *place], names=[id_col, "_v", "_span", "_at", "_k"])
+
+    # Runs below the threshold replace nothing, whichever is the best of them.
+    spans = asked.mapInArrow(near, f"{id_col} {df.schema[id_col].dataType.simpleString()}, _v string, _span string, _at int, _k int")
     a, b = trigrams(F.col("_v")), trigrams(F.col("_span"))
     score = F.round(F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b)), 6)
     best = spans.groupBy(id_col).agg(F.min_by(F.struct("_span", score.alias("_score")), F.struct(-score, "_at", "_k")).alias("_b"))
