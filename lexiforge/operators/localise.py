@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .joins import contains_join
 
 #: Contexts that are looked up in a text at once.
 CHUNK = 2048
+#: So many windows of one width are searched for one by one, more by hashes of the text.
+FEW = 8
 #: An odd number and its inverse modulo 2^64, for hashes of windows.
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -36,13 +39,21 @@ def _points(text: str) -> np.ndarray:
 def unique_places(text: str, windows: Sequence[str]) -> list[int | None]:
     """The place of each window that stands exactly once in a text, else None.
 
-    All stretches of the text are hashed once for each width there is; those
-    that agree with a window's hash are compared with it and counted.
+    Few windows are searched for. For more, all stretches of the text are hashed
+    once for each width there is; those that agree with a window's hash are
+    compared with it and counted.
     """
     out: list[int | None] = [None] * len(windows)
-    points = _points(text)
+    points = None
     for width in sorted({len(w) for w in windows} - {0}):
         asked = [i for i, w in enumerate(windows) if len(w) == width]
+        if len(asked) <= FEW:
+            for i in asked:
+                first = text.find(windows[i])
+                if first >= 0 and text.find(windows[i], first + 1) < 0:
+                    out[i] = first
+            continue
+        points = _points(text) if points is None else points
         wanted = np.array([_window_hashes(_points(windows[i]), width)[0] for i in asked])
         kinds, kind = np.unique(wanted, return_inverse=True)
         hashes = _window_hashes(points, width)
@@ -92,18 +103,27 @@ def localised(contexts: DataFrame, texts: DataFrame, on: str, context: str, targ
     given = texts.select(F.col(on).alias("_key"), F.coalesce(text, F.lit("")).alias("_text")).join(many, "_key")
     given = given.select("_key", "_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
 
-    def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        if right.num_rows > 1:
-            raise ValueError(f"several texts of key {right.column('_key')[0]}")
-        pairs = list(zip(left.column("_context").to_pylist(), left.column("_target").to_pylist()))
-        if right.num_rows:
-            found = place_contexts(right.column("_text")[0].as_py(), pairs, widths, shortest)
-        else:
-            found = [(None, None)] * len(pairs)
-        return pa.table({"_row": left.column("_row"), "place": pa.array([p for p, _ in found], pa.int32()), "found": pa.array([f for _, f in found], pa.string())})
-
     kind = asked.schema["_row"].dataType.simpleString()
-    found = asked.groupBy("_key", "_chunk").cogroup(given.groupBy("_key", "_chunk")).applyInArrow(place, f"_row {kind}, place int, found string")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    asked = asked.select("_key", "_chunk", F.struct("_row", "_context", "_target").alias("_ask"))
+    both = asked.select("_key", "_chunk", "_ask", none(given, "_text")).unionAll(given.select("_key", "_chunk", none(asked, "_ask"), "_text"))
+    met = both.groupBy("_key", "_chunk").agg(F.collect_list("_ask").alias("_asks"), F.max("_text").alias("_text"), F.count("_text").alias("_texts"))
+    several = F.raise_error(F.concat(F.lit("several texts of key "), F.col("_key").cast("string")))
+    met = met.select("_asks", F.when(F.col("_texts") > 1, several.cast("string")).otherwise(F.col("_text")).alias("_text"))
+
+    def place(batches):
+        for batch in batches:
+            lists = batch.column("_asks")
+            asks = lists.flatten()
+            rows, context, target = asks.flatten()
+            pairs, found, at = list(zip(context.to_pylist(), target.to_pylist())), [], 0
+            for text, many in zip(batch.column("_text").to_pylist(), pa.compute.list_value_length(lists).to_pylist()):
+                own = pairs[at : at + many]
+                found += place_contexts(text, own, widths, shortest) if text is not None else [(None, None)] * many
+                at += many
+            yield pa.RecordBatch.from_arrays([rows, pa.array([p for p, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string())], names=["_row", "place", "found"])
+
+    found = met.mapInArrow(place, f"_row {kind}, place int, found string")
     lost = contexts.where(key.isNull()).select(*contexts.columns, F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("found"))
     return found.select("_row.*", "place", "found").unionAll(lost)
 

@@ -51,6 +51,7 @@ def localised_windows(t):
     cut = F.col("at") + level - F.col("a")
     spoilt = F.concat(F.substring("c", F.lit(1), cut), F.lit("#"), F.substring("c", cut + 2, F.char_length("c")))
     contexts = rows.select("doc_id", "target", F.when((level == 0) | (cut < 0), F.col("c")).otherwise(spoilt).alias("context"))
+    contexts = stored(contexts, "contexts")  # read twice
     return O.localised(contexts, texts, "doc_id", "context", "target", "t").select("doc_id", "target", "place", "found")
 
 
