@@ -43,6 +43,8 @@ SKETCH_DOCS, SKETCH_ROWS = 1024, 3_000
 BROADCAST_KEYS = 500_000
 #: Groups of more documents than this meet pivots first; turns in which they do at most, and members of a group that may stay apart without a further one.
 PIVOT_DOCS, PIVOTS, APART_DOCS = 64, 3, 512
+#: A further turn follows where the last pivots' labels hold at least one of so many members of the groups of which more than a block stays apart: a label spares the square of its share.
+PAYS = 2
 #: Pairs listed at once, and bytes of counts compared at once.
 PAIRS, COUNT_BYTES = 100_000, 2 << 20
 #: Bytes of text hashed at once.
@@ -437,6 +439,11 @@ def _multiply_stars(size: int, percent: int):
     return multiply
 
 
+def relabelled(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """Rows with the labels that their nodes took: tops (node, top)."""
+    return rows.join(tops, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+
+
 class _Join:
     """The tables that the steps of one join share: texts, class nodes with sketches, and the links so far."""
 
@@ -455,8 +462,8 @@ class _Join:
         same = self.rows["doc_id"].eqNullSafe(keys["doc_id"]) & (self.rows["text_key"] == keys["text_key"])
         return need.join(self.rows.join(keys, same).select("node", "seq", "text"), "node")
 
-    def thinned(self, members: DataFrame, most_docs: int) -> DataFrame:
-        """Rows (group, node, n, weight, label, main, pivot) of large groups (group, node, n, weight) that are not one component yet.
+    def thinned(self, members: DataFrame, most_docs: int) -> tuple[DataFrame, DataFrame]:
+        """Rows (group, node, n, weight, label, main, pivot) of large groups (group, node, n, weight) that are not one component yet, and the last turn's labels (node, top).
 
         The first turn draws as a group's pivot the node that is in most groups,
         which lost the fewest of its shingles to changes, and later turns that of
@@ -465,14 +472,19 @@ class _Join:
         is compared with one pivot, of those of its groups that are of a fitting
         size the one that it shares most groups with, and takes its label where
         they link. Further turns go over groups of which more than a block
-        stays apart. A group's main label is that of its last pivot.
+        stays apart, while they pay: what no pivot takes is compared by blocks.
+        A group's main label is that of its last pivot. The rows' labels are
+        those before the last turn, as few nodes may have taken others in it.
         """
         rows = written(members.withColumn("label", F.col("node")).withColumn("often", F.count(F.lit(1)).over(W.partitionBy("node"))), "jaccard-open")
         for turn in range(PIVOTS):
-            drawn = rows.groupBy("group").agg(F.max_by(F.struct("label", "node", "n"), F.struct(F.lit(0) if turn else F.col("often"), F.xxhash64("node", F.lit(turn)))).alias("p"))
-            drawn = written(drawn.select("group", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"), F.col("p.n").alias("size")), "jaccard-pivots")
+            if turn:
+                before, rows = rows, written(relabelled(rows.drop("main", "pivot"), further), "jaccard-open")
+                drop_written(before)
+            drawn = rows.groupBy("group").agg(F.max_by(F.struct("label", "node", "n"), F.struct(F.lit(0) if turn else F.col("often"), F.xxhash64("node", F.lit(turn)))).alias("p"), F.count(F.lit(1)).alias("docs"))
+            drawn = written(drawn.select("group", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"), F.col("p.n").alias("size"), "docs"), "jaccard-pivots")
             fits = F.least("n", "size") * 100 >= F.greatest("n", "size") * self.percent
-            meet = rows.drop("pivot").join(drawn, "group").where(fits).where("label <> own").groupBy("node", "pivot", "size").agg(F.count(F.lit(1)).alias("shared"))
+            meet = rows.join(drawn.drop("docs"), "group").where(fits).where("label <> own").groupBy("node", "pivot", "size").agg(F.count(F.lit(1)).alias("shared"))
             best = meet.groupBy("node").agg(F.max_by(F.struct("pivot", "size"), F.struct("shared", "pivot")).alias("p"))
             pairs = written(best.select(F.col("p.pivot").alias("a"), F.col("node").alias("b"), F.col("p.size").alias("n")), "jaccard-pairs")
             tasks = self.with_texts(starred(pairs, BLOCK_DOCS, BLOCK_SHINGLES))
@@ -482,20 +494,24 @@ class _Join:
             parents = links.select(F.col("a").alias("up"), F.col("b").alias("node"))
             further = written(parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top")), "jaccard-tops")
             self.tops.append(further)
-            mains = drawn.select("group", F.col("pivot").alias("node"), "own").join(further, "node", "left").select("group", F.col("node").alias("pivot"), F.coalesce("top", "own").alias("main"))
-            labelled = rows.drop("main", "pivot").join(further, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top").join(mains, "group")
-            labelled = written(labelled, "jaccard-labelled")
-            state = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("others")).where("low <> high")
-            state = written(state.select("group", "others"), "jaccard-apart")
-            drop_written(rows)
-            rows = written(labelled.join(state.select("group"), "group", "left_semi"), "jaccard-open")
-            drop_written(labelled)
-            if (state.agg(F.max("others")).first()[0] or 0) <= most_docs:
+            mains = drawn.select("group", F.col("pivot").alias("node"), "own", "docs").join(further, "node", "left")
+            mains = written(mains.select("group", F.col("node").alias("pivot"), F.coalesce("top", "own").alias("main"), "docs"), "jaccard-mains")
+            # Only memberships of nodes that took a label change how many have a group's main one.
+            had = rows.groupBy("group", F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("same")).join(mains.select("group", "main"), ["group", "main"])
+            took = rows.select("group", "node", "label").join(further, "node").join(mains.select("group", "main"), "group")
+            took = took.groupBy("group", "main").agg(F.sum((F.col("top") == F.col("main")).cast("long") - (F.col("label") == F.col("main")).cast("long")).alias("same"))
+            state = had.unionByName(took).groupBy("group").agg(F.sum("same").alias("same"))
+            state = mains.join(state, "group", "left").select("group", "pivot", "main", "docs", (F.col("docs") - F.coalesce("same", F.lit(0))).alias("others"))
+            state = written(state, "jaccard-apart")
+            before, rows = rows, written(rows.join(state.where("others > 0").select("group", "pivot", "main"), "group"), "jaccard-open")
+            drop_written(before)
+            others, docs = state.where(F.col("others") > most_docs).agg(F.sum("others"), F.sum("docs")).first()
+            if not docs or (docs - others) * PAYS < docs:
                 break
-        return rows
+        return rows, further
 
-    def merged(self, rows: DataFrame) -> DataFrame:
-        """Rows (group, node, label, main, weight) of open groups, in which no two nodes meet more often than they need.
+    def merged(self, rows: DataFrame, tops: DataFrame) -> DataFrame:
+        """Rows (group, node, label, main, weight) of open groups, in which no two nodes meet more often than they need; tops: the last labels (node, top).
 
         Groups that share members are joined to one where all pairs of its nodes,
         each met once, are fewer than the pairs within the groups: so near copies
@@ -503,16 +519,18 @@ class _Join:
         group's main label is the one that most of its nodes have.
         """
         found = written(components(rows.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "jaccard-joined")
-        placed = written(rows.select("group", "node", "label", "main").join(found, "node"), "jaccard-placed")
+        last = found.join(tops, "node", "left")
+        placed = rows.select("group", "node", "label", "main").join(last, "node").withColumn("label", F.coalesce("top", "label")).drop("top")
+        placed = written(placed, "jaccard-placed")
         apart = placed.groupBy("component", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("component").agg(F.sum(F.col("c") * F.col("c")).alias("within"))
         whole = found.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
         joined = written(apart.join(whole, "component").where("c * c <= within").select("component"), "jaccard-whole")
-        few = placed.join(joined, "component", "left_semi").select(F.col("component").alias("group"), "node", "label").distinct()
+        few = written(placed.join(joined, "component", "left_semi").select(F.col("component").alias("group"), "node", "label").distinct(), "jaccard-few")
         many = few.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
         mains = many.groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
         one = F.lit(1).cast("long").alias("weight")
         rest = placed.join(joined, "component", "left_anti").select("group", "node", "label", "main", one)
-        return few.join(mains, "group").select("group", "node", "label", "main", one).unionAll(rest)
+        return written(few.join(mains, "group").select("group", "node", "label", "main", one).unionAll(rest), "jaccard-members")
 
     def compare(self, meets: DataFrame) -> DataFrame:
         """Clusters (node, group) of what can link by counts; meets: (group, node, many)."""
@@ -521,7 +539,7 @@ class _Join:
         many = meets.agg(F.count_if(F.col("many") <= PIVOT_DOCS), F.count_if(F.col("many") > PIVOT_DOCS)).first()
         tasks = packed(small, many[0] // SKETCH_ROWS + 1)
         if many[1]:
-            tasks = tasks.unionAll(split(self.merged(self.thinned(large, APART_DOCS)), SKETCH_DOCS))
+            tasks = tasks.unionAll(split(self.merged(*self.thinned(large, APART_DOCS)), SKETCH_DOCS))
         near = tasks.join(self.counts, "node").groupBy("pack", "i", "j").applyInArrow(_compare(self.percent), LINKS)
         return written(components(near).withColumnRenamed("component", "group"), "jaccard-clusters")
 
@@ -541,10 +559,10 @@ class _Join:
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members of large clusters with the labels that their pivots gave them, or where there were none, thinned now."""
         if not self.tops:
-            return self.thinned(members.withColumn("n", F.col("weight")), BLOCK_DOCS)
+            return written(relabelled(*self.thinned(members.withColumn("n", F.col("weight")), BLOCK_DOCS)), "jaccard-large")
         rows = members.withColumn("label", F.col("node"))
         for tops in self.tops:
-            rows = rows.join(tops, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+            rows = relabelled(rows, tops)
         mains = rows.groupBy("group").agg(F.min_by("label", F.xxhash64("node")).alias("main"))
         return written(rows.join(mains, "group"), "jaccard-large")
 

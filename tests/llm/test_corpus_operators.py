@@ -433,3 +433,18 @@ def test_mix_keeps_null_ids(spark):
     docs = spark.createDataFrame([(None, "some text here", "en", "src0", 14)], "doc_id long, text string, lang string, source string, n_chars long")
     taken, _ = source_mix.mix_sources(docs, F.array("source"))
     assert corpus_pipeline.mix(spark, docs, "").count() == sum(r["copies"] for r in taken.collect()) > 0
+
+
+def test_pivots_stop_where_they_do_not_pay(spark, monkeypatch):
+    """pipeline: a group in which nearly nothing links meets one pivot, not three, and all its links are found."""
+    for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("APART_DOCS", 10)):
+        monkeypatch.setattr(ngram_join, name, n)
+    turns = []
+    plain = ngram_join.starred
+    monkeypatch.setattr(ngram_join, "starred", lambda pairs, *a: turns.append(pairs.count()) or plain(pairs, *a))
+    common = [f"b{i}" for i in range(92)]
+    docs = [(i, " ".join(common + [f"y{i}.{j}" for j in range(8)])) for i in range(40)]
+    docs += [(100 + i, " ".join(common + [f"z{j}" for j in range(7)] + [f"z{i}"])) for i in range(4)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want_components(docs, 3, 90)
+    assert len(turns) == 1
