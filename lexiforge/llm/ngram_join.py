@@ -597,11 +597,12 @@ def _components_of(docs: DataFrame, size: int, percent: int, id_col: str, text_c
     nodes = written(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
     drop_written(signed)
 
-    buckets = nodes.select("node", "n", F.explode("sigs").alias("group"))
-    # Groups of the same nodes (by number and 128 bits of their hashes) are one group.
-    alike = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # Dealt by bucket once: counted there and joined there, the same at every size.
+    buckets = nodes.select("node", "n", F.explode("sigs").alias("group")).where("group is not null").repartition("group")
+    # Groups of the same nodes (by number and 128 bits of their hashes) are one group. With n both uses read the same columns, so that Spark deals them once.
+    alike = (F.bit_xor(F.xxhash64("node", "n")).alias("x"), F.bit_xor(F.xxhash64("node", "n", F.lit(1))).alias("y"))
     sized = buckets.groupBy("group").agg(F.count(F.lit(1)).alias("many"), *alike).where("many > 1")
-    shared = written(sized.groupBy("many", "x", "y").agg(F.min("group").alias("group")).select("group", "many"), "jaccard-shared")
+    shared = sized.groupBy("many", "x", "y").agg(F.min("group").alias("group")).select("group", "many")
     meets = written(buckets.join(shared, "group"), "jaccard-meets")
     join = _Join(rows, nodes, size, percent)
     join.multiply(join.compare(meets))

@@ -435,6 +435,24 @@ def test_mix_keeps_null_ids(spark):
     assert corpus_pipeline.mix(spark, docs, "").count() == sum(r["copies"] for r in taken.collect()) > 0
 
 
+def test_buckets_are_dealt_once(spark, monkeypatch):
+    """op6_ngram_join: buckets are counted and joined from one exchange, whatever the size."""
+    plans = []
+    plain = ngram_join.written
+
+    def noted(df, name, *a, **k):
+        if name == "jaccard-meets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *a, **k)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    docs = [(i, " ".join(f"w{(i // 3, j)}" for j in range(40))) for i in range(9)]
+    ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(plans) == 1 and plans[0].count("Scan parquet") == 2 and plans[0].count("REPARTITION_BY_COL") == 2
+    dealt = [line.split("Exchange")[1].split(", [plan_id")[0] for line in plans[0].splitlines() if "REPARTITION_BY_COL" in line]
+    assert len({x.split("#")[0] for x in dealt}) == 1
+
+
 def test_pivots_stop_where_they_do_not_pay(spark, monkeypatch):
     """pipeline: a group in which nearly nothing links meets one pivot, not three, and all its links are found."""
     for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("APART_DOCS", 10)):
