@@ -41,6 +41,8 @@ BLOCK_COLUMNS, DENSE = 4096, 32
 SKETCH_DOCS, SKETCH_ROWS = 1024, 3_000
 #: Nodes whose texts are wanted that are broadcast at most (40 bytes each), so that no other text moves; beyond, texts are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows of which one bit each is broadcast at most, so that no signature moves (64 to a mask of 16 bytes); beyond, signatures are joined by a shuffle.
+BROADCAST_BITS = 100_000_000
 #: Groups of more documents than this meet pivots first; turns in which they do at most, and members of a group that may stay apart without a further one.
 PIVOT_DOCS, PIVOTS, APART_DOCS = 64, 3, 512
 #: A further turn follows where the last pivots' labels hold at least one of so many members of the groups of which more than a block stays apart: a label spares the square of its share.
@@ -444,6 +446,19 @@ def relabelled(rows: DataFrame, tops: DataFrame) -> DataFrame:
     return rows.join(tops, "node", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
 
 
+def in_place(rows: DataFrame, chosen: DataFrame, total: int) -> DataFrame:
+    """Rows whose number `row` is among chosen (one column of such numbers); total is the number of rows.
+
+    The chosen numbers are told by masks of 64 bits that are broadcast, so the rows, which are wide, stay where they are.
+    """
+    number = chosen.toDF("row")
+    if total > BROADCAST_BITS:
+        return rows.join(number, "row", "left_semi")
+    mask, bit = F.shiftright("row", 6).alias("mask"), F.col("row").bitwiseAND(F.lit(63)).cast("int")
+    bits = number.groupBy(mask).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return rows.withColumn("mask", mask).join(F.broadcast(bits), "mask").where(F.getbit("bits", bit) == 1).drop("mask", "bits")
+
+
 class _Join:
     """The tables that the steps of one join share: texts, class nodes with sketches, and the links so far."""
 
@@ -594,7 +609,7 @@ def _components_of(docs: DataFrame, size: int, percent: int, id_col: str, text_c
     total = classes.agg(F.sum("many")).first()[0] or 0
     own = joined_by_weight(filled.select("doc_id", "text_key", "n", "row", "seq"), classes, ["seq"], "many", total, F.col("row")).select("doc_id", "text_key", "n", "node", "rep")
     found = written(own.unionAll(signed.where("n = 0").select("doc_id", "text_key", "n", F.col("row").alias("node"), F.col("doc_id").alias("rep"))), "jaccard-found")
-    nodes = written(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
+    nodes = written(in_place(signed, classes.select("node"), total).withColumnRenamed("row", "node"), "jaccard-nodes")
     drop_written(signed)
 
     # Dealt by bucket once: counted there and joined there, the same at every size.

@@ -453,6 +453,40 @@ def test_buckets_are_dealt_once(spark, monkeypatch):
     assert len({x.split("#")[0] for x in dealt}) == 1
 
 
+def test_signatures_stay_in_place(spark, monkeypatch):
+    """op6_ngram_join: the table of class nodes is picked without moving signatures, whatever the broadcast limit."""
+    plans = []
+    plain = ngram_join.written
+
+    def noted(df, name, *a, **k):
+        if name == "jaccard-nodes":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *a, **k)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = [(i, " ".join(f"w{(i // 3, j)}" for j in range(40 + i % 2))) for i in range(300)] + [(1000, None), (1001, ""), (1002, "one")]
+        want = want_components(docs, 3, 90)
+        for bits in (ngram_join.BROADCAST_BITS, 0):
+            monkeypatch.setattr(ngram_join, "BROADCAST_BITS", bits)
+            got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_chosen_rows_in_place(spark):
+    """Rows by number, over partitions' first and last numbers and both ends of a mask."""
+    rows = spark.range(0, 1000, 1, 7).select("id", F.monotonically_increasing_id().alias("row"))
+    numbers = [r["row"] for r in rows.collect()]
+    chosen = {n for n in numbers if n % 64 in (0, 63) or n % 3 == 1}
+    got = ngram_join.in_place(rows, spark.createDataFrame([(n,) for n in chosen], "node long"), 1000)
+    assert got.columns == ["id", "row"] and sorted(r["row"] for r in got.collect()) == sorted(chosen)
+
+
 def test_pivots_stop_where_they_do_not_pay(spark, monkeypatch):
     """pipeline: a group in which nearly nothing links meets one pivot, not three, and all its links are found."""
     for name, n in (("BLOCK_DOCS", 12), ("SKETCH_DOCS", 10), ("PIVOT_DOCS", 10), ("APART_DOCS", 10)):
