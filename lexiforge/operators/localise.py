@@ -142,9 +142,9 @@ def matched_contexts(left: DataFrame, right: DataFrame, id_col: str, term: str,
     no other, and a null term none. Containment is asked once for all equal
     contexts of a term. kept stores rows that are read several times.
     """
-    others = right.select(F.col(id_col).alias("other"), F.col(term).alias("_term"), F.col(context).alias("_context"), F.col(order).alias("_order"))
+    others = kept(right.select(F.col(id_col).alias("other"), F.col(term).alias("_term"), F.col(context).alias("_context"), F.col(order).alias("_order")), "others")
     first = lambda df, keys: df.groupBy(*keys).agg(F.min_by("other", "_order").alias("other"))
-    rows = left.select(F.col(id_col).alias("_id"), F.col(term).alias("_term"), F.col(context).alias("_context"))
+    rows = kept(left.select(F.col(id_col).alias("_id"), F.col(term).alias("_term"), F.col(context).alias("_context")), "rows")
 
     same = first(others.withColumn("_id", F.col("other")), ["_id"]).select("_id", "other", F.lit(1).alias("tier"))
     by_id = rows.join(same, "_id", "left")
@@ -155,7 +155,7 @@ def matched_contexts(left: DataFrame, right: DataFrame, id_col: str, term: str,
     rest = kept(rows.join(decided.select("_id"), "_id", "left_anti"), "rest")
     begins = lambda c: F.when(F.trim(c) != "", F.substring(c, 1, head))
     best = lambda df, keys: df.groupBy(*keys).agg(F.min_by("other", "_order").alias("other"), F.min("_order").alias("_order"))
-    met = lambda texts, needles, id_: contains_join(texts, needles, id_, "_context", "_needle_text", within=("_term", "_t"), longest=6).where("_term = _t")
+    met = lambda texts, needles, id_: contains_join(texts, needles, id_, "_context", "_needle_text", within=("_term", "_t")).where("_term = _t")
     needles = best(others.select("other", "_order", F.col("_term").alias("_t"), begins("_context").alias("_needle_text")), ["_t", "_needle_text"])
     texts = rest.groupBy("_term", "_context").agg(F.min("_id").alias("_id"))
     held = rest.join(best(met(texts, needles, "_id"), ["_term", "_context"]), ["_term", "_context"]).select("_id", "other", "_order")
